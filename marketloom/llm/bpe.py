@@ -19,7 +19,7 @@ LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 
 FOREVER = 1 << 60
 #: Entries a worker keeps of pieces and of pair tests; beyond these the memory is emptied.
-MEMO = 250_000
+MEMO = 600_000
 #: Longer pieces are not kept.
 MEMO_CHARS = 48
 
