@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from marketloom.llm import common
 
-#: Words a worker keeps with their ids.
-MEMO = 400_000
+#: Words a worker keeps with their ids, and as many older ones.
+MEMO = 500_000
 #: Pieces in a group on average.
 GROUP = 8_192
 #: Bins tried for each emptied or improved bin, at most rounds of the local search without gain.
@@ -30,20 +30,62 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Words(dict):
-    """Word (between ASCII white space) to its packed ids. The tokenizer drops white space and never joins across it."""
+    """Lower-cased word (between ASCII white space) to its packed ids.
+
+    The tokenizer lower-cases, drops white space and never joins across it, so words are encoded apart. A word
+    of letters alone is one piece, which ends with the piece's only word-end token; many such words go to the
+    tokenizer as one text and are told apart by these. A final comma or stop is a piece of its own.
+    """
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
+        self.older: dict = {}
+        self.word_end = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            self.word_end[i] = token.endswith("</w>")
+        self.tails = {t: self._one(t) for t in (",", ".")}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, words: list[str]) -> None:
+        for at in range(0, len(words), 400):
+            some = words[at : at + 400]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            if len(ends) != len(some):
+                for w in some:
+                    self[w.encode()] = self._one(w)
+                continue
+            packed, ends = ids.tobytes(), (4 * ends).tolist()
+            for w, a, b in zip(some, [0, *ends], ends, strict=False):
+                self[w.encode()] = packed[a:b]
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > MEMO:
+        if len(self) > MEMO:
+            self.older = dict(self)
             self.clear()
-            new = list(words)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+        plain, tailed, other = set(), [], []
+        for w in words:
+            if w in self:
+                continue
+            if w in self.older:
+                self[w] = self.older[w]
+                continue
+            s = w.decode()
+            if s.isascii() and s.isalpha() or s.lower().isalpha():
+                plain.add(s)
+            elif s[-1] in self.tails and s[:-1].lower().isalpha():
+                tailed.append((w, w[:-1], s[-1]))
+                if w[:-1] not in self:
+                    plain.add(s[:-1])
+            else:
+                other.append(w)
+        self._plain(list(plain))
+        for w, stem, tail in tailed:
+            self[w] = self[stem] + self.tails[tail]
+        for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
+            self[w] = np.array(e.ids, "<u4").tobytes()
 
 
 _tokenizers: dict[int, _Words] = {}
@@ -78,7 +120,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
         words = _words(file.value)
         for part in common.slices(batches):
             out = []
-            split = [raw.split() for raw in common.texts(part.column(1))]
+            split = [(raw if b"<|" in raw else raw.lower()).split() for raw in common.texts(part.column(1))]
             words.learn(set().union(*split))
             for doc, ws in zip(part.column(0).to_pylist(), split, strict=True):
                 ids = b"".join(map(words.__getitem__, ws)) + end
