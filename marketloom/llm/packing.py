@@ -12,7 +12,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -230,7 +229,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     groups = max(1, -(-cut.count() // group))
     dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("int"))
 
-    def fill(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fill(key, pdf):
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         lengths = pdf["length"].tolist()
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)

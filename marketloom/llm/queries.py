@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe_codec, line_dedup, lm, minhash, packing, quality, token_counts
+from marketloom.llm import ann, bpe_codec, line_dedup, lm, minhash, packing, quality, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,16 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages")).where("gap is null")
+    page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
+    return found.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
@@ -51,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_counts": op4_token_counts,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_warc": op6_warc,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_line_dedup": op9_line_dedup,
     "op10_quality_rules": op10_quality_rules,
