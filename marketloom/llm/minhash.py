@@ -4,11 +4,12 @@ Signature: a shingle's place in a universe of 2**20 goes through one permutation
 least value, over the document's places, of a second permutation shifted circularly by k. Two permutations
 thus serve all coordinates.
 
-Copies with the same word sequence become one class first. Classes that share a band are candidates. Each
-bucket's classes are first compared with the bucket's smallest one, on full shingle sets, and linked ones
-become components. What is then left to decide in a bucket are pairs of different components whose distances
-to the smallest one differ by at most the allowed distance; Jaccard distance is a metric, so no other pair
-can be linked. Two rounds with other pivots settle most of these, and the rest are compared pair by pair.
+Copies with the same word sequence become one class first. Classes that share a band are candidates. A class also
+has a parity bitmap of its shingles: the bits in which two bitmaps differ are at most the shingles in which the
+sets differ, so a pair with too many of them cannot be linked, and is dropped before any set is read. Each
+bucket's classes are compared with the bucket's smallest one, on full sets, and linked ones become
+components; two rounds with other pivots follow. What is then left are pairs of different components in a bucket,
+one of them outside the bucket's largest component, that the bitmaps allow: these are compared one by one.
 No bucket is capped.
 """
 
@@ -33,6 +34,8 @@ SHINGLE = 5
 PERCENT = 75
 #: A pivot's shingle set is given to so many shares of its partners at most.
 SHARES = 256
+#: Bits of the parity bitmap.
+BITS = 1024
 #: Ids of candidate classes that are broadcast to pick their texts; with more, texts are joined by shuffling.
 BROADCAST_IDS = 400_000
 
@@ -98,13 +101,26 @@ class Circulant:
 _circulant: list[Circulant] = []
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set its bits, each the parity of the shingles that fall on it, as 64-bit words."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = owner * BITS + (np.concatenate(sets) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=len(sets) * BITS) & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), -1)
+
+
+def can_link(x: str, y: str):
+    """Whether the bitmaps let two classes be linked: J = (s - d) / (s + d) for sets of s shingles together that differ in d."""
+    differ = sum(F.bit_count(F.col(f"{x}.bits")[i].bitwiseXOR(F.col(f"{y}.bits")[i])) for i in range(BITS // 64))
+    return differ * (100 + PERCENT) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - PERCENT)
+
+
 def _words(part: pa.RecordBatch) -> list[list[bytes]]:
     return [raw.lower().split() for raw in common.texts(part.column(1))]
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Of (id, text): id, n_shingles, k1 and k2 (of the word sequence) and the bands, null for a document without words."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """Of (id, text): id, n (shingles), k1 and k2 (of the word sequence), bands and bitmap, null for a document without words."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _circulant:
@@ -114,13 +130,15 @@ def sketch(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(words)
             full = [i for i, s in enumerate(sets) if len(s)]
             bands: list = [None] * len(sets)
+            bits: list = [None] * len(sets)
             if full:
-                for i, b in zip(full, _circulant[0].bands(_circulant[0].signatures([sets[i] for i in full])).tolist(), strict=True):
-                    bands[i] = b
+                some = [sets[i] for i in full]
+                for i, b, m in zip(full, _circulant[0].bands(_circulant[0].signatures(some)).tolist(), bitmaps(some).tolist(), strict=True):
+                    bands[i], bits[i] = b, m
             keys = np.frombuffer(b"".join(blake2b(b" ".join(w), digest_size=16).digest() for w in words), "<i8").reshape(-1, 2)
-            yield common.rows(schema, part.column(0), [len(s) for s in sets], keys[:, 0], keys[:, 1], bands)
+            yield common.rows(schema, part.column(0), [len(s) for s in sets], keys[:, 0], keys[:, 1], bands, bits)
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -135,8 +153,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b): a, b, linked and distance, from the full sets. Partners of one a are dealt over SHARES shares."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_()), ("distance", pa.float64())])
+    """Of pairs (a, b): a, b and linked, from the full sets. Partners of one a are dealt over SHARES shares."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())])
     pairs = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SHARES)).cast("int"))
     own = pairs.select("a", "share").distinct().join(sets.select(F.col("id").alias("a"), F.col("packed").alias("of_a")), "a")
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("packed").alias("of_b")), "b").join(own, ["a", "share"]).select("a", "b", "of_a", "of_b")
@@ -146,16 +164,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             step = max(1, common.SLICE_BYTES * batch.num_rows // max(1, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                linked, distance = [], []
+                linked = []
                 for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                     x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     union = len(x) + len(y) - both
                     linked.append(100 * both >= PERCENT * union)
-                    distance.append(1 - both / union)
-                yield common.rows(schema, part.column(0), part.column(1), linked, distance)
+                yield common.rows(schema, part.column(0), part.column(1), linked)
 
-    return both.mapInArrow(run, "a long, b long, linked boolean, distance double")
+    return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = _labels(spark, docs, sketches)
     classes = sketches.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("class"))
     named = classes.join(labels, classes["class"] == labels["id"], "left").select("k1", "k2", F.coalesce("label", "class").alias("component"))
-    found = sketches.drop("bands").join(named, ["k1", "k2"], "left")
+    found = sketches.drop("bands", "bits").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
@@ -180,51 +197,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _labels(spark, docs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Component labels of the classes that are linked with another."""
-    buckets = sketches.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands")).select("id", F.explode("bands").alias("bucket"))
+    classes = sketches.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", "bands", "bits"), "id").alias("c")).select("c.*")
+    classes, _ = common.written(classes, "classes")
+    buckets = classes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1").drop("c")
     members, _ = common.written(buckets.join(shared, "bucket"), "members")
-    ids = members.select("id").distinct()
-    ids, ids_path = common.written(ids, "candidates")
-    if ids.count() <= BROADCAST_IDS:
-        chosen = docs.join(F.broadcast(ids), "id", "left_semi")
-    else:
-        chosen = docs.join(ids, "id", "left_semi")
-    sets, _ = common.written(full_sets(chosen).groupBy("id").agg(F.first("packed").alias("packed")), "sets")
-    first, _ = common.written(verified(members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sets), "verified")
-    edges = first.where("linked").select("a", "b")
+    known_bits = classes.select("id", "n", "bits")
+    pairs = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = pairs.join(known_bits.select(F.col("id").alias("a"), F.struct("n", "bits").alias("x")), "a").join(known_bits.select(F.col("id").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    pairs, _ = common.written(pairs.where(can_link("x", "y")).select("a", "b"), "pairs")
+    edges = _linked(spark, docs, pairs)
     labels, _ = components(edges)
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def undecided(labels: DataFrame) -> tuple[DataFrame, str]:
-        """Members of buckets with more than one component, each with its label and its distance from the first pivot."""
-        named = members.join(labels, "id", "left").select("bucket", "id", "pivot", F.coalesce("label", "id").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
-        near = first.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "distance")
-        return common.written(named.join(mixed, "bucket").join(near, ["pivot", "id"], "left").select("bucket", "id", "label", F.coalesce("distance", F.lit(0.0)).alias("distance")), "undecided")
-
-    allowed = (100 - PERCENT) / 100 + 1e-9
-    gap = F.abs(F.col("x.distance") - F.col("y.distance")) <= allowed
-    left, left_path = undecided(labels)
-    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    def undecided(labels: DataFrame) -> DataFrame:
+        """Members of buckets with more than one component: label, bitmap, and whether they stand outside the bucket's largest component."""
+        named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        mixed = named.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+        left = named.join(mixed.select("bucket", F.col("most.label").alias("main")), "bucket").join(known_bits, "id")
+        return common.written(left.select("bucket", "id", "label", "n", "bits", (F.col("label") != F.col("main")).alias("minor")), "undecided")[0]
+
+    left = undecided(labels)
     for turn in range(3):
-        x, y = left.alias("x"), left.alias("y")
+        x, y = left.where("minor").alias("x"), left.alias("y")
         if turn < 2:
-            pivot = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "label", "distance")).alias("p")).select("bucket", "p.id", "p.label", "p.distance")
+            pivot = left.groupBy("bucket").agg(F.min_by(F.struct("id", "label", "n", "bits"), F.xxhash64("id", F.lit(turn))).alias("p")).select("bucket", "p.*")
             x = pivot.alias("x")
-        order = F.lit(True) if turn < 2 else F.col("x.id") < F.col("y.id")
-        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & gap & order)
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        pairs, pairs_path = common.written(pairs, "pairs")
+        each = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & can_link("x", "y"))
+        pairs = each.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
+        pairs, _ = common.written(pairs, "pairs")
         if not pairs.isEmpty():
-            more, _ = common.written(verified(pairs, sets), "verified")
-            known = known.union(more.select("a", "b"))
-            found = more.where("linked").select("a", "b")
+            known = known.union(pairs)
+            found = _linked(spark, docs, pairs)
             if not found.isEmpty():
                 edges = edges.union(found)
                 labels, _ = components(edges)
-                left, left_path = undecided(labels)
+                left = undecided(labels)
     return labels
 
 
+def _linked(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that are linked by their full sets, which are read for just these pairs."""
+    ids, _ = common.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    if ids.count() <= BROADCAST_IDS:
+        chosen = docs.join(F.broadcast(ids), "id", "left_semi")
+    else:
+        chosen = docs.join(ids, "id", "left_semi")
+    sets, sets_path = common.written(full_sets(chosen).dropDuplicates(["id"]), "sets")
+    found, _ = common.written(verified(pairs, sets).where("linked").select("a", "b"), "linked")
+    common.remove(spark, sets_path)
+    return found
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose document stays: one of each component, and rows without id. Columns are as in docs."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias("_gone")).distinct()
