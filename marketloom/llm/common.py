@@ -4,44 +4,21 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import os
 import shutil
-import sys
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.session import ship  # noqa: F401
+
 #: Text is handled in slices of about so many bytes, so a worker's memory follows this and the longest text.
 SLICE_BYTES = 4 << 20
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once for a Spark application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_marketloom_shipped", False):
-        return spark
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="marketloom-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, "marketloom.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for at, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(at, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    before = list(sys.path)
-    sc.addPyFile(path)
-    sys.path[:] = before
-    sc._marketloom_shipped = True
-    return spark
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in its absence a folder of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
