@@ -210,14 +210,13 @@ def _labels(spark, docs: DataFrame, sketches: DataFrame) -> DataFrame:
     labels, _ = components(edges)
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    def undecided(labels: DataFrame) -> DataFrame:
-        """Members of buckets with more than one component: label, bitmap, and whether they stand outside the bucket's largest component."""
-        named = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    def undecided(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """Those rows (bucket, id) whose bucket has more than one component: label, and whether it is not the bucket's largest."""
+        named = rows.join(labels.withColumnRenamed("label", "_label"), "id", "left").withColumn("label", F.coalesce("_label", "id")).drop("_label")
         mixed = named.groupBy("bucket", "label").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-        left = named.join(mixed.select("bucket", F.col("most.label").alias("main")), "bucket").join(known_bits, "id")
-        return common.written(left.select("bucket", "id", "label", "n", "bits", (F.col("label") != F.col("main")).alias("minor")), "undecided")[0]
+        return named.join(mixed.select("bucket", F.col("most.label").alias("main")), "bucket").withColumn("minor", F.col("label") != F.col("main")).drop("main")
 
-    left = undecided(labels)
+    left, _ = common.written(undecided(members.select("bucket", "id"), labels).join(known_bits, "id"), "undecided")
     for turn in range(3):
         x, y = left.where("minor").alias("x"), left.alias("y")
         if turn < 2:
@@ -232,7 +231,7 @@ def _labels(spark, docs: DataFrame, sketches: DataFrame) -> DataFrame:
             if not found.isEmpty():
                 edges = edges.union(found)
                 labels, _ = components(edges)
-                left = undecided(labels)
+                left, _ = common.written(undecided(left.drop("label", "minor"), labels), "undecided")
     return labels
 
 
