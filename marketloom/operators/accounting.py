@@ -89,7 +89,7 @@ def lots_changelog(fills: DataFrame, matches: DataFrame) -> DataFrame:
     w = Window.partitionBy(*KEY2, "seq").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     each = each.withColumn("qty_rem", -F.sum("used").over(w))
     each = each.where(f"not (at = seq and qty_rem <= {EPS})")
-    return each.select(F.when(F.col("qty_rem") <= EPS, "DELETE").otherwise("UPSERT").alias("op"), *KEY2, F.col("seq").alias("lot_seq"), "at", F.when(F.col("qty_rem") > EPS, F.col("qty_rem")).alias("qty_rem"))
+    return each.select(F.when(F.col("qty_rem") <= EPS, "DELETE").otherwise("UPSERT").alias("op"), *KEY2, F.col("seq").alias("lot_seq"), F.col("at").alias("change_seq"), F.when(F.col("qty_rem") > EPS, F.col("qty_rem")).alias("qty_rem"))
 
 
 def rollup_latest(lots: DataFrame) -> DataFrame:

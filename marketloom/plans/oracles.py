@@ -150,8 +150,8 @@ ORACLES: dict[str, str] = {
     "realized_pnl_by_symbol": sql("matches", select="SELECT account_id, symbol, round(sum(realized_pnl), 2) AS realized_pnl FROM matches GROUP BY ALL"),
     "fill_dedupe": sql("uniq", select=f"SELECT {KEY}, order_id, fill_id, side, qty, price, seq FROM uniq"),
     "lots_latest": sql("lots", select="SELECT * FROM lots"),
-    "lots_changelog": sql("uniq", "matches", select=f"SELECT CASE WHEN rem <= 1e-12 THEN 'DELETE' ELSE 'UPSERT' END AS op, {KEY}, seq AS lot_seq, at, CASE WHEN rem > 1e-12 THEN rem END AS qty_rem FROM (SELECT *, -sum(used) OVER (PARTITION BY {KEY}, seq ORDER BY at) AS rem FROM (SELECT {KEY}, seq, at, sum(used) AS used FROM (SELECT {KEY}, seq, seq AS at, -qty AS used FROM uniq UNION ALL SELECT {KEY}, buy_seq, greatest(buy_seq, sell_seq), matched_qty FROM matches UNION ALL SELECT {KEY}, sell_seq, greatest(buy_seq, sell_seq), matched_qty FROM matches) GROUP BY ALL)) WHERE NOT (at = seq AND rem <= 1e-12)"),
-    "rollup_latest": sql("rollup", select=f"SELECT {KEY}, side, net_qty, round(avg_price, 4) AS avg_price, last_updated FROM rollup"),
+    "lots_changelog": sql("uniq", "matches", select=f"SELECT CASE WHEN rem <= 1e-12 THEN 'DELETE' ELSE 'UPSERT' END AS op, {KEY}, seq AS lot_seq, change_seq, CASE WHEN rem > 1e-12 THEN rem END AS qty_rem FROM (SELECT *, -sum(used) OVER (PARTITION BY {KEY}, seq ORDER BY change_seq) AS rem FROM (SELECT {KEY}, seq, change_seq, sum(used) AS used FROM (SELECT {KEY}, seq, seq AS change_seq, -qty AS used FROM uniq UNION ALL SELECT {KEY}, buy_seq, greatest(buy_seq, sell_seq), matched_qty FROM matches UNION ALL SELECT {KEY}, sell_seq, greatest(buy_seq, sell_seq), matched_qty FROM matches) GROUP BY ALL)) WHERE NOT (change_seq = seq AND rem <= 1e-12)"),
+    "rollup_latest": sql("rollup", select=f"SELECT {KEY}, side, net_qty, round(avg_price, 3) AS avg_price, last_updated FROM rollup"),
     "rollup_changelog": sql("changes", select="SELECT * FROM changes"),
     "rpnl_cumulative": sql("matches", select=f"SELECT {KEY}, match_seq, buy_seq, sell_seq, round(sum(realized_pnl) OVER (PARTITION BY {KEY} ORDER BY match_seq, buy_seq, sell_seq), 2) AS cumulative_pnl FROM matches"),
     "upnl_v1": sql("positions", "fills1", select="SELECT account_id, symbol, price AS current_price, round((price - avg_price) * net_qty, 2) AS unrealized_pnl, greatest(last_updated, pts) AS ts FROM positions JOIN (SELECT account_id, symbol, arg_max(fill_price, seq) AS price, max(ts) AS pts FROM fills1 GROUP BY ALL) USING (account_id, symbol)"),

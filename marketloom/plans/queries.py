@@ -615,7 +615,7 @@ def lots_changelog(s, d):
 
 @query
 def rollup_latest(s, d):
-    return rounded(jobs.trading_engine(ad.fills(s, d))["rollup"], "avg_price")
+    return rounded(jobs.trading_engine(ad.fills(s, d))["rollup"], "avg_price", digits=3)
 
 
 @query
