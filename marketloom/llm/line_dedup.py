@@ -69,8 +69,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     common.ship(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null")
-    gone = repeated_lines(own).withColumnsRenamed({"id": "_id", "gone": "_gone"})
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["_id"], "left")
-    left = F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed_lines"))
+    gone = repeated_lines(own).withColumnsRenamed({"id": "__id__", "gone": "__gone__"})
+    joined = docs.join(gone, docs[id_col].cast("long") == gone["__id__"], "left")
+    left = F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__gone__", i))
+    text = F.when(F.col("__gone__").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(F.size("__gone__"), F.lit(0)).alias("n_removed_lines"))

@@ -250,5 +250,5 @@ def _linked(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose document stays: one of each component, and rows without id. Columns are as in docs."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__gone__")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone__"], "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from marketloom.llm import common
 
 #: Words a worker keeps with their ids, and as many older ones.
-MEMO = 500_000
+MEMO = 800_000
 #: Pieces in a group on average.
 GROUP = 8_192
 #: Bins tried for each emptied or improved bin, at most rounds of the local search without gain.

@@ -121,5 +121,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, with docs' columns. Rows of one id stay or go together."""
-    bad = quality(docs, id_col, text_col, lang_col).where("not kept").select(F.col("id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    bad = quality(docs, id_col, text_col, lang_col).where("not kept").select(F.col("id").alias("__bad__")).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad__"]), "left_anti")

@@ -78,7 +78,7 @@ def write(pages: DataFrame, path: str, compression: str = "none", **columns) ->
     records(pages, **columns).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
-VERSION = re.compile(rb"^WARC/1\.[01]\r\n", re.M)
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 class Broken(ValueError):
