@@ -445,7 +445,7 @@ def cep_rsi_sma_sell(s, d):
 @query
 def cep_seven_green(s, d):
     running = ad.bars(s, d).select("symbol", "ts", F.sum("volume").over(ind.by_time().rowsBetween(Window.unboundedPreceding, 0)).alias("close"), F.lit(0.0).alias("sma5"), F.lit(0.0).alias("sma21"))
-    return _signals(st.seven_green(running, 2 * DAY))
+    return _signals(st.seven_green(running, 60 * DAY))
 
 
 @query
