@@ -22,10 +22,16 @@ def dedupe_fills(fills: DataFrame) -> DataFrame:
     return fills.withColumn("_fill", fill_id).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_fill")
 
 
+def running(key: list[str], qty: str) -> Column:
+    """Running quantity of each row's own side. One window over the key serves both sides, so rows stay where the key's other windows put them."""
+    w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    own = lambda side: F.sum(F.when(F.col("side") == side, F.col(qty)).otherwise(0.0)).over(w)
+    return F.when(F.col("side") == "BUY", own("BUY")).otherwise(own("SELL"))
+
+
 def _sweep(fills: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
     """Of fills with side, q (quantity above 0) and seq: one row for each overlap, with buy, sell and qty."""
-    side = Window.partitionBy(*key, "side").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    cum = fills.withColumn("cum", F.sum("q").over(side))
+    cum = fills.withColumn("cum", running(key, "q"))
     row = F.struct("seq", *carry)
     down = Window.partitionBy(*key).orderBy(F.desc("cum")).rangeBetween(Window.unboundedPreceding, 0)
     each = cum.select(
@@ -69,11 +75,12 @@ def fifo_long_only(fills: DataFrame, status: str | None = "FILLED") -> DataFrame
     )
 
 
-def lots_latest(fills: DataFrame, matches: DataFrame) -> DataFrame:
-    """Open lots of deduped fills: what of each fill no match has used."""
-    used = matches.select(*KEY2, F.explode(F.array(F.struct(F.col("buy_seq").alias("seq"), "matched_qty"), F.struct(F.col("sell_seq").alias("seq"), "matched_qty"))).alias("x"))
-    used = used.groupBy(*KEY2, F.col("x.seq").alias("seq")).agg(F.sum("x.matched_qty").alias("used"))
-    d = fills.join(used, [*KEY2, "seq"], "left").withColumn("qty_rem", F.col("qty") - F.coalesce("used", F.lit(0.0))).where(f"qty_rem > {EPS}")
+def lots_latest(fills: DataFrame) -> DataFrame:
+    """Open lots of deduped fills. As many units match on either side as the smaller side has, the oldest ones; what lies beyond is open."""
+    key = Window.partitionBy(*KEY2)
+    total = lambda side: F.sum(F.when(F.col("side") == side, F.col("qty")).otherwise(0.0)).over(key)
+    d = fills.withColumn("hi", running(KEY2, "qty")).withColumn("matched", F.least(total("BUY"), total("SELL")))
+    d = d.withColumn("qty_rem", F.col("hi") - F.greatest(F.col("hi") - F.col("qty"), F.col("matched"))).where(f"qty_rem > {EPS}")
     return d.select(*KEY2, F.concat_ws("#", "order_id", "fill_id").alias("lot_id"), F.when(F.col("side") == "BUY", "LONG").otherwise("SHORT").alias("side"), F.col("qty").alias("qty_open"), "qty_rem", F.col("price").alias("avg_price"), F.col("ts").alias("ts_open"), F.col("seq").alias("lot_seq"))
 
 

@@ -42,7 +42,7 @@ def trading_engine(fills: DataFrame) -> dict[str, DataFrame]:
     """Matches, lots, rollups, profits and their changes of fills with side."""
     unique = acc.dedupe_fills(fills)
     matches = acc.fifo_two_sided(unique)
-    lots = acc.lots_latest(unique, matches)
+    lots = acc.lots_latest(unique)
     return {
         "matches": matches,
         "lots": lots,

@@ -86,7 +86,7 @@ def test_fifo_against_a_sequential_model(spark, seed):
     d = fills2(spark, *fs)
     m = acc.fifo_two_sided(d)
     assert sorted((min(r.buy_seq, r.sell_seq), max(r.buy_seq, r.sell_seq), r.matched_qty, r.realized_pnl) for r in m.collect()) == sorted(want)
-    assert sorted((r.lot_seq, r.qty_rem) for r in acc.lots_latest(d, m).collect()) == sorted((x[0], x[2]) for x in lots)
+    assert sorted((r.lot_seq, r.qty_rem) for r in acc.lots_latest(d).collect()) == sorted((x[0], x[2]) for x in lots)
 
 
 def test_indicators_against_incremental_ones(spark):

@@ -39,7 +39,7 @@ def test_engine_agrees_with_batch_over_a_restart(spark, sf, tmp_path):
     want = sorted((r.strategy_id, min(r.buy_seq, r.sell_seq), max(r.buy_seq, r.sell_seq), r.matched_qty, round(r.realized_pnl, 4)) for r in batch.collect())
     have = sorted((r.strategy_id, r.lot_seq, r.other_seq, r.qty, round(r.pnl, 4)) for r in got.where("kind = 'match'").collect())
     assert have == want
-    lots = {(r.strategy_id, r.lot_seq): r.qty_rem for r in acc.lots_latest(unique, batch).collect()}
+    lots = {(r.strategy_id, r.lot_seq): r.qty_rem for r in acc.lots_latest(unique).collect()}
     last = {}
     for r in got.where("kind = 'lot'").orderBy("seq", "other_seq").collect():
         last[r.strategy_id, r.lot_seq] = r.qty
