@@ -14,9 +14,7 @@ def by_time() -> WindowSpec:
 
 
 class Strategy(Protocol):
-    """A named rule from rows with indicators to signals."""
-
-    name: str
+    """A rule from rows with indicators to signals."""
 
     def __call__(self, rows: DataFrame) -> DataFrame: ...
 
@@ -177,3 +175,7 @@ def run_strategy(indicators: DataFrame, candles: DataFrame, rule, tolerance_ms:
     from marketloom.operators.joins import interval_join
 
     return rule(interval_join(indicators, candles, tolerance_ms))
+
+
+#: Rules by name; further ones can be put in.
+RULES: dict[str, Strategy] = {"simple-cross": simple_cross, "rsi-threshold": rsi_threshold, "state-cross": state_cross}

@@ -90,6 +90,8 @@ ORACLES: dict[str, str] = {
     "snk_signal_row": sql("signals", select="SELECT 'live' AS run_id, symbol, epoch_ms(ts) AS time, round(close, 4)::DECIMAL(10,4) AS close, round(sma5, 8)::DECIMAL(18,8) AS sma5, round(sma21, 8)::DECIMAL(18,8) AS sma21, signal, round(round(signal_strength, 8), 2)::DECIMAL(5,2) AS signal_strength FROM signals"),
     "snk_changelog_bridge": sql("changes", select=f"SELECT CASE op WHEN 'DELETE' THEN 'DELETE' ELSE 'UPDATE_AFTER' END AS row_kind, {KEY}, seq, net_qty FROM changes"),
     "snk_match_bridge": sql("matches", select=f"SELECT {KEY}, buy_order_id, sell_order_id, buy_ts, sell_ts, buy_price, sell_price, round(matched_qty, 4) AS matched_qty, round(realized_pnl, 4) AS realized_pnl, match_ts FROM matches"),
+    "snk_pojo_adapter": sql("rollup", select=f"SELECT {KEY}, side, net_qty, round(avg_price, 3) AS avg_price, last_updated FROM rollup"),
+    "strat_iface": sql("signals", select=f"SELECT run_id, signal, count(*) AS n FROM signals GROUP BY ALL UNION ALL SELECT 'rsi-threshold', CASE WHEN rsi < 30 THEN 'BUY' ELSE 'SELL' END AS sg, count(*) FROM inds WHERE rsi < 30 OR rsi > 70 GROUP BY sg UNION ALL SELECT 'state-cross', signal, count(*) FROM (SELECT CASE WHEN sma5 > sma21 AND lag(sma5) OVER w <= lag(sma21) OVER w THEN 'BUY' WHEN sma5 < sma21 AND lag(sma5) OVER w >= lag(sma21) OVER w THEN 'SELL' END AS signal FROM inds {W}) WHERE signal IS NOT NULL GROUP BY signal"),
     "snk_noop": sql("ticks", select="SELECT symbol, count(*) AS n FROM ticks GROUP BY 1"),
     "cat_ddl": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{p}', {len(c.split(', '))})" for n, (k, p, c) in TABLES.items()) + ") AS t(table_name, kind, primary_key, n_columns)",
     "dml_delete_all": "SELECT * FROM (VALUES ('strategy_signals', 0::BIGINT), ('trade_match_history', 0), ('risk_alerts_history', 0)) AS t(table_name, n_rows)",

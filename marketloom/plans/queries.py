@@ -155,6 +155,13 @@ def snk_match_bridge(s, d):
     return rounded(io.match_rows(matches(s, d)).drop("match_id"), "realized_pnl", "matched_qty")
 
 
+@query
+def snk_pojo_adapter(s, d):
+    path = scratch(s, "rollup")
+    catalog.append(jobs.trading_engine(ad.fills(s, d))["rollup"], "open_positions_rollup", path)
+    return rounded(s.read.parquet(path), "avg_price", digits=3)
+
+
 @query
 def snk_noop(s, d):
     t = ad.ticks(s, d)
@@ -410,6 +417,15 @@ def strat_cross_sql(s, d):
     return a.join(b, ["run_id", "symbol", "ts"]).select("symbol", "ts", "sma_20", "sma_40", side.alias("crossover_signal"))
 
 
+@query
+def strat_iface(s, d):
+    rows, out = rows_with_indicators(s, d), None
+    for rule in st.RULES.values():
+        own = rule(rows).groupBy("run_id", "signal").agg(F.count("*").alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query
 def strat_generic_job(s, d):
     r = rows_with_indicators(s, d)

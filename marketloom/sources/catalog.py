@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _BAR = "symbol string, time timestamp, open decimal(10,4), high decimal(10,4), low decimal(10,4), close decimal(10,4), volume bigint"
 _KEY = "account_id string, strategy_id string, symbol string"
@@ -46,6 +47,18 @@ def described(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, kind string, primary_key string, n_columns int")
 
 
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """Rows as rows of a catalog table: its columns by name, in its types; those that df lacks are null."""
+    have = set(df.columns)
+    fields = StructType.fromDDL(TABLES[name][2]).fields
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def append(df: DataFrame, name: str, path: str) -> None:
+    """Maps rows to a catalog table and appends them to its files."""
+    conform(df, name).write.mode("append").parquet(path)
+
+
 def clear(spark: SparkSession, tables: list[str], database: str = "marketloom") -> DataFrame:
     """Empties the tables and returns their row counts: table_name, n_rows."""
     counts = None
