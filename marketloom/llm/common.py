@@ -42,11 +42,11 @@ def remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
