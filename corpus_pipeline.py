@@ -17,8 +17,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later repeats of runs of lines; n_chars follows the text."""
+    """The documents without later repeats of runs of lines; n_chars follows the text. One of which no word is left, a copy as a whole, goes."""
     cleaned = line_dedup.dedup_lines(docs)
+    cleaned = cleaned.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(quality.WORD))
     n_chars = F.when(F.col("n_removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.select("doc_id", "text", "lang", "source", n_chars.alias("n_chars"))
 
