@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marketloom.session import ship  # noqa: F401
 
@@ -51,11 +50,6 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> tuple[Data
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def lower_ascii(c):
-    """Lower-cases A-Z only."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each has about SLICE_BYTES of the text column at most, or one row."""
     for batch in batches:

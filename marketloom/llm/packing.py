@@ -22,7 +22,7 @@ from marketloom.llm import common
 MEMO = 800_000
 #: Pieces in a group on average.
 GROUP = 8_192
-#: Bins tried for each emptied or improved bin, at most rounds of the local search without gain.
+#: Rounds of the local search without an emptied bin, after which it ends.
 ROUNDS = 2
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
