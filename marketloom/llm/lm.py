@@ -1,15 +1,18 @@
-"""LM scoring [5]: smoothed n-grams as the states of a weighted backoff automaton.
+"""LM scoring [5]: byte n-grams up to ORDER with Witten-Bell smoothing, all of them, however large the corpus.
 
 The model predicts a text's tokens letter by letter: its words, lower-cased, with one space between, and a
-line feed as the end. n-grams of up to ORDER bytes are counted over all training texts. Those that make up a
-MIN_SHARE of the training bytes or more become the automaton, MAX_GRAMS at most: a model of fixed size, whatever
-the corpus, from counts over all of it. Witten-Bell smoothing gives each arc its probability and
-each state the weight of its failure arc, which leads to the state's longest proper suffix. Scoring reads a text once
-from left to right, carries the state and adds up log10 probabilities; it goes over many texts at a time, and
-long ones are read in stretches whose first state is found from the few bytes before.
+line feed as the end. A letter's probability depends on the window of ORDER bytes that ends with it:
+p_k = (n_k + kinds_k * p_(k-1)) / (N_k + kinds_k), with 1 more than the kinds of next letters, over the contexts of 0 to ORDER - 1 letters before it, and p_(k-1) where
+a context has not been seen. No n-gram is left out for being rare, and no machine holds the model: each block of texts
+sends its distinct windows once, with their counts in training texts, dealt out by the three letters before the last.
+All that orders 4 and up need is then in one place; orders 1 to 3 are one small table of three-letter counts, whose size
+the alphabet bounds. Back come the windows' log10 probabilities, and each block adds up those of its texts.
 
 The base score needs each word's count in the whole corpus. Words stay where they are: each block of texts
 sends its distinct words once, and gets back their counts.
+
+Automaton is this model as a backoff automaton in one process, but for a floor of 1e-6 under what a context leaves to
+unseen letters; no query uses it.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -27,9 +31,8 @@ from pyspark.sql import functions as F
 from marketloom.llm import common
 
 ORDER = 6
-MIN_SHARE = 2e-7
-#: The automaton's size bound: while more n-grams than this reach the share, the share is doubled.
-MAX_GRAMS = 2_000_000
+#: Windows are dealt out to 2^BUCKET_BITS groups.
+BUCKET_BITS = 10
 #: A block of texts, in bytes.
 BLOCK = 16 << 20
 #: Texts are read in stretches of so many bytes.
@@ -73,24 +76,128 @@ def sequence(words: list[bytes]) -> bytes:
     return b"\n" + b" ".join(words) + b"\n"
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """Of (id, text): windows of training texts as key and n, summed within a task's blocks."""
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+def windows(seqs: list[bytes]) -> np.ndarray:
+    """For each letter of the sequences but the first of each: the five letters before it, from the last back, and the letter itself.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
-        for part in common.slices(batches):
-            train = [sequence(raw.lower().split()) for i, raw in zip(part.column(0).to_pylist(), common.texts(part.column(1)), strict=True) if is_training(i)]
-            if train:
-                parts.append(_grams(train))
-            if sum(len(p[0]) for p in parts) > 2_000_000:
-                parts = [_merged(parts)]
-                if len(parts[0][0]) > 1_000_000:
-                    yield common.rows(schema, *parts.pop())
-        if parts:
-            yield common.rows(schema, *_merged(parts))
+    Before a sequence there are zeros. A zero ends a context, so a NUL in a text does too.
+    """
+    gap = b"\0" * (ORDER - 1)
+    buf = np.frombuffer(gap + gap.join(seqs) + gap, np.uint8)
+    n = len(buf) - 2 * (ORDER - 1)
+    keys = np.zeros(n, np.int64)
+    for back in (*range(1, ORDER), 0):
+        keys <<= 8
+        keys |= buf[ORDER - 1 - back : ORDER - 1 - back + n]
+    sizes = np.array([len(x) for x in seqs])
+    begin = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
+    keep = np.ones(n + ORDER - 1, bool)
+    keep[begin] = False
+    keep[((begin + sizes)[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    return keys[keep[:n]]
+
+
+def _dealt(keys: np.ndarray) -> np.ndarray:
+    """Windows with their bucket in front: a hash of the three letters before the last."""
+    return ((((keys >> 24) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - BUCKET_BITS)) << 48 | keys
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
+    """Sorted dealt windows and counts by bucket: buckets, numbers of windows, and differences and counts as compressed byte planes."""
+    bucket, keys = keys >> 48, keys & ((1 << 48) - 1)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    diff = np.diff(keys, prepend=0)
+    diff[starts] = keys[starts]
+    planes = np.concatenate([diff.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T, n.astype("<u4").view(np.uint8).reshape(-1, 4).T])
+    ends = np.r_[starts[1:], len(keys)]
+    return bucket[starts].tolist(), (ends - starts).tolist(), [pa.compress(planes[:, i:j].tobytes(), codec="zstd", asbytes=True) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def _unpacked(packed: bytes, m: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(packed, 10 * m, codec="zstd"), np.uint8).reshape(10, m).astype(np.int64)
+    return np.cumsum(sum(planes[i] << 8 * i for i in range(6))), sum(planes[6 + i] << 8 * i for i in range(4))
+
+
+def _witten_bell(context: np.ndarray, byte: np.ndarray, n: np.ndarray, lower: np.ndarray, usable: np.ndarray) -> np.ndarray:
+    """Probabilities of one order more. A context's windows must all be here; an n-gram can have several."""
+    gram, at = np.unique(context << 8 | byte, return_inverse=True)
+    n = np.bincount(at, n, len(gram))
+    _, of = np.unique(gram >> 8, return_inverse=True)
+    whole, kinds = np.bincount(of, n), np.bincount(of, n > 0) + 1
+    seen = usable & (whole[of] > 0)[at]
+    p = (n[at] + kinds[of][at] * lower) / (whole[of] + kinds[of])[at]
+    return np.where(seen, p, lower)
+
+
+class LowOrders:
+    """Orders 1 to 3, from the counts of all three-letter windows (the last letter but one, the one before it, the last)."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        by = np.argsort(keys)
+        self.keys, n = keys[by], n[by].astype(float)
+        byte = self.keys & 255
+        first = (np.bincount(byte, n, 256) + 1 / 256) / (n.sum() + 1)
+        pairs = np.bincount((self.keys >> 16) << 8 | byte, n, 65536).reshape(256, 256)
+        kinds = (pairs > 0).sum(1, keepdims=True) + 1
+        whole = pairs.sum(1, keepdims=True)
+        self.second = np.where(whole > 0, (pairs + kinds * first) / (whole + kinds), first)
+        self.second[0] = first
+        self.n = np.r_[n, 0.0]
+        self.whole, self.kinds = np.bincount(self.keys >> 8, n, 65536), np.bincount(self.keys >> 8, n > 0, 65536) + 1
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Probabilities of order 3 of windows."""
+        context, byte = keys >> 32, keys & 255
+        lower = self.second[context >> 8, byte]
+        gram = context << 8 | byte
+        at = np.searchsorted(self.keys, gram)
+        n = np.where(np.r_[self.keys, -1][at] == gram, self.n[at], 0.0)
+        whole, kinds = self.whole[context], self.kinds[context]
+        seen = (whole > 0) & (context >> 8 > 0) & (context & 255 > 0)
+        return np.where(seen, (n + kinds * lower) / (whole + kinds), lower)
+
+
+def window_logs(keys: np.ndarray, n: np.ndarray, low: LowOrders) -> np.ndarray:
+    """log10 probabilities of distinct windows with their training counts: all windows of their buckets."""
+    p, usable = low(keys), (keys >> 40 > 0) & (keys >> 32 & 255 > 0)
+    for k in range(4, ORDER + 1):
+        context = keys >> 8 * (ORDER + 1 - k)
+        usable = usable & (context & 255 > 0)
+        p = _witten_bell(context, keys & 255, n, p, usable)
+    return np.log10(p)
+
+
+class Logs:
+    """A block's windows and their log10 probabilities, by hash."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(3 * len(keys) + 1))))
+        self.shift, size = np.uint64(64 - bits), 1 << bits
+        self.keys, self.logs = np.full(size, -1, np.int64), np.zeros(size, np.float32)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            at, pick = np.unique(slot[free], return_index=True)
+            won = free[pick]
+            self.keys[at], self.logs[at] = keys[left[won]], logs[left[won]]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        moved = np.flatnonzero(self.keys[slot] != keys)
+        while len(moved):
+            slot[moved] = (slot[moved] + 1) & (len(self.keys) - 1)
+            moved = moved[self.keys[slot[moved]] != keys[moved]]
+        return self.logs[slot]
 
-    return docs.mapInArrow(run, "key long, n long")
+    def scores(self, seqs: list[bytes]) -> np.ndarray:
+        """log10 probability of each sequence, its first letter given."""
+        ends = np.cumsum([len(x) - 1 for x in seqs])
+        return np.add.reduceat(self(windows(seqs)).astype(float), np.r_[0, ends[:-1]])
 
 
 class Automaton:
@@ -240,54 +347,42 @@ class Automaton:
         return np.bincount(doc, total, len(seqs))
 
 
-def train(docs: DataFrame) -> Automaton:
-    """The automaton of all training texts. Only the kept n-grams, bounded by MIN_SHARE, reach the driver."""
-    counts, path = common.written(gram_counts(docs).groupBy("key").agg(F.sum("n").alias("n")), "grams", "zstd")
-    n_bytes = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, int(np.ceil(MIN_SHARE * n_bytes)))
-    kept = None
-    for k in range(1, ORDER + 1):
-        own = counts.select(F.shiftright("key", 8 * (ORDER - k)).alias("key"), "n").where("key & 255 != 0").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= (1 if k == 1 else least)).withColumn("k", F.lit(k))
-        kept = own if kept is None else kept.union(own)
-    kept, kept_path = common.written(kept, "kept")
-    while kept.where((F.col("k") == 1) | (F.col("n") >= least)).count() > MAX_GRAMS:
-        least *= 2
-    got = kept.where((F.col("k") == 1) | (F.col("n") >= least)).toArrow()
-    common.remove(docs.sparkSession, path)
-    common.remove(docs.sparkSession, kept_path)
-    k, key, n = (got.column(c).to_numpy() for c in ("k", "key", "n"))
-    grams = []
-    for order in range(1, ORDER + 1):
-        mine = k == order
-        by = np.argsort(key[mine], kind="stable")
-        grams.append((key[mine][by], n[mine][by]))
-    while len(grams) > 2 and not len(grams[-1][0]):
-        grams.pop()
-    if not len(grams[1][0]):  # no training text: a model of almost uniform letters
-        grams = [(np.array([END, 32]), np.array([2, 1])), (np.array([END << 8 | 32]), np.array([1]))]
-    return Automaton(grams)
-
-
-DOCS_AND_WORDS = "block long, doc_id long, held_out boolean, n_tokens long, score double, ids binary, word int, key long, n long"
-
-
-def blocks(docs: DataFrame, model) -> DataFrame:
-    """A row for each text (its score, and its tokens as 3-byte numbers of the block's words, low bytes first) and each distinct word of a block."""
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64()), ("ids", pa.binary()), ("word", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
-
-    def words_of(block: int, numbers: dict, counts: list) -> Iterator[pa.RecordBatch]:
+#: kind of a row: a text, a block's words in order of their numbers, a word, a bucket of windows, a three-letter count.
+TEXT, LEXICON, WORD, WINDOWS, LOW = range(5)
+ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("word", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())])
+ROWS_DDL = "kind int, block long, doc_id long, held_out boolean, n_tokens long, ids binary, word int, key long, n long, bucket int, packed binary"
+
+
+def _rows(kind: int, m: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(m, kind, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in ROWS], schema=ROWS)
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """A row for each text (its tokens as 3-byte numbers of the block's words, low bytes first), each block's list of words,
+    each distinct word of a block, each bucket of a block's windows, and each three-letter count of a task."""
+
+    def closed(block: int, numbers: dict, counts: list, grams: list, low: list) -> Iterator[pa.RecordBatch]:
+        listed = b"\n".join(w for w in numbers if w != b"\n")
+        yield _rows(LEXICON, 1, block=[block], n=[len(listed)], ids=[pa.compress(listed, codec="zstd", asbytes=True)])
         n = np.zeros(len(numbers), np.int64)
         for c in counts:
             n[: len(c)] += c
         keys = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers)).view(np.int64)
         for at in range(0, len(n), 50_000):
             m = len(n[at : at + 50_000])
-            none = [pa.nulls(m, f.type) for f in schema][1:6]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), *none, pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(keys[at : at + m]), pa.array(n[at : at + m])], schema=schema)
+            yield _rows(WORD, m, block=np.full(m, block), word=np.arange(at, at + m, dtype=np.int32), key=keys[at : at + m], n=n[at : at + m])
+        keys, n = _merged(grams)
+        keys, n = _runs(keys >> 1, np.where(keys & 1, 0, n))
+        bucket, m, packed = _packed(keys, n)
+        yield _rows(WINDOWS, len(m), block=np.full(len(m), block), bucket=bucket, n=m, packed=packed)
+        seen = n > 0
+        keys, n = keys[seen], n[seen]
+        low.append(((keys >> 32 & 0xFFFF) << 8 | keys & 255, n))
+        low[:] = [_merged(low)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = model.value
-        part_id, block, numbers, counts, read = TaskContext.get().partitionId(), 0, {b"\n": 0}, [], 0
+        part_id, block, numbers, counts, grams, low, read = TaskContext.get().partitionId(), 0, {b"\n": 0}, [], [], [], 0
         for part in common.slices(batches):
             ids = part.column(0).to_pylist()
             words = [raw.lower().split() for raw in common.texts(part.column(1))]
@@ -300,16 +395,21 @@ def blocks(docs: DataFrame, model) -> DataFrame:
             ends = np.cumsum(sizes)
             here = part_id << 24 | block
             m = len(ids)
-            scores = automaton.scores([sequence(ws) for ws in words])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, here)), pa.array(ids, pa.int64()), pa.array(~train), pa.array(sizes), pa.array(scores), pa.array([planes[e - s : e].T.tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()), *[pa.nulls(m, schema.field(f).type) for f in ("word", "key", "n")]], schema=schema)
+            yield _rows(TEXT, m, block=np.full(m, here), doc_id=ids, held_out=~train, n_tokens=sizes, ids=[planes[e - s : e].T.tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)])
+            seqs = [sequence(ws) for ws in words]
+            keys = _dealt(windows(seqs)) << 1 | np.repeat(~train, [len(x) - 1 for x in seqs])
+            keys.sort()
+            grams.append(_runs(keys, None))
             read += part.column(1).nbytes
             if read >= BLOCK:
-                yield from words_of(here, numbers, counts)
-                block, numbers, counts, read = block + 1, {b"\n": 0}, [], 0
+                yield from closed(here, numbers, counts, grams, low)
+                block, numbers, counts, grams, read = block + 1, {b"\n": 0}, [], [], 0
         if counts:
-            yield from words_of(part_id << 24 | block, numbers, counts)
+            yield from closed(part_id << 24 | block, numbers, counts, grams, low)
+        for keys, n in low:
+            yield _rows(LOW, len(n), key=keys, n=n)
 
-    return docs.mapInArrow(run, DOCS_AND_WORDS)
+    return docs.mapInArrow(run, ROWS_DDL)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -321,33 +421,57 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     spark = common.ship(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    model = spark.sparkContext.broadcast(train(docs))
-    both, path = common.written(blocks(docs, model), "blocks", "zstd")
-    words = spark.read.schema(both.schema).parquet(path).where("key is not null")
+    both, path = common.written(blocks(docs), "blocks", "zstd")
+    low = both.where(F.col("kind") == LOW).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    model = spark.sparkContext.broadcast(LowOrders(low.column("key").to_numpy(), low.column("n").to_numpy()))
+
+    def logs_of(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_pylist()
+        keys, n = map(np.concatenate, zip(*map(_unpacked, table.column("packed").to_pylist(), sizes), strict=True))
+        own, at = np.unique(keys, return_inverse=True)
+        logs = window_logs(own, np.bincount(at, n), model.value).astype("<f4")[at]
+        m = len(sizes)
+        each = [x.tobytes() for x in np.split(logs, np.cumsum(sizes)[:-1])]
+        return pa.table([table.column("block"), pa.nulls(m, pa.int32()), table.column("n"), table.column("packed"), pa.array(each, pa.binary())], names=["block", "word", "c", "packed", "logs"])
+
+    grams = both.where(F.col("kind") == WINDOWS).select("bucket", "block", "n", "packed").groupBy("bucket").applyInArrow(logs_of, "block long, word int, c long, packed binary, logs binary")
+    words = both.where(F.col("kind") == WORD)
     same = Window.partitionBy("key")  # a row for each block that has the word
     counted = words.select("block", "word", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")).where("c > 0")
     own, _ = common.written(counted, "counts", "zstd")
     n, v = own.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    texts = both.where("key is null").select("block", "doc_id", "held_out", "n_tokens", "score", "ids")
-    own = own.select("block", "word", "c")
+    texts = both.where(F.col("kind") <= LEXICON).select("kind", "block", "doc_id", "held_out", "n_tokens", "n", "ids")
+    own = own.select("block", "word", "c", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("binary").alias("logs")).union(grams)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def base(left: pa.Table, right: pa.Table) -> pa.Table:
-        word, c = right.column("word").to_numpy(), right.column("c").to_numpy()
-        packed = left.column("ids").to_pylist()
-        flat = np.zeros(sum(map(len, packed)) // 3, np.int32)
-        at = 0
-        for p in packed:
-            low, mid, high = np.frombuffer(p, np.uint8).reshape(3, -1).astype(np.int32)
-            flat[at : at + len(low)] = low | mid << 8 | high << 16
-            at += len(low)
-        count = np.zeros(max(int(word.max(initial=-1)), int(flat.max(initial=-1))) + 1, np.int64)
-        count[word] = c
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        is_text = pc.equal(left.column("kind"), TEXT)
+        listed = left.filter(pc.invert(is_text))
+        left = left.filter(is_text)
+        listed = pa.decompress(listed.column("ids")[0].as_py(), listed.column("n")[0].as_py(), codec="zstd", asbytes=True)
+        letters = np.array([b"\n", *listed.split(b"\n")], object)
+        is_word = pc.is_valid(right.column("word"))
+        found = right.filter(pc.invert(is_word))
+        right = right.filter(is_word)
+        keys = np.concatenate([_unpacked(x, m)[0] for x, m in zip(found.column("packed").to_pylist(), found.column("c").to_pylist(), strict=True)])
+        logs = Logs(keys, np.frombuffer(b"".join(found.column("logs").to_pylist()), "<f4"))
+        count = np.zeros(len(letters) + 1, np.int64)
+        count[right.column("word").to_numpy()] = right.column("c").to_numpy()
         log = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        starts = np.cumsum([0, *(len(p) // 3 for p in packed)])[:-1]
-        known = np.add.reduceat((count > 0)[flat].astype(np.int64), starts) if len(packed) else np.zeros(0, np.int64)
-        total = np.add.reduceat(log[flat], starts) if len(packed) else np.zeros(0)
-        m = len(packed)
-        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(known), pa.array(np.full(m, n, np.int64)), pa.array(total), left.column("score")], schema=schema)
-
-    return texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(base, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        known, base, score, seqs, size = [], [], [], [], 0
+        for p in left.column("ids").to_pylist():
+            low, mid, high = np.frombuffer(p, np.uint8).reshape(3, -1).astype(np.int32)
+            flat = low | mid << 8 | high << 16
+            known.append(np.count_nonzero(count[flat]))
+            base.append(log[flat].sum())
+            seqs.append(sequence(letters[flat[:-1]].tolist()))
+            size += len(seqs[-1])
+            if size >= common.SLICE_BYTES:
+                score.append(logs.scores(seqs))
+                seqs, size = [], 0
+        if seqs:
+            score.append(logs.scores(seqs))
+        m = left.num_rows
+        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(known, pa.int64()), pa.array(np.full(m, n, np.int64)), pa.array(base, pa.float64()), pa.array(np.concatenate(score))], schema=schema)
+
+    return texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -200,6 +200,39 @@ def test_lm(spark, odd):
     assert lm.score(odd.limit(0)).count() == 0
 
 
+def test_lm_keeps_rare_ngrams_of_a_large_corpus(spark):
+    """Against the formula over all n-grams. Of 6 MB, limits that grow with the corpus would drop what occurs once."""
+    rng = random.Random(5)
+    common = [f"word{rng.randint(0, 10**6)}" for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(common) for _ in range(3_000))) for k in range(240)]
+    rows += [(1000 + k, f"zq{k}jx vv{k}kk {common[k]} nul é{k}") for k in range(20)]
+    seqs = {i: lm.sequence(words(x)) for i, x in rows}
+    assert sum(len(q) for i, q in seqs.items() if lm.is_training(i)) > 5_100_000
+    keys, counts = lm._grams([q for i, q in seqs.items() if lm.is_training(i)])
+    n, whole, kinds = {}, collections.Counter(), collections.Counter()
+    for k in range(1, lm.ORDER + 1):
+        own = keys >> 8 * (lm.ORDER - k)
+        ok = own & 255 != 0
+        n |= {x.to_bytes(k): c for x, c in zip(*map(np.ndarray.tolist, lm._runs(own[ok], counts[ok])), strict=True)}
+    n[b"\n"] //= 2  # the other half are the line feeds before the texts
+    for g, c in n.items():
+        whole[g[:-1]] += c
+        kinds[g[:-1]] += 1
+
+    def p(g):
+        if len(g) == 1:
+            return (n.get(g, 0) + 1 / 256) / (whole[b""] + 1)
+        c = g[:-1]
+        return (n.get(g, 0) + (kinds[c] + 1) * p(g[1:])) / (whole[c] + kinds[c] + 1) if whole[c] else p(g[1:])
+
+    got = {r.doc_id: r.score for r in lm.score(frame(spark, rows)).collect()}
+    assert got.keys() == seqs.keys()
+    for i in [0, 1, *range(1000, 1020)]:
+        q = seqs[i]
+        want = sum(math.log10(p(q[max(0, t - lm.ORDER + 1) : t + 1])) for t in range(1, len(q)))
+        assert abs(got[i] - want) < 1e-6 * len(q)
+
+
 def test_automaton_is_a_distribution_and_reads_in_stretches():
     rng = random.Random(3)
     seqs = [lm.sequence([rng.choice([b"the", b"cat", b"sat", b"mat", b"of"]) for _ in range(rng.randint(1, 400))]) for _ in range(60)]
