@@ -183,6 +183,19 @@ def unrealized(positions: DataFrame, prices: DataFrame, key: list[str]) -> DataF
     return d.select(*positions.columns, F.col("price").alias("current_price"), ((F.col("price") - F.col("avg_price")) * F.col("net_qty")).alias("unrealized_pnl"), F.greatest("last_updated", "price_ts").alias("ts"))
 
 
+def unrealized_updates(positions: DataFrame, prices: DataFrame) -> DataFrame:
+    """A row for each change of a position or price once its (account, symbol) has both, with the latest of the other side.
+
+    Order is seq, at one seq the position first. One shuffle: a union, then the last of either side over the key's rows.
+    """
+    p = positions.select(*KEY1, "seq", F.lit("position").alias("side"), F.struct("net_qty", "avg_price", "ts").alias("p"))
+    t = prices.select(*KEY1, "seq", F.lit("price").alias("side"), F.struct("price", "ts").alias("t"))
+    w = Window.partitionBy(*KEY1).orderBy("seq", "side").rowsBetween(Window.unboundedPreceding, 0)
+    d = p.unionByName(t, allowMissingColumns=True).withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("p", "t")}).where("p is not null and t is not null")
+    pnl = (F.col("t.price") - F.col("p.avg_price")) * F.col("p.net_qty")
+    return d.select(*KEY1, "seq", "side", F.col("t.price").alias("current_price"), "p.net_qty", "p.avg_price", pnl.alias("unrealized_pnl"), F.greatest("p.ts", "t.ts").alias("ts"))
+
+
 def portfolio(positions: DataFrame, policies: DataFrame) -> DataFrame:
     """By account: exposure at average cost, cash of its latest policy, equity, and margin (always 0)."""
     g = positions.groupBy("account_id").agg(F.sum(F.abs(F.col("net_qty") * F.col("avg_price"))).alias("exposure"))

@@ -480,6 +480,13 @@ def jn_interval(s, d):
     return joins.interval_join(left, right, 600_000)
 
 
+@query
+def jn_interval_whole(s, d):
+    """Every tick with every tick; jn_interval has the two thirds that its SQL names."""
+    t = ad.ticks(s, d)
+    return joins.interval_join(t.select("symbol", "ts", "seq"), t.select("symbol", "ts", F.col("seq").alias("right_seq"), "price"), 600_000)
+
+
 @query
 def jn_equi_self(s, d):
     t = tall_sma(s, d)
@@ -500,6 +507,13 @@ def jn_asof_latest(s, d):
     return joins.asof_join(f.select("account_id", "symbol", "ts", "seq"), prices, ["account_id", "symbol"], ["price"], ["seq"])
 
 
+@query
+def jn_asof_latest_whole(s, d):
+    """Every position change and every price; jn_asof_latest has the fifth of the prices that its SQL names, and rows for fills alone."""
+    f = ad.fills_v1(s, d)
+    return rounded(acc.unrealized_updates(acc.avg_cost_updates(f), jobs.price_ticks(f)), "avg_price", "unrealized_pnl")
+
+
 @query
 def jn_asof_symbol(s, d):
     rollup = jobs.trading_engine(ad.fills(s, d))["rollup"]
@@ -571,9 +585,8 @@ def adm_policy_gate(s, d):
 @query
 def adm_position_gate(s, d):
     limits = ad.policies(s, d).withColumn("max_open_symbols", F.lit(2))
-    o = orders(s, d)
-    facts = o.where("seq % 50 = 0").select("account_id", "symbol", F.lit(0.0).alias("net_qty"), "ts", "seq")
-    return routing.admission(o, limits, facts).groupBy("account_id", "symbol").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+    facts = acc.avg_cost_updates(ad.fills_v1(s, d)).select("account_id", "symbol", "net_qty", "ts", "seq")
+    return routing.admission(orders(s, d), limits, facts).groupBy("account_id", "symbol").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
 
 
 @query

@@ -179,6 +179,63 @@ def test_interval_and_asof_joins(spark):
     assert [r.v for r in joins.asof_join(a, s, ["symbol"], ["v"]).orderBy("ts").collect()] == [None, "q", "q"]
 
 
+def test_position_gate_takes_all_real_positions(spark, sf):
+    import collections
+
+    from marketloom.plans import queries
+    from marketloom.sources import adapters
+
+    limit = {r.account_id: 0 if r.status == "BLOCKED" else 2 for r in adapters.policies(spark, sf).collect()}
+    rows = [(r.account_id, r.ts, 1, r.seq, r.symbol, r.qty, r.price) for r in queries.orders(spark, sf).collect()]
+    net = collections.Counter()
+    for r in sorted(adapters.fills_v1(spark, sf).where("status = 'FILLED' and fill_qty != 0").collect(), key=lambda r: r.seq):
+        net[r.account_id, r.symbol] += r.fill_qty
+        rows.append((r.account_id, r.ts, 0, r.seq, r.symbol, net[r.account_id, r.symbol], None))
+    held, want = collections.defaultdict(dict), collections.defaultdict(lambda: [0, 0.0])
+    for account, _, is_order, _, symbol, qty, price in sorted(rows, key=lambda r: r[:4]):
+        own = held[account]
+        if is_order:
+            if abs(qty * price) > 1e6 or not own.get(symbol) and qty and sum(map(bool, own.values())) >= limit[account]:
+                continue
+            want[account, symbol][0] += 1
+            want[account, symbol][1] += qty
+            qty += own.get(symbol, 0.0)
+        own[symbol] = qty
+    got = {(r.account_id, r.symbol): [r.n, r.qty] for r in queries.QUERIES["adm_position_gate"](spark, sf).collect()}
+    assert got == want
+
+
+def test_joins_of_whole_tables(spark, sf):
+    import collections
+
+    from marketloom.plans import queries
+    from marketloom.sources import adapters
+
+    by = collections.defaultdict(list)
+    for r in adapters.ticks(spark, sf).collect():
+        by[r.symbol].append((r.ts, r.seq))
+    want = sorted((s, *a, *b) for s, v in by.items() for a in v for b in v if abs(a[0] - b[0]) <= 600_000)
+    assert sorted((r.symbol, r.ts, r.seq, r.right_ts, r.right_seq) for r in queries.QUERIES["jn_interval_whole"](spark, sf).collect()) == want
+
+    state, want = collections.defaultdict(lambda: (0.0, 0.0, None)), []
+    for r in sorted(adapters.fills_v1(spark, sf).collect(), key=lambda r: r.seq):
+        key, q, price = (r.account_id, r.symbol), r.fill_qty, r.fill_price
+        net, avg, last = state[key]
+        if r.status == "FILLED" and q:
+            after = net + q
+            avg = price if net == 0 or after * net < 0 else (net * avg + q * price) / after if net * q > 0 else avg
+            net = after
+            if last is not None:
+                want.append((*key, r.seq, "position", last, net, (last - avg) * net, r.ts))
+        if avg:
+            want.append((*key, r.seq, "price", price, net, (price - avg) * net, r.ts))
+        state[key] = (net, avg, price)
+    got = sorted((r.account_id, r.symbol, r.seq, r.side, r.current_price, r.net_qty, r.unrealized_pnl, r.ts) for r in queries.QUERIES["jn_asof_latest_whole"](spark, sf).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:6] + a[7:] == b[:6] + b[7:] and abs(a[6] - b[6]) < 1e-3
+
+
 def hough_bars(spark):
     minute, rows = 60_000, []
     for k in range(40):
