@@ -8,8 +8,10 @@ from html import unescape
 #: Tags that end a block of text, tags whose content is never shown, and tags without content.
 BLOCK_TAGS = frozenset("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 HIDDEN_TAGS = frozenset("script style template noscript iframe object svg math head canvas".split())
-RAW_TAGS = frozenset("script style textarea title iframe noscript xmp".split())
+RAW_TAGS = frozenset("script style textarea title iframe noscript noframes xmp".split())
 EMPTY_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a head can have; any other opening tag, and text, ends an open head, as in browsers.
+HEAD_TAGS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Opening one of these closes an open one of its own group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -51,6 +53,9 @@ def blocks(html: str) -> list[Block]:
     while at < n:
         m = MARKUP.search(html, at)
         begin = m.start() if m else n
+        if hidden and stack[-1][0] == "head" and (html[at:begin].strip(" \t\n\r\f") or m and m[2] and not m[1] and m[2].lower() not in HEAD_TAGS):
+            stack.pop()
+            hidden -= 1
         if begin > at and not hidden:
             piece = html[at:begin]
             text.append(piece)

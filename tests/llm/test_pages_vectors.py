@@ -22,6 +22,13 @@ def test_blocks_bear_with_broken_markup():
     assert blocks("") == [] and [b.text for b in blocks("plain &copy; text")] == ["plain © text"]
 
 
+def test_blocks_of_a_page_that_leaves_out_the_end_of_its_head():
+    start = "<html>\n<head>\n<title>t</title>\n<meta charset=x><style>p {}</style><noframes>no</noframes>\n"
+    for body in ("<p>one<p>two", "<DIV>one</DIV>two", "one<p>two", "<b>one</b><h1>two</h1>", "<svg><p>no</p></svg><p>one<p>two", "<body>one<p>two"):
+        assert [b.text for b in blocks(start + body)] == ["one", "two"], body
+    assert [b.text for b in blocks(start + "<template><p>no</p></template><script>no</script></head><p>one")] == ["one"]
+
+
 def test_labeller_on_pages_it_has_not_seen():
     model = html_extract.trained()
     pages, labels = html_extract.made_up(150, seed=99)
