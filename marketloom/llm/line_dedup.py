@@ -1,8 +1,8 @@
-"""Line dedup [9]: winnowing over line hashes, positions joined, matches extended, later repeated runs deleted.
+"""Line dedup [9]: all windows over line hashes, positions joined, matches extended, later repeated runs deleted.
 
 A window starts at each line with words and ends at the first line by which it has MIN_WORDS words. The least line hash
-of each window is its fingerprint, so two texts that share a run of lines with MIN_WORDS words or more share
-a whole window and with it a fingerprint at the same place of the run: the guarantee of winnowing, with windows measured in words.
+of each window is its fingerprint, but none is selected by it, as winnowing would: every window is kept, so two texts that share
+a run of lines with MIN_WORDS words or more share a whole window at the same place of the run, with windows measured in words.
 Each fingerprint with its window is joined to its first occurrence in the table (by id, then place), never to
 all others. Every later occurrence is deleted, and the match goes on over following lines while they equal those
 after the first occurrence. To the left nothing more is found: a line before the window that matched too
