@@ -11,11 +11,13 @@ from __future__ import annotations
 import json
 
 import ahocorasick
+import numpy as np
 import regex
 
 #: The split pattern and the contractions of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
+SPACES, ALNUM = regex.compile(r"\p{White_Space}+"), regex.compile(r"[\p{L}\p{N}]")
 
 FOREVER = 1 << 60
 #: Entries a worker keeps of pieces and of pair tests; beyond these the memory is emptied.
@@ -60,11 +62,12 @@ class PrefixBpe:
                 self.automaton.add_word(b.decode("latin-1"), (len(b), i))
         self.automaton.make_automaton()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.names = {i: s for s, i in self.special.items()}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.pieces_of = regex.compile(PATTERN).findall
         self.pair_memo: dict[tuple[int, int], bool] = {}
-        self.totals = _Totals(self)
+        self.prefixes = _Prefixes(self)
         self.ids = _Ids(self)
 
     def stands(self, a: int, b: int) -> bool:
@@ -127,6 +130,15 @@ class PrefixBpe:
             counts.append(counts[at - n] + 1)
         return counts
 
+    def char_counts(self, piece: str) -> np.ndarray:
+        """Tokens of the prefixes that end at each character of the piece."""
+        raw = piece.encode()
+        counts = np.array(self.prefix_counts(raw)[1:], np.int64)
+        if len(raw) == len(piece):
+            return counts
+        inner = (np.frombuffer(raw, np.uint8) & 0xC0) == 0x80
+        return counts[np.flatnonzero(~np.r_[inner[1:], False])]
+
     def parts_of(self, text: str) -> list[str | int]:
         """The text's pieces, special tokens as ids."""
         if self.at_special is None or not any(s in text for s in self.special):
@@ -168,84 +180,90 @@ class _Ids(_Memo):
         return (piece,) if isinstance(piece, int) else self.keep(piece, tuple(self.bpe.encode_piece(piece.encode())))
 
 
-class _Totals(_Memo):
-    """Piece to its number of tokens, the last of its prefix counts."""
+class _Prefixes(_Memo):
+    """Piece to the token counts of its prefixes, a number for each character: bytes for a short piece, an array for a long one."""
 
     def __missing__(self, piece):
-        return 1 if isinstance(piece, int) else self.keep(piece, self.bpe.prefix_counts(piece.encode())[-1])
+        if isinstance(piece, int):
+            return b"\x01"
+        counts = self.bpe.char_counts(piece)
+        return self.keep(piece, counts.astype(np.uint8).tobytes()) if len(piece) <= MEMO_CHARS else counts
 
 
 class TokenPrefixes:
     """Exact token counts of every prefix of one text, without encoding anything again.
 
     ``count(i)`` gives the tokens of ``text[:i]``; ``longest(budget)`` the longest prefix with so many
-    tokens at most. A prefix that ends in white space ends in one run of it, whatever follows in the text.
+    tokens at most. Both look up stored counts. A prefix that ends in white space ends in one run of it, whatever
+    follows in the text, and one that ends inside a special token's string has its letters, split as any others; such
+    places get counts of their own, once. No special string may begin with another.
     """
 
-    def __init__(self, bpe: PrefixBpe, text: str):
+    def __init__(self, bpe: PrefixBpe, text: str, parts: list | None = None, counts: list | None = None):
         self.bpe, self.text = bpe, text
-        self.parts = bpe.parts_of(text)
-        names = {i: s for s, i in bpe.special.items()}
-        self.starts, self.before = [0], [0]
-        for p in self.parts:
-            self.starts.append(self.starts[-1] + len(names[p] if isinstance(p, int) else p))
-            self.before.append(self.before[-1] + bpe.totals[p])
+        self.parts = bpe.parts_of(text) if parts is None else parts
+        self.counts = list(map(bpe.prefixes.__getitem__, self.parts)) if counts is None else counts
+        sizes = [len(bpe.names[p] if isinstance(p, int) else p) for p in self.parts]
+        self.starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.before = np.concatenate([[0], np.cumsum([c[-1] for c in self.counts], dtype=np.int64)])
+        self.known: dict[int, np.ndarray] = {}
 
     @property
     def total(self) -> int:
-        return self.before[-1]
-
-    def _part(self, i: int) -> int:
-        from bisect import bisect_right
-
-        return min(bisect_right(self.starts, i) - 1, len(self.parts) - 1)
+        return int(self.before[-1])
+
+    def _within(self, p: int) -> np.ndarray:
+        """The counts of the prefixes that end at each character of part p."""
+        if p not in self.known:
+            part, own = self.parts[p], self.counts[p]
+            if isinstance(part, int):
+                self.known[p] = self._inside_special(p)
+            else:
+                c = np.frombuffer(own, np.uint8).astype(np.int64) if isinstance(own, bytes) else own.copy()
+                c += self.before[p]
+                if part in LONG_CONTRACTIONS:
+                    c[1] = self.before[p] + 2
+                spaces = SPACES.match(part)
+                if spaces:
+                    q = p
+                    while q and not isinstance(self.parts[q - 1], int) and SPACES.fullmatch(self.parts[q - 1]):
+                        q -= 1
+                    run = self.bpe.char_counts(self.text[self.starts[q] : self.starts[p] + spaces.end()])
+                    c[: spaces.end()] = self.before[q] + run[self.starts[p] - self.starts[q] :]
+                    if spaces.end() == len(part) == 1 and q == p:
+                        c[0] = self.before[p + 1]
+                self.known[p] = c
+        return self.known[p]
+
+    def _inside_special(self, p: int) -> np.ndarray:
+        """A cut inside a special token's string leaves letters, which may go on from marks or white space before it."""
+        name, q = self.bpe.names[self.parts[p]], p
+        if p and not isinstance(self.parts[p - 1], int) and not ALNUM.match(self.parts[p - 1][-1]):
+            q = p - 1
+        joined = ("" if q == p else self.parts[q]) + name
+        plain = TokenPrefixes(self.bpe, joined, self.bpe.pieces_of(joined))
+        c = self.before[q] + np.concatenate([plain._within(k) for k in range(len(plain.parts))])[-len(name) :]
+        c[-1] = self.before[p + 1]
+        return c
 
     def count(self, i: int) -> int:
         if i <= 0 or not self.parts:
             return 0
         if i >= len(self.text):
             return self.total
-        p = self._part(i - 1)
-        s, part = self.starts[p], self.parts[p]
-        if isinstance(part, int):
-            if i == self.starts[p + 1]:
-                return self.before[p + 1]
-            head = self.text[s:i]
-            joined = self.text[self.starts[self._word_start(p)] : i]
-            q = self._word_start(p)
-            return self.before[q] + sum(self.bpe.totals[x] for x in self.bpe.parts_of(joined)) if head else self.before[p]
-        if _is_space(self.text[i - 1]):
-            q = p
-            while q and not isinstance(self.parts[q - 1], int) and all(map(_is_space, self.parts[q - 1])):
-                q -= 1
-            return self.before[q] + self.bpe.totals[self.text[self.starts[q] : i]]
-        k = i - s
-        if part in LONG_CONTRACTIONS and k == 2:
-            return self.before[p] + 2
-        if part[0] == " " and k == 1:
-            return self.before[p] + self.bpe.totals[" "]
-        return self.before[p] + self.bpe.prefix_counts(part.encode())[len(part[:k].encode())]
-
-    def _word_start(self, p: int) -> int:
-        """The part from which a cut inside special token p must be split anew: what is glued to it before."""
-        while p and not isinstance(self.parts[p - 1], int):
-            p -= 1
-        return p
+        p = int(np.searchsorted(self.starts, i, "left")) - 1
+        return int(self._within(p)[i - self.starts[p] - 1])
 
     def longest(self, budget: int) -> int:
-        from bisect import bisect_right
-
+        """A part beyond the one where the stored sums pass the budget can only fit as white space or inside a special token: two more are looked at."""
         if self.total <= budget:
             return len(self.text)
-        p = bisect_right(self.before, budget) - 1
-        i = self.starts[min(p + 2, len(self.parts))]
-        while i and self.count(i) > budget:
-            i -= 1
-        return i
-
-
-def _is_space(c: str) -> bool:
-    return regex.match(r"\p{White_Space}", c) is not None
+        p = int(np.searchsorted(self.before, budget, "right")) - 1
+        for k in range(min(p + 2, len(self.parts) - 1), p - 1, -1):
+            fits = np.flatnonzero(self._within(k) <= budget)
+            if len(fits):
+                return int(self.starts[k] + fits[-1]) + 1
+        return int(self.starts[p])
 
 
 _loaded: dict[bytes, PrefixBpe] = {}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -25,21 +24,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = bpe.loaded(file.value)
+        stored = b.prefixes.__getitem__
         for part in common.slices(batches):
             sizes, tokens, cuts = [], [], []
             for raw in common.texts(part.column(1)):
                 text = raw.decode()
                 pieces = b.parts_of(text)
-                each = np.fromiter(map(b.totals.__getitem__, pieces), np.int64, len(pieces))
-                n = int(each.sum())
+                counts = list(map(stored, pieces))
+                n = sum([c[-1] for c in counts])
                 sizes.append(len(raw))
-                tokens.append(n)
-                if n <= budget:
-                    cuts.append(len(text))
-                else:  # the answer lies within a few pieces of where the running count passes the budget
-                    at = int(np.searchsorted(np.cumsum(each), budget, "right")) + 3
-                    head = sum(13 if isinstance(p, int) else len(p) for p in pieces[:at])
-                    cuts.append(bpe.TokenPrefixes(b, text[:head]).longest(budget))
+                tokens.append(int(n))
+                cuts.append(len(text) if n <= budget else bpe.TokenPrefixes(b, text, pieces, counts).longest(budget))
             yield common.rows(schema, part.column(0), sizes, tokens, cuts)
 
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(count, SCHEMA)

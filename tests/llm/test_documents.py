@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +54,17 @@ def test_prefix_counts_match_the_library():
             assert p.longest(budget) == max(i for i, c in enumerate(counts) if c <= budget)
 
 
+def test_prefix_counts_of_pieces_without_a_break():
+    b, t = bpe.PrefixBpe(open(BYTES, "rb").read()), Tokenizer.from_file(BYTES)
+    rng = random.Random(9)
+    for s in ("a" * 100_000, "".join(rng.choice("abcdefgh") for _ in range(100_000)), "中文字" * 30_000, " " * 100_000 + "x", "-" * 50_000 + "<|endoftext|>" * 3):
+        began = time.time()
+        cut = bpe.TokenPrefixes(b, s).longest(512)
+        assert time.time() - began < 20  # grows with the length alone
+        count = lambda i: len(t.encode(s[:i], add_special_tokens=False).ids)  # noqa: B023, E731
+        assert count(cut) <= 512 < count(cut + 1)
+
+
 def test_token_counts_and_codec(spark, odd):
     t = Tokenizer.from_file(BYTES)
     want = sorted((i or -1, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for i, x in ODD)
