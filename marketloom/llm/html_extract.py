@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from marketloom.llm import common
-from marketloom.llm.html_blocks import Block, blocks
+from marketloom.llm.html_blocks import Block, Place, blocks
 
 TAGS, NAMES, WORDS, SHARES = 96, 96, 32, 12
-WIDTH = 2 * TAGS + NAMES + WORDS + SHARES
+MARKS = 2 * TAGS + NAMES
+WIDTH = MARKS + WORDS + SHARES
 HIDDEN = 16
 #: Made-up pages to train on, and passes over them.
-PAGES, EPOCHS = 900, 6
+PAGES, EPOCHS = 1_100, 6
+#: Share of these in which neither tags nor names tell the regions apart.
+NAMELESS = 0.2
 #: Blocks that are labelled in one go.
 TOGETHER = 6_000
 
@@ -35,36 +38,74 @@ def _bucket(kind: str, value: str, size: int) -> int:
     key = (kind, value)
     b = _buckets.get(key)
     if b is None:
-        if len(_buckets) > 300_000:
-            _buckets.clear()
-        b = _buckets[key] = zlib.crc32(f"{kind}:{value}".encode()) % size
+        b = zlib.crc32(f"{kind}:{value}".encode()) % size
+        if len(value) <= 40:
+            if len(_buckets) > 300_000:
+                _buckets.clear()
+            _buckets[key] = b
     return b
 
 
-def features(page: list[Block]) -> np.ndarray:
-    """A row for each block."""
-    x = np.zeros((len(page), WIDTH), np.float32)
-    total = sum(len(b.text) for b in page) + 1
-    seen = 0
-    for i, b in enumerate(page):
-        row = x[i]
-        for depth, t in enumerate(b.path):
-            row[_bucket("t", t, TAGS)] = 1
-            row[TAGS + _bucket("p", b.path[depth - 1] + ">" + t if depth else t, TAGS)] = 1
-        for name in b.names:
-            row[2 * TAGS + _bucket("n", name, NAMES)] = 1
-        words = b.text.split()
-        at = 2 * TAGS + NAMES
-        counts = np.bincount([_bucket("w", w, WORDS) for w in words], minlength=WORDS)
-        row[at : at + WORDS] = counts / len(words)
-        n = len(b.text)
-        stops = b.text.count(".") + b.text.count(",")
-        row[at + WORDS :] = (
-            min(1.0, len(words) / 50), min(1.0, len(words) / 8), min(1.0, b.linked / n), min(1.0, stops / 6), stops / len(words) if stops < len(words) else 1.0,
-            seen / total, n / total, b.tag == "p", b.tag in ("h1", "h2", "h3"), b.tag == "li", i / len(page), 1.0,
-        )
-        seen += n
-    return x
+class Features:
+    """A page's blocks for the labeller: which set of marks (hashed tags, tag pairs and names of its path) each has, these sets, and the rest as rows of numbers.
+
+    Blocks with one path share its set, so memory follows the blocks and not their depth.
+    """
+
+    def __init__(self, page: list[Block]):
+        self.sets: list[np.ndarray] = []
+        self.numbers: dict[tuple, int] = {}
+        self.which = np.fromiter((self._set(b.place) for b in page), np.int32, len(page))
+        self.rest = np.zeros((len(page), WORDS + SHARES), np.float32)
+        total, seen = sum(len(b.text) for b in page) + 1, 0
+        for i, b in enumerate(page):
+            words = b.text.split()
+            counts = np.bincount([_bucket("w", w, WORDS) for w in words], minlength=WORDS)
+            self.rest[i, :WORDS] = counts / len(words)
+            n, tag = len(b.text), b.tag
+            stops = b.text.count(".") + b.text.count(",")
+            self.rest[i, WORDS:] = (
+                min(1.0, len(words) / 50), min(1.0, len(words) / 8), min(1.0, b.linked / n), min(1.0, stops / 6), stops / len(words) if stops < len(words) else 1.0,
+                seen / total, n / total, tag == "p", tag in ("h1", "h2", "h3"), tag == "li", i / len(page), 1.0,
+            )
+            seen += n
+
+    def __len__(self) -> int:
+        return len(self.which)
+
+    def _set(self, place: Place | None) -> int:
+        chain = []
+        while place is not None and place.number < 0:
+            chain.append(place)
+            place = place.above
+        number = self._number((-1, "", "", ())) if place is None else place.number
+        for p in reversed(chain):
+            number = p.number = self._number((number, p.above.tag if p.above else "", p.tag, p.names))
+        return number
+
+    def _number(self, key: tuple) -> int:
+        """Of the set of marks that an element with this tag and these names has inside the set key[0]."""
+        number = self.numbers.get(key)
+        if number is None:
+            outer, above, tag, names = key
+            marks = set(self.sets[outer].tolist()) if outer >= 0 else set()
+            if tag:
+                marks |= {_bucket("t", tag, TAGS), TAGS + _bucket("p", f"{above}>{tag}" if above else tag, TAGS), *(2 * TAGS + _bucket("n", x, NAMES) for x in names)}
+            number = self.numbers[key] = len(self.sets)
+            self.sets.append(np.array(sorted(marks), np.int16))
+        return number
+
+    def dense(self) -> np.ndarray:
+        """A row for each block, for training."""
+        x = np.zeros((len(self), WIDTH), np.float32)
+        for i, k in enumerate(self.which.tolist()):
+            x[i, self.sets[k]] = 1
+        x[:, MARKS:] = self.rest
+        return x
+
+
+def features(page: list[Block]) -> Features:
+    return Features(page)
 
 
 class Labeller:
@@ -81,8 +122,8 @@ class Labeller:
         self.p["v"] = rng.normal(0, 0.2, 2 * h).astype(np.float32)
         self.p["o"] = np.zeros(1, np.float32)
 
-    def _pass(self, d: str, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """x: time, page, width. Returns the outputs, and for training what each step computed."""
+    def _pass(self, d: str, x: np.ndarray) -> tuple[np.ndarray, list]:
+        """For training. x: time, page, width. Returns the outputs, and what each step computed."""
         t, n, _ = x.shape
         h = HIDDEN
         z = (x.reshape(t * n, -1) @ self.p["w" + d] + self.p["c" + d]).reshape(t, n, 4 * h)
@@ -93,8 +134,7 @@ class Labeller:
             i, f, o, g = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :], np.tanh(a[:, 3 * h :])
             before, c = c, f * c + i * g
             tc = np.tanh(c)
-            if keep:
-                steps.append((s, before, i, f, o, g, tc))
+            steps.append((s, before, i, f, o, g, tc))
             s = o * tc
             out[k] = s
         return out, steps
@@ -137,8 +177,8 @@ class Labeller:
                 y = np.zeros(mask.shape, np.float32)
                 for col, k in enumerate(some):
                     y[: len(labels[k]), col] = labels[k]
-                of, sf = self._pass("f", f, True)
-                ob, sb = self._pass("b", b, True)
+                of, sf = self._pass("f", f)
+                ob, sb = self._pass("b", b)
                 both = np.concatenate([of, _turned(ob, mask)], axis=2)
                 p = 1 / (1 + np.exp(-(both @ self.p["v"] + self.p["o"])))
                 e = np.where(mask, p - y, 0) / mask.sum()
@@ -152,7 +192,31 @@ class Labeller:
                     v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                     self.p[k] = self.p[k] - (rate * (m[k] / (1 - 0.9**count)) / (np.sqrt(v[k] / (1 - 0.999**count)) + 1e-8)).astype(np.float32)
 
-    def main(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def _scores(self, d: str, pages: list[Features]) -> np.ndarray:
+        """What one direction adds to the score of every block of the pages, one after the other. Steps are laid out a few at a time."""
+        h, w = HIDDEN, self.p["w" + d]
+        sizes = np.array([len(p) for p in pages])
+        first = np.cumsum(sizes) - sizes
+        sets = np.cumsum([0, *(len(p.sets) for p in pages)])
+        of_set = np.stack([w[s].sum(0) for p in pages for s in p.sets]) + self.p["c" + d]
+        which, rest = np.concatenate([p.which + k for p, k in zip(pages, sets, strict=False)]), np.concatenate([p.rest for p in pages])
+        v = self.p["v"][:h] if d == "f" else self.p["v"][h:]
+        s, c, out = np.zeros((len(pages), h), np.float32), np.zeros((len(pages), h), np.float32), np.zeros(len(which), np.float32)
+        stretch = max(1, TOGETHER // len(pages))
+        for at in range(0, int(sizes.max()), stretch):
+            k = np.arange(at, min(at + stretch, int(sizes.max())))[:, None]
+            here = k < sizes
+            place = first + np.where(here, k if d == "f" else sizes - 1 - k, 0)
+            z = of_set[which[place]] + rest[place] @ w[MARKS:]
+            for j in range(len(z)):
+                a = z[j] + s @ self.p["u" + d]
+                gates = 1 / (1 + np.exp(-a[:, : 3 * h]))
+                c = gates[:, h : 2 * h] * c + gates[:, :h] * np.tanh(a[:, 3 * h :])
+                s = gates[:, 2 * h :] * np.tanh(c)
+                out[place[j][here[j]]] = (s @ v)[here[j]]
+        return out
+
+    def main(self, pages: list[Features]) -> list[np.ndarray]:
         """For each page, whether each of its blocks is main text."""
         out: list = [np.zeros(0, bool)] * len(pages)
         order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
@@ -161,12 +225,10 @@ class Labeller:
             end = at + 1
             while end < len(order) and (end - at + 1) * len(pages[order[end]]) <= TOGETHER:
                 end += 1
-            some = order[at:end]
-            f, b, mask = self._laid([pages[k] for k in some])
-            both = np.concatenate([self._pass("f", f, False)[0], _turned(self._pass("b", b, False)[0], mask)], axis=2)
-            score = both @ self.p["v"] + self.p["o"]
-            for col, k in enumerate(some):
-                out[k] = score[: len(pages[k]), col] > 0
+            some = [pages[k] for k in order[at:end]]
+            score = self._scores("f", some) + self._scores("b", some) + self.p["o"]
+            for k, own in zip(order[at:end], np.split(score > 0, np.cumsum([len(p) for p in some])[:-1]), strict=True):
+                out[k] = own
             at = end
         return out
 
@@ -273,9 +335,34 @@ class _Maker:
                 parts.append(f"<table><tr><td>{self.words(1, 5)}</td><td>{self.words(1, 5)}</td></tr></table>")
         return parts
 
+    def nameless(self) -> str:
+        """A page of div elements whose names say nothing, and no tag that does: links, short lines and the text's own shape are all there is."""
+        r = self.r
+        attr = lambda: r.choice(["", f' class="x{self.word()}{r.randint(0, 99)}"', f' id={self.word()}'])
+        link = lambda: f'<a href="/{self.word()}">{self.words(1, 3)}</a>'
+        links = lambda: r.choice([" ".join, " | ".join, lambda x: "<ul><li>" + "<li>".join(x) + "</ul>"])([link() for _ in range(r.randint(2, 9))])
+        around = lambda inner: f"<div{attr()}>{inner}</div>"
+        tag = r.choice(["p", "p", "div"])
+        own = attr() if tag == "div" else ""
+        parts = [f"<h1>\x01{self.words(2, 12)}</h1>"] if r.random() < 0.8 else []
+        for _ in range(r.randint(2, 14)):
+            k = r.random()
+            if k < 0.85:
+                parts.append(f"<{tag}{own}>\x01{self.words(r.choice([4, 20]), r.choice([40, 90]), '.')}</{tag}>")
+            elif k < 0.93:
+                parts.append(f"<h{r.choice('23')}>\x01{self.words(1, 7)}</h2></h3>")
+            else:
+                parts.append("<ul>" + "".join(f"<li>\x01{self.words(4, 25, '.')}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
+        before = [around(x) for x in (self.words(1, 4), links(), links()) if r.random() < 0.6]
+        after = [around(x) for x in (links(), f"&copy; 2020 {self.words(1, 5)} {link()}", self.words(1, 5)) if r.random() < 0.6]
+        body = around("".join(parts))
+        return "<html><head><title>x</title></head><body>" + "".join(before) + (around(body) if r.random() < 0.3 else body) + "".join(after)
+
     def page(self) -> tuple[str, list[int]]:
         """html, with main text marked by a sign that block texts show, and no labels yet."""
         r = self.r
+        if r.random() < NAMELESS:
+            return self.nameless(), []
         mark = lambda part: part.replace(">", ">\x01", 1) if "<li>" not in part and "<td>" not in part else part.replace("<li>", "<li>\x01").replace("<td>", "<td>\x01")
         parts = [mark(x) for x in self.main()]
         for kind in ("ad", "share", "aside", "notice"):
@@ -321,7 +408,7 @@ def trained() -> Labeller:
     if not _trained:
         pages, labels = made_up(PAGES)
         labeller = Labeller()
-        labeller.train([features(p) for p in pages], labels)
+        labeller.train([features(p).dense() for p in pages], labels)
         _trained.append(labeller)
     return _trained[0]
 

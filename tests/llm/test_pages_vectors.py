@@ -7,6 +7,7 @@ import gzip
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 
@@ -29,6 +30,43 @@ def test_blocks_of_a_page_that_leaves_out_the_end_of_its_head():
     assert [b.text for b in blocks(start + "<template><p>no</p></template><script>no</script></head><p>one")] == ["one"]
 
 
+def texts(page):
+    return [b.text for b in blocks(page)]
+
+
+def test_quotes_count_only_around_values():
+    assert texts("<article><a title=it's href=x>Link</a><p>One it is.</p><p>Two don't stop.</p></article>") == ["Link", "One it is.", "Two don't stop."]
+    assert texts('<p class="x>One.') == ["One."]
+    assert texts("<p>a</p><img alt=5'><p>b</p><p>it's</p>") == ["a", "b", "it's"]
+    assert texts("<p title='a > b' class=\"c\">d</p ><!--> e --><p>f<b") == ["d", "e -->", "f"]
+
+
+def test_content_that_is_not_shown():
+    assert texts("<p>a <span hidden>no <b>x</b></span> b<div style='display: none'><p>no</p></div><p hidden>no<p>c") == ["a b", "c"]
+
+
+def test_hostile_pages_take_time_by_their_length():
+    for page in ("<a" * 500_000, "<a " * 200_000, "<" + "a" * 500_000, "<" * 300_000, "<div>" * 100_000 + "</p>" * 100_000, "<script>" + "</script " * 100_000, "<a" + ' b="c' * 200_000, "<!--" * 200_000):
+        began = time.time()
+        html_extract.features(blocks(page))
+        assert time.time() - began < 10
+
+
+def test_pages_of_which_neither_tags_nor_names_tell_the_regions():
+    model, maker = html_extract.trained(), html_extract._Maker(123)
+    hits = whole = wrong = 0
+    for _ in range(60):
+        page = blocks(maker.nameless())
+        want = ["\x01" in b.text for b in page]
+        for b in page:
+            b.text = " ".join(b.text.replace("\x01", " ").split())
+        got = model.main([html_extract.features(page)])[0].tolist()
+        hits += sum(len(b.text) for b, w, g in zip(page, want, got, strict=True) if w and g)
+        whole += sum(len(b.text) for b, w in zip(page, want, strict=True) if w)
+        wrong += sum(len(b.text) for b, w, g in zip(page, want, got, strict=True) if g and not w)
+    assert hits > 0.97 * whole and wrong < 0.05 * whole
+
+
 def test_labeller_on_pages_it_has_not_seen():
     model = html_extract.trained()
     pages, labels = html_extract.made_up(150, seed=99)
