@@ -1,8 +1,12 @@
-"""Best-fit packing [3]: best-fit decreasing, then local search by moves and swaps until bins empty.
+"""Best-fit packing [3]: a local search by moves and swaps between underfull bins, until bins empty.
 
 Texts become token ids on the executors. Documents over the capacity are cut; the pieces are dealt at random
-into groups of a bounded size, and each group is packed by itself, so a task holds a few thousand lengths
-and no more. A group leaves about one unfilled sequence, which its size makes a small share.
+into groups of so many tokens, and each group is packed by itself, so a task holds the lengths of about GROUP
+sequences and no more. A group leaves about one unfilled sequence, which its size makes a small share.
+
+A group starts with its pieces in the order they come, each in the fullest bin that takes it, without sorting. What is saved from
+there on is the search's work: the least filled bin gives its pieces away, by moves, one-for-one and two-for-one swaps that each
+fill another bin up and so raise the sum of squared fills, until it is empty.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +25,8 @@ from marketloom.llm import common
 
 #: Words a worker keeps with their ids, and as many older ones.
 MEMO = 800_000
-#: Pieces in a group on average.
-GROUP = 8_192
-#: Rounds of the local search without an emptied bin, after which it ends.
-ROUNDS = 2
+#: Sequences' worth of tokens in a group on average.
+GROUP = 1_024
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -108,15 +111,16 @@ def _words(file: bytes) -> _Words:
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece. A document's ids are its tokens, then end_id; only longer ones are cut, every capacity ids.
 
-    Null and empty texts are the single end_id. Repeated rows give repeated pieces; other columns are not read.
+    Null and empty texts are the single end_id. Repeated rows give repeated pieces; other columns are not read. row tells
+    pieces apart, whatever their documents are.
     """
     spark = common.ship(docs.sparkSession)
     file = spark.sparkContext.broadcast(common.file_bytes(tokenizer_path))
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("row", pa.int64())])
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _words(file.value)
+        words, row = _words(file.value), TaskContext.get().partitionId() << 40
         for part in common.slices(batches):
             out = []
             split = [(raw if b"<|" in raw else raw.lower()).split() for raw in common.texts(part.column(1))]
@@ -125,98 +129,125 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                 ids = b"".join(map(words.__getitem__, ws)) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
-                    out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))
+                    out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), row))
+                    row += 1
             yield common.rows(schema, *zip(*out, strict=True))
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(cut, PIECES + ", row long")
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each item goes to the fullest bin that still takes it. Bins are lists of item numbers."""
+def in_order(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins (lists of item numbers): items as they come, each into the fullest bin that still takes it."""
     bins: list[list[int]] = []
-    room: list[tuple[int, int]] = []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        n = lengths[i]
-        at = bisect_left(room, (n, -1))
-        if at < len(room):
-            left, b = room.pop(at)
+    rooms: list[tuple[int, int]] = []
+    for i, n in enumerate(lengths):
+        at = bisect_left(rooms, (n, -1))
+        if at < len(rooms):
+            room, b = rooms.pop(at)
             bins[b].append(i)
         else:
-            left, b = capacity, len(bins)
+            room, b = capacity, len(bins)
             bins.append([i])
-        if left > n:
-            insort(room, (left - n, b))
+        if room > n:
+            insort(rooms, (room - n, b))
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
-    """Moves a document, swaps one for one, or two for one, between bins with room, where the sum of squared fills grows.
+class Search:
+    """Empties bins: the least filled one gives, and each step fills another bin, at least as full, by what the giver loses.
 
-    The least filled bin gives; what it gives goes where it fills a bin best. It ends when the bins are as few
-    as the total allows, or after ROUNDS rounds over all bins without an emptied one.
+    A step is a move of one item, or one item for a smaller one, or two for one, always the one that fills its taker best. Fills of
+    giver and taker part with each step, so the sum of squared fills grows and the search ends. A giver that no step
+    can help is left as it is, and a round without a step is the last.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = sum(1 for b in bins if b)
-    idle = 0
-    while alive > least and idle < ROUNDS:
-        open_bins = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        emptied = False
-        for giver in open_bins[: max(1, 2 * (alive - least))]:
-            takers = [b for b in open_bins if b != giver and bins[b]]
-            gained = True
-            while gained and bins[giver]:
-                gained = False
-                for b in takers:
-                    if not bins[b] or not bins[giver] or fill[b] >= capacity:
-                        continue
-                    step = _best_step(bins[giver], bins[b], lengths, capacity - fill[b], fill[giver], fill[b])
-                    if step is None:
-                        continue
-                    give, take = step
-                    change = sum(lengths[i] for i in give) - sum(lengths[i] for i in take)
-                    bins[giver] = [i for i in bins[giver] if i not in give] + list(take)
-                    bins[b] = [i for i in bins[b] if i not in take] + list(give)
-                    fill[giver] -= change
-                    fill[b] += change
-                    gained = True
-            if not bins[giver]:
-                alive -= 1
-                emptied = True
+
+    def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
+        self.lengths, self.capacity = np.array(lengths, np.int64), capacity
+        self.bins = [list(b) for b in bins]
+        self.bin_of = np.zeros(len(lengths), np.int64)
+        for k, b in enumerate(self.bins):
+            self.bin_of[b] = k
+        self.room = capacity - np.array([int(self.lengths[b].sum()) for b in self.bins], np.int64)
+        self.emptied = self.steps = 0
+
+    def run(self) -> list[list[int]]:
+        least = -(-int(self.lengths.sum()) // self.capacity)
+        alive = len(self.bins)
+        gained = True
+        while alive > least and gained:
+            before = self.steps
+            self.rooms = sorted((int(r), k) for k, r in enumerate(self.room.tolist()) if r > 0 and self.bins[k])
+            for giver in [k for _, k in reversed(self.rooms)]:
                 if alive <= least:
                     break
-        idle = 0 if emptied else idle + 1
-    return [b for b in bins if b]
-
-
-def _best_step(giver: list[int], taker: list[int], lengths: list[int], room: int, giver_fill: int, taker_fill: int):
-    """The change that fills the taker most: a document moved, one for one, or two for one; None if none raises the squares."""
-    if room <= 0 or taker_fill < giver_fill:
-        return None
-    best, most = None, 0
-    for a in giver:
-        if most < lengths[a] <= room:
-            best, most = ((a,), ()), lengths[a]
-    if most == room:
-        return best
-    mine = sorted(giver, key=lambda i: lengths[i])
-    sizes = [lengths[i] for i in mine]
-    for b in taker:
-        at = bisect_left(sizes, lengths[b] + room + 1) - 1  # the largest that b's place and the room take
-        if at >= 0 and sizes[at] - lengths[b] > most:
-            best, most = ((mine[at],), (b,)), sizes[at] - lengths[b]
-        lo, hi = 0, len(mine) - 1
-        while lo < hi:
-            both = sizes[lo] + sizes[hi] - lengths[b]
-            if both > room:
-                hi -= 1
-            else:
-                if both > most:
-                    best, most = ((mine[lo], mine[hi]), (b,)), both
-                lo += 1
-        if most == room:
-            break
-    return best
+                if self._empty(giver):
+                    alive -= 1
+                    self.emptied += 1
+            gained = self.steps > before
+        return [b for b in self.bins if b]
+
+    def _empty(self, giver: int) -> bool:
+        del self.rooms[bisect_left(self.rooms, (int(self.room[giver]), giver))]
+        while self.bins[giver] and (self._move(giver) or self._swap(giver)):
+            pass
+        if self.bins[giver]:
+            insort(self.rooms, (int(self.room[giver]), giver))
+        return not self.bins[giver]
+
+    def _change(self, giver: int, taker: int, give: list[int], take: list[int]) -> None:
+        self.steps += 1
+        before, n = int(self.room[taker]), int(self.lengths[give].sum() - self.lengths[take].sum())
+        for i in give:
+            self.bins[giver].remove(i)
+        for i in take:
+            self.bins[taker].remove(i)
+        self.bins[giver] += take
+        self.bins[taker] += give
+        self.bin_of[give], self.bin_of[take] = taker, giver
+        self.room[giver] += n
+        self.room[taker] -= n
+        del self.rooms[bisect_left(self.rooms, (before, taker))]
+        if before > n:
+            insort(self.rooms, (before - n, taker))
+
+    def _move(self, giver: int) -> bool:
+        """The largest item that fits elsewhere goes to the fullest bin that takes it."""
+        for i in sorted(self.bins[giver], key=lambda i: -self.lengths[i]):
+            at = bisect_left(self.rooms, (int(self.lengths[i]), -1))
+            if at < len(self.rooms) and self.rooms[at][0] <= self.room[giver]:
+                self._change(giver, self.rooms[at][1], [i], [])
+                return True
+        return False
+
+    def _swap(self, giver: int) -> bool:
+        """The best one-for-one swap, or, where there is none, the best two-for-one."""
+        mine = sorted(self.bins[giver], key=lambda i: self.lengths[i])
+        room = self.room[self.bin_of]
+        other = np.flatnonzero((room > 0) & (room <= self.room[giver]) & (self.bin_of != giver))
+        if not len(other):
+            return False
+        size, room = self.lengths[other], room[other]
+        ones = [(i,) for i in mine]
+        for offers in (ones, None):
+            if offers is None:
+                offers = [(i, j) for k, i in enumerate(mine) for j in mine[k + 1 :]]
+            if not offers:
+                return False
+            sums = np.array([int(self.lengths[list(o)].sum()) for o in offers], np.int64)
+            by = np.argsort(sums, kind="stable")
+            at = np.searchsorted(sums[by], size + room, "right") - 1
+            gain = np.where(at >= 0, sums[by][np.maximum(at, 0)] - size, 0)
+            best = int(np.argmax(gain))
+            if gain[best] > 0:
+                taken = int(other[best])
+                self._change(giver, int(self.bin_of[taken]), list(offers[by[at[best]]]), [taken])
+                return True
+        return False
+
+
+def packed(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Bins of items, as lists of item numbers."""
+    return Search(in_order(lengths, capacity), lengths, capacity).run()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
@@ -226,19 +257,19 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     An empty table gives an empty result. Pieces in a sequence lie without gaps from offset 0.
     """
     cut, _ = common.written(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
-    groups = max(1, -(-cut.count() // group))
-    dealt = cut.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("int"))
+    tokens = cut.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    groups = max(1, -(-tokens // (group * capacity)))
+    dealt = cut.withColumn("g", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).repartition(groups, "g")
 
     def fill(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values("row", ignore_index=True)
         lengths = pdf["length"].tolist()
-        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
         sequence, offset = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        for b, items in enumerate(bins):
+        for b, items in enumerate(packed(lengths, capacity)):
             at = 0
             for i in items:
                 sequence[i], offset[i] = (int(key[0]) << 32) + b, at
                 at += lengths[i]
-        return pdf.drop(columns="g").assign(sequence_id=sequence, offset=offset)
+        return pdf.drop(columns=["g", "row"]).assign(sequence_id=sequence, offset=offset)
 
     return dealt.groupBy("g").applyInPandas(fill, PIECES + ", sequence_id long, offset long")

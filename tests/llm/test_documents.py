@@ -105,11 +105,38 @@ def test_packing(spark, odd):
 
 def test_local_search_keeps_documents_and_saves_bins():
     rng = random.Random(1)
-    lengths = [rng.choice([1500, 1400, 1300, 2600, 700, 10]) for _ in range(600)]
-    first = packing.best_fit(lengths, 4096)
-    then = packing.local_search([list(b) for b in first], lengths, 4096)
-    assert sorted(i for b in then for i in b) == list(range(600))
-    assert all(sum(lengths[i] for i in b) <= 4096 for b in then) and len(then) <= len(first)
+    for lengths in ([rng.choice([1500, 1400, 1300, 2600, 700, 10]) for _ in range(600)], [rng.randint(1, 4096) for _ in range(600)], [rng.randint(5, 1500) for _ in range(600)], [4096] * 3, [5] * 2000, []):
+        first = packing.in_order(lengths, 4096)
+        search = packing.Search(first, lengths, 4096)
+        then = search.run()
+        assert sorted(i for b in then for i in b) == list(range(len(lengths)))
+        fills = lambda bins: sum(sum(lengths[i] for i in b) ** 2 for b in bins)  # noqa: B023, E731
+        assert all(sum(lengths[i] for i in b) <= 4096 for b in then) and len(then) == len(first) - search.emptied
+        assert fills(then) > fills(first) if search.steps else then == first
+
+
+def test_swaps_empty_bins_that_moves_cannot():
+    lengths = [2500, 2400, 1500, 1700, 48, 44]
+    one = packing.Search([[0, 2], [1, 3]], lengths[:4], 4196)
+    assert one.run() and one.emptied == 0  # as few as the total allows
+    for bins, sizes in (([[0, 1], [2, 3], [4]], [60, 30, 50, 40, 20]), ([[0, 1], [2, 3], [4, 5]], [60, 37, 50, 45, 2, 1]), ([[0, 1], [2], [3, 4]], [50, 45, 90, 10, 5])):
+        s = packing.Search(bins, sizes, 100)
+        assert len(s.run()) == 2 and s.emptied == 1
+
+
+def test_search_empties_bins_of_the_given_documents(spark):
+    n = [r.length for r in packing.pieces(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), WORDS).orderBy("row").collect()]
+    s = packing.Search(packing.in_order(n, 4096), n, 4096)
+    began = len(s.bins)
+    assert len(s.run()) == -(-sum(n) // 4096) < began and s.emptied > 0
+
+
+def test_groups_do_not_follow_ids(spark):
+    """Rows without id, or of one id, are dealt over all groups; each group is packed for itself."""
+    rows = [(None if k % 2 else 1, f"word{k} " * 40) for k in range(400)]
+    got = packing.pack(frame(spark, rows), WORDS, capacity=256, group=8)
+    assert got.selectExpr("shiftright(sequence_id, 32) g").groupBy("g").count().where("count > 100").count() == 0
+    check_packing(rows, got.collect(), 256)
 
 
 def brute_components(rows):
