@@ -159,3 +159,37 @@ def test_nearest(spark):
     assert hits >= 0.99 * sum(map(len, want.values())) and set(got) == set(want)
     assert got[40] == want[40]
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    """Recall against brute force, with several blocks and packs of queries, two dimensions and ids with two vectors."""
+    monkeypatch.setattr(ann, "BLOCK", 700)
+    monkeypatch.setattr(ann, "PACK", 50)
+    monkeypatch.setattr(ann, "STEP", 128)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=32 if i % 3 else 8)]) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    found = {}
+    for r in ann.nearest(df).collect():
+        found.setdefault(r.query_id, {})[r["rank"]] = (r.id, r.score)
+    want, vectors = exact(rows), dict(rows)
+    assert found.keys() == want.keys()
+    hits = sum(len(set(v) & {i for i, _ in found[q].values()}) for q, v in want.items())
+    assert hits >= 0.95 * sum(map(len, want.values()))
+    for q, own in found.items():
+        assert sorted(own) == list(range(1, 21)) and all(abs(s - np.dot(vectors[q], vectors[i])) < 1e-9 for i, s in own.values())
+        assert [s for _, (_, s) in sorted(own.items())] == sorted((s for _, s in own.values()), reverse=True)
+
+
+def test_bounds_leave_most_vectors_unread():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 256))
+    b = ann.Block(np.arange(len(x)), x, *ann.encode(x))
+    b.search(x[:20], 21)
+    assert b.reranked < 0.1 * 20 * len(x)
+
+
+def test_nearest_of_an_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.5, 0.5]), (1, [0.25, 1.0]), (2, [0.1, 0.1])], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.id, round(r.score, 6)) for r in ann.nearest(df).collect())
+    assert got in ([(1, 1, 0.5), (2, 2, 0.1)], [(1, 1, 0.25), (2, 2, 0.1)])
