@@ -1,18 +1,16 @@
-"""LM scoring [5]: byte n-grams up to ORDER with Witten-Bell smoothing, all of them, however large the corpus.
+"""LM scoring [5]: a weighted backoff automaton over words, of n-grams up to ORDER, all of them, however large the corpus.
 
-The model predicts a text's tokens letter by letter: its words, lower-cased, with one space between, and a
-line feed as the end. A letter's probability depends on the window of ORDER bytes that ends with it:
-p_k = (n_k + kinds_k * p_(k-1)) / (N_k + kinds_k), with 1 more than the kinds of next letters, over the contexts of 0 to ORDER - 1 letters before it, and p_(k-1) where
-a context has not been seen. No n-gram is left out for being rare, and no machine holds the model: each block of texts
-sends its distinct windows once, with their counts in training texts, dealt out by the three letters before the last.
-All that orders 4 and up need is then in one place; orders 1 to 3 are one small table of three-letter counts, whose size
-the alphabet bounds. Back come the windows' log10 probabilities, and each block adds up those of its texts.
+Tokens are a text's lower-cased words and one end. The lowest order is the base model. Above it
+p(w | h) = (1 - b) * c(hw) / c(h) + b * p(w | h'), with h' the context h without its first word, where a context's share b is that of its
+size class (c(h) to the next power of two): D * (distinct n-grams of the class) / (their occurrences), and D = (n1 + 1) / (n1 + 2 * n2 + 2)
+of the order's n-grams that occur once and twice. Unseen contexts leave all to the lower order. Text starts are a context of their own.
 
-The base score needs each word's count in the whole corpus. Words stay where they are: each block of texts
-sends its distinct words once, and gets back their counts.
+As an automaton: a seen context is a state, a seen n-gram an arc with its log10 probability to the longest seen context that it
+ends with, and each state has a failure arc of weight log10 b to its context without the first word. A text is read once from left to right; the state goes along.
 
-Automaton is this model as a backoff automaton in one process, but for a floor of 1e-6 under what a context leaves to
-unseen letters; no query uses it.
+No machine holds the model. Texts lie in blocks; a block's words become numbers of its own list. Each block sends its distinct n-grams
+once, as hashes with their counts in training texts, dealt out by these hashes, so no word or context gathers in a task. Back
+come the counts of the whole corpus, and each block builds the part of the automaton that its texts can reach.
 """
 
 from __future__ import annotations
@@ -22,22 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.llm import common
 
-ORDER = 6
-#: Windows are dealt out to 2^BUCKET_BITS groups.
-BUCKET_BITS = 10
-#: A block of texts, in bytes.
-BLOCK = 16 << 20
-#: Texts are read in stretches of so many bytes.
-STRETCH = 512
-END = 10
+ORDER = 3
+#: A block of texts, in bytes. A longer text is a block by itself.
+BLOCK = 8 << 20
+#: n-grams in a group that counts, on average.
+GROUP = 3_000_000
+#: Texts are read in stretches of so many tokens.
+STRETCH = 256
+#: Size classes of contexts, by powers of two.
+CLASSES = 48
+#: Bits of an n-gram's hash, the last two of which are its order.
+HASH_BITS = 56
+END, START = b"\n", b"\r"
+
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
 
 def is_training(doc_id) -> bool:
@@ -45,216 +48,238 @@ def is_training(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 != 1
 
 
-def _grams(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct windows of ORDER bytes from each place of the texts, padded with zeros at the end, and how often they occur."""
-    gap = b"\0" * ORDER
-    buf = np.frombuffer(gap.join(seqs) + gap, np.uint8)
-    n = len(buf) - ORDER + 1
-    keys = np.zeros(n, np.int64)
-    for k in range(ORDER):
-        keys <<= 8
-        keys |= buf[k : n + k]
-    keys = keys[buf[:n] > 0]
-    keys.sort()
-    return _runs(keys, None)
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(32))
+
 
+def _zip(x: np.ndarray, dtype: str) -> bytes:
+    """Numbers as compressed byte planes, behind their count."""
+    x = np.ascontiguousarray(x.astype(dtype))
+    planes = x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
-def _runs(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return keys, np.zeros(0, np.int64)
-    starts = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1]
-    return keys[starts], np.diff(np.r_[starts, len(keys)]) if counts is None else np.add.reduceat(counts, starts)
 
+def _unzip(data: bytes, dtype: str) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys, kind="stable")
-    return _runs(keys[order], counts[order])
 
+BLOCKS = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("tokens", pa.binary()), ("n_tokens", pa.int64()), ("words", pa.binary()), ("n_words_bytes", pa.int64())])
+BLOCKS_DDL = "block long, doc_ids array<long>, sizes binary, tokens binary, n_tokens long, words binary, n_words_bytes long"
 
-def sequence(words: list[bytes]) -> bytes:
-    return b"\n" + b" ".join(words) + b"\n"
 
+def blocks(docs: DataFrame) -> DataFrame:
+    """Of (id, text): a row for each block, with its texts' ids, their tokens as numbers of the block's words (0 is the end), and these words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        numbers, ids, sizes, tokens, read = {END: 0}, [], [], [], 0
 
-def windows(seqs: list[bytes]) -> np.ndarray:
-    """For each letter of the sequences but the first of each: the five letters before it, from the last back, and the letter itself.
+        def closed() -> pa.RecordBatch:
+            nonlocal block
+            listed, flat = b"\n".join(w for w in numbers if w != END), np.concatenate(tokens)
+            block += 1
+            return common.rows(BLOCKS, [block], [list(ids)], [_zip(np.array(sizes), "<u4")], [_zip(flat, "<u4")], [len(flat)], [pa.compress(listed, codec="zstd", asbytes=True)], [len(listed)])
 
-    Before a sequence there are zeros. A zero ends a context, so a NUL in a text does too.
+        for part in common.slices(batches):
+            words = [raw.lower().split() for raw in common.texts(part.column(1))]
+            number = numbers.setdefault
+            tokens.append(np.fromiter((number(w, len(numbers)) for ws in words for w in (*ws, END)), np.int32))
+            sizes += [len(ws) + 1 for ws in words]
+            ids += part.column(0).to_pylist()
+            read += part.column(1).nbytes
+            if read >= BLOCK:
+                yield closed()
+                numbers, ids, sizes, tokens, read = {END: 0}, [], [], [], 0
+        if ids:
+            yield closed()
+
+    return docs.mapInArrow(run, BLOCKS_DDL)
+
+
+class Grams:
+    """The distinct n-grams of a block. Word numbers go on with the start of a text, which is only ever a context.
+
+    pairs and triples are sorted keys: number of the context (a word, or a pair) * width + word. of_pair and of_triple name those that end
+    with each token (no triple ends with a text's first).
     """
-    gap = b"\0" * (ORDER - 1)
-    buf = np.frombuffer(gap + gap.join(seqs) + gap, np.uint8)
-    n = len(buf) - 2 * (ORDER - 1)
-    keys = np.zeros(n, np.int64)
-    for back in (*range(1, ORDER), 0):
-        keys <<= 8
-        keys |= buf[ORDER - 1 - back : ORDER - 1 - back + n]
-    sizes = np.array([len(x) for x in seqs])
-    begin = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
-    keep = np.ones(n + ORDER - 1, bool)
-    keep[begin] = False
-    keep[((begin + sizes)[:, None] + np.arange(ORDER - 1)).ravel()] = False
-    return keys[keep[:n]]
-
-
-def _dealt(keys: np.ndarray) -> np.ndarray:
-    """Windows with their bucket in front: a hash of the three letters before the last."""
-    return ((((keys >> 24) * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - BUCKET_BITS)) << 48 | keys
-
-
-def _packed(keys: np.ndarray, n: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
-    """Sorted dealt windows and counts by bucket: buckets, numbers of windows, and differences and counts as compressed byte planes."""
-    bucket, keys = keys >> 48, keys & ((1 << 48) - 1)
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    diff = np.diff(keys, prepend=0)
-    diff[starts] = keys[starts]
-    planes = np.concatenate([diff.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].T, n.astype("<u4").view(np.uint8).reshape(-1, 4).T])
-    ends = np.r_[starts[1:], len(keys)]
-    return bucket[starts].tolist(), (ends - starts).tolist(), [pa.compress(planes[:, i:j].tobytes(), codec="zstd", asbytes=True) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def _unpacked(packed: bytes, m: int) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(pa.decompress(packed, 10 * m, codec="zstd"), np.uint8).reshape(10, m).astype(np.int64)
-    return np.cumsum(sum(planes[i] << 8 * i for i in range(6))), sum(planes[6 + i] << 8 * i for i in range(4))
-
-
-def _witten_bell(context: np.ndarray, byte: np.ndarray, n: np.ndarray, lower: np.ndarray, usable: np.ndarray) -> np.ndarray:
-    """Probabilities of one order more. A context's windows must all be here; an n-gram can have several."""
-    gram, at = np.unique(context << 8 | byte, return_inverse=True)
-    n = np.bincount(at, n, len(gram))
-    _, of = np.unique(gram >> 8, return_inverse=True)
-    whole, kinds = np.bincount(of, n), np.bincount(of, n > 0) + 1
-    seen = usable & (whole[of] > 0)[at]
-    p = (n[at] + kinds[of][at] * lower) / (whole[of] + kinds[of])[at]
-    return np.where(seen, p, lower)
-
-
-class LowOrders:
-    """Orders 1 to 3, from the counts of all three-letter windows (the last letter but one, the one before it, the last)."""
-
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        by = np.argsort(keys)
-        self.keys, n = keys[by], n[by].astype(float)
-        byte = self.keys & 255
-        first = (np.bincount(byte, n, 256) + 1 / 256) / (n.sum() + 1)
-        pairs = np.bincount((self.keys >> 16) << 8 | byte, n, 65536).reshape(256, 256)
-        kinds = (pairs > 0).sum(1, keepdims=True) + 1
-        whole = pairs.sum(1, keepdims=True)
-        self.second = np.where(whole > 0, (pairs + kinds * first) / (whole + kinds), first)
-        self.second[0] = first
-        self.n = np.r_[n, 0.0]
-        self.whole, self.kinds = np.bincount(self.keys >> 8, n, 65536), np.bincount(self.keys >> 8, n > 0, 65536) + 1
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Probabilities of order 3 of windows."""
-        context, byte = keys >> 32, keys & 255
-        lower = self.second[context >> 8, byte]
-        gram = context << 8 | byte
-        at = np.searchsorted(self.keys, gram)
-        n = np.where(np.r_[self.keys, -1][at] == gram, self.n[at], 0.0)
-        whole, kinds = self.whole[context], self.kinds[context]
-        seen = (whole > 0) & (context >> 8 > 0) & (context & 255 > 0)
-        return np.where(seen, (n + kinds * lower) / (whole + kinds), lower)
-
-
-def window_logs(keys: np.ndarray, n: np.ndarray, low: LowOrders) -> np.ndarray:
-    """log10 probabilities of distinct windows with their training counts: all windows of their buckets."""
-    p, usable = low(keys), (keys >> 40 > 0) & (keys >> 32 & 255 > 0)
-    for k in range(4, ORDER + 1):
-        context = keys >> 8 * (ORDER + 1 - k)
-        usable = usable & (context & 255 > 0)
-        p = _witten_bell(context, keys & 255, n, p, usable)
-    return np.log10(p)
-
-
-class Logs:
-    """A block's windows and their log10 probabilities, by hash."""
-
-    def __init__(self, keys: np.ndarray, logs: np.ndarray):
-        bits = max(4, int(np.ceil(np.log2(3 * len(keys) + 1))))
-        self.shift, size = np.uint64(64 - bits), 1 << bits
-        self.keys, self.logs = np.full(size, -1, np.int64), np.zeros(size, np.float32)
-        slot, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            free = np.flatnonzero(self.keys[slot] < 0)
-            at, pick = np.unique(slot[free], return_index=True)
-            won = free[pick]
-            self.keys[at], self.logs[at] = keys[left[won]], logs[left[won]]
-            rest = np.ones(len(left), bool)
-            rest[won] = False
-            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+    def __init__(self, row: dict):
+        self.ids = row["doc_ids"]
+        self.sizes = _unzip(row["sizes"], "<u4").astype(np.int64)
+        self.tokens = _unzip(row["tokens"], "<u4").astype(np.int64)
+        listed = pa.decompress(row["words"], row["n_words_bytes"], codec="zstd", asbytes=True) if row["n_words_bytes"] else b""
+        words = [END, *(listed.split(b"\n") if listed else [])]
+        self.n_words, self.width = len(words), len(words) + 1
+        self.held_out = np.array([not is_training(i) for i in self.ids])
+        self.train = np.repeat(~self.held_out, self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        before = np.r_[0, self.tokens[:-1]]
+        before[self.first] = self.n_words
+        self.pairs, self.of_pair = np.unique(before * self.width + self.tokens, return_inverse=True)
+        key = np.r_[0, self.of_pair[:-1]] * self.width + self.tokens
+        key[self.first] = -1
+        self.triples, self.of_triple = np.unique(key, return_inverse=True)
+        if len(self.triples) and self.triples[0] < 0:
+            self.triples, self.of_triple = self.triples[1:], self.of_triple - 1
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, (*words, START)), np.uint64, self.width)
+        two = _scramble(own[self.pairs // self.width] * _MIX[0] + own[self.pairs % self.width] * _MIX[1])
+        three = _scramble(two[self.triples // self.width] * _MIX[0] + own[self.triples % self.width] * _MIX[1])
+        cut = lambda h, order: (_scramble(h) >> np.uint64(66 - HASH_BITS) << np.uint64(2) | np.uint64(order)).view(np.int64)
+        #: All hashes, words, the start (of order 0), pairs and triples in turn, and the order that sorts them.
+        self.hashes = np.concatenate([cut(own[:-1], 1), cut(own[-1:], 0), cut(two, 2), cut(three, 3)])
+        self.order = np.argsort(self.hashes, kind="stable")
+
+    def counts(self) -> np.ndarray:
+        """In the training texts of the block. A text's start counts once for each text."""
+        words = np.bincount(self.tokens[self.train], minlength=self.width)
+        words[self.n_words] = np.count_nonzero(~self.held_out)
+        pairs = np.bincount(self.of_pair[self.train], minlength=len(self.pairs))
+        inside = self.train & (self.of_triple >= 0)
+        return np.concatenate([words, pairs, np.bincount(self.of_triple[inside], minlength=len(self.triples))])
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs and of triples: the place of their context among all n-grams."""
+        return self.pairs // self.width, self.width + self.triples // self.width
+
+    def sorted_by_group(self, bits: int) -> list[tuple[int, int, int]]:
+        """Groups of the sorted hashes: group, begin, end."""
+        group = self.hashes[self.order] >> (HASH_BITS - bits)
+        cuts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        return list(zip(group[cuts].tolist(), cuts.tolist(), np.r_[cuts[1:], len(group)].tolist(), strict=True))
+
+
+SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+
+
+def sent(stored: DataFrame, bits: int) -> DataFrame:
+    """Each block's n-grams by group: sorted hashes, as differences, and counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
+                g = Grams(row)
+                keys, n = g.hashes[g.order], g.counts()[g.order]
+                out = [(b, row["block"], _zip(np.diff(keys[i:j], prepend=b << HASH_BITS - bits), "<u8"), _zip(n[i:j], "<u4")) for b, i, j in g.sorted_by_group(bits)]
+                for at in range(0, len(out), 1_000):
+                    yield common.rows(SENT, *zip(*out[at : at + 1_000], strict=True))
+
+    return stored.mapInArrow(run, "bucket long, block long, keys binary, n binary")
+
+
+COUNTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("c", pa.binary()), ("first", pa.binary()), ("stats", pa.list_(pa.int64()))])
+COUNTED_DDL = "block long, bucket long, c binary, first binary, stats array<long>"
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        moved = np.flatnonzero(self.keys[slot] != keys)
-        while len(moved):
-            slot[moved] = (slot[moved] + 1) & (len(self.keys) - 1)
-            moved = moved[self.keys[slot[moved]] != keys[moved]]
-        return self.logs[slot]
 
-    def scores(self, seqs: list[bytes]) -> np.ndarray:
-        """log10 probability of each sequence, its first letter given."""
-        ends = np.cumsum([len(x) - 1 for x in seqs])
-        return np.add.reduceat(self(windows(seqs)).astype(float), np.r_[0, ends[:-1]])
+def counted(rows: DataFrame, bits: int) -> DataFrame:
+    """For each row of sent: the corpus's counts of its n-grams, and which of them the row stands for, one row for each n-gram.
+
+    stats, in one row of a group: for each order the n-grams seen, their occurrences, and how many occur once and twice.
+    """
+
+    def count(table: pa.Table) -> pa.Table:
+        group = table.column("bucket")[0].as_py()
+        keys = [np.cumsum(_unzip(x, "<u8").astype(np.int64)) + (group << HASH_BITS - bits) for x in table.column("keys").to_pylist()]
+        ends = np.cumsum([len(k) for k in keys])
+        own, one, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        n = np.concatenate([_unzip(x, "<u4") for x in table.column("n").to_pylist()])
+        c = np.bincount(at, n, len(own)).astype(np.int64)
+        first = np.zeros(len(at), np.uint8)
+        first[one] = c > 0
+        stats = []
+        for order in range(1, ORDER + 1):
+            x = c[(own & 3) == order]
+            stats += [int((x > 0).sum()), int(x.sum()), int((x == 1).sum()), int((x == 2).sum())]
+        m = len(keys)
+        cuts = ends[:-1]
+        return pa.Table.from_batches([common.rows(COUNTED, table.column("block").to_pylist(), table.column("bucket").to_pylist(), [_zip(x, "<u8") for x in np.split(c[at], cuts)], [_zip(x, "<u1") for x in np.split(first, cuts)], [stats] + [None] * (m - 1))])
+
+    return rows.groupBy("bucket").applyInArrow(count, COUNTED_DDL)
+
+
+JOINED = pa.schema([*BLOCKS, ("c", pa.binary()), ("classes", pa.list_(pa.int64()))])
+
+
+def joined(stored: DataFrame, results: DataFrame, n_blocks: int) -> DataFrame:
+    """Blocks with the corpus's counts of their n-grams, and for both upper orders, by size class of the context, the distinct n-grams that the block stands for and their occurrences."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        g = Grams(row)
+        by = np.argsort(right.column("bucket").to_numpy(), kind="stable").tolist()
+        c, first = np.zeros(len(g.order), np.int64), np.zeros(len(g.order), bool)
+        c[g.order] = np.concatenate([_unzip(right.column("c")[k].as_py(), "<u8") for k in by])
+        first[g.order] = np.concatenate([_unzip(right.column("first")[k].as_py(), "<u1") for k in by])
+        classes = []
+        for context, at in zip(g.contexts(), (g.width, g.width + len(g.pairs)), strict=True):
+            own = slice(at, at + len(context))
+            k = size_class(c[context])[first[own]]
+            classes += [*np.bincount(k, minlength=CLASSES).tolist(), *np.bincount(k, c[own][first[own]], CLASSES).astype(np.int64).tolist()]
+        return pa.Table.from_pylist([row | {"c": _zip(c, "<u8"), "classes": classes}], schema=JOINED)
+
+    left, right = stored.repartition(n_blocks, "block"), results.select("block", "bucket", "c", "first").repartition(n_blocks, "block")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, BLOCKS_DDL + ", c binary, classes array<long>")
+
+
+def size_class(c: np.ndarray) -> np.ndarray:
+    return np.minimum(np.frexp(np.maximum(c, 1).astype(float))[1] - 1, CLASSES - 1)
+
+
+class Model:
+    """What all blocks need beside their counts: training tokens, distinct words, and log10 of the failure arcs by order and size class."""
+
+    def __init__(self, stats: list[int], classes: list[int]):
+        """stats: as in counted. classes: as in joined."""
+        self.v, self.n = stats[0], stats[1]
+        self.left = []
+        for order in (2, 3):
+            once, twice = stats[4 * (order - 1) + 2 : 4 * order]
+            kinds, whole = np.array(classes[2 * CLASSES * (order - 2) : 2 * CLASSES * (order - 1)], float).reshape(2, CLASSES)
+            d = (once + 1) / (once + 2 * twice + 2)
+            self.left.append(np.where(whole > 0, d * kinds / np.maximum(whole, 1), 1.0))
+
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return (c + 0.5) / (self.n + 0.5 * (self.v + 1))
 
 
 class Automaton:
-    """States are the kept n-grams below ORDER and the empty one (0); an arc's key is state * 256 + byte."""
-
-    def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
-        """grams: for each order from 1 the kept keys, sorted, and their counts."""
-        counts1 = np.zeros(256)
-        counts1[grams[0][0]] = grams[0][1]
-        counts1[END] = counts1[END] // 2  # the other half are the line feeds before the texts
-        total = counts1.sum()
-        first = (counts1 + 1 / 256) / (total + 1)
-        base = [0, 1]
-        for keys, _ in grams[:-1]:
-            base.append(base[-1] + len(keys))
-        self.n_states = base[-1]
-        self.fail = np.zeros(self.n_states, np.int32)
-        self.weight = np.zeros(self.n_states)
-        below = {1: first[grams[0][0]]}
-        arcs, targets, logs = [], [], []
-        self.root_log = np.log10(first)
-        self.root_next = np.zeros(256, np.int32)
-        self.root_next[grams[0][0]] = base[1] + np.arange(len(grams[0][0]))
-        for k in range(2, len(grams) + 1):
-            keys, n = grams[k - 1]
-            context, byte = keys >> 8, keys & 255
-            at = np.searchsorted(grams[k - 2][0], context)
-            suffix = keys & ((1 << 8 * (k - 1)) - 1)
-            suffix_at = np.searchsorted(grams[k - 2][0], suffix)
-            whole = (counts1[context] if k == 2 else grams[k - 2][1][at]).astype(float)
-            kinds = np.bincount(at, minlength=len(grams[k - 2][0]))[at] + 1.0
-            lower = below[k - 1][suffix_at]
-            p = (n + kinds * lower) / (np.maximum(whole, n) + kinds)
-            seen, seen_lower = (np.bincount(at, x, len(grams[k - 2][0])) for x in (p, lower))
-            over = seen > 1 - 1e-6
-            if over.any():
-                scale = np.where(over, (1 - 1e-6) / np.maximum(seen, 1e-300), 1.0)
-                p *= scale[at]
-                seen = np.minimum(seen, 1 - 1e-6)
-            states = base[k - 1] + np.arange(len(grams[k - 2][0]))
-            self.weight[states] = np.log10(np.maximum(1 - seen, 1e-9) / np.maximum(1 - seen_lower, 1e-9))
-            if k > 2:
-                own = grams[k - 2][0]
-                self.fail[states] = base[k - 2] + np.searchsorted(grams[k - 3][0], own & ((1 << 8 * (k - 2)) - 1))
-            arcs.append((base[k - 1] + at) * 256 + byte)
-            targets.append(base[k] + np.arange(len(keys)) if k < len(grams) else base[k - 1] + suffix_at)
-            logs.append(np.log10(p))
-            below[k] = p
-        self._table(np.concatenate(arcs), np.concatenate(targets), np.concatenate(logs))
-        self.start = int(self.root_next[END])
+    """The states and arcs that a block's texts can reach. State 0 is the empty context, then come words (and the start), then pairs."""
+
+    def __init__(self, g: Grams, c: np.ndarray, model: Model):
+        one, two, three = np.split(c, [g.width, g.width + len(g.pairs)])
+        base = model.base(one)
+        context, word = np.divmod(g.pairs, g.width)
+        b = model.left[0][size_class(one)]
+        lower = b[context] * base[word]
+        p_two = np.where(one[context] > 0, (1 - b[context]) * two / np.maximum(one[context], 1) + lower, base[word])
+        pair, last = np.divmod(g.triples, g.width)
+        bb = model.left[1][size_class(two)]
+        suffix = np.minimum(np.searchsorted(g.pairs, (g.pairs[pair] % g.width) * g.width + last), max(len(g.pairs) - 1, 0))
+        p_three = (1 - bb[pair]) * three / np.maximum(two[pair], 1) + bb[pair] * p_two[suffix]
+        self.width = g.width
+        self.root_log, self.root_next = np.log10(base), np.where(one > 0, 1 + np.arange(g.width), 0)
+        self.start = int(self.root_next[g.n_words])
+        self.fail = np.concatenate([[0], np.zeros(g.width, np.int64), np.where(one[word] > 0, 1 + word, 0)])
+        self.weight = np.concatenate([[0.0], np.log10(b), np.log10(bb)])
+        at_two, at_three = np.flatnonzero(two > 0), np.flatnonzero(three > 0)
+        states = 1 + g.width
+        arcs = np.concatenate([(1 + context[at_two]) * g.width + word[at_two], (states + pair[at_three]) * g.width + last[at_three]])
+        targets = np.concatenate([states + at_two, states + suffix[at_three]])
+        logs = np.log10(np.concatenate([p_two[at_two], p_three[at_three]]))
+        self._table(arcs, targets, logs)
 
     def _table(self, arcs: np.ndarray, targets: np.ndarray, logs: np.ndarray) -> None:
         """Arcs by hash, in a table with room to spare; what collides moves to the next free place."""
-        bits = max(4, int(np.ceil(np.log2(4 * len(arcs) + 1))))
+        bits = max(4, int(np.ceil(np.log2(2 * len(arcs) + 1))))
         self.shift = np.uint64(64 - bits)
         size = 1 << bits
-        self.keys, self.next, self.log = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.float32)
+        self.keys, self.next, self.log = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size)
         slot, left = self._slot(arcs), np.arange(len(arcs))
         while len(left):
             free = np.flatnonzero(self.keys[slot] < 0)
@@ -266,150 +291,59 @@ class Automaton:
             left, slot = left[rest], (slot[rest] + 1) & (size - 1)
 
     def _slot(self, arcs: np.ndarray) -> np.ndarray:
-        return ((arcs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Next states and log10 probabilities of reading a byte in each state."""
-        log = np.zeros(len(state))
-        after = np.zeros(len(state), np.int32)
-        lanes, s, b, w = None, state, byte, log
-        mask = len(self.keys) - 1
-        while True:
-            arc = s.astype(np.int64) * 256 + b
+        return ((arcs.astype(np.uint64) * _MIX[0]) >> self.shift).view(np.int64)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and log10 probabilities of reading a word in each state: failure arcs are followed until an arc has the word."""
+        log, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
+        lanes, s, w = np.arange(len(state)), state, word
+        while len(lanes):
+            root = s == 0
+            if root.any():
+                to = lanes[root]
+                after[to] = self.root_next[w[root]]
+                log[to] += self.root_log[w[root]]
+                lanes, s, w = lanes[~root], s[~root], w[~root]
+            arc = s * self.width + w
             slot = self._slot(arc)
             key = self.keys[slot]
             moved = np.flatnonzero((key != arc) & (key >= 0))
             while len(moved):
-                slot[moved] = (slot[moved] + 1) & mask
+                slot[moved] = (slot[moved] + 1) & (len(self.keys) - 1)
                 key[moved] = self.keys[slot[moved]]
                 moved = moved[(key[moved] != arc[moved]) & (key[moved] >= 0)]
             hit = key == arc
-            if lanes is None and hit.all():
-                return self.next[slot], self.log[slot].astype(float)
-            got = np.flatnonzero(hit)
-            to = got if lanes is None else lanes[got]
-            after[to] = self.next[slot[got]]
-            log[to] = w[got] + self.log[slot[got]]
-            miss = np.flatnonzero(~hit)
-            if not len(miss):
-                return after, log
-            w = w[miss] + self.weight[s[miss]]
-            lanes, s, b = (miss if lanes is None else lanes[miss]), self.fail[s[miss]], b[miss]
-            root = np.flatnonzero(s == 0)
-            if len(root):
-                to = lanes[root]
-                after[to], log[to] = self.root_next[b[root]], w[root] + self.root_log[b[root]]
-                keep = np.flatnonzero(s != 0)
-                if not len(keep):
-                    return after, log
-                lanes, s, b, w = lanes[keep], s[keep], b[keep], w[keep]
-
-    def scores(self, seqs: list[bytes]) -> np.ndarray:
-        """log10 probability of each sequence, its first byte given."""
-        sizes = np.array([len(x) for x in seqs])
-        buf = np.frombuffer(b"".join(seqs), np.uint8)
+            to = lanes[hit]
+            after[to] = self.next[slot[hit]]
+            log[to] += self.log[slot[hit]]
+            lanes, s, w = lanes[~hit], s[~hit], w[~hit]
+            log[lanes] += self.weight[s]
+            s = self.fail[s]
+        return after, log
+
+    def scores(self, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """log10 probability of each text. Long ones are read in stretches side by side; a state is known from the two tokens before it."""
         begin = np.cumsum(sizes) - sizes
-        stretches = -(-(sizes - 1) // STRETCH)
-        doc = np.repeat(np.arange(len(seqs)), stretches)
+        stretches = -(-sizes // STRETCH)
+        doc = np.repeat(np.arange(len(sizes)), stretches)
         k = np.arange(len(doc)) - np.repeat(np.cumsum(stretches) - stretches, stretches)
-        at = begin[doc] + 1 + k * STRETCH
+        at = begin[doc] + k * STRETCH
         n = np.minimum(STRETCH, begin[doc] + sizes[doc] - at)
         order = np.argsort(-n, kind="stable")
         doc, at, n, k = doc[order], at[order], n[order], k[order]
-        state = np.full(len(doc), self.start, np.int32)
+        state = np.full(len(doc), self.start, np.int64)
         later = np.flatnonzero(k > 0)
         if len(later):
-            s = np.zeros(len(later), np.int32)
-            for back in range(ORDER - 1, 0, -1):
-                byte = buf[at[later] - back]
-                root = s == 0
-                to = np.where(root, self.root_next[byte], 0).astype(np.int32)
-                rest = np.flatnonzero(~root)
-                if len(rest):
-                    to[rest] = self.step(s[rest], byte[rest])[0]
-                s = to
-            state[later] = s
+            state[later] = self.step(self.root_next[tokens[at[later] - 2]], tokens[at[later] - 1])[0]
         total = np.zeros(len(doc))
-        active = np.searchsorted(-n, -np.arange(1, (n[0] if len(n) else 0) + 1), "right")
-        for t, m in enumerate(active.tolist()):
-            byte, s = buf[at[:m] + t], state[:m]
-            if (s == 0).any():
-                root = s == 0
-                log = np.empty(m)
-                to = np.empty(m, np.int32)
-                to[root], log[root] = self.root_next[byte[root]], self.root_log[byte[root]]
-                rest = ~root
-                to[rest], log[rest] = self.step(s[rest], byte[rest])
-            else:
-                to, log = self.step(s, byte)
-            state[:m] = to
+        for t in range(int(n[0]) if len(n) else 0):
+            m = int(np.searchsorted(-n, -t, "left"))
+            state[:m], log = self.step(state[:m], tokens[at[:m] + t])
             total[:m] += log
-        return np.bincount(doc, total, len(seqs))
-
-
-#: kind of a row: a text, a block's words in order of their numbers, a word, a bucket of windows, a three-letter count.
-TEXT, LEXICON, WORD, WINDOWS, LOW = range(5)
-ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("word", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary())])
-ROWS_DDL = "kind int, block long, doc_id long, held_out boolean, n_tokens long, ids binary, word int, key long, n long, bucket int, packed binary"
-
-
-def _rows(kind: int, m: int, **columns) -> pa.RecordBatch:
-    columns["kind"] = np.full(m, kind, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(m, f.type) for f in ROWS], schema=ROWS)
-
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """A row for each text (its tokens as 3-byte numbers of the block's words, low bytes first), each block's list of words,
-    each distinct word of a block, each bucket of a block's windows, and each three-letter count of a task."""
-
-    def closed(block: int, numbers: dict, counts: list, grams: list, low: list) -> Iterator[pa.RecordBatch]:
-        listed = b"\n".join(w for w in numbers if w != b"\n")
-        yield _rows(LEXICON, 1, block=[block], n=[len(listed)], ids=[pa.compress(listed, codec="zstd", asbytes=True)])
-        n = np.zeros(len(numbers), np.int64)
-        for c in counts:
-            n[: len(c)] += c
-        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers)).view(np.int64)
-        for at in range(0, len(n), 50_000):
-            m = len(n[at : at + 50_000])
-            yield _rows(WORD, m, block=np.full(m, block), word=np.arange(at, at + m, dtype=np.int32), key=keys[at : at + m], n=n[at : at + m])
-        keys, n = _merged(grams)
-        keys, n = _runs(keys >> 1, np.where(keys & 1, 0, n))
-        bucket, m, packed = _packed(keys, n)
-        yield _rows(WINDOWS, len(m), block=np.full(len(m), block), bucket=bucket, n=m, packed=packed)
-        seen = n > 0
-        keys, n = keys[seen], n[seen]
-        low.append(((keys >> 32 & 0xFFFF) << 8 | keys & 255, n))
-        low[:] = [_merged(low)]
+        return np.bincount(doc, total, len(sizes))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id, block, numbers, counts, grams, low, read = TaskContext.get().partitionId(), 0, {b"\n": 0}, [], [], [], 0
-        for part in common.slices(batches):
-            ids = part.column(0).to_pylist()
-            words = [raw.lower().split() for raw in common.texts(part.column(1))]
-            train = np.array([is_training(i) for i in ids])
-            number = numbers.setdefault
-            flat = np.fromiter((number(w, len(numbers)) for ws in words for w in (*ws, b"\n")), np.int32)
-            sizes = np.array([len(ws) + 1 for ws in words])
-            counts.append(np.bincount(flat[np.repeat(train, sizes)], minlength=1))
-            planes = flat.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            ends = np.cumsum(sizes)
-            here = part_id << 24 | block
-            m = len(ids)
-            yield _rows(TEXT, m, block=np.full(m, here), doc_id=ids, held_out=~train, n_tokens=sizes, ids=[planes[e - s : e].T.tobytes() for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)])
-            seqs = [sequence(ws) for ws in words]
-            keys = _dealt(windows(seqs)) << 1 | np.repeat(~train, [len(x) - 1 for x in seqs])
-            keys.sort()
-            grams.append(_runs(keys, None))
-            read += part.column(1).nbytes
-            if read >= BLOCK:
-                yield from closed(here, numbers, counts, grams, low)
-                block, numbers, counts, grams, read = block + 1, {b"\n": 0}, [], [], 0
-        if counts:
-            yield from closed(part_id << 24 | block, numbers, counts, grams, low)
-        for keys, n in low:
-            yield _rows(LOW, len(n), key=keys, n=n)
 
-    return docs.mapInArrow(run, ROWS_DDL)
+SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -417,61 +351,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A null or empty text has the end token alone. A row without id is for training. Repeated rows count as
     often as they occur; other columns are not read. An empty table gives an empty result, and with no training
-    text every word is unknown. Words are told apart by 64-bit hashes.
+    text every word is unknown. n-grams are told apart by hashes of 54 bits.
     """
     spark = common.ship(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
-    both, path = common.written(blocks(docs), "blocks", "zstd")
-    low = both.where(F.col("kind") == LOW).groupBy("key").agg(F.sum("n").alias("n")).toArrow()
-    model = spark.sparkContext.broadcast(LowOrders(low.column("key").to_numpy(), low.column("n").to_numpy()))
-
-    def logs_of(table: pa.Table) -> pa.Table:
-        sizes = table.column("n").to_pylist()
-        keys, n = map(np.concatenate, zip(*map(_unpacked, table.column("packed").to_pylist(), sizes), strict=True))
-        own, at = np.unique(keys, return_inverse=True)
-        logs = window_logs(own, np.bincount(at, n), model.value).astype("<f4")[at]
-        m = len(sizes)
-        each = [x.tobytes() for x in np.split(logs, np.cumsum(sizes)[:-1])]
-        return pa.table([table.column("block"), pa.nulls(m, pa.int32()), table.column("n"), table.column("packed"), pa.array(each, pa.binary())], names=["block", "word", "c", "packed", "logs"])
-
-    grams = both.where(F.col("kind") == WINDOWS).select("bucket", "block", "n", "packed").groupBy("bucket").applyInArrow(logs_of, "block long, word int, c long, packed binary, logs binary")
-    words = both.where(F.col("kind") == WORD)
-    same = Window.partitionBy("key")  # a row for each block that has the word
-    counted = words.select("block", "word", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")).where("c > 0")
-    own, _ = common.written(counted, "counts", "zstd")
-    n, v = own.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    texts = both.where(F.col("kind") <= LEXICON).select("kind", "block", "doc_id", "held_out", "n_tokens", "n", "ids")
-    own = own.select("block", "word", "c", F.lit(None).cast("binary").alias("packed"), F.lit(None).cast("binary").alias("logs")).union(grams)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_text = pc.equal(left.column("kind"), TEXT)
-        listed = left.filter(pc.invert(is_text))
-        left = left.filter(is_text)
-        listed = pa.decompress(listed.column("ids")[0].as_py(), listed.column("n")[0].as_py(), codec="zstd", asbytes=True)
-        letters = np.array([b"\n", *listed.split(b"\n")], object)
-        is_word = pc.is_valid(right.column("word"))
-        found = right.filter(pc.invert(is_word))
-        right = right.filter(is_word)
-        keys = np.concatenate([_unpacked(x, m)[0] for x, m in zip(found.column("packed").to_pylist(), found.column("c").to_pylist(), strict=True)])
-        logs = Logs(keys, np.frombuffer(b"".join(found.column("logs").to_pylist()), "<f4"))
-        count = np.zeros(len(letters) + 1, np.int64)
-        count[right.column("word").to_numpy()] = right.column("c").to_numpy()
-        log = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        known, base, score, seqs, size = [], [], [], [], 0
-        for p in left.column("ids").to_pylist():
-            low, mid, high = np.frombuffer(p, np.uint8).reshape(3, -1).astype(np.int32)
-            flat = low | mid << 8 | high << 16
-            known.append(np.count_nonzero(count[flat]))
-            base.append(log[flat].sum())
-            seqs.append(sequence(letters[flat[:-1]].tolist()))
-            size += len(seqs[-1])
-            if size >= common.SLICE_BYTES:
-                score.append(logs.scores(seqs))
-                seqs, size = [], 0
-        if seqs:
-            score.append(logs.scores(seqs))
-        m = left.num_rows
-        return pa.table([left.column("doc_id"), left.column("held_out"), left.column("n_tokens"), pa.array(known, pa.int64()), pa.array(np.full(m, n, np.int64)), pa.array(base, pa.float64()), pa.array(np.concatenate(score))], schema=schema)
-
-    return texts.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    stored, _ = common.written(blocks(docs), "blocks")
+    tokens, n_blocks = stored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    bits = max(4, int(np.ceil(np.log2(2 * tokens / GROUP + 1))))
+    rows = sent(stored, bits).repartition(max(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket")
+    results, _ = common.written(counted(rows, bits), "counts")
+    stats = results.where("stats is not null").agg(*[F.coalesce(F.sum(F.col("stats")[k]), F.lit(0)) for k in range(4 * ORDER)]).first()
+    both, _ = common.written(joined(stored, results, max(1, n_blocks)), "counted_blocks")
+    classes = both.agg(*[F.coalesce(F.sum(F.col("classes")[k]), F.lit(0)) for k in range(4 * CLASSES)]).first()
+    model = spark.sparkContext.broadcast(Model(list(stats), list(classes)))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
+                g, c, m = Grams(row), _unzip(row["c"], "<u8").astype(np.int64), model.value
+                known = c[: g.width] > 0
+                sums = lambda x: np.add.reduceat(x[g.tokens], g.first)  # noqa: B023, E731
+                base = np.log10(m.base(c[: g.width]))
+                yield common.rows(SCORED, g.ids, g.held_out, g.sizes, sums(known.astype(np.int64)), np.full(len(g.ids), m.n), sums(base), Automaton(g, c, m).scores(g.tokens, g.sizes))
+
+    return both.drop("classes").mapInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -239,61 +239,59 @@ def test_lm(spark, odd):
     assert lm.score(odd.limit(0)).count() == 0
 
 
-def test_lm_keeps_rare_ngrams_of_a_large_corpus(spark):
-    """Against the formula over all n-grams. Of 6 MB, limits that grow with the corpus would drop what occurs once."""
-    rng = random.Random(5)
-    common = [f"word{rng.randint(0, 10**6)}" for _ in range(60)]
-    rows = [(k, " ".join(rng.choice(common) for _ in range(3_000))) for k in range(240)]
-    rows += [(1000 + k, f"zq{k}jx vv{k}kk {common[k]} nul é{k}") for k in range(20)]
-    seqs = {i: lm.sequence(words(x)) for i, x in rows}
-    assert sum(len(q) for i, q in seqs.items() if lm.is_training(i)) > 5_100_000
-    keys, counts = lm._grams([q for i, q in seqs.items() if lm.is_training(i)])
-    n, whole, kinds = {}, collections.Counter(), collections.Counter()
-    for k in range(1, lm.ORDER + 1):
-        own = keys >> 8 * (lm.ORDER - k)
-        ok = own & 255 != 0
-        n |= {x.to_bytes(k): c for x, c in zip(*map(np.ndarray.tolist, lm._runs(own[ok], counts[ok])), strict=True)}
-    n[b"\n"] //= 2  # the other half are the line feeds before the texts
-    for g, c in n.items():
-        whole[g[:-1]] += c
-        kinds[g[:-1]] += 1
+def brute_scores(rows):
+    """The formula of the module, n-gram by n-gram."""
+    c, whole = collections.Counter(), collections.Counter()
+    seqs = {i: ["<s>", *words(x), "</s>"] for i, x in rows}
+    for i, q in seqs.items():
+        if lm.is_training(i):
+            c.update(tuple(q[t - k + 1 : t + 1]) for t in range(1, len(q)) for k in (1, 2, 3) if t - k + 1 >= 0)
+    for g, n in c.items():
+        whole[g[:-1]] += n
+    v = sum(len(g) == 1 for g in c)
+    left = {}
+    for k in (2, 3):
+        own = {g: n for g, n in c.items() if len(g) == k}
+        once, twice = (sum(n == m for n in own.values()) for m in (1, 2))
+        kinds, sums = collections.Counter(), collections.Counter()
+        for g, n in own.items():
+            size = int(math.log2(whole[g[:-1]]))
+            kinds[size] += 1
+            sums[size] += n
+        left[k] = {s: (once + 1) / (once + 2 * twice + 2) * kinds[s] / sums[s] for s in kinds}
 
     def p(g):
         if len(g) == 1:
-            return (n.get(g, 0) + 1 / 256) / (whole[b""] + 1)
-        c = g[:-1]
-        return (n.get(g, 0) + (kinds[c] + 1) * p(g[1:])) / (whole[c] + kinds[c] + 1) if whole[c] else p(g[1:])
+            return (c[g] + 0.5) / (whole[()] + 0.5 * (v + 1))
+        n = whole[g[:-1]]
+        if not n:
+            return p(g[1:])
+        b = left[len(g)][int(math.log2(n))]
+        return (1 - b) * c[g] / n + b * p(g[1:])
+
+    return {i: sum(math.log10(p(tuple(q[max(0, t - 2) : t + 1]))) for t in range(1, len(q))) for i, q in seqs.items()}, p, c
+
 
+def test_lm_score_is_that_of_all_ngrams(spark, monkeypatch):
+    """Over several blocks, groups and stretches, with words, pairs and triples that occur once."""
+    monkeypatch.setattr(lm, "BLOCK", 20_000)
+    monkeypatch.setattr(lm, "GROUP", 2_000)
+    rng = random.Random(5)
+    common = [f"word{rng.randint(0, 10**6)}" for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(common[: 5 + k]) for _ in range(rng.choice([3, 60, 700])))) for k in range(240)]
+    rows += [(1000 + k, f"zq{k}jx vv{k}kk {common[k]} nul\0 é{k}") for k in range(20)] + [(2000, ""), (2001, None), (2002, rows[7][1])]
     got = {r.doc_id: r.score for r in lm.score(frame(spark, rows)).collect()}
-    assert got.keys() == seqs.keys()
-    for i in [0, 1, *range(1000, 1020)]:
-        q = seqs[i]
-        want = sum(math.log10(p(q[max(0, t - lm.ORDER + 1) : t + 1])) for t in range(1, len(q)))
-        assert abs(got[i] - want) < 1e-6 * len(q)
-
-
-def test_automaton_is_a_distribution_and_reads_in_stretches():
-    rng = random.Random(3)
-    seqs = [lm.sequence([rng.choice([b"the", b"cat", b"sat", b"mat", b"of"]) for _ in range(rng.randint(1, 400))]) for _ in range(60)]
-    keys, counts = lm._grams(seqs)
-    grams = []
-    for k in range(1, lm.ORDER + 1):
-        own = keys >> 8 * (lm.ORDER - k)
-        ok = own & 255 != 0
-        grams.append(lm._runs(own[ok], counts[ok]))
-    a = lm.Automaton(grams)
-    for s in range(1, a.n_states, 7):
-        assert abs((10 ** a.step(np.full(256, s, np.int32), np.arange(256))[1]).sum() - 1) < 1e-5
-    whole = a.scores(seqs[:5])
-    for x, total in zip(seqs, whole, strict=False):
-        state, log = np.array([a.start], np.int32), 0.0
-        for b in x[1:]:
-            if state[0] == 0:
-                state, log = np.array([a.root_next[b]], np.int32), log + a.root_log[b]
-            else:
-                state, p = a.step(state, np.array([b]))
-                log += p[0]
-        assert abs(log - total) < 1e-3
+    want, p, c = brute_scores(rows)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 * (1 + abs(want[i])) for i in want)
+    vocabulary = [g[0] for g in c if len(g) == 1]
+    for h in [(), (words(rows[3][1])[0],), ("<s>",), tuple(words(rows[3][1])[:2]), ("<s>", words(rows[4][1])[0])]:
+        assert abs(sum(p((*h, w)) for w in vocabulary) + p((*h, "never seen")) - 1) < 1e-9
+
+
+def test_lm_is_no_worse_than_its_base(spark, sf):
+    for d in (sf, "/root/testdata/sf0.01"):
+        r = lm.score(spark.read.parquet(f"{d}/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
+        assert r.s >= r.b
 
 
 def test_pipeline(spark):
