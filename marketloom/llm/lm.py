@@ -29,7 +29,7 @@ from marketloom.llm import common
 
 ORDER = 3
 #: A block of texts, in bytes. A longer text is a block by itself.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: n-grams in a group that counts, on average.
 GROUP = 3_000_000
 #: Texts are read in stretches of so many tokens.
@@ -127,11 +127,14 @@ class Grams:
         self.triples, self.of_triple = np.unique(key, return_inverse=True)
         if len(self.triples) and self.triples[0] < 0:
             self.triples, self.of_triple = self.triples[1:], self.of_triple - 1
-        own = np.fromiter(map(xxhash.xxh3_64_intdigest, (*words, START)), np.uint64, self.width)
+        self.words = words
+
+    def hash(self) -> None:
+        """All hashes, words, the start (of order 0), pairs and triples in turn, and the order that sorts them."""
+        own = np.fromiter(map(xxhash.xxh3_64_intdigest, (*self.words, START)), np.uint64, self.width)
         two = _scramble(own[self.pairs // self.width] * _MIX[0] + own[self.pairs % self.width] * _MIX[1])
         three = _scramble(two[self.triples // self.width] * _MIX[0] + own[self.triples % self.width] * _MIX[1])
         cut = lambda h, order: (_scramble(h) >> np.uint64(66 - HASH_BITS) << np.uint64(2) | np.uint64(order)).view(np.int64)
-        #: All hashes, words, the start (of order 0), pairs and triples in turn, and the order that sorts them.
         self.hashes = np.concatenate([cut(own[:-1], 1), cut(own[-1:], 0), cut(two, 2), cut(three, 3)])
         self.order = np.argsort(self.hashes, kind="stable")
 
@@ -165,6 +168,7 @@ def sent(stored: DataFrame, bits: int) -> DataFrame:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
                 g = Grams(row)
+                g.hash()
                 keys, n = g.hashes[g.order], g.counts()[g.order]
                 out = [(b, row["block"], _zip(np.diff(keys[i:j], prepend=b << HASH_BITS - bits), "<u8"), _zip(n[i:j], "<u4")) for b, i, j in g.sorted_by_group(bits)]
                 for at in range(0, len(out), 1_000):
@@ -212,6 +216,7 @@ def joined(stored: DataFrame, results: DataFrame, n_blocks: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         g = Grams(row)
+        g.hash()
         by = np.argsort(right.column("bucket").to_numpy(), kind="stable").tolist()
         c, first = np.zeros(len(g.order), np.int64), np.zeros(len(g.order), bool)
         c[g.order] = np.concatenate([_unzip(right.column("c")[k].as_py(), "<u8") for k in by])
@@ -275,24 +280,35 @@ class Automaton:
         self._table(arcs, targets, logs)
 
     def _table(self, arcs: np.ndarray, targets: np.ndarray, logs: np.ndarray) -> None:
-        """Arcs by hash, in a table with room to spare; what collides moves to the next free place."""
+        """Arcs by hash: their numbers in a table with room to spare; what collides moves to the next free place."""
         bits = max(4, int(np.ceil(np.log2(2 * len(arcs) + 1))))
         self.shift = np.uint64(64 - bits)
-        size = 1 << bits
-        self.keys, self.next, self.log = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size)
-        slot, left = self._slot(arcs), np.arange(len(arcs))
+        self.arcs, self.next, self.log = np.append(arcs, -1), np.append(targets, 0).astype(np.int32), np.append(logs, 0.0)
+        self.number = np.full(1 << bits, -1, np.int32)
+        slot, left = self._slot(arcs), np.arange(len(arcs), dtype=np.int32)
         while len(left):
-            free = np.flatnonzero(self.keys[slot] < 0)
+            free = np.flatnonzero(self.number[slot] < 0)
             at, pick = np.unique(slot[free], return_index=True)
             won = free[pick]
-            self.keys[at], self.next[at], self.log[at] = arcs[left[won]], targets[left[won]], logs[left[won]]
+            self.number[at] = left[won]
             rest = np.ones(len(left), bool)
             rest[won] = False
-            left, slot = left[rest], (slot[rest] + 1) & (size - 1)
+            left, slot = left[rest], (slot[rest] + 1) & (len(self.number) - 1)
 
     def _slot(self, arcs: np.ndarray) -> np.ndarray:
         return ((arcs.astype(np.uint64) * _MIX[0]) >> self.shift).view(np.int64)
 
+    def _find(self, arc: np.ndarray) -> np.ndarray:
+        """Numbers of arcs, -1 for those that there are not."""
+        slot = self._slot(arc)
+        number = self.number[slot]
+        moved = np.flatnonzero((self.arcs[number] != arc) & (number >= 0))
+        while len(moved):
+            slot[moved] = (slot[moved] + 1) & (len(self.number) - 1)
+            number[moved] = self.number[slot[moved]]
+            moved = moved[(self.arcs[number[moved]] != arc[moved]) & (number[moved] >= 0)]
+        return number
+
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and log10 probabilities of reading a word in each state: failure arcs are followed until an arc has the word."""
         log, after = np.zeros(len(state)), np.zeros(len(state), np.int64)
@@ -304,18 +320,11 @@ class Automaton:
                 after[to] = self.root_next[w[root]]
                 log[to] += self.root_log[w[root]]
                 lanes, s, w = lanes[~root], s[~root], w[~root]
-            arc = s * self.width + w
-            slot = self._slot(arc)
-            key = self.keys[slot]
-            moved = np.flatnonzero((key != arc) & (key >= 0))
-            while len(moved):
-                slot[moved] = (slot[moved] + 1) & (len(self.keys) - 1)
-                key[moved] = self.keys[slot[moved]]
-                moved = moved[(key[moved] != arc[moved]) & (key[moved] >= 0)]
-            hit = key == arc
+            number = self._find(s * self.width + w)
+            hit = number >= 0
             to = lanes[hit]
-            after[to] = self.next[slot[hit]]
-            log[to] += self.log[slot[hit]]
+            after[to] = self.next[number[hit]]
+            log[to] += self.log[number[hit]]
             lanes, s, w = lanes[~hit], s[~hit], w[~hit]
             log[lanes] += self.weight[s]
             s = self.fail[s]
@@ -370,6 +379,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1).to_pylist()[0]
                 g, c, m = Grams(row), _unzip(row["c"], "<u8").astype(np.int64), model.value
+                del g.words, g.of_pair, g.of_triple
                 known = c[: g.width] > 0
                 sums = lambda x: np.add.reduceat(x[g.tokens], g.first)  # noqa: B023, E731
                 base = np.log10(m.base(c[: g.width]))
