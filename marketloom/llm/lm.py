@@ -37,7 +37,7 @@ STRETCH = 256
 #: Size classes of contexts, by powers of two.
 CLASSES = 48
 #: Bits of an n-gram's hash, the last two of which are its order.
-HASH_BITS = 56
+HASH_BITS = 52
 END, START = b"\n", b"\r"
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -360,7 +360,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A null or empty text has the end token alone. A row without id is for training. Repeated rows count as
     often as they occur; other columns are not read. An empty table gives an empty result, and with no training
-    text every word is unknown. n-grams are told apart by hashes of 54 bits.
+    text every word is unknown. n-grams are told apart by hashes of 50 bits.
     """
     spark = common.ship(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
