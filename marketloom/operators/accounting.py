@@ -15,9 +15,19 @@ KEY1 = ["account_id", "symbol"]
 EPS = 1e-12
 
 
+def exact(column: str | Column) -> Column:
+    """A quantity as a decimal, so that running sums of fractions meet exactly."""
+    return (F.col(column) if isinstance(column, str) else column).cast("decimal(26,12)")
+
+
+def sided(fills: DataFrame) -> DataFrame:
+    """side in capitals: BUY in any case is BUY, and anything else SELL."""
+    return fills.withColumn("side", F.when(F.upper("side") == "BUY", "BUY").otherwise("SELL"))
+
+
 def dedupe_fills(fills: DataFrame) -> DataFrame:
-    """The first of the fills with one account, strategy, symbol, order and fill id. Without a fill id, all fields together stand for it."""
-    fill_id = F.coalesce("fill_id", F.sha2(F.concat_ws("|", "side", F.col("qty").cast("string"), F.col("price").cast("string"), F.col("ts").cast("string")), 256))
+    """The first of the fills with one account, strategy, symbol, order and fill id. Without a fill id (null or empty), all fields together stand for it."""
+    fill_id = F.coalesce(F.when(F.length("fill_id") > 0, F.col("fill_id")), F.sha2(F.concat_ws("|", "side", F.col("qty").cast("string"), F.col("price").cast("string"), F.col("ts").cast("string")), 256))
     w = Window.partitionBy(*KEY2, "order_id", "_fill").orderBy("seq")
     return fills.withColumn("_fill", fill_id).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_fill")
 
@@ -25,7 +35,7 @@ def dedupe_fills(fills: DataFrame) -> DataFrame:
 def running(key: list[str], qty: str) -> Column:
     """Running quantity of each row's own side. One window over the key serves both sides, so rows stay where the key's other windows put them."""
     w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    own = lambda side: F.sum(F.when(F.col("side") == side, F.col(qty)).otherwise(0.0)).over(w)
+    own = lambda side: F.sum(F.when(F.col("side") == side, exact(qty)).otherwise(exact(F.lit(0)))).over(w)
     return F.when(F.col("side") == "BUY", own("BUY")).otherwise(own("SELL"))
 
 
@@ -38,14 +48,15 @@ def _sweep(fills: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
         *key, "cum",
         F.last(F.when(F.col("side") == "BUY", row), ignorenulls=True).over(down).alias("buy"),
         F.last(F.when(F.col("side") == "SELL", row), ignorenulls=True).over(down).alias("sell"),
-        F.lead("cum", 1, 0.0).over(Window.partitionBy(*key).orderBy(F.desc("cum"))).alias("below"),
+        F.lead("cum").over(Window.partitionBy(*key).orderBy(F.desc("cum"))).alias("below"),
     )
-    return each.withColumn("qty", F.col("cum") - F.col("below")).where("qty > 0 and buy is not null and sell is not null")
+    part = (F.col("cum") - F.coalesce("below", exact(F.lit(0)))).cast("double")
+    return each.withColumn("qty", part).where(f"qty > {EPS} and buy is not null and sell is not null")
 
 
 def fifo_two_sided(fills: DataFrame) -> DataFrame:
     """Matches of deduped fills with side: buys close shorts and sells close longs, oldest first."""
-    d = fills.withColumn("q", F.col("qty"))
+    d = sided(fills).withColumn("q", F.col("qty"))
     m = _sweep(d, KEY2, ["order_id", "fill_id", "price", "ts"])
     return m.select(
         *KEY2,
@@ -64,9 +75,9 @@ def fifo_long_only(fills: DataFrame, status: str | None = "FILLED") -> DataFrame
     d = fills if status is None else fills.where(F.col("status") == status)
     d = d.where("fill_qty != 0")
     run = Window.partitionBy(*KEY1).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("net", F.sum("fill_qty").over(run)).withColumn("low", F.least(F.lit(0.0), F.min("net").over(run)))
-    before = F.lag("low", 1, 0.0).over(Window.partitionBy(*KEY1).orderBy("seq"))
-    d = d.withColumn("dropped", before - F.col("low"))
+    d = d.withColumn("net", F.sum(exact("fill_qty")).over(run)).withColumn("low", F.least(exact(F.lit(0)), F.min("net").over(run)))
+    before = F.coalesce(F.lag("low").over(Window.partitionBy(*KEY1).orderBy("seq")), exact(F.lit(0)))
+    d = d.withColumn("dropped", (before - F.col("low")).cast("double"))
     d = d.select(*KEY1, "order_id", F.col("fill_price").alias("price"), "ts", "seq", F.when(F.col("fill_qty") > 0, "BUY").otherwise("SELL").alias("side"), F.when(F.col("fill_qty") > 0, F.col("fill_qty")).otherwise(-F.col("fill_qty") - F.col("dropped")).alias("q")).where(f"q > {EPS}")
     m = _sweep(d, KEY1, ["order_id", "price", "ts"])
     return m.select(
@@ -78,9 +89,9 @@ def fifo_long_only(fills: DataFrame, status: str | None = "FILLED") -> DataFrame
 def lots_latest(fills: DataFrame) -> DataFrame:
     """Open lots of deduped fills. As many units match on either side as the smaller side has, the oldest ones; what lies beyond is open."""
     key = Window.partitionBy(*KEY2)
-    total = lambda side: F.sum(F.when(F.col("side") == side, F.col("qty")).otherwise(0.0)).over(key)
-    d = fills.withColumn("hi", running(KEY2, "qty")).withColumn("matched", F.least(total("BUY"), total("SELL")))
-    d = d.withColumn("qty_rem", F.col("hi") - F.greatest(F.col("hi") - F.col("qty"), F.col("matched"))).where(f"qty_rem > {EPS}")
+    total = lambda side: F.sum(F.when(F.col("side") == side, exact("qty")).otherwise(exact(F.lit(0)))).over(key)
+    d = sided(fills).withColumn("hi", running(KEY2, "qty")).withColumn("matched", F.least(total("BUY"), total("SELL")))
+    d = d.withColumn("qty_rem", (F.col("hi") - F.greatest(F.col("hi") - exact("qty"), F.col("matched"))).cast("double")).where(f"qty_rem > {EPS}")
     return d.select(*KEY2, F.concat_ws("#", "order_id", "fill_id").alias("lot_id"), F.when(F.col("side") == "BUY", "LONG").otherwise("SHORT").alias("side"), F.col("qty").alias("qty_open"), "qty_rem", F.col("price").alias("avg_price"), F.col("ts").alias("ts_open"), F.col("seq").alias("lot_seq"))
 
 
@@ -109,8 +120,8 @@ def rollup_latest(lots: DataFrame) -> DataFrame:
 def rollup_changelog(fills: DataFrame) -> DataFrame:
     """op, keys, net_qty (null for DELETE), ts and seq after each deduped fill."""
     w = Window.partitionBy(*KEY2).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    signed = F.when(F.col("side") == "BUY", F.col("qty")).otherwise(-F.col("qty"))
-    d = fills.withColumn("net", F.sum(signed).over(w))
+    signed = F.when(F.col("side") == "BUY", exact("qty")).otherwise(-exact("qty"))
+    d = sided(fills).withColumn("net", F.sum(signed).over(w).cast("double"))
     return d.select(F.when(F.abs("net") <= EPS, "DELETE").otherwise("UPSERT").alias("op"), *KEY2, F.when(F.abs("net") > EPS, F.col("net")).alias("net_qty"), "ts", "seq")
 
 
@@ -120,6 +131,13 @@ def realized_cumulative(matches: DataFrame, key: list[str]) -> DataFrame:
     return matches.withColumn("cumulative_pnl", F.sum("realized_pnl").over(w))
 
 
+def realized_updates(matches: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each fill whose matches changed the key's realized profit: match_seq, ts and the running cumulative_pnl."""
+    d = matches.groupBy(*key, "match_seq").agg(F.sum("realized_pnl").alias("delta"), F.max("match_ts").alias("ts")).where(f"abs(delta) > {EPS}")
+    w = Window.partitionBy(*key).orderBy("match_seq").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select(*key, "match_seq", "ts", F.sum("delta").over(w).alias("cumulative_pnl"))
+
+
 def realized_latest(matches: DataFrame, key: list[str]) -> DataFrame:
     return matches.groupBy(*key).agg(F.sum("realized_pnl").alias("realized_pnl"), F.max("match_ts").alias("ts"))
 

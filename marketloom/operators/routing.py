@@ -9,6 +9,8 @@ DEFAULT_MAX_OPEN = 3
 MAX_NOTIONAL = 1_000_000.0
 #: Capacity of an account whose positions come before its policy.
 UNBOUNDED = 2**30
+#: Accounts that a router chooses among, at most: each signal meets each.
+MAX_ACCOUNTS = 10_000
 
 
 def signal_to_trade(signals: DataFrame, account: str = "run_id") -> DataFrame:
@@ -57,18 +59,26 @@ def account_states(deltas: DataFrame) -> DataFrame:
 def trade_picker(signals: DataFrame, policies: DataFrame, deltas: DataFrame, qty: float = 1.0, scale_in: bool = True) -> DataFrame:
     """The account for each signal as of its time: active, with room, not holding the symbol (or, with scale_in, holding it), fewest open symbols, then by id.
 
-    Accounts are few and bounded by the policies and deltas; each signal meets each account's state through one
-    as-of union over account and time. Nothing is reserved by a routed signal. Without an account the signal is dropped.
+    Policies and positions count from their own time on (policies without ts from the start); an account whose positions come
+    before its policy has room without bound until then. Each signal meets each account's state through as-of unions over
+    account and time, so accounts are bounded: more than MAX_ACCOUNTS are an error. Nothing is reserved by a routed signal. Without
+    an account the signal is dropped.
     """
     from marketloom.operators.joins import asof_join
 
     states = account_states(deltas)
-    known = policies.select("account_id", "max_open_symbols", "status").unionByName(deltas.select("account_id").distinct().join(policies.select("account_id"), "account_id", "left_anti").select("account_id", F.lit(UNBOUNDED).alias("max_open_symbols"), F.lit("ACTIVE").alias("status")))
-    able = known.where(F.upper("status") == "ACTIVE").agg(F.collect_list(F.struct("account_id", "max_open_symbols")).alias("accounts"))
-    each = signals.withColumn("_one", F.lit(1)).join(F.broadcast(able.withColumn("_one", F.lit(1))), "_one").withColumn("a", F.explode("accounts")).select(*signals.columns, "a.*")
-    counted = asof_join(each, states, ["account_id"], ["open_count"])
+    if "ts" not in policies.columns:
+        policies = policies.withColumn("ts", F.lit(-(2**62)).cast("long"))
+    rules = policies.select("account_id", "ts", F.lit(0).cast("long").alias("seq"), "max_open_symbols", "status")
+    every = policies.select("account_id").union(deltas.select("account_id")).distinct().agg(F.collect_list("account_id").alias("accounts"))
+    few = F.when(F.size("accounts") > MAX_ACCOUNTS, F.raise_error(F.lit(f"more than {MAX_ACCOUNTS} accounts")).cast("array<string>")).otherwise(F.col("accounts"))
+    every = every.select(few.alias("accounts"), F.lit(1).alias("_one"))
+    each = signals.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one").withColumn("account_id", F.explode("accounts")).select(*signals.columns, "account_id")
+    ruled = asof_join(each, rules, ["account_id"], ["max_open_symbols", "status"])
+    counted = asof_join(ruled, states, ["account_id"], ["open_count"])
     held = asof_join(counted, states, ["account_id", "symbol"], ["is_open"])
-    d = held.withColumn("open_count", F.coalesce("open_count", F.lit(0))).withColumn("holds", F.coalesce("is_open", F.lit(False))).where("open_count < max_open_symbols")
+    active = F.when(F.col("status").isNull(), F.when(F.col("open_count").isNotNull(), F.lit(UNBOUNDED))).when(F.upper("status") == "ACTIVE", F.col("max_open_symbols"))
+    d = held.withColumn("room", active).withColumn("open_count", F.coalesce("open_count", F.lit(0))).withColumn("holds", F.coalesce("is_open", F.lit(False))).where("open_count < room")
     if not scale_in:
         d = d.where("not holds")
     best = d.groupBy(*signals.columns).agg(F.min(F.struct("holds", "open_count", "account_id")).alias("b"))
@@ -78,37 +88,40 @@ def trade_picker(signals: DataFrame, policies: DataFrame, deltas: DataFrame, qty
 def admission(orders: DataFrame, policies: DataFrame | None = None, positions: DataFrame | None = None) -> DataFrame:
     """Orders that pass: notional of at most MAX_NOTIONAL, and no new symbol beyond the account's limit.
 
-    Accepted orders move the account's estimate; position rows (account_id, symbol, net_qty, ts, seq) set it.
-    Each decision rests on those before, so an account is one group, taken in order of (ts, controls first, seq).
+    Accepted orders move the account's estimate; position rows (account_id, symbol, net_qty, ts, seq) set it, and a policy sets the
+    limit from its time on. Each decision rests on those before, so an account's rows are taken in order of (ts, controls first, seq)
+    by one task, which holds the account's open symbols and a batch of rows, however many rows there are.
     """
-    d = orders.withColumn("kind", F.lit(1))
+    d = orders.withColumn("kind", F.lit(2)).withColumn("limit", F.lit(None).cast("int"))
     if positions is not None:
-        d = d.unionByName(positions.select("account_id", "symbol", F.col("net_qty").alias("qty"), "ts", "seq", F.lit(0).alias("kind")), allowMissingColumns=True)
+        d = d.unionByName(positions.select("account_id", "symbol", F.col("net_qty").alias("qty"), "ts", "seq", F.lit(1).alias("kind")), allowMissingColumns=True)
     if policies is not None:
         limit = F.when(F.upper("status") == "BLOCKED", 0).when(F.col("max_open_symbols") > 0, F.col("max_open_symbols")).otherwise(DEFAULT_MAX_OPEN)
-        d = d.join(policies.groupBy("account_id").agg(F.max_by(limit, "ts").alias("limit")), "account_id", "left")
-    else:
-        d = d.withColumn("limit", F.lit(None).cast("int"))
+        d = d.unionByName(policies.where("account_id is not null").select("account_id", "ts", F.lit(0).cast("long").alias("seq"), F.lit(0).alias("kind"), limit.cast("int").alias("limit")), allowMissingColumns=True)
     columns = orders.columns
 
-    def run(pdf):
-        pdf = pdf.sort_values(["ts", "kind", "seq"])
-        limit = pdf["limit"].iloc[0]
-        limit = DEFAULT_MAX_OPEN if limit is None or limit != limit else int(limit)
-        net, keep = {}, []
-        for kind, symbol, qty, price in zip(pdf["kind"].tolist(), pdf["symbol"].tolist(), pdf["qty"].tolist(), pdf["price"].tolist(), strict=True):
-            if kind == 0:
-                net[symbol] = qty
-                if qty == 0:
-                    del net[symbol]
-                keep.append(False)
-                continue
-            ok = abs(qty * price) <= MAX_NOTIONAL and (symbol in net or qty == 0 or len(net) < limit)
-            if ok:
-                after = net.pop(symbol, 0.0) + qty
-                if after:
-                    net[symbol] = after
-            keep.append(ok)
-        return pdf[keep][columns]
-
-    return d.groupBy("account_id").applyInPandas(run, orders.schema)
+    def run(frames):
+        account, limit, net = object(), DEFAULT_MAX_OPEN, {}
+        for pdf in frames:
+            keep = []
+            for own, kind, symbol, qty, price, new in zip(*(pdf[c].tolist() for c in ("account_id", "kind", "symbol", "qty", "price", "limit")), strict=True):
+                if own != account:
+                    account, limit, net = own, DEFAULT_MAX_OPEN, {}
+                ok = False
+                if kind == 0:
+                    limit = int(new)
+                elif kind == 1:
+                    net[symbol] = qty
+                    if qty == 0:
+                        del net[symbol]
+                else:
+                    ok = abs(qty * price) <= MAX_NOTIONAL and (symbol in net or qty == 0 or len(net) < limit)
+                    if ok:
+                        after = net.pop(symbol, 0.0) + qty
+                        if after:
+                            net[symbol] = after
+                keep.append(ok)
+            yield pdf[keep][columns]
+
+    ordered = d.repartition("account_id").sortWithinPartitions("account_id", "ts", "kind", "seq")
+    return ordered.mapInPandas(run, orders.schema)

@@ -19,7 +19,10 @@ CTE: dict[str, tuple[list[str], str]] = {
     "fills": (["li"], "SELECT * EXCLUDE (o, flag), row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY o) AS seq FROM li"),
     "uniq": (["fills"], "SELECT * FROM fills QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol, order_id, fill_id ORDER BY seq) = 1"),
     "cums": (["uniq"], "SELECT *, sum(qty) OVER (PARTITION BY account_id, strategy_id, symbol, side ORDER BY seq) AS hi FROM uniq"),
-    "matches": (["cums"], "SELECT b.account_id, b.strategy_id, b.symbol, b.order_id AS buy_order_id, b.fill_id AS buy_fill_id, s.order_id AS sell_order_id, s.fill_id AS sell_fill_id, b.ts AS buy_ts, s.ts AS sell_ts, b.price AS buy_price, s.price AS sell_price, least(b.hi, s.hi) - greatest(b.hi - b.qty, s.hi - s.qty) AS matched_qty, (s.price - b.price) * (least(b.hi, s.hi) - greatest(b.hi - b.qty, s.hi - s.qty)) AS realized_pnl, greatest(b.ts, s.ts) AS match_ts, greatest(b.seq, s.seq) AS match_seq, b.seq AS buy_seq, s.seq AS sell_seq FROM cums b JOIN cums s ON b.account_id = s.account_id AND b.strategy_id = s.strategy_id AND b.symbol = s.symbol AND b.side = 'BUY' AND s.side = 'SELL' AND b.hi - b.qty < s.hi AND s.hi - s.qty < b.hi"),
+    "buys": (["cums"], "SELECT * FROM cums WHERE side = 'BUY'"),
+    "sells": (["cums"], "SELECT * FROM cums WHERE side = 'SELL'"),
+    "points": (["cums"], "SELECT *, hi - coalesce(lag(hi) OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY hi), 0) AS q FROM (SELECT DISTINCT account_id, strategy_id, symbol, hi FROM cums)"),
+    "matches": (["points", "buys", "sells"], "SELECT p.account_id, p.strategy_id, p.symbol, b.order_id AS buy_order_id, b.fill_id AS buy_fill_id, s.order_id AS sell_order_id, s.fill_id AS sell_fill_id, b.ts AS buy_ts, s.ts AS sell_ts, b.price AS buy_price, s.price AS sell_price, p.q AS matched_qty, (s.price - b.price) * p.q AS realized_pnl, greatest(b.ts, s.ts) AS match_ts, greatest(b.seq, s.seq) AS match_seq, b.seq AS buy_seq, s.seq AS sell_seq FROM points p ASOF JOIN buys b ON p.account_id = b.account_id AND p.strategy_id = b.strategy_id AND p.symbol = b.symbol AND p.hi <= b.hi ASOF JOIN sells s ON p.account_id = s.account_id AND p.strategy_id = s.strategy_id AND p.symbol = s.symbol AND p.hi <= s.hi"),
     "used": (["matches"], "SELECT account_id, strategy_id, symbol, seq, sum(matched_qty) AS used FROM (SELECT account_id, strategy_id, symbol, buy_seq AS seq, matched_qty FROM matches UNION ALL SELECT account_id, strategy_id, symbol, sell_seq, matched_qty FROM matches) GROUP BY ALL"),
     "lots": (["uniq", "used"], "SELECT account_id, strategy_id, symbol, order_id || '#' || fill_id AS lot_id, CASE side WHEN 'BUY' THEN 'LONG' ELSE 'SHORT' END AS side, qty AS qty_open, qty - coalesce(used, 0) AS qty_rem, price AS avg_price, ts AS ts_open FROM uniq LEFT JOIN used USING (account_id, strategy_id, symbol, seq) WHERE qty - coalesce(used, 0) > 1e-12"),
     "rollup": (["lots"], "SELECT account_id, strategy_id, symbol, CASE WHEN net > 0 THEN 'LONG' ELSE 'SHORT' END AS side, net AS net_qty, abs(v / net) AS avg_price, ts AS last_updated FROM (SELECT account_id, strategy_id, symbol, sum(CASE side WHEN 'LONG' THEN qty_rem ELSE -qty_rem END) AS net, sum(avg_price * CASE side WHEN 'LONG' THEN qty_rem ELSE -qty_rem END) AS v, max(ts_open) AS ts FROM lots GROUP BY ALL) WHERE abs(net) > 1e-12"),
@@ -133,10 +136,11 @@ ORACLES: dict[str, str] = {
     "cep_cooldown": sql("cross2", select="").removesuffix(" ") + f", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM cross2), g AS (SELECT k.*, ts AS last, true AS ok FROM k WHERE n = 1 UNION ALL SELECT k.*, CASE WHEN k.ts - g.last >= {3 * DAY} THEN k.ts ELSE g.last END, k.ts - g.last >= {3 * DAY} FROM g JOIN k ON k.symbol = g.symbol AND k.n = g.n + 1) SELECT {SIGNAL} FROM g WHERE ok",
     "cep_seven_green": sql("bars", select="SELECT 'seven-green' AS run_id, symbol, ts, v AS close, 0.0::DOUBLE AS sma5, 0.0::DOUBLE AS sma21, 'BUY' AS signal, round(CASE WHEN v0 > 0 THEN least(1.0, 10 * (v - v0) / v0) ELSE 0 END, 4) AS signal_strength FROM (SELECT *, lag(v, 6) OVER (PARTITION BY symbol ORDER BY ts) AS v0, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM (SELECT symbol, ts, sum(volume) OVER (PARTITION BY symbol ORDER BY ts) AS v FROM bars)) WHERE n % 7 = 0"),
     "cep_side_debug": sql("cross2", select="SELECT symbol, ts, printf('%s %s @%d sma5=%.4f sma21=%.4f', signal, symbol, ts, round(sma5, 4), round(sma21, 4)) AS line FROM cross2"),
-    "jn_interval": sql("ticks", select="SELECT l.symbol, l.ts, l.seq, r.ts AS right_ts, r.seq AS right_seq, r.price FROM ticks l JOIN ticks r ON l.symbol = r.symbol AND l.seq % 3 = 0 AND r.seq % 3 = 1 AND abs(l.ts - r.ts) <= 600000"),
+    "jn_interval": sql("ticks", select="SELECT l.symbol, l.ts, l.seq, r.ts AS right_ts, r.seq AS right_seq, r.price FROM ticks l JOIN ticks r ON l.symbol = r.symbol AND abs(l.ts - r.ts) <= 600000"),
+    "jn_interval_whole": sql("ticks", select="SELECT l.symbol, l.ts, l.seq, r.ts AS right_ts, r.seq AS right_seq, r.price FROM ticks l JOIN ticks r ON l.symbol = r.symbol AND abs(l.ts - r.ts) <= 600000"),
     "jn_equi_self": sql("smas", select="SELECT symbol, ts, round(sma5, 8) AS value, round(sma20, 8) AS slow FROM smas"),
     "jn_temporal": sql("orders", "policies", select="SELECT account_id, status, count(*) AS n, sum(qty) AS qty FROM orders JOIN policies USING (account_id) GROUP BY ALL"),
-    "jn_asof_latest": sql("fills1", select="SELECT f.account_id, f.symbol, f.ts, f.seq, p.fill_price AS price FROM fills1 f ASOF LEFT JOIN (SELECT * FROM fills1 WHERE seq % 5 = 0) p ON f.account_id = p.account_id AND f.symbol = p.symbol AND f.seq >= p.seq"),
+    "jn_asof_latest": sql("fills1", select="SELECT f.account_id, f.symbol, f.ts, f.seq, p.fill_price AS price FROM fills1 f ASOF LEFT JOIN fills1 p ON f.account_id = p.account_id AND f.symbol = p.symbol AND f.seq >= p.seq"),
     "jn_asof_symbol": sql("rollup", "uniq", select=f"SELECT {KEY}, price AS current_price, round((price - avg_price) * net_qty, 2) AS unrealized_pnl FROM rollup JOIN (SELECT symbol, arg_max(price, (ts, account_id, strategy_id, seq)) AS price FROM uniq GROUP BY symbol) USING (symbol)"),
     "upnl_v2": sql("rollup", "uniq", select="SELECT account_id, strategy_id, round(sum((price - avg_price) * net_qty), 2) AS unrealized_pnl FROM rollup JOIN (SELECT symbol, arg_max(price, (ts, account_id, strategy_id, seq)) AS price FROM uniq GROUP BY symbol) USING (symbol) GROUP BY ALL"),
     "jn_connect_policy": sql("orders", "policies", select=f"SELECT o.account_id, v.version, count(*) AS n, sum(o.qty) AS qty FROM orders o ASOF LEFT JOIN (SELECT account_id, unnest([22, 24, 26]) AS version, unnest([22, 24, 26])::BIGINT * {365 * DAY} AS vts FROM policies) v ON o.account_id = v.account_id AND o.ts >= v.vts GROUP BY ALL"),
@@ -155,6 +159,7 @@ ORACLES: dict[str, str] = {
     "lots_changelog": sql("uniq", "matches", select=f"SELECT CASE WHEN rem <= 1e-12 THEN 'DELETE' ELSE 'UPSERT' END AS op, {KEY}, seq AS lot_seq, change_seq, CASE WHEN rem > 1e-12 THEN rem END AS qty_rem FROM (SELECT *, -sum(used) OVER (PARTITION BY {KEY}, seq ORDER BY change_seq) AS rem FROM (SELECT {KEY}, seq, change_seq, sum(used) AS used FROM (SELECT {KEY}, seq, seq AS change_seq, -qty AS used FROM uniq UNION ALL SELECT {KEY}, buy_seq, greatest(buy_seq, sell_seq), matched_qty FROM matches UNION ALL SELECT {KEY}, sell_seq, greatest(buy_seq, sell_seq), matched_qty FROM matches) GROUP BY ALL)) WHERE NOT (change_seq = seq AND rem <= 1e-12)"),
     "rollup_latest": sql("rollup", select=f"SELECT {KEY}, side, net_qty, round(avg_price, 3) AS avg_price, last_updated FROM rollup"),
     "rollup_changelog": sql("changes", select="SELECT * FROM changes"),
+    "rpnl_updates": sql("matches", select=f"SELECT {KEY}, match_seq, ts, round(sum(delta) OVER (PARTITION BY {KEY} ORDER BY match_seq), 2) AS cumulative_pnl FROM (SELECT {KEY}, match_seq, sum(realized_pnl) AS delta, max(match_ts) AS ts FROM matches GROUP BY ALL) WHERE abs(delta) > 1e-12"),
     "rpnl_cumulative": sql("matches", select=f"SELECT {KEY}, match_seq, buy_seq, sell_seq, round(sum(realized_pnl) OVER (PARTITION BY {KEY} ORDER BY match_seq, buy_seq, sell_seq), 2) AS cumulative_pnl FROM matches"),
     "upnl_v1": sql("positions", "fills1", select="SELECT account_id, symbol, price AS current_price, round((price - avg_price) * net_qty, 2) AS unrealized_pnl, greatest(last_updated, pts) AS ts FROM positions JOIN (SELECT account_id, symbol, arg_max(fill_price, seq) AS price, max(ts) AS pts FROM fills1 GROUP BY ALL) USING (account_id, symbol)"),
     "pf_aggregate": sql("portfolios", select="SELECT account_id, round(equity, 2) AS equity, cash_balance, round(exposure, 2) AS exposure, margin_used FROM portfolios"),

@@ -474,15 +474,12 @@ def cep_side_debug(s, d):
 
 @query
 def jn_interval(s, d):
-    t = ad.ticks(s, d)
-    left = t.where("seq % 3 = 0").select("symbol", "ts", "seq")
-    right = t.where("seq % 3 = 1").select("symbol", "ts", F.col("seq").alias("right_seq"), "price")
-    return joins.interval_join(left, right, 600_000)
+    """Every tick with every tick of its symbol within ten minutes."""
+    return jn_interval_whole(s, d)
 
 
 @query
 def jn_interval_whole(s, d):
-    """Every tick with every tick; jn_interval has the two thirds that its SQL names."""
     t = ad.ticks(s, d)
     return joins.interval_join(t.select("symbol", "ts", "seq"), t.select("symbol", "ts", F.col("seq").alias("right_seq"), "price"), 600_000)
 
@@ -503,13 +500,13 @@ def jn_temporal(s, d):
 @query
 def jn_asof_latest(s, d):
     f = ad.fills_v1(s, d)
-    prices = f.select("account_id", "symbol", "ts", "seq", F.col("fill_price").alias("price")).where("seq % 5 = 0")
+    prices = f.select("account_id", "symbol", "ts", "seq", F.col("fill_price").alias("price"))
     return joins.asof_join(f.select("account_id", "symbol", "ts", "seq"), prices, ["account_id", "symbol"], ["price"], ["seq"])
 
 
 @query
 def jn_asof_latest_whole(s, d):
-    """Every position change and every price; jn_asof_latest has the fifth of the prices that its SQL names, and rows for fills alone."""
+    """A row for every position change and for every price; jn_asof_latest has rows for fills alone."""
     f = ad.fills_v1(s, d)
     return rounded(acc.unrealized_updates(acc.avg_cost_updates(f), jobs.price_ticks(f)), "avg_price", "unrealized_pnl")
 
@@ -658,6 +655,11 @@ def rpnl_cumulative(s, d):
     return rounded(c.select(*acc.KEY2, "match_seq", "buy_seq", "sell_seq", "cumulative_pnl"), "cumulative_pnl", digits=2)
 
 
+@query
+def rpnl_updates(s, d):
+    return rounded(acc.realized_updates(matches(s, d), acc.KEY2), "cumulative_pnl", digits=2)
+
+
 @query
 def upnl_v1(s, d):
     return rounded(jobs.portfolio_and_risk(ad.fills_v1(s, d), ad.policies(s, d))["unrealized"].select("account_id", "symbol", "current_price", "unrealized_pnl", "ts"), "unrealized_pnl", digits=2)

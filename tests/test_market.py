@@ -289,3 +289,66 @@ def test_generated_candles_and_functions(spark):
     assert rows == io.generated_candles(spark, ["A", "B"], 50).orderBy("symbol", "ts").collect()
     register(spark)
     assert spark.sql("SELECT norm01(5D, 0D, 10D) AS a, signed_qty('sell', 2D) AS b").first() == (0.5, -2.0)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fifo_of_fractional_quantities(spark, seed):
+    """No ghost matches, and the same lots as fill by fill."""
+    rng = random.Random(seed)
+    fs = [(rng.choice(["BUY", "SELL"]), rng.choice([0.1, 0.2, 0.3, 0.7, 1.0, 0.05]), rng.randint(90, 110)) for _ in range(150)]
+    lots, want = [], []
+    for k, (side, q, p) in enumerate(fs, 1):
+        lots, events = apply_fill(lots, side, q, float(p), k)
+        want += [(min(e[2], k), max(e[2], k), round(e[5], 6)) for e in events if e[0] == "match" and e[5] > 1e-9]
+    d = fills2(spark, *fs)
+    got = acc.fifo_two_sided(d).collect()
+    assert sorted((min(r.buy_seq, r.sell_seq), max(r.buy_seq, r.sell_seq), round(r.matched_qty, 6)) for r in got) == sorted(want)
+    assert sorted((r.lot_seq, round(r.qty_rem, 6)) for r in acc.lots_latest(d).collect()) == sorted((x[0], round(x[2], 6)) for x in lots if x[2] > 1e-9)
+
+
+def test_sides_in_any_case_and_fills_without_id(spark):
+    schema = "account_id string, strategy_id string, symbol string, order_id string, fill_id string, side string, qty double, price double, ts long, seq long"
+    rows = [("A", "S", "X", "o", "", "buy", 1.0, 10.0, 1, 1), ("A", "S", "X", "o", "", "buy", 2.0, 10.0, 2, 2), ("A", "S", "X", "o", "", "buy", 2.0, 10.0, 2, 3), ("A", "S", "X", "o", None, "Sell", 3.0, 12.0, 3, 4), ("A", "S", "X", "o", "f", "SELL", 1.0, 12.0, 4, 5), ("A", "S", "X", "o", "f", "SELL", 9.0, 12.0, 5, 6)]
+    d = acc.dedupe_fills(spark.createDataFrame(rows, schema))
+    assert sorted(r.seq for r in d.collect()) == [1, 2, 4, 5]
+    m = acc.fifo_two_sided(d)
+    assert sorted((r.buy_seq, r.sell_seq, r.matched_qty) for r in m.collect()) == [(1, 4, 1.0), (2, 4, 2.0)]
+    assert [(r.match_seq, r.cumulative_pnl) for r in acc.realized_updates(m, acc.KEY2).collect()] == [(4, 6.0)]
+    assert [(r.side, r.qty_rem) for r in acc.lots_latest(d).collect()] == [("SHORT", 1.0)]
+    assert [r.net_qty for r in acc.rollup_changelog(d).orderBy("seq").collect()] == [1.0, 3.0, None, -1.0]
+
+
+def test_policies_count_from_their_time_on(spark):
+    o = spark.createDataFrame([("A", s, 1.0, 1.0, t, k) for k, (s, t) in enumerate([("a", 100), ("b", 150), ("c", 250), ("a", 260), ("d", 350)])], "account_id string, symbol string, qty double, price double, ts long, seq long")
+    pol = spark.createDataFrame([("A", 1, "ACTIVE", 120), ("A", 9, "blocked", 200), ("A", 2, "ACTIVE", 350), ("B", 9, "ACTIVE", 0)], "account_id string, max_open_symbols int, status string, ts long")
+    assert sorted(r.ts for r in routing.admission(o, pol).collect()) == [100, 260, 350]
+    sig = spark.createDataFrame([("R", "X", t, "BUY") for t in (40, 100, 300, 500)], "run_id string, symbol string, ts long, signal string")
+    hist = spark.createDataFrame([("A1", 2, "ACTIVE", 50), ("A1", 2, "BLOCKED", 200), ("A2", 1, "ACTIVE", 400)], "account_id string, max_open_symbols int, status string, ts long")
+    deltas = spark.createDataFrame([("UPSERT", "A3", "Y", 1.0, 250, 1)], "op string, account_id string, symbol string, net_qty double, ts long, seq long")
+    got = {r.ts: r.account_id for r in routing.trade_picker(sig, hist, deltas).collect()}
+    assert got == {100: "A1", 300: "A3", 500: "A2"}
+
+
+def test_admission_of_many_rows_of_an_account(spark):
+    """Batches are smaller than the account; the state goes from one to the next."""
+    rng = random.Random(3)
+    rows = [(rng.choice("AB"), rng.choice("abcdef"), float(rng.choice([-1, 1, 2])), 10.0, k // 3, k) for k in range(2_000)]
+    o = spark.createDataFrame(rows, "account_id string, symbol string, qty double, price double, ts long, seq long").repartition(7)
+    pol = [("A", rng.randint(1, 4), rng.choice(["ACTIVE", "BLOCKED"]), t) for t in range(0, 600, 37)]
+    events = sorted([(t, 0, 0, a, n, s) for a, n, s, t in pol] + [(r[4], 2, r[5], *r) for r in rows], key=lambda e: e[:3])
+    net, limit, want = {"A": {}, "B": {}}, {"A": 3, "B": 3}, []
+    for e in events:
+        if e[1] == 0:
+            limit[e[3]] = 0 if e[5] == "BLOCKED" else e[4]
+            continue
+        own, (a, s, q, *_) = net[e[3]], e[3:]
+        if s in own or len(own) < limit[a]:
+            own[s] = own.get(s, 0.0) + q
+            own.pop(s) if own[s] == 0 else None
+            want.append(e[2])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = routing.admission(o, spark.createDataFrame(pol, "account_id string, max_open_symbols int, status string, ts long"))
+        assert sorted(r.seq for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
