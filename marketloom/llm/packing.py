@@ -180,7 +180,7 @@ class Search:
             for giver in [k for _, k in reversed(self.rooms)]:
                 if alive <= least:
                     break
-                if self._empty(giver):
+                if self.room[giver] > 0 and self._empty(giver):
                     alive -= 1
                     self.emptied += 1
             gained = self.steps > before

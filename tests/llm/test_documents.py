@@ -105,7 +105,8 @@ def test_packing(spark, odd):
 
 def test_local_search_keeps_documents_and_saves_bins():
     rng = random.Random(1)
-    for lengths in ([rng.choice([1500, 1400, 1300, 2600, 700, 10]) for _ in range(600)], [rng.randint(1, 4096) for _ in range(600)], [rng.randint(5, 1500) for _ in range(600)], [4096] * 3, [5] * 2000, []):
+    many = [[rng.choice([1, 2, 3, 500, 1000, 1024, 1365, 2048]) for _ in range(rng.randint(1, 200))] for _ in range(60)]  # bins get full while others give
+    for lengths in (*many, [rng.choice([1500, 1400, 1300, 2600, 700, 10]) for _ in range(600)], [rng.randint(1, 4096) for _ in range(600)], [rng.randint(5, 1500) for _ in range(600)], [4096] * 3, [5] * 2000, []):
         first = packing.in_order(lengths, 4096)
         search = packing.Search(first, lengths, 4096)
         then = search.run()
