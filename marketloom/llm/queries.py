@@ -39,7 +39,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.archived(table(spark, sf_dir, "pages")).where("gap is null")
+    found = warc.archived(table(spark, sf_dir, "pages"))
     page = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast("long")
     return found.select(page(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), page(F.col("refers_to")).alias("refers_to"))
 

@@ -28,7 +28,10 @@ END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:x-page:"
 
-RECORDS_PER_FILE = 1_000
+#: Records of at most so many bytes, and how many of them a file has; beyond the last size a record has its own file.
+FILE_SIZES = [(64 << 10, 1_000), (1 << 20, 64), (0, 1)]
+#: More than a record's headers add to its payload and its url, whose line breaks become three letters each.
+HEAD_BYTES = 4 << 10
 #: Payloads with copies that are broadcast to tell copies; with more, rows are joined by shuffling.
 BROADCAST_DIGESTS = 50_000
 
@@ -73,9 +76,20 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     return df.withColumn("block", block).select(F.concat(head, "block").alias("value"))
 
 
-def write(pages: DataFrame, path: str, compression: str = "none", **columns) -> None:
-    """Writes the archives of pages as files in the folder path. An empty table gives no records."""
-    records(pages, **columns).write.option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write(pages: DataFrame, path: str, compression: str = "none", html_col: str = "html", url_col: str = "url", **columns) -> None:
+    """Writes the archives of pages as files in the folder path. An empty table gives no records.
+
+    A file has as many records as FILE_SIZES allows their size, so it holds about 64 MB at most, or one record.
+    """
+    made = records(pages, html_col=html_col, url_col=url_col, **columns)
+    length = lambda c: F.coalesce(F.octet_length(pages[c].cast("string")), F.lit(0)).cast("long")
+    largest = pages.agg(F.coalesce(F.max(length(html_col) + 3 * length(url_col)), F.lit(0))).first()[0]
+    size, least = F.octet_length("value"), 0
+    for most, per_file in FILE_SIZES:
+        if least == 0 or largest + HEAD_BYTES > least:
+            own = made.where((size > least) & (size <= most)) if most else made.where(size > least)
+            own.write.mode("append").option("lineSep", END).option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
+        least = most
 
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -89,12 +103,13 @@ def one_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record that starts at a place, and where it ends. Raises Broken, with the end where its length can be trusted."""
     if not VERSION.match(data, at):
         raise Broken("no version line")
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0:
-        raise Broken("header without end")
-    fields = {}
-    for row in data[at:head_end].split(b"\r\n")[1:]:
-        key, colon, value = row.partition(b":")
+    fields: dict = {}
+    head_end = data.find(b"\r\n", at)
+    while not data.startswith(b"\r\n", head_end + 2):
+        begin, head_end = head_end + 2, data.find(b"\r\n", head_end + 2)
+        if head_end < 0:
+            raise Broken("header without end")
+        key, colon, value = data[begin:head_end].partition(b":")
         if not colon:
             raise Broken("header line without colon")
         fields[key.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
@@ -115,48 +130,62 @@ def one_record(data: bytes, at: int) -> tuple[dict, int]:
     return fields, end + 4
 
 
-def members(data: bytes) -> Iterator[tuple[int, int, bytes | None, str]]:
-    """The gzip members of data: begin, end, content. What is none comes with a reason in place of content."""
+def members(data: bytes) -> Iterator[tuple[int, int, bytes, str]]:
+    """The gzip members of data: begin, end, content, and for a broken one the reason; its content is what came out before the damage.
+
+    A broken member ends where the next one begins that is whole or whose content begins as an archive.
+    """
     at = 0
     while at < len(data):
-        content, end = _inflate(data, at)
-        if content is not None:
+        content, end, whole = _inflate(data, at)
+        if whole:
             yield at, end, content, ""
             at = end
             continue
-        then = at + 1
+        then = at
         while True:
-            then = data.find(b"\x1f\x8b\x08", then)
-            if then < 0 or _inflate(data, then)[0] is not None:
+            then = data.find(b"\x1f\x8b\x08", then + 1)
+            if then < 0:
+                break
+            head, _, sound = _inflate(data, then)
+            if sound or VERSION.match(head):
                 break
-            then += 1
         then = len(data) if then < 0 else then
-        yield at, then, None, "broken gzip member"
+        yield at, then, content, "broken gzip member"
         at = then
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes | None, int]:
-    d = zlib.decompressobj(31)
-    try:
-        content = d.decompress(memoryview(data)[at:]) + d.flush()
-    except zlib.error:
-        return None, at
-    return (content, len(data) - len(d.unused_data)) if d.eof else (None, at)
+def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, bool]:
+    """What a gzip member holds, up to its damage if it has some; where it ends; whether it is whole."""
+    d, out = zlib.decompressobj(31), []
+    while at < len(data):
+        before = d.copy() if step > 1 else None
+        try:
+            out.append(d.decompress(data[at : at + step]))
+        except zlib.error:
+            if step == 1:
+                break
+            d, step = before, max(1, step // 16)
+            continue
+        if d.eof:
+            return b"".join(out), min(len(data), at + step) - len(d.unused_data), True
+        at += step
+    return b"".join(out), at, False
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """Sound records and quarantined gaps of an archive, in order: begin, end, fields (None for a gap), reason.
 
     For a compressed archive, places are those of the member that holds the record; a gap inside a member's content
-    is reported at that member.
+    is reported at that member. Of a damaged member the records before the damage are recovered, and the rest is one gap.
     """
     if data[:2] == b"\x1f\x8b" or (data[:5] != b"WARC/" and b"\x1f\x8b\x08" in data and not VERSION.search(data)):
         for begin, end, content, why in members(data):
-            if content is None:
-                yield begin, end, None, why
-            else:
-                for _, _, fields, reason in salvage(content):
+            for _, _, fields, reason in salvage(content):
+                if fields or not why:
                     yield begin, end, fields, reason
+            if why:
+                yield begin, end, None, why
         return
     at = 0
     while at < len(data):

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import glob
 import gzip
 import hashlib
 import html
+import os
+import random
 import re
 import time
 
@@ -133,6 +136,36 @@ def test_salvage_of_gzip_members():
     assert [x for x, _ in found(parts[0] + bytes(hurt) + parts[2])] == ["1", None, "3"]
 
 
+def test_salvage_of_one_damaged_gzip_member():
+    """As Spark compresses a file: all records in one member."""
+    rng = random.Random(2)
+    body = lambda: bytes(rng.randrange(32, 127) for _ in range(3_000))
+    whole = gzip.compress(b"".join(record(n, body()) for n in range(20)))
+    assert [x for x, _ in found(whole)] == [str(n) for n in range(20)]
+    assert [x for x, _ in found(whole[:-12])][:19] == [str(n) for n in range(19)] and found(whole[:-12])[-1] == (None, "broken gzip member")
+    hurt = bytearray(whole)
+    hurt[len(hurt) // 2] ^= 0xFF
+    ids = [x for x, _ in found(bytes(hurt) + gzip.compress(record(77)))]
+    assert ids[:8] == [str(n) for n in range(8)] and ids[-2:] == [None, "77"]
+    wrong = whole[:-8] + b"\0" * 8  # the checksum alone
+    assert [x for x, _ in found(wrong)] == [*map(str, range(20)), None]
+
+
+def test_salvage_takes_time_by_length():
+    began = time.time()
+    assert found(b"WARC/1.1\r\n" * 100_000 + b"a: b\r\n" * 10 + record(1))[-1] == ("1", "")
+    assert time.time() - began < 10
+
+
+def test_large_pages_have_files_of_their_own(spark, tmp_path):
+    rows = [(k, "u", "x" * (3_000_000 if k < 3 else 200_000 if k < 200 else 10) + str(k), "i", "d", 1) for k in range(260)]
+    warc.write(spark.createDataFrame(rows, PAGES).coalesce(1), f"{tmp_path}/a")
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{tmp_path}/a/part-*")]
+    assert max(sizes) < 16 << 20 and sum(s > 3_000_000 for s in sizes) >= 3
+    got = warc.read(spark, f"{tmp_path}/a", payloads=False).collect()
+    assert len(got) == 260 and all(r.gap is None for r in got)
+
+
 def exact(rows, every=20, k=20):
     ok = {i: np.array(v, float) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     out = {}
