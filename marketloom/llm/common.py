@@ -19,8 +19,10 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in its absence a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="marketloom-shared-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)

@@ -65,7 +65,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Ids tell documents apart and give their order. Null and empty texts have no lines and stay as they are; a
     text all of whose lines go becomes empty. Rows without id are left alone. Rows that repeat an id count as one
     document, by any of their texts where these differ, and lose the same lines. An empty table gives an empty result. A run within
-    one text that overlaps its own first occurrence is deleted from that occurrence's end on.
+    one text that overlaps its own first occurrence is deleted from that occurrence's end on. A column n_removed_lines of docs is replaced.
     """
     common.ship(docs.sparkSession)
     own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null")
@@ -73,4 +73,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     joined = docs.join(gone, docs[id_col].cast("long") == gone["__id__"], "left")
     left = F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__gone__", i))
     text = F.when(F.col("__gone__").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns], F.coalesce(F.size("__gone__"), F.lit(0)).alias("n_removed_lines"))
+    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns if c != "n_removed_lines"], F.coalesce(F.size("__gone__"), F.lit(0)).alias("n_removed_lines"))
