@@ -25,6 +25,8 @@ from marketloom.llm import common
 
 #: Words a worker keeps with their ids, and as many older ones.
 MEMO = 800_000
+#: Rounds of the search in a row that empty no bin.
+IDLE = 3
 #: Sequences' worth of tokens in a group on average.
 GROUP = 1_024
 
@@ -158,7 +160,7 @@ class Search:
 
     A step is a move of one item, or one item for a smaller one, or two for one, always the one that fills its taker best. Fills of
     giver and taker part with each step, so the sum of squared fills grows and the search ends. A giver that no step
-    can help is left as it is, and a round without a step is the last.
+    can help is left as it is; a round without a step is the last, and so is the last of IDLE rounds that empty no bin.
     """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
@@ -173,9 +175,9 @@ class Search:
     def run(self) -> list[list[int]]:
         least = -(-int(self.lengths.sum()) // self.capacity)
         alive = len(self.bins)
-        gained = True
-        while alive > least and gained:
-            before = self.steps
+        gained, idle = True, 0
+        while alive > least and gained and idle < IDLE:
+            before, emptied = self.steps, self.emptied
             self.rooms = sorted((int(r), k) for k, r in enumerate(self.room.tolist()) if r > 0 and self.bins[k])
             for giver in [k for _, k in reversed(self.rooms)]:
                 if alive <= least:
@@ -183,7 +185,7 @@ class Search:
                 if self.room[giver] > 0 and self._empty(giver):
                     alive -= 1
                     self.emptied += 1
-            gained = self.steps > before
+            gained, idle = self.steps > before, 0 if self.emptied > emptied else idle + 1
         return [b for b in self.bins if b]
 
     def _empty(self, giver: int) -> bool:
