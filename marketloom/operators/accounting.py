@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.folds import in_order
+
 KEY2 = ["account_id", "strategy_id", "symbol"]
 KEY1 = ["account_id", "symbol"]
 EPS = 1e-12
@@ -142,50 +144,39 @@ def realized_latest(matches: DataFrame, key: list[str]) -> DataFrame:
     return matches.groupBy(*key).agg(F.sum("realized_pnl").alias("realized_pnl"), F.max("match_ts").alias("ts"))
 
 
-def _fold(fills: DataFrame) -> Column:
-    """Average-cost position over a key's FILLED fills in order: net, avg and ts."""
-    start = F.struct(F.lit(0.0).alias("net"), F.lit(0.0).alias("avg"), F.lit(0).cast("long").alias("ts"), F.lit(0).cast("long").alias("closes"))
-
-    def step(a, x):
-        after = a["net"] + x["fill_qty"]
-        avg = (
-            F.when(a["net"] == 0, x["fill_price"])
-            .when(F.signum(a["net"]) == F.signum(x["fill_qty"]), (a["net"] * a["avg"] + x["fill_qty"] * x["fill_price"]) / after)
-            .when((after == 0) | (F.signum(after) == F.signum(a["net"])), a["avg"])
-            .otherwise(x["fill_price"])
-        )
-        return F.struct(after.alias("net"), avg.alias("avg"), x["ts"].alias("ts"), (a["closes"] + F.when(after == 0, 1).otherwise(0)).cast("long").alias("closes"))
-
-    return F.aggregate(F.array_sort(F.collect_list(F.struct("seq", "fill_qty", "fill_price", "ts"))), start, step)
-
-
 def avg_cost_latest(fills: DataFrame) -> DataFrame:
-    """The final position of each (account, symbol), flat ones left out. A key's fills are one fold in the JVM."""
-    g = fills.where("status = 'FILLED' and fill_qty != 0").groupBy(*KEY1).agg(_fold(fills).alias("p"))
-    return g.select(*KEY1, F.col("p.net").alias("net_qty"), F.col("p.avg").alias("avg_price"), F.col("p.ts").alias("last_updated")).where("net_qty != 0")
+    """The final position of each (account, symbol), flat ones left out: the last of its updates."""
+    last = avg_cost_updates(fills).groupBy(*KEY1).agg(F.max_by(F.struct("net_qty", "avg_price", "ts"), "seq").alias("p"))
+    return last.select(*KEY1, "p.net_qty", "p.avg_price", F.col("p.ts").alias("last_updated")).where("net_qty != 0")
 
 
 def avg_cost_updates(fills: DataFrame) -> DataFrame:
-    """The position after every FILLED fill, the zero row on flattening included."""
+    """The position after every FILLED fill, the zero row on flattening included. A key's fills are taken in order of seq, with the position as state; seq is distinct within a key."""
     schema = "account_id string, symbol string, seq long, ts long, net_qty double, avg_price double"
 
-    def run(pdf):
-        pdf = pdf.sort_values("seq")
-        net, avg, out = 0.0, 0.0, []
-        for q, p in zip(pdf["fill_qty"].tolist(), pdf["fill_price"].tolist(), strict=True):
-            after = net + q
-            if net == 0:
-                avg = p
-            elif (net > 0) == (q > 0):
-                avg = (net * avg + q * p) / after
-            elif after != 0 and (after > 0) != (net > 0):
-                avg = p
-            net = after
-            out.append((net, avg))
-        pdf["net_qty"], pdf["avg_price"] = [x[0] for x in out], [x[1] for x in out]
-        return pdf[["account_id", "symbol", "seq", "ts", "net_qty", "avg_price"]]
-
-    return fills.where("status = 'FILLED' and fill_qty != 0").groupBy(*KEY1).applyInPandas(run, schema)
+    def new():
+        net, avg = 0.0, 0.0
+
+        def take(pdf):
+            nonlocal net, avg
+            out = []
+            for q, p in zip(pdf["fill_qty"].tolist(), pdf["fill_price"].tolist(), strict=True):
+                after = net + q
+                if net == 0:
+                    avg = p
+                elif (net > 0) == (q > 0):
+                    avg = (net * avg + q * p) / after
+                elif after != 0 and (after > 0) != (net > 0):
+                    avg = p
+                net = after
+                out.append((net, avg))
+            pdf = pdf.assign(net_qty=[x[0] for x in out], avg_price=[x[1] for x in out])
+            return pdf[["account_id", "symbol", "seq", "ts", "net_qty", "avg_price"]]
+
+        return take
+
+    filled = fills.where("status = 'FILLED' and fill_qty != 0").select(*KEY1, "seq", "ts", "fill_qty", "fill_price")
+    return in_order(filled, KEY1, ["seq"], new, schema)
 
 
 def close_events(fills: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marketloom.operators.folds import in_order
 from marketloom.session import extended
 
+
 def by_time() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -41,21 +43,27 @@ def with_rsi(df: DataFrame, p: int = 14) -> DataFrame:
 def with_ema(df: DataFrame, *periods: int) -> DataFrame:
     """Exponential means e += (c - e) * 2 / (p + 1) from the first close on; one that is exactly 0 starts anew.
 
-    A recurrence over rows: each symbol's series is one group, handled in order.
+    A recurrence over rows: each symbol's series is taken in order of time, with the last means as state.
     """
     schema = extended(df.schema, ", ".join(f"ema{p} double" for p in periods))
 
-    def run(pdf):
-        pdf = pdf.sort_values("ts", kind="stable")
-        for p in periods:
-            k, e, out = 2 / (p + 1), 0.0, []
-            for c in pdf["close"].tolist():
-                e = c if e == 0.0 else e + (c - e) * k
-                out.append(e)
-            pdf[f"ema{p}"] = pd.Series(out, index=pdf.index, dtype="float64")
-        return pdf
-
-    return df.groupBy("symbol").applyInPandas(run, schema)
+    def new():
+        means = dict.fromkeys(periods, 0.0)
+
+        def take(pdf):
+            pdf = pdf.copy()
+            for p in periods:
+                k, e, out = 2 / (p + 1), means[p], []
+                for c in pdf["close"].tolist():
+                    e = c if e == 0.0 else e + (c - e) * k
+                    out.append(e)
+                means[p] = e
+                pdf[f"ema{p}"] = pd.Series(out, index=pdf.index, dtype="float64")
+            return pdf
+
+        return take
+
+    return in_order(df, ["symbol"], ["ts"], new, schema)
 
 
 def multi(df: DataFrame) -> DataFrame:

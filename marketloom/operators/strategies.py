@@ -7,8 +7,10 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marketloom.operators.folds import in_order
 from marketloom.session import extended
 
+
 def by_time() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("ts")
 
@@ -74,16 +76,21 @@ def cooldown(found: DataFrame, cooldown_ms: int, sides: list[str] | None = None)
     """Greedy: a signal passes if the last one passed of its symbol is at least cooldown_ms older. sides None: all share the state."""
     d = found if sides is None else found.where(F.col("signal").isin(sides))
 
-    def run(pdf):
-        pdf = pdf.sort_values(["ts", "signal"])
-        last, keep = None, []
-        for t in pdf["ts"].tolist():
-            ok = last is None or t - last >= cooldown_ms
-            keep.append(ok)
-            last = t if ok else last
-        return pdf[keep]
+    def new():
+        last = None
+
+        def take(pdf):
+            nonlocal last
+            keep = []
+            for t in pdf["ts"].tolist():
+                ok = last is None or t - last >= cooldown_ms
+                keep.append(ok)
+                last = t if ok else last
+            return pdf[keep]
 
-    return d.groupBy("symbol").applyInPandas(run, d.schema)
+        return take
+
+    return in_order(d, ["symbol"], ["ts", "signal"], new, d.schema)
 
 
 def nfa(rows: DataFrame, stages: list[str], within_ms: int, carry: str) -> DataFrame:
@@ -97,30 +104,35 @@ def nfa(rows: DataFrame, stages: list[str], within_ms: int, carry: str) -> DataF
     schema = extended(rows.schema, "first_value double")
     names, n = rows.columns, len(stages)
 
-    def run(pdf):
-        pdf = pdf.sort_values("ts")
-        partial, firsts = [], []
-        for ts, value, *holds in zip(pdf["ts"].tolist(), pdf[carry].tolist(), *[pdf[t].tolist() for t in tests], strict=True):
-            partial = [p for p in partial if ts - p[0] <= within_ms]
-            done, kept = None, []
-            for start, at, first in partial:
-                if holds[at]:
-                    at += 1
-                if at == n:
-                    done = first if done is None else done
-                else:
-                    kept.append((start, at, first))
-            partial = kept
-            if done is not None:
-                partial = []
-            elif holds[0]:
-                partial.append((ts, 1, value))
-            firsts.append(done)
-        out = pdf[names].copy()
-        out["first_value"] = firsts
-        return out[[f is not None for f in firsts]]
-
-    return d.groupBy("symbol").applyInPandas(run, schema)
+    def new():
+        partial = []
+
+        def take(pdf):
+            nonlocal partial
+            firsts = []
+            for ts, value, *holds in zip(pdf["ts"].tolist(), pdf[carry].tolist(), *[pdf[t].tolist() for t in tests], strict=True):
+                partial = [p for p in partial if ts - p[0] <= within_ms]
+                done, kept = None, []
+                for start, at, first in partial:
+                    if holds[at]:
+                        at += 1
+                    if at == n:
+                        done = first if done is None else done
+                    else:
+                        kept.append((start, at, first))
+                partial = kept
+                if done is not None:
+                    partial = []
+                elif holds[0]:
+                    partial.append((ts, 1, value))
+                firsts.append(done)
+            out = pdf[names].copy()
+            out["first_value"] = firsts
+            return out[[f is not None for f in firsts]]
+
+        return take
+
+    return in_order(d, ["symbol"], ["ts"], new, schema)
 
 
 def cep_rsi_sma_buy(rows: DataFrame, within_ms: int = 4 * 3_600_000) -> DataFrame:
@@ -145,22 +157,28 @@ def seven_green(rows: DataFrame, within_ms: int = 12 * 3_600_000) -> DataFrame:
     schema = extended(rows.schema, "first_value double, rising boolean")
     names = rows.columns
 
-    def run(pdf):
-        pdf = pdf.sort_values("ts")
-        ts, close = pdf["ts"].tolist(), pdf["close"].tolist()
-        i, hits = 0, []
-        while i + 6 < len(ts):
-            block = close[i : i + 7]
-            if ts[i + 6] - ts[i] <= within_ms and all(c > 0 for c in block[1:]):
-                hits.append((i + 6, block[0], all(a < b for a, b in zip(block, block[1:], strict=False))))
-                i += 7
-            else:
-                i += 1
-        out = pdf[names].iloc[[h[0] for h in hits]].copy()
-        out["first_value"], out["rising"] = [h[1] for h in hits], [h[2] for h in hits]
-        return out
-
-    d = rows.groupBy("symbol").applyInPandas(run, schema)
+    def new():
+        open_ts, open_close = [], []
+
+        def take(pdf):
+            before = len(open_ts)
+            ts, close = open_ts + pdf["ts"].tolist(), open_close + pdf["close"].tolist()
+            i, hits = 0, []
+            while i + 6 < len(ts):
+                block = close[i : i + 7]
+                if ts[i + 6] - ts[i] <= within_ms and all(c > 0 for c in block[1:]):
+                    hits.append((i + 6 - before, block[0], all(a < b for a, b in zip(block, block[1:], strict=False))))
+                    i += 7
+                else:
+                    i += 1
+            open_ts[:], open_close[:] = ts[i:], close[i:]
+            out = pdf[names].iloc[[h[0] for h in hits]].copy()
+            out["first_value"], out["rising"] = [h[1] for h in hits], [h[2] for h in hits]
+            return out
+
+        return take
+
+    d = in_order(rows, ["symbol"], ["ts"], new, schema)
     rise = F.when(F.col("first_value") > 0, F.least(F.lit(1.0), 10 * (F.col("close") - F.col("first_value")) / F.col("first_value"))).otherwise(0.0)
     return signals(d, F.when(F.col("rising"), "BUY"), rise, "seven-green")
 

@@ -152,6 +152,29 @@ def test_state_gate_and_seven_green(spark):
     assert [r.ts for r in st.seven_green(d).orderBy("ts").collect()] == [6 * 60_000, 13 * 60_000]
 
 
+def test_folds_do_not_depend_on_batches(spark):
+    rng = random.Random(8)
+    rows = [(x, 60_000 * t, rng.choice([0.0] * 7 + [3.0]) + 0.1 * t, float(rng.randint(0, 2)), 1.0, float(rng.randint(0, 90))) for x in ("A", "B", None, "D") for t in range(40)]
+    d = spark.createDataFrame(rows, ROWS)
+    fills = spark.createDataFrame([(x, "S", t, t, float(rng.choice([-2, -1, 1, 2])), float(rng.randint(1, 9)), "FILLED") for x in ("A", "B") for t in range(40)], "account_id string, symbol string, seq long, ts long, fill_qty double, fill_price double, status string")
+
+    def results():
+        found = d.select("symbol", "ts", "close").withColumn("signal", F.lit("BUY"))
+        frames = [ind.with_ema(d, 5, 14), st.cooldown(found, 150_000), st.nfa(d, ["rsi < 30", "sma5 <= sma21", "sma5 > sma21"], 900_000, "rsi"), st.seven_green(d), acc.avg_cost_updates(fills), acc.avg_cost_latest(fills)]
+        return [sorted(map(repr, f.collect())) for f in frames]
+
+    whole = results()
+    assert all(whole)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 5):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert results() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert ind.with_ema(d.limit(0), 5).count() == st.seven_green(d.limit(0)).count() == acc.avg_cost_latest(fills.limit(0)).count() == 0
+
+
 def test_router(spark):
     pol = spark.createDataFrame([("A1", 2, "ACTIVE"), ("A2", 2, "active"), ("A3", 9, "BLOCKED")], "account_id string, max_open_symbols int, status string")
     deltas = spark.createDataFrame([("UPSERT", "A1", "ETH", 1.0, 10, 1), ("UPSERT", "A2", "BTC", 1.0, 2000, 1), ("UPSERT", "A2", "XRP", 1.0, 2000, 2), ("DELETE", "A1", "ETH", None, 3000, 2)], "op string, account_id string, symbol string, net_qty double, ts long, seq long")
