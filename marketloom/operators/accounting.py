@@ -154,29 +154,24 @@ def avg_cost_updates(fills: DataFrame) -> DataFrame:
     """The position after every FILLED fill, the zero row on flattening included. A key's fills are taken in order of seq, with the position as state; seq is distinct within a key."""
     schema = "account_id string, symbol string, seq long, ts long, net_qty double, avg_price double"
 
-    def new():
-        net, avg = 0.0, 0.0
-
-        def take(pdf):
-            nonlocal net, avg
-            out = []
-            for q, p in zip(pdf["fill_qty"].tolist(), pdf["fill_price"].tolist(), strict=True):
-                after = net + q
-                if net == 0:
-                    avg = p
-                elif (net > 0) == (q > 0):
-                    avg = (net * avg + q * p) / after
-                elif after != 0 and (after > 0) != (net > 0):
-                    avg = p
-                net = after
-                out.append((net, avg))
-            pdf = pdf.assign(net_qty=[x[0] for x in out], avg_price=[x[1] for x in out])
-            return pdf[["account_id", "symbol", "seq", "ts", "net_qty", "avg_price"]]
-
-        return take
+    def step(state, pdf):
+        net, avg = state or (0.0, 0.0)
+        out = []
+        for q, p in zip(pdf["fill_qty"].tolist(), pdf["fill_price"].tolist(), strict=True):
+            after = net + q
+            if net == 0:
+                avg = p
+            elif (net > 0) == (q > 0):
+                avg = (net * avg + q * p) / after
+            elif after != 0 and (after > 0) != (net > 0):
+                avg = p
+            net = after
+            out.append((net, avg))
+        pdf = pdf.assign(net_qty=[x[0] for x in out], avg_price=[x[1] for x in out])
+        return (net, avg), pdf[["account_id", "symbol", "seq", "ts", "net_qty", "avg_price"]]
 
     filled = fills.where("status = 'FILLED' and fill_qty != 0").select(*KEY1, "seq", "ts", "fill_qty", "fill_price")
-    return in_order(filled, KEY1, ["seq"], new, schema)
+    return in_order(filled, KEY1, ["seq"], step, schema)
 
 
 def close_events(fills: DataFrame) -> DataFrame:

@@ -1,22 +1,36 @@
-"""Recurrences over a key's rows in order, in memory that does not grow with the key."""
+"""Recurrences over a key's rows in order, in batch and as a stream, in memory that does not grow with the key."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from marketloom.session import ship
 
-def in_order(df: DataFrame, key: list[str], order: list[str], new: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema) -> DataFrame:
-    """What new()'s function makes of each key's rows, which it gets in order, some at a time; it keeps the state between calls.
+#: From a key's state (None at first) and its next rows to the state after them and the rows to send. States are JSON values.
+Step = Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame]]
+
+
+def in_order(df: DataFrame, key: list[str], order: list[str], step: Step, schema) -> DataFrame:
+    """What step makes of each key's rows, which it gets in order, some at a time, with the state it left.
 
     One shuffle by the key and one sort, which spills; a task holds a batch of rows and the state of one key, however many rows the
     key has. Rows of a null key are a key of their own. An empty table gives an empty result.
+
+    A stream keeps each key's state in the state store. Within a trigger a key's rows go by the order, across triggers they are
+    taken as they come, so the result is that of batch if no trigger brings rows from before the last one's.
     """
+    if df.isStreaming:
+        ship(df.sparkSession)
+        return df.groupBy(*key).transformWithStateInPandas(Fold(step, order), schema, outputMode="Append", timeMode="None")
 
     def run(frames):
-        own, take = object(), None
+        own, state = object(), None
         for pdf in frames:
             if pdf.empty:
                 continue
@@ -25,9 +39,29 @@ def in_order(df: DataFrame, key: list[str], order: list[str], new: Callable[[],
             begin, out = 0, []
             for end in ends:
                 if ids[begin] != own:
-                    own, take = ids[begin], new()
-                out.append(take(pdf.iloc[begin:end]))
+                    own, state = ids[begin], None
+                state, rows = step(state, pdf.iloc[begin:end])
+                out.append(rows)
                 begin = end
             yield pd.concat(out) if len(out) > 1 else out[0]
 
     return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
+class Fold(StatefulProcessor):
+    """A step over a stream's keys, whose states are held as JSON."""
+
+    def __init__(self, step: Step, order: list[str]):
+        self.step, self.order = step, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("held", "state string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        state, out = self.step(json.loads(self.held.get()[0]) if self.held.exists() else None, pdf)
+        self.held.update((json.dumps(state),))
+        yield out.reset_index(drop=True)
+
+    def close(self) -> None:
+        pass

@@ -47,27 +47,46 @@ def with_ema(df: DataFrame, *periods: int) -> DataFrame:
     """
     schema = extended(df.schema, ", ".join(f"ema{p} double" for p in periods))
 
-    def new():
-        means = dict.fromkeys(periods, 0.0)
-
-        def take(pdf):
-            pdf = pdf.copy()
-            for p in periods:
-                k, e, out = 2 / (p + 1), means[p], []
-                for c in pdf["close"].tolist():
-                    e = c if e == 0.0 else e + (c - e) * k
-                    out.append(e)
-                means[p] = e
-                pdf[f"ema{p}"] = pd.Series(out, index=pdf.index, dtype="float64")
-            return pdf
-
-        return take
-
-    return in_order(df, ["symbol"], ["ts"], new, schema)
+    def step(state, pdf):
+        means, pdf = state or [0.0] * len(periods), pdf.copy()
+        for i, p in enumerate(periods):
+            k, e, out = 2 / (p + 1), means[i], []
+            for c in pdf["close"].tolist():
+                e = c if e == 0.0 else e + (c - e) * k
+                out.append(e)
+            means[i] = e
+            pdf[f"ema{p}"] = pd.Series(out, index=pdf.index, dtype="float64")
+        return means, pdf
+
+    return in_order(df, ["symbol"], ["ts"], step, schema)
+
+
+def _moving(df: DataFrame, periods: tuple[int, ...], p: int) -> DataFrame:
+    """with_sma and with_rsi for a stream, which has no windows over rows: the state is the last closes."""
+    schema = extended(df.schema, ", ".join(f"sma{k} double" for k in periods) + f", rsi{p} double")
+    kept = max(*periods, p)
+
+    def step(state, pdf):
+        closes = (state or []) + pdf["close"].tolist()
+        own = range(len(closes) - len(pdf) + 1, len(closes) + 1)
+        pdf = pdf.copy()
+        for k in periods:
+            pdf[f"sma{k}"] = [sum(closes[max(0, e - k) : e]) / min(k, e) for e in own]
+        rsi_values = []
+        for e in own:
+            moves = [b - a for a, b in zip(closes[max(0, e - p) : e - 1], closes[max(0, e - p) + 1 : e], strict=True)]
+            gain, loss = sum(m for m in moves if m > 0), -sum(m for m in moves if m < 0)
+            rsi_values.append(0.0 if e < p else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss))
+        pdf[f"rsi{p}"] = rsi_values
+        return closes[-kept:], pdf
+
+    return in_order(df, ["symbol"], ["ts"], step, schema)
 
 
 def multi(df: DataFrame) -> DataFrame:
-    """A row for each candle with sma, ema (5, 14, 21) and rsi14."""
+    """A row for each candle with sma, ema (5, 14, 21) and rsi14. A stream of candles keeps each symbol's last closes and means."""
+    if df.isStreaming:
+        return with_ema(_moving(df, (5, 14, 21), 14), 5, 14, 21)
     return with_ema(with_rsi(with_sma(df, 5, 14, 21)), 5, 14, 21)
 
 

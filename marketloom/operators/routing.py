@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.folds import in_order
+
 DEFAULT_MAX_OPEN = 3
 MAX_NOTIONAL = 1_000_000.0
 #: Capacity of an account whose positions come before its policy.
@@ -90,7 +92,8 @@ def admission(orders: DataFrame, policies: DataFrame | None = None, positions: D
 
     Accepted orders move the account's estimate; position rows (account_id, symbol, net_qty, ts, seq) set it, and a policy sets the
     limit from its time on. Each decision rests on those before, so an account's rows are taken in order of (ts, controls first, seq)
-    by one task, which holds the account's open symbols and a batch of rows, however many rows there are.
+    by one task, which holds the account's open symbols and a batch of rows, however many rows there are. With streams for all
+    tables given, the account's state is kept from trigger to trigger.
     """
     d = orders.withColumn("kind", F.lit(2)).withColumn("limit", F.lit(None).cast("int"))
     if positions is not None:
@@ -100,28 +103,24 @@ def admission(orders: DataFrame, policies: DataFrame | None = None, positions: D
         d = d.unionByName(policies.where("account_id is not null").select("account_id", "ts", F.lit(0).cast("long").alias("seq"), F.lit(0).alias("kind"), limit.cast("int").alias("limit")), allowMissingColumns=True)
     columns = orders.columns
 
-    def run(frames):
-        account, limit, net = object(), DEFAULT_MAX_OPEN, {}
-        for pdf in frames:
-            keep = []
-            for own, kind, symbol, qty, price, new in zip(*(pdf[c].tolist() for c in ("account_id", "kind", "symbol", "qty", "price", "limit")), strict=True):
-                if own != account:
-                    account, limit, net = own, DEFAULT_MAX_OPEN, {}
-                ok = False
-                if kind == 0:
-                    limit = int(new)
-                elif kind == 1:
-                    net[symbol] = qty
-                    if qty == 0:
-                        del net[symbol]
-                else:
-                    ok = abs(qty * price) <= MAX_NOTIONAL and (symbol in net or qty == 0 or len(net) < limit)
-                    if ok:
-                        after = net.pop(symbol, 0.0) + qty
-                        if after:
-                            net[symbol] = after
-                keep.append(ok)
-            yield pdf[keep][columns]
-
-    ordered = d.repartition("account_id").sortWithinPartitions("account_id", "ts", "kind", "seq")
-    return ordered.mapInPandas(run, orders.schema)
+    def step(state, pdf):
+        limit, net = state or (DEFAULT_MAX_OPEN, {})
+        keep = []
+        for kind, symbol, qty, price, new in zip(*(pdf[c].tolist() for c in ("kind", "symbol", "qty", "price", "limit")), strict=True):
+            ok = False
+            if kind == 0:
+                limit = int(new)
+            elif kind == 1:
+                net[symbol] = qty
+                if qty == 0:
+                    del net[symbol]
+            else:
+                ok = abs(qty * price) <= MAX_NOTIONAL and (symbol in net or qty == 0 or len(net) < limit)
+                if ok:
+                    after = net.pop(symbol, 0.0) + qty
+                    if after:
+                        net[symbol] = after
+            keep.append(ok)
+        return (limit, net), pdf[keep][columns]
+
+    return in_order(d, ["account_id"], ["ts", "kind", "seq"], step, orders.schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -36,6 +38,22 @@ def simple_cross(rows: DataFrame) -> DataFrame:
     return signals(rows, side, F.when(F.col("sma21") != 0, gap() / F.abs("sma21")).otherwise(0.0), "simple-cross")
 
 
+def with_previous(rows: DataFrame, *columns: str) -> DataFrame:
+    """The columns' values on the symbol's row before, as previous_...; null on its first row. A stream keeps the last row's values."""
+    if not rows.isStreaming:
+        return rows.select("*", *[F.lag(c).over(by_time()).alias(f"previous_{c}") for c in columns])
+    schema = extended(rows.schema, ", ".join(f"previous_{c} {rows.schema[c].dataType.simpleString()}" for c in columns))
+
+    def step(state, pdf):
+        state, pdf = state or [None] * len(columns), pdf.copy()
+        last = [x.item() if hasattr(x, "item") else x for x in pdf[list(columns)].astype(object).iloc[-1]]
+        for c, x in zip(columns, state, strict=True):
+            pdf[f"previous_{c}"] = pd.Series([x, *pdf[c].tolist()[:-1]], index=pdf.index, dtype=object)
+        return last, pdf
+
+    return in_order(rows, ["symbol"], ["ts"], step, schema)
+
+
 def rsi_threshold(rows: DataFrame, low: float = 30.0, high: float = 70.0) -> DataFrame:
     side = F.when(F.col("rsi") < low, "BUY").when(F.col("rsi") > high, "SELL")
     return signals(rows, side, F.abs(F.col("rsi") - 50) / 50, "rsi-threshold")
@@ -43,32 +61,34 @@ def rsi_threshold(rows: DataFrame, low: float = 30.0, high: float = 70.0) -> Dat
 
 def state_cross(rows: DataFrame) -> DataFrame:
     """Golden and death crosses against the row before."""
-    b5, b21 = F.lag("sma5").over(by_time()), F.lag("sma21").over(by_time())
+    d = with_previous(rows, "sma5", "sma21")
+    b5, b21 = F.col("previous_sma5"), F.col("previous_sma21")
     side = F.when((F.col("sma5") > F.col("sma21")) & (b5 <= b21), "BUY").when((F.col("sma5") < F.col("sma21")) & (b5 >= b21), "SELL")
-    return signals(rows, side, F.when(F.col("sma21") > 0, F.least(F.lit(1.0), gap() / F.col("sma21") * 100)).otherwise(0.0), "state-cross")
+    return signals(d, side, F.when(F.col("sma21") > 0, F.least(F.lit(1.0), gap() / F.col("sma21") * 100)).otherwise(0.0), "state-cross")
 
 
 def state_gate(rows: DataFrame, rule=simple_cross) -> DataFrame:
     """A per-row rule from each symbol's second row on."""
-    return rule(rows.withColumn("_n", F.row_number().over(by_time())).where("_n > 1").drop("_n"))
+    return rule(with_previous(rows, "ts").where("previous_ts is not null").drop("previous_ts"))
 
 
-def _crossed(rows: DataFrame, above: Column, within_ms: int) -> Column:
-    """Rows where a condition holds, did not hold on the row before, and that row is near enough: relaxed two-stage patterns whose stages exclude each other."""
-    return above & (F.lag(above).over(by_time()) == F.lit(False)) & (F.col("ts") - F.lag("ts").over(by_time()) <= within_ms)
+def _crossed(above: Callable[[Column, Column], Column], within_ms: int) -> Column:
+    """Of rows with_previous values: where a condition on sma5 and sma21 holds, did not hold on the row before, and that row is near enough: relaxed two-stage patterns whose stages exclude each other."""
+    near = F.col("ts") - F.col("previous_ts") <= within_ms
+    return above(F.col("sma5"), F.col("sma21")) & ~above(F.col("previous_sma5"), F.col("previous_sma21")) & near
 
 
 def cep_golden(rows: DataFrame, within_ms: int = 3_600_000) -> DataFrame:
     """BUY where sma5 rises over sma21 within the time allowed."""
-    d = rows.where("sma5 is not null and sma21 is not null")
-    hit = _crossed(d, F.col("sma5") > F.col("sma21"), within_ms)
+    d = with_previous(rows.where("sma5 is not null and sma21 is not null"), "ts", "sma5", "sma21")
+    hit = _crossed(lambda x, y: x > y, within_ms)
     return signals(d, F.when(hit, "BUY"), F.when(F.col("sma21") > 0, F.least(F.lit(1.0), gap() / F.col("sma21") * 100)).otherwise(0.0), "cep-golden")
 
 
 def cep_cross(rows: DataFrame, within_ms: int = 3_600_000) -> DataFrame:
     """BUY on golden and SELL on death crosses."""
-    d = rows.where("sma5 is not null and sma21 is not null")
-    up, down = _crossed(d, F.col("sma5") > F.col("sma21"), within_ms), _crossed(d, F.col("sma5") < F.col("sma21"), within_ms)
+    d = with_previous(rows.where("sma5 is not null and sma21 is not null"), "ts", "sma5", "sma21")
+    up, down = _crossed(lambda x, y: x > y, within_ms), _crossed(lambda x, y: x < y, within_ms)
     return signals(d, F.when(up, "BUY").when(down, "SELL"), F.when(F.col("sma21") != 0, F.least(F.lit(1.0), gap() / F.abs("sma21"))).otherwise(0.0), "cep-cross")
 
 
@@ -76,21 +96,15 @@ def cooldown(found: DataFrame, cooldown_ms: int, sides: list[str] | None = None)
     """Greedy: a signal passes if the last one passed of its symbol is at least cooldown_ms older. sides None: all share the state."""
     d = found if sides is None else found.where(F.col("signal").isin(sides))
 
-    def new():
-        last = None
-
-        def take(pdf):
-            nonlocal last
-            keep = []
-            for t in pdf["ts"].tolist():
-                ok = last is None or t - last >= cooldown_ms
-                keep.append(ok)
-                last = t if ok else last
-            return pdf[keep]
-
-        return take
+    def step(last, pdf):
+        keep = []
+        for t in pdf["ts"].tolist():
+            ok = last is None or t - last >= cooldown_ms
+            keep.append(ok)
+            last = t if ok else last
+        return last, pdf[keep]
 
-    return in_order(d, ["symbol"], ["ts", "signal"], new, d.schema)
+    return in_order(d, ["symbol"], ["ts", "signal"], step, d.schema)
 
 
 def nfa(rows: DataFrame, stages: list[str], within_ms: int, carry: str) -> DataFrame:
@@ -104,35 +118,29 @@ def nfa(rows: DataFrame, stages: list[str], within_ms: int, carry: str) -> DataF
     schema = extended(rows.schema, "first_value double")
     names, n = rows.columns, len(stages)
 
-    def new():
-        partial = []
-
-        def take(pdf):
-            nonlocal partial
-            firsts = []
-            for ts, value, *holds in zip(pdf["ts"].tolist(), pdf[carry].tolist(), *[pdf[t].tolist() for t in tests], strict=True):
-                partial = [p for p in partial if ts - p[0] <= within_ms]
-                done, kept = None, []
-                for start, at, first in partial:
-                    if holds[at]:
-                        at += 1
-                    if at == n:
-                        done = first if done is None else done
-                    else:
-                        kept.append((start, at, first))
-                partial = kept
-                if done is not None:
-                    partial = []
-                elif holds[0]:
-                    partial.append((ts, 1, value))
-                firsts.append(done)
-            out = pdf[names].copy()
-            out["first_value"] = firsts
-            return out[[f is not None for f in firsts]]
-
-        return take
-
-    return in_order(d, ["symbol"], ["ts"], new, schema)
+    def step(state, pdf):
+        partial, firsts = state or [], []
+        for ts, value, *holds in zip(pdf["ts"].tolist(), pdf[carry].tolist(), *[pdf[t].tolist() for t in tests], strict=True):
+            partial = [p for p in partial if ts - p[0] <= within_ms]
+            done, kept = None, []
+            for start, at, first in partial:
+                if holds[at]:
+                    at += 1
+                if at == n:
+                    done = first if done is None else done
+                else:
+                    kept.append((start, at, first))
+            partial = kept
+            if done is not None:
+                partial = []
+            elif holds[0]:
+                partial.append((ts, 1, value))
+            firsts.append(done)
+        out = pdf[names].copy()
+        out["first_value"] = firsts
+        return partial, out[[f is not None for f in firsts]]
+
+    return in_order(d, ["symbol"], ["ts"], step, schema)
 
 
 def cep_rsi_sma_buy(rows: DataFrame, within_ms: int = 4 * 3_600_000) -> DataFrame:
@@ -157,28 +165,23 @@ def seven_green(rows: DataFrame, within_ms: int = 12 * 3_600_000) -> DataFrame:
     schema = extended(rows.schema, "first_value double, rising boolean")
     names = rows.columns
 
-    def new():
-        open_ts, open_close = [], []
-
-        def take(pdf):
-            before = len(open_ts)
-            ts, close = open_ts + pdf["ts"].tolist(), open_close + pdf["close"].tolist()
-            i, hits = 0, []
-            while i + 6 < len(ts):
-                block = close[i : i + 7]
-                if ts[i + 6] - ts[i] <= within_ms and all(c > 0 for c in block[1:]):
-                    hits.append((i + 6 - before, block[0], all(a < b for a, b in zip(block, block[1:], strict=False))))
-                    i += 7
-                else:
-                    i += 1
-            open_ts[:], open_close[:] = ts[i:], close[i:]
-            out = pdf[names].iloc[[h[0] for h in hits]].copy()
-            out["first_value"], out["rising"] = [h[1] for h in hits], [h[2] for h in hits]
-            return out
-
-        return take
-
-    d = in_order(rows, ["symbol"], ["ts"], new, schema)
+    def step(state, pdf):
+        open_ts, open_close = state or ([], [])
+        before = len(open_ts)
+        ts, close = open_ts + pdf["ts"].tolist(), open_close + pdf["close"].tolist()
+        i, hits = 0, []
+        while i + 6 < len(ts):
+            block = close[i : i + 7]
+            if ts[i + 6] - ts[i] <= within_ms and all(c > 0 for c in block[1:]):
+                hits.append((i + 6 - before, block[0], all(a < b for a, b in zip(block, block[1:], strict=False))))
+                i += 7
+            else:
+                i += 1
+        out = pdf[names].iloc[[h[0] for h in hits]].copy()
+        out["first_value"], out["rising"] = [h[1] for h in hits], [h[2] for h in hits]
+        return (ts[i:], close[i:]), out
+
+    d = in_order(rows, ["symbol"], ["ts"], step, schema)
     rise = F.when(F.col("first_value") > 0, F.least(F.lit(1.0), 10 * (F.col("close") - F.col("first_value")) / F.col("first_value"))).otherwise(0.0)
     return signals(d, F.when(F.col("rising"), "BUY"), rise, "seven-green")
 
