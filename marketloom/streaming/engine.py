@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from marketloom.session import ship
 
@@ -46,28 +45,51 @@ def apply_fill(lots: list[list], side: str, qty: float, price: float, seq: int)
     return left, events
 
 
-def update(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """A key's open lots, realized profit and the fills seen in the last SEEN_TTL_MS of processing time, held as JSON."""
-    now = state.getCurrentProcessingTimeMs()
-    fills = pd.concat(list(frames)).sort_values("seq")
-    lots, total, seen = json.loads(state.get[0]) if state.exists else ([], 0.0, {})
-    out = []
-    for f in fills.itertuples(index=False):
-        name = f"{f.order_id}|{f.fill_id}"
-        if name in seen:
-            continue
-        seen[name] = now
-        lots, events = apply_fill(lots, f.side, f.qty, f.price, int(f.seq))
-        gained = sum(e[7] for e in events if e[0] == "match")
-        if abs(gained) > EPS:
-            total += gained
-            events.append(("realized", "UPSERT", None, int(f.seq), None, None, None, total))
-        out += [(e[0], e[1], *key, *e[2:], int(f.seq)) for e in events]
-    state.update((json.dumps([lots, total, {k: t for k, t in seen.items() if now - t <= SEEN_TTL_MS}]),))
-    yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+class Engine(StatefulProcessor):
+    """A key's open lots, its realized profit, and the fills it has seen, each of which is forgotten SEEN_TTL_MS after it came."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.lots = handle.getListState("lots", "lot_seq long, side string, rest double, price double")
+        self.total = handle.getValueState("total", "total double")
+        self.seen = handle.getMapState("seen", "order_id string, fill_id string", "seq long", ttlDurationMs=SEEN_TTL_MS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fills = pd.concat(list(rows)).sort_values("seq")
+        lots = [list(x) for x in self.lots.get()]
+        total = self.total.get()[0] if self.total.exists() else 0.0
+        out = []
+        for f in fills.itertuples(index=False):
+            name = (f.order_id, fill_name(f))
+            if self.seen.containsKey(name):
+                continue
+            self.seen.updateValue(name, (int(f.seq),))
+            lots, events = apply_fill(lots, "BUY" if str(f.side).upper() == "BUY" else "SELL", f.qty, f.price, int(f.seq))
+            gained = sum(e[7] for e in events if e[0] == "match")
+            if abs(gained) > EPS:
+                total += gained
+                events.append(("realized", "UPSERT", None, int(f.seq), None, None, None, total))
+            out += [(e[0], e[1], *key, *e[2:], int(f.seq)) for e in events]
+        if lots:
+            self.lots.put([tuple(x) for x in lots])
+        else:
+            self.lots.clear()
+        self.total.update((total,))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def fill_name(f) -> str:
+    """The fill's id; without one (null or empty) all its fields together."""
+    return f.fill_id if isinstance(f.fill_id, str) and f.fill_id else f"|{f.side}|{f.qty}|{f.price}|{f.ts}"
 
 
 def engine(fills: DataFrame) -> DataFrame:
-    """Tagged changes (kind match, lot, rollup or realized) of a stream of fills; within a trigger a key's fills go by seq."""
+    """Tagged changes (kind match, lot, rollup or realized) of a stream of fills; within a trigger a key's fills go by seq.
+
+    State with a time to live counts in processing time, for which Spark goes on with empty batches; an availableNow trigger ends only
+    with spark.sql.streaming.noDataMicroBatches.enabled set to false.
+    """
     ship(fills.sparkSession)
-    return fills.groupBy(*KEY).applyInPandasWithState(update, OUTPUT, "held string", "update", GroupStateTimeout.NoTimeout)
+    return fills.groupBy(*KEY).transformWithStateInPandas(Engine(), OUTPUT, outputMode="Update", timeMode="ProcessingTime")

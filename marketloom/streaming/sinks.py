@@ -4,31 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketloom.sources.io import latest
 
+BUCKETS = 64
 
-def upsert_sink(path: str, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: keeps the latest row of each key, DELETEs as tombstones, as one version a batch.
 
-    A batch that runs again writes its version anew from the version before, so it can be repeated.
+def _index(spark: SparkSession, path: str, batch_id: int) -> dict[int, int]:
+    """For each bucket the version that holds it, as of a batch."""
+    if batch_id < 0:
+        return {}
+    try:
+        return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{path}/index={batch_id}").collect()}
+    except AnalysisException:
+        raise ValueError(f"no version {batch_id} at {path}") from None
+
+
+def _rows(spark: SparkSession, path: str, index: dict[int, int], schema) -> DataFrame:
+    paths = [f"{path}/version={v}/bucket={b}" for b, v in sorted(index.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_sink(path: str, key: list[str], order: list[str], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: keeps the latest row of each key, DELETEs as tombstones.
+
+    Keys are dealt over buckets by hash. A batch reads and rewrites just the buckets that its keys fall in; a small index (a row for each
+    bucket) says which version holds each bucket. A batch that runs again writes its version anew from the index before, so it can be
+    repeated; its index is written last, so a batch that is lost midway leaves no trace.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in key]
-        from pyspark.sql import functions as F
-
-        d = batch
-        if batch_id:
-            d = spark.read.schema(batch.schema).parquet(f"{path}/version={batch_id - 1}").unionByName(batch)
-        merged = d.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*key, "x.*")
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        before = _index(spark, path, batch_id - 1)
+        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+        batch = batch.persist()
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+        old = _rows(spark, path, {b: before[b] for b in touched if b in before}, batch.schema)
+        merged = old.unionByName(batch).groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*key, "x.*")
+        merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={batch_id}")
+        after = before | dict.fromkeys(touched, batch_id)
+        spark.createDataFrame(sorted(after.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/index={batch_id}")
+        batch.unpersist()
 
     return write
 
 
-def read_latest(spark, path: str, batch_id: int, key: list[str], order: list[str]) -> DataFrame:
-    """The rows of a version that aren't deleted."""
-    return latest(spark.read.parquet(f"{path}/version={batch_id}"), key, order)
+def read_latest(spark: SparkSession, path: str, batch_id: int, key: list[str], order: list[str], schema) -> DataFrame:
+    """The rows as of a batch that aren't deleted."""
+    return latest(_rows(spark, path, _index(spark, path, batch_id), schema), key, order)
+
+
+def vacuum(spark: SparkSession, path: str, batch_id: int) -> int:
+    """Deletes buckets that no index from this batch on needs, and the indexes before it; returns how many went. Readers of earlier batches must be done."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    index, gone = _index(spark, path, batch_id), 0
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        kind, _, number = name.partition("=")
+        if kind == "index" and int(number) < batch_id:
+            fs.delete(status.getPath(), True)
+        if kind == "version" and int(number) <= batch_id:
+            for part in fs.listStatus(status.getPath()):
+                b = part.getPath().getName()
+                if b.startswith("bucket=") and index.get(int(b[7:])) != int(number):
+                    fs.delete(part.getPath(), True)
+                    gone += 1
+    return gone

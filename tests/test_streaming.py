@@ -29,10 +29,12 @@ def test_engine_agrees_with_batch_over_a_restart(spark, sf, tmp_path):
         q.awaitTermination(240)
         assert q.exception() is None
 
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream()
     rows.where("seq > 40").coalesce(1).write.mode("append").parquet(source)
     rows.where("seq <= 3").coalesce(1).write.mode("append").parquet(source)  # again: known fills
     stream()
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = spark.read.parquet(out)
     unique = acc.dedupe_fills(fills)
     batch = acc.fifo_two_sided(unique)
@@ -72,11 +74,18 @@ def test_candles_drop_late_ticks(spark, sf, tmp_path):
     assert {k: v for k, v in want.items() if k[1] < newest} == {k: v for k, v in got.items() if k[1] < newest} and got
 
 
-def test_upsert_sink_repeats_a_batch(spark, tmp_path):
-    rows = lambda *x: spark.createDataFrame(list(x), "op string, k string, v double, seq long")
-    write = sinks.upsert_sink(str(tmp_path / "u"), ["k"], ["seq"])
-    write(rows(("UPSERT", "a", 1.0, 1), ("UPSERT", "b", 2.0, 2)), 0)
+def test_upsert_sink_repeats_a_batch_and_rewrites_touched_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "u"), "op string, k string, v double, seq long"
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    write = sinks.upsert_sink(path, ["k"], ["seq"], buckets=8)
+    names = [f"k{i}" for i in range(40)]
+    write(rows(*[("UPSERT", k, 1.0, i) for i, k in enumerate(names)]), 0)
     for _ in range(2):
-        write(rows(("DELETE", "a", None, 3), ("UPSERT", "b", 5.0, 4)), 1)
-    got = sinks.read_latest(spark, str(tmp_path / "u"), 1, ["k"], ["seq"]).collect()
-    assert [(r.k, r.v) for r in got] == [("b", 5.0)]
+        write(rows(("DELETE", "k0", None, 50), ("UPSERT", "k1", 5.0, 51)), 1)
+    write(rows(), 2)
+    assert len(list((tmp_path / "u" / "version=0").glob("bucket=*"))) == 8
+    assert 1 <= len(list((tmp_path / "u" / "version=1").glob("bucket=*"))) <= 2
+    get = lambda i: {r.k: r.v for r in sinks.read_latest(spark, path, i, ["k"], ["seq"], schema).collect()}
+    want = {k: 1.0 for k in names[1:]} | {"k1": 5.0}
+    assert get(1) == get(2) == want and get(0) == dict.fromkeys(names, 1.0)
+    assert sinks.vacuum(spark, path, 2) in (1, 2) and get(2) == want
