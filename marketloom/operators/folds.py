@@ -27,7 +27,7 @@ def in_order(df: DataFrame, key: list[str], order: list[str], step: Step, schema
     """
     if df.isStreaming:
         ship(df.sparkSession)
-        return df.groupBy(*key).transformWithStateInPandas(Fold(step, order), schema, outputMode="Append", timeMode="None")
+        return df.groupBy(*key).transformWithStateInPandas(Fold(step, order, df.columns), schema, outputMode="Append", timeMode="None")
 
     def run(frames):
         own, state = object(), None
@@ -48,17 +48,22 @@ def in_order(df: DataFrame, key: list[str], order: list[str], step: Step, schema
     return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
+def taken(rows: Iterator[pd.DataFrame], columns: list[str]) -> pd.DataFrame:
+    """A key's rows of one trigger. Spark hands computed columns over without their names, in order."""
+    return pd.concat(list(rows), ignore_index=True).set_axis(columns, axis=1)
+
+
 class Fold(StatefulProcessor):
     """A step over a stream's keys, whose states are held as JSON."""
 
-    def __init__(self, step: Step, order: list[str]):
-        self.step, self.order = step, order
+    def __init__(self, step: Step, order: list[str], columns: list[str]):
+        self.step, self.order, self.columns = step, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.held = handle.getValueState("held", "state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        pdf = taken(rows, self.columns).sort_values(self.order, kind="stable")
         state, out = self.step(json.loads(self.held.get()[0]) if self.held.exists() else None, pdf)
         self.held.update((json.dumps(state),))
         yield out.reset_index(drop=True)

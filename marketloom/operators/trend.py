@@ -7,9 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.folds import Step, in_order
 from marketloom.session import ship
 
 LINE = "symbol string, window_start_ts long, window_end_ts long, time_span_ms long, price_range double, slope double, slope_norm double, intercept double, support double, score double, touches int, breakouts int, breakout_strength double, last_breakout_ts long, side string, data_start_ts long, data_end_ts long"
+SUMMARY = "symbol string, ts long, alpha double, confidence double, phase string, direction string, breakout_direction string, last_breakout_ts long, breakout_recency double, breakout_strength double, lines_used int"
 EVENT = "symbol string, window_end_ts long, slope double, intercept double, ts long, type string, distance double, price double, line_price double"
 #: The angles of lines, in degrees, and the weights of a line's score.
 ANGLES = (10.0, 170.0)
@@ -197,12 +199,14 @@ def trend_summary(lines: DataFrame, tau_ms: float = 2 * 3_600_000.0, softness: f
 
     Windows are blended set-wise; the recurrence over them takes a symbol's few numbers a window in order.
     """
-    blended = fused(lines, tau_ms, softness, now_offset_ms)
-    schema = "symbol string, ts long, alpha double, confidence double, phase string, direction string, breakout_direction string, last_breakout_ts long, breakout_recency double, breakout_strength double, lines_used int"
+    return in_order(fused(lines, tau_ms, softness, now_offset_ms), ["symbol"], ["ts"], phases(beta, conf, alpha, enter, leave), SUMMARY)
 
-    def run(pdf):
-        pdf = pdf.sort_values("ts")
-        a = c = phase = None
+
+def phases(beta: float, conf: float, alpha: float, enter: float, leave: float) -> Step:
+    """The recurrence over a symbol's blended windows; its state is smoothed alpha, smoothed confidence and phase."""
+
+    def step(state, pdf):
+        a, c, phase = state or (None, None, None)
         out = []
         for r in pdf.itertuples(index=False):
             a = r.alpha if a is None else (1 - beta) * a + beta * r.alpha
@@ -218,9 +222,9 @@ def trend_summary(lines: DataFrame, tau_ms: float = 2 * 3_600_000.0, softness: f
             way = "STRONG_UP" if a > 0.3 else "WEAK_UP" if a > 0.1 else "SIDEWAYS" if a >= -0.1 else "WEAK_DOWN" if a >= -0.3 else "STRONG_DOWN"
             out_way = ("UP" if a >= 0 else "DOWN") if r.breakout_recency > 0.1 and r.last_breakout_ts > 0 else None
             out.append((r.symbol, r.ts, max(-1.0, min(1.0, a)), max(0.0, min(1.0, c)), phase, way, out_way, r.last_breakout_ts, r.breakout_recency, r.breakout_strength, r.lines_used))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+        return (a, c, phase), pd.DataFrame(out, columns=[x.split()[0] for x in SUMMARY.split(", ")])
 
-    return blended.groupBy("symbol").applyInPandas(run, schema)
+    return step
 
 
 def line_votes(bars: DataFrame, size_ms: int, slide_ms: int, theta_bins: int = 36, rho_bins: int = 64) -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from marketloom.operators.folds import taken
 from marketloom.session import ship
 
 KEY = ["account_id", "strategy_id", "symbol"]
@@ -48,13 +49,16 @@ def apply_fill(lots: list[list], side: str, qty: float, price: float, seq: int)
 class Engine(StatefulProcessor):
     """A key's open lots, its realized profit, and the fills it has seen, each of which is forgotten SEEN_TTL_MS after it came."""
 
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.lots = handle.getListState("lots", "lot_seq long, side string, rest double, price double")
         self.total = handle.getValueState("total", "total double")
         self.seen = handle.getMapState("seen", "order_id string, fill_id string", "seq long", ttlDurationMs=SEEN_TTL_MS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fills = pd.concat(list(rows)).sort_values("seq")
+        fills = taken(rows, self.columns).sort_values("seq")
         lots = [list(x) for x in self.lots.get()]
         total = self.total.get()[0] if self.total.exists() else 0.0
         out = []
@@ -92,4 +96,4 @@ def engine(fills: DataFrame) -> DataFrame:
     with spark.sql.streaming.noDataMicroBatches.enabled set to false.
     """
     ship(fills.sparkSession)
-    return fills.groupBy(*KEY).transformWithStateInPandas(Engine(), OUTPUT, outputMode="Update", timeMode="ProcessingTime")
+    return fills.groupBy(*KEY).transformWithStateInPandas(Engine(fills.columns), OUTPUT, outputMode="Update", timeMode="ProcessingTime")

@@ -7,8 +7,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from marketloom.operators import accounting as acc
+from marketloom.operators import indicators as ind
+from marketloom.operators import routing, strategies, trend
 from marketloom.sources import adapters as ad
-from marketloom.streaming import engine, joins, sinks
+from marketloom.streaming import engine, joins, sinks, trends
 
 
 def run(stream, path, checkpoint, mode="append"):
@@ -89,3 +91,81 @@ def test_upsert_sink_repeats_a_batch_and_rewrites_touched_buckets(spark, tmp_pat
     want = {k: 1.0 for k in names[1:]} | {"k1": 5.0}
     assert get(1) == get(2) == want and get(0) == dict.fromkeys(names, 1.0)
     assert sinks.vacuum(spark, path, 2) in (1, 2) and get(2) == want
+
+
+def parts(frame, root, name, cuts):
+    """Writes the rows up to each cut of ts as one file, the files' times in that order; returns a function that reads them as a stream, a file a trigger."""
+    at, low = str(root / name), None
+    for cut in cuts:
+        d = frame.where(F.col("ts") <= cut)
+        (d if low is None else d.where(F.col("ts") > low)).coalesce(1).write.mode("append").parquet(at)
+        low = cut
+    return lambda: frame.sparkSession.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def same(got, want, digits=9):
+    flat = lambda d: sorted(tuple(round(x, digits) if isinstance(x, float) else x for x in r) for r in d.collect())
+    a, b = flat(got.select(*want.columns)), flat(want)
+    assert len(a) == len(b) > 0
+    assert [(x, y) for x, y in zip(a, b, strict=True) if x != y] == []
+
+
+def test_indicators_and_patterns_agree_with_batch(spark, sf, tmp_path):
+    bars = ad.bars(spark, sf).select("symbol", "ts", "close")
+    cut = bars.approxQuantile("ts", [0.4, 0.7], 0)
+    stream = parts(bars, tmp_path, "bars", [*cut, 2**60])
+    run(ind.multi(stream()), str(tmp_path / "m"), str(tmp_path / "mc"))
+    made = spark.read.parquet(str(tmp_path / "m"))
+    same(made, ind.multi(bars))
+    rows = made.select("symbol", "ts", "close", "sma5", "sma21", F.col("rsi14").alias("rsi"))
+    again = parts(rows, tmp_path, "rows", [*cut, 2**60])
+    wide = 10**12
+    rules = {
+        "cross": lambda d: strategies.cep_cross(d, wide),
+        "state": strategies.state_cross,
+        "gate": strategies.state_gate,
+        "buy": lambda d: strategies.signals(strategies.nfa(d, ["close > sma5", "sma5 <= sma21", "sma5 > sma21"], wide, "rsi"), F.lit("BUY"), F.col("first_value"), "three"),
+        "seven": lambda d: strategies.seven_green(d, wide),
+        "calm": lambda d: strategies.cooldown(strategies.simple_cross(d), 3 * 21_600_000),
+    }
+    for name, rule in rules.items():
+        run(rule(again()), str(tmp_path / name), str(tmp_path / f"{name}c"))
+        want = rule(rows)
+        got = spark.read.schema(want.schema).parquet(str(tmp_path / name))
+        if name == "seven":
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        else:
+            same(got, want)
+
+
+def test_admission_agrees_with_batch_over_a_restart(spark, tmp_path):
+    orders = spark.createDataFrame([("A", f"S{k % 5}", float(1 + k % 3), 10.0, k * 10, k) for k in range(40)], "account_id string, symbol string, qty double, price double, ts long, seq long")
+    policies = spark.createDataFrame([("A", 2, "ACTIVE", 0), ("A", 4, "ACTIVE", 155), ("A", 4, "BLOCKED", 333)], "account_id string, max_open_symbols int, status string, ts long")
+    positions = spark.createDataFrame([("A", "S0", 0.0, 85, 1), ("A", "S1", 0.0, 205, 2)], "account_id string, symbol string, net_qty double, ts long, seq long")
+    out, cp = str(tmp_path / "o"), str(tmp_path / "c")
+    for low, high in ((-1, 160), (160, 400)):
+        each = []
+        for name, d in (("orders", orders), ("policies", policies), ("positions", positions)):
+            d.where((F.col("ts") > low) & (F.col("ts") <= high)).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            each.append(spark.readStream.schema(d.schema).parquet(str(tmp_path / name)))
+        run(routing.admission(*each), out, cp)
+    want = routing.admission(orders, policies, positions)
+    same(spark.read.parquet(out), want)
+    assert want.count() < 40
+
+
+def test_trend_summary_by_timers_agrees_with_batch(spark, tmp_path):
+    hour = 3_600_000
+    rows = [(s, k * hour, 0.5 if k % 3 else -0.2, 0.1 + 0.1 * (k % 7), 0.2 + 0.1 * (j + k % 4), k % 2, 0.3 * j, (k - j) * hour if k % 2 else -1) for s in ("A", "B") for k in range(1, 15) for j in range(3)]
+    lines = spark.createDataFrame(rows, "symbol string, window_end_ts long, slope double, slope_norm double, score double, breakouts int, breakout_strength double, last_breakout_ts long").withColumn("ts", F.col("window_end_ts"))
+    out, cp = str(tmp_path / "o"), str(tmp_path / "c")
+    source = str(tmp_path / "in")
+    stream = lambda: spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    lines.where(F.col("ts") <= 8 * hour).coalesce(1).write.mode("append").parquet(source)
+    run(trends.trend_summary(stream(), delay_ms=500), out, cp)
+    assert spark.read.parquet(out).agg(F.max("ts")).first()[0] == 7 * hour  # the eighth window's timer waits for the watermark
+    late = lines.where(F.col("ts") == 3 * hour)
+    lines.where(F.col("ts") > 8 * hour).unionByName(late).coalesce(1).write.mode("append").parquet(source)
+    run(trends.trend_summary(stream(), delay_ms=500), out, cp)
+    want = trend.trend_summary(lines.where(F.col("ts") < 14 * hour), now_offset_ms=500)
+    same(spark.read.parquet(out), want)
