@@ -169,3 +169,10 @@ def test_trend_summary_by_timers_agrees_with_batch(spark, tmp_path):
     run(trends.trend_summary(stream(), delay_ms=500), out, cp)
     want = trend.trend_summary(lines.where(F.col("ts") < 14 * hour), now_offset_ms=500)
     same(spark.read.parquet(out), want)
+
+
+def test_average_cost_agrees_with_batch(spark, tmp_path):
+    fills = spark.createDataFrame([("A", f"S{k % 2}", (-1.0) ** (k // 3) * (1 + k % 4), 10.0 + k, "FILLED" if k % 7 else "NEW", k, k) for k in range(40)], "account_id string, symbol string, fill_qty double, fill_price double, status string, ts long, seq long")
+    stream = parts(fills, tmp_path, "fills", [11, 25, 99])
+    run(acc.avg_cost_updates(stream()), str(tmp_path / "o"), str(tmp_path / "c"))
+    same(spark.read.parquet(str(tmp_path / "o")), acc.avg_cost_updates(fills))
