@@ -52,14 +52,14 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> tuple[Data
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each has about SLICE_BYTES of the text column at most, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each has about so many bytes of the text column at most, or one row."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         size = max(1, batch.column(text).nbytes // n)
-        step = max(1, SLICE_BYTES // size)
+        step = max(1, limit // size)
         for i in range(0, n, step):
             yield batch.slice(i, step)
 

@@ -73,4 +73,33 @@ def _quality() -> str:
     )
 
 
-ORACLES = {"op2_minhash_near_dedup": NEAR_DEDUP, "op6_warc": WARC, "op9_line_dedup": LINE_DEDUP, "op10_quality_rules": _quality()}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = rf"""
+WITH it AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT row_number() OVER () AS row, doc_id, len(ts) AS n, ts FROM (SELECT doc_id, {_TERMS} AS ts FROM documents WHERE text IS NOT NULL) WHERE len(ts) > 0),
+c AS (SELECT count(*) AS nd, sum(n)::BIGINT AS nt FROM d),
+tf AS (SELECT row, doc_id, n, t, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM it) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), c),
+i AS (SELECT row, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nd) // nt))) AS x FROM tf JOIN w USING (t), c),
+s AS (SELECT item_id, row, doc_id, sum(x)::BIGINT AS score FROM i JOIN it USING (t) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS k, unnest([array_to_string(ws[i:i+{k - 1}], ' ') FOR i IN range(1, len(ws) - {k - 2})]) AS ph FROM p WHERE len(ws) >= {k}" for k in range(1, 5))
+_INNER = "[array_to_string(ws[i:i+1], ' ') FOR i IN range(1, len(ws))] || CASE WHEN len(ws) = 4 THEN [array_to_string(ws[i:i+2], ' ') FOR i IN range(1, 3)] ELSE [] END"
+PHRASES = rf"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS MATERIALIZED (SELECT lang, k, ph, count(*) AS f FROM ({_GRAMS}) GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, ph, string_split(ph, ' ') AS ws, f AS a FROM f WHERE k > 1 AND f >= 30),
+u AS MATERIALIZED (SELECT lang, ph, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j+1:], ' ') AS rp FROM (SELECT *, unnest(range(1, len(ws))) AS j FROM c)),
+s AS (SELECT u.lang, u.ph, a, j, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score FROM u JOIN f x ON x.lang = u.lang AND x.ph = u.lp JOIN f y ON y.lang = u.lang AND y.ph = u.rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+v AS (SELECT lang, ph, max(w) AS w FROM (SELECT lang, unnest({_INNER}) AS ph, a AS w FROM c WHERE len(ws) > 2) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+o AS (SELECT b.*, n.n FROM b LEFT JOIN v USING (lang, ph) JOIN n USING (lang) WHERE v.w IS NULL OR 100::HUGEINT * v.w < 80::HUGEINT * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, ph) AS rank, ph AS phrase, a, l, r, n, score FROM o QUALIFY rank <= 2000
+"""
+
+
+ORACLES = {"op2_minhash_near_dedup": NEAR_DEDUP, "op6_warc": WARC, "op9_line_dedup": LINE_DEDUP, "op10_quality_rules": _quality(), "op11_ranked_search": SEARCH, "op13_phrase_mining": PHRASES}
