@@ -189,12 +189,19 @@ _EMA = sql("inds", select="").removesuffix(" ") + f", e AS (SELECT symbol, ts, n
 ORACLES["ind_ema"] = _EMA + "SELECT symbol, ts, round(ema5, 4) AS ema5, round(ema14, 4) AS ema14, round(ema21, 4) AS ema21 FROM e"
 ORACLES["ind_multi"] = _EMA + "SELECT symbol, ts, round(sma5, 4) AS sma5, round(sma14, 4) AS sma14, round(sma21, 4) AS sma21, round(ema5, 4) AS ema5, round(ema14, 4) AS ema14, round(ema21, 4) AS ema21, round(rsi, 4) AS rsi14 FROM inds JOIN e USING (symbol, ts)"
 
-_PICK = sql("inds", "states", "policies", select="").removesuffix(" ") + (
-    f", sg AS (SELECT DISTINCT 'simple-cross' AS run_id, 'P' || ((ts // {BAR_MS}) % 4) AS symbol, ts - {23 * 365 * DAY} AS ts, CASE WHEN sma5 > sma21 THEN 'BUY' ELSE 'SELL' END AS signal FROM inds WHERE sma5 <> sma21), "
-    "ac AS (SELECT account_id FROM policies WHERE status = 'ACTIVE'), ex AS (SELECT sg.*, account_id FROM sg, ac), "
-    "st1 AS (SELECT account_id, ts, arg_max(open_count, seq) AS open_count FROM states GROUP BY ALL), st2 AS (SELECT account_id, symbol, ts, arg_max(is_open, seq) AS is_open FROM states GROUP BY ALL), "
-    "c AS (SELECT ex.*, coalesce(st1.open_count, 0) AS oc FROM ex ASOF LEFT JOIN st1 ON ex.account_id = st1.account_id AND ex.ts >= st1.ts), h AS (SELECT c.*, coalesce(st2.is_open, false) AS holds FROM c ASOF LEFT JOIN st2 ON c.account_id = st2.account_id AND c.symbol = st2.symbol AND c.ts >= st2.ts), "
-    "pk AS (SELECT * FROM h WHERE oc < 5 QUALIFY row_number() OVER (PARTITION BY run_id, symbol, ts, signal ORDER BY holds, oc, account_id) = 1) "
+_PICK = sql("inds", select="").removesuffix(" ") + (
+    f", sg AS (SELECT row_number() OVER () AS id, 'simple-cross' AS run_id, 'P' || ((ts // {BAR_MS}) % 12) AS symbol, ts - {23 * 365 * DAY} AS ts, CASE WHEN sma5 > sma21 THEN 'BUY' ELSE 'SELL' END AS signal FROM inds WHERE sma5 <> sma21), "
+    f"rule AS (SELECT 'R' || n AS account_id, 4 + (n + 3 * v) % 8 AS room, (n + v) % 5 <> 0 AS active, [0, 11330, 11340][v + 1]::BIGINT * {DAY} AS rts FROM (SELECT DISTINCT s_suppkey % 50 AS n FROM supplier), range(3) t(v)), "
+    "report AS (SELECT 'R' || (l_suppkey % 50) AS account_id, 'P' || (l_partkey % 12) AS symbol, (l_orderkey + l_partkey) % 3 <> 0 AS is_open, epoch_ms(l_shipdate) AS ts, row_number() OVER (PARTITION BY l_suppkey % 50 ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS seq FROM lineitem), "
+    "st AS (SELECT *, sum(is_open::INT - was::INT) OVER (PARTITION BY account_id ORDER BY seq) AS n_open FROM (SELECT *, coalesce(lag(is_open) OVER (PARTITION BY account_id, symbol ORDER BY seq), false) AS was FROM report)), "
+    "st1 AS (SELECT account_id, ts, arg_max(n_open, seq) AS n_open FROM st GROUP BY ALL), st2 AS (SELECT account_id, symbol, ts, arg_max(is_open, seq) AS is_open FROM st GROUP BY ALL), "
+    "ex AS (SELECT sg.*, a.account_id FROM sg, (SELECT account_id FROM rule UNION SELECT account_id FROM report) a), "
+    "c0 AS (SELECT ex.*, rule.room, rule.active FROM ex ASOF LEFT JOIN rule ON ex.account_id = rule.account_id AND ex.ts >= rule.rts), "
+    "c1 AS (SELECT c0.*, st1.n_open FROM c0 ASOF LEFT JOIN st1 ON c0.account_id = st1.account_id AND c0.ts >= st1.ts), "
+    "h AS (SELECT c1.*, coalesce(st2.is_open, false) AS holds FROM c1 ASOF LEFT JOIN st2 ON c1.account_id = st2.account_id AND c1.symbol = st2.symbol AND c1.ts >= st2.ts), "
+    "ok AS (SELECT * FROM h WHERE CASE WHEN room IS NULL THEN n_open IS NOT NULL ELSE active AND coalesce(n_open, 0) < room END), "
 )
-ORACLES["rt_trade_picker"] = _PICK + "SELECT run_id || '-' || ts AS signal_id, account_id, run_id AS strategy_id, symbol, signal AS action, 1.0::DOUBLE AS qty, ts FROM pk"
-ORACLES["jn_broadcast_control"] = _PICK + "SELECT account_id, count(*) AS n FROM pk GROUP BY 1"
+_PICKED = "SELECT run_id || '-' || ts AS signal_id, account_id, run_id AS strategy_id, symbol, signal AS action, {}::DOUBLE AS qty, ts FROM pk"
+_FIRST = "pk AS (SELECT * FROM ok WHERE {} QUALIFY row_number() OVER (PARTITION BY id ORDER BY holds, coalesce(n_open, 0), account_id) = 1) "
+ORACLES["rt_trade_picker"] = _PICK + _FIRST.format("true") + _PICKED.format("1.0")
+ORACLES["jn_broadcast_control"] = _PICK + _FIRST.format("NOT holds") + _PICKED.format("2.0")

@@ -527,7 +527,8 @@ def jn_connect_policy(s, d):
 
 @query
 def jn_broadcast_control(s, d):
-    return rt_trade_picker(s, d).groupBy("account_id").agg(F.count("*").alias("n"))
+    """The router without adding to what an account holds: control records alone decide who gets a signal."""
+    return routing.trade_picker(*routed(s, d), qty=2.0, scale_in=False)
 
 
 @query
@@ -565,12 +566,27 @@ def rt_account_state(s, d):
     return routing.account_states(position_deltas(s, d))
 
 
+def routed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signals, some of which are equal; three policies of each of 50 accounts, from days 0, 11330 and 11340 on; position reports of 12 symbols."""
+    found = st.simple_cross(rows_with_indicators(s, d)).select("run_id", F.concat(F.lit("P"), F.floor(F.col("ts") / ad.BAR_MS) % 12).alias("symbol"), (F.col("ts") - 23 * 365 * DAY).alias("ts"), "signal")
+    number = F.col("s_suppkey") % 50
+    versions = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.lit(t * DAY).cast("long").alias("ts")) for v, t in enumerate((0, 11330, 11340))]))
+    rules = s.read.parquet(f"{d}/supplier.parquet").select(number.alias("number"), versions.alias("x")).distinct()
+    status = F.when((F.col("number") + F.col("x.v")) % 5 == 0, "BLOCKED").when(F.col("x.v") == 1, "Active").otherwise("ACTIVE")
+    rules = rules.select(F.concat(F.lit("R"), "number").alias("account_id"), (4 + (F.col("number") + 3 * F.col("x.v")) % 8).cast("int").alias("max_open_symbols"), status.alias("status"), "x.ts")
+    li = s.read.parquet(f"{d}/lineitem.parquet")
+    gone = (F.col("l_orderkey") + F.col("l_partkey")) % 3 == 0
+    reports = li.select(
+        F.when(gone, "DELETE").otherwise("UPSERT").alias("op"), F.concat(F.lit("R"), F.col("l_suppkey") % 50).alias("account_id"), F.concat(F.lit("P"), F.col("l_partkey") % 12).alias("symbol"),
+        F.when(~gone, F.col("l_quantity")).alias("net_qty"), ad.epoch_ms(F.col("l_shipdate")).alias("ts"), *ad.FILL_ORDER,
+    )
+    seq = F.row_number().over(Window.partitionBy("account_id").orderBy(*ad.FILL_ORDER)).cast("long")
+    return found, rules, reports.withColumn("seq", seq).drop(*ad.FILL_ORDER)
+
+
 @query
 def rt_trade_picker(s, d):
-    found = st.simple_cross(rows_with_indicators(s, d)).select("run_id", "symbol", "ts", "signal")
-    shifted = found.withColumn("symbol", F.concat(F.lit("P"), F.pmod(F.floor(F.col("ts") / ad.BAR_MS), F.lit(4)))).withColumn("ts", F.col("ts") - 23 * 365 * DAY).distinct()
-    pol = ad.policies(s, d).withColumn("max_open_symbols", F.lit(5))
-    return routing.trade_picker(shifted, pol, position_deltas(s, d))
+    return routing.trade_picker(*routed(s, d))
 
 
 @query
