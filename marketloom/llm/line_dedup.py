@@ -43,7 +43,7 @@ def windows(found: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Of (id, text) with distinct ids: id and gone, the places of the lines to delete. Other documents aren't listed."""
+    """Of (id, text), where an id may repeat with its text: id and gone, the places of the lines to delete. Other documents aren't listed."""
     each, _ = common.written(lines(docs), "lines")
     twice = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     found = each.join(twice, "h").repartition("id").dropDuplicates(["id", "at"])
@@ -62,15 +62,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with their columns; text without its repeated runs, and n_removed_lines.
 
-    Ids tell documents apart and give their order. Null and empty texts have no lines and stay as they are; a
-    text all of whose lines go becomes empty. Rows without id are left alone. Rows that repeat an id count as one
-    document, by any of their texts where these differ, and lose the same lines. An empty table gives an empty result. A run within
+    Ids give the order of documents. Null and empty texts have no lines and stay as they are; a
+    text all of whose lines go becomes empty. Rows without id are left alone. Rows that repeat an id are documents of their own, in the
+    order of a hash of their texts; rows with one id and one text are one document, and lose the same lines. An empty table gives an empty result. A run within
     one text that overlaps its own first occurrence is deleted from that occurrence's end on. A column n_removed_lines of docs is replaced.
     """
     common.ship(docs.sparkSession)
-    own = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text")).where("id is not null and text is not null")
+    key = F.struct(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col].cast("string")).alias("text"))
+    own = docs.select(key.alias("id"), docs[text_col].cast("string").alias("text")).where("id.id is not null and text is not null")
     gone = repeated_lines(own).withColumnsRenamed({"id": "__id__", "gone": "__gone__"})
-    joined = docs.join(gone, docs[id_col].cast("long") == gone["__id__"], "left")
+    joined = docs.join(gone, key == gone["__id__"], "left")
     left = F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains("__gone__", i))
     text = F.when(F.col("__gone__").isNull(), docs[text_col]).otherwise(F.array_join(left, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns if c != "n_removed_lines"], F.coalesce(F.size("__gone__"), F.lit(0)).alias("n_removed_lines"))

@@ -119,8 +119,8 @@ def _words(part: pa.RecordBatch) -> list[list[bytes]]:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Of (id, text): id, n (shingles), k1 and k2 (of the word sequence), bands and bitmap, null for a document without words."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    """Of (id, text, h): id, h, n (shingles), k1 and k2 (of the word sequence), bands and bitmap, null for a document without words."""
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not _circulant:
@@ -136,13 +136,13 @@ def sketch(docs: DataFrame) -> DataFrame:
                 for i, b, m in zip(full, _circulant[0].bands(_circulant[0].signatures(some)).tolist(), bitmaps(some).tolist(), strict=True):
                     bands[i], bits[i] = b, m
             keys = np.frombuffer(b"".join(blake2b(b" ".join(w), digest_size=16).digest() for w in words), "<i8").reshape(-1, 2)
-            yield common.rows(schema, part.column(0), [len(s) for s in sets], keys[:, 0], keys[:, 1], bands, bits)
+            yield common.rows(schema, part.column(0), part.column(2), [len(s) for s in sets], keys[:, 0], keys[:, 1], bands, bits)
 
-    return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, bands array<long>, bits array<long>")
+    return docs.mapInArrow(run, "id long, h long, n long, k1 long, k2 long, bands array<long>, bits array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """Of (id, text): id and its sorted shingle hashes, packed."""
+    """Of (number, text): id, the number, and its sorted shingle hashes, packed."""
     schema = pa.schema([("id", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,25 +180,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words: A-Z lower-cased, between ASCII white space. Shingles of five words; a shorter text is one shingle.
     A null, empty or blank text has none and is linked with nothing. A row without id has no component
-    (null) and is kept. Rows that repeat an id with the same text get the same result; other columns are not
-    read. An empty table gives an empty result.
+    (null) and is kept. Rows that repeat an id are documents of their own, each linked by its own text; with one text they get the same
+    result. Other columns are not read. An empty table gives an empty result.
     """
+    component = F.when(F.col("id").isNotNull(), F.coalesce("first.id", "id"))
+    return _grouped(docs, id_col, text_col).select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and h, a hash of the text, which tells rows of one id apart."""
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: id, h, n and first, the smallest (id, h) of its component (null without words or id)."""
     spark = common.ship(docs.sparkSession)
-    docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    docs = _identified(docs, id_col, text_col)
     sketches, _ = common.written(sketch(docs), "sketches")
-    labels = _labels(spark, docs, sketches)
-    classes = sketches.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min("id").alias("class"))
-    named = classes.join(labels, classes["class"] == labels["id"], "left").select("k1", "k2", F.coalesce("label", "class").alias("component"))
-    found = sketches.drop("bands", "bits").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
-    return found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _labels(spark, docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Component labels of the classes that are linked with another."""
-    classes = sketches.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min_by(F.struct("id", "n", "bands", "bits"), "id").alias("c")).select("c.*")
-    classes, _ = common.written(classes, "classes")
+    classes = sketches.where("id is not null and n > 0").groupBy("k1", "k2").agg(F.min_by(F.struct("id", "h", "n", "bands", "bits"), F.struct("id", "h")).alias("c"))
+    classes, _ = common.written(classes.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", F.struct(F.col("c.id").alias("id"), F.col("c.h").alias("h")).alias("doc"), "c.n", "c.bands", "c.bits"), "classes")
+    labels = _labels(spark, docs, classes)
+    named = classes.select("id", "k1", "k2", "doc").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    firsts = named.groupBy("label").agg(F.min("doc").alias("first"))
+    named = named.join(firsts, "label").select("k1", "k2", "first")
+    found = sketches.select("id", "h", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    return found.select("id", "h", "n", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("first")).alias("first"))
+
+
+def _labels(spark, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Component labels of the classes (id: their number) that are linked with another."""
     buckets = classes.select("id", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("pivot")).where("c > 1").drop("c")
     members, _ = common.written(buckets.join(shared, "bucket"), "members")
@@ -206,8 +217,8 @@ def _labels(spark, docs: DataFrame, sketches: DataFrame) -> DataFrame:
     pairs = members.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(known_bits.select(F.col("id").alias("a"), F.struct("n", "bits").alias("x")), "a").join(known_bits.select(F.col("id").alias("b"), F.struct("n", "bits").alias("y")), "b")
     pairs, _ = common.written(pairs.where(can_link("x", "y")).select("a", "b"), "pairs")
-    edges = _linked(spark, docs, pairs)
-    labels, _ = components(edges)
+    owners = classes.select(F.col("id").alias("class"), "doc.id", "doc.h")
+    labels, _ = components(_linked(spark, docs, owners, pairs))
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def undecided(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,21 +238,29 @@ def _labels(spark, docs: DataFrame, sketches: DataFrame) -> DataFrame:
         pairs, _ = common.written(pairs, "pairs")
         if not pairs.isEmpty():
             known = known.union(pairs)
-            found = _linked(spark, docs, pairs)
+            found = _linked(spark, docs, owners, pairs)
             if not found.isEmpty():
-                edges = edges.union(found)
-                labels, _ = components(edges)
+                labels = _joined(labels, found)
                 left, _ = common.written(undecided(left.drop("label", "minor"), labels), "undecided")
     return labels
 
 
-def _linked(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that are linked by their full sets, which are read for just these pairs."""
-    ids, _ = common.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels with further edges: only components that these tie together are worked on."""
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    more, _ = components(ends.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")))
+    after = labels.join(more.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    return common.written(after.unionByName(more.join(labels, "id", "left_anti").select("id", "label")), "labels")[0]
+
+
+def _linked(spark, docs: DataFrame, owners: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of classes that are linked by their full sets, which are read for just these pairs, from the text of a class's first document."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(owners, "class")
+    ids, _ = common.written(ids, "candidates")
     if ids.count() <= BROADCAST_IDS:
-        chosen = docs.join(F.broadcast(ids), "id", "left_semi")
-    else:
-        chosen = docs.join(ids, "id", "left_semi")
+        ids = F.broadcast(ids)
+    chosen = docs.join(ids, ["id", "h"]).select("class", "text")
     sets, sets_path = common.written(full_sets(chosen).dropDuplicates(["id"]), "sets")
     found, _ = common.written(verified(pairs, sets).where("linked").select("a", "b"), "linked")
     common.remove(spark, sets_path)
@@ -249,6 +268,11 @@ def _linked(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose document stays: one of each component, and rows without id. Columns are as in docs."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("id").alias("__gone__")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone__"], "left_anti")
+    """The rows of docs whose document stays: that of the smallest id of each component, and rows without id or words. Columns are as in docs.
+
+    Rows that repeat an id are documents of their own: of one id and component that of the smallest hash of the text stays. Rows with one
+    id and one text are one document, and stay or go together. An empty table gives an empty result.
+    """
+    same = F.struct("id", "h") == F.col("first")
+    gone = _grouped(docs, id_col, text_col).where(F.col("first").isNotNull() & ~same).select(F.col("id").alias("__gone__"), F.col("h").alias("__hash__")).distinct()
+    return docs.join(gone, (docs[id_col].cast("long") == gone["__gone__"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__hash__"]), "left_anti")

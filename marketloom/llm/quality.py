@@ -41,8 +41,8 @@ MAX_REPEAT_PERCENT = 20
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: id, the language group, the counts and the two histograms. Texts themselves aren't returned."""
-    lang = F.coalesce(docs[lang_col].cast("string"), F.lit(OTHER)) if lang_col in docs.columns else F.lit(OTHER)
-    df = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.when(lang.isin(*COMMON_WORDS), lang).otherwise(OTHER).alias("lang"))
+    text, lang = _judged_columns(docs, text_col, lang_col)
+    df = docs.select(docs[id_col].cast("long").alias("id"), text.alias("text"), lang.alias("lang"))
     df = df.withColumn("words", F.filter(F.split("text", SPACE + "+"), lambda w: w != "")).withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
     df = df.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     window = lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(5)])
@@ -52,6 +52,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return df.select(
         "id",
         "lang",
+        F.xxhash64("text", "lang").alias("h"),
         F.size("words").cast("long").alias("n_words"),
         F.length("text").cast("long").alias("n_chars"),
         (F.length("text") - F.regexp_count("text", F.lit(SPACE))).cast("long").alias("word_chars"),
@@ -63,6 +64,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
+def _judged_columns(docs: DataFrame, text_col: str, lang_col: str) -> tuple[Column, Column]:
+    """What a row is judged by: its text, null as empty, and its language group."""
+    lang = F.coalesce(docs[lang_col].cast("string"), F.lit(OTHER)) if lang_col in docs.columns else F.lit(OTHER)
+    return F.coalesce(docs[text_col].cast("string"), F.lit("")), F.when(lang.isin(*COMMON_WORDS), lang).otherwise(OTHER)
+
+
 def common_list() -> Column:
     """The common words of the row's language."""
     out = F.array(*map(F.lit, COMMON_WORDS["en"]))
@@ -115,11 +122,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows. Repeated rows get repeated results, null ids stay; further columns aren't read. An empty table gives
     an empty result.
     """
+    return _quality(docs, id_col, text_col, lang_col).drop("h")
+
+
+def _quality(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     stats, _ = common.written(measured(docs, id_col, text_col, lang_col), "measured")
     return judged(stats).drop("classes", "common", "n_chars")
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns. Rows of one id stay or go together."""
-    bad = quality(docs, id_col, text_col, lang_col).where("not kept").select(F.col("id").alias("__bad__")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad__"]), "left_anti")
+    """The rows of docs that the rules keep, with docs' columns. Each row is judged by its own text and language, also where rows share an id."""
+    bad = _quality(docs, id_col, text_col, lang_col).where("not kept").select(F.col("id").alias("__bad__"), F.col("h").alias("__hash__")).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad["__bad__"]) & (F.xxhash64(*_judged_columns(docs, text_col, lang_col)) == bad["__hash__"]), "left_anti")

@@ -289,6 +289,53 @@ def test_lm_score_is_that_of_all_ngrams(spark, monkeypatch):
         assert abs(sum(p((*h, w)) for w in vocabulary) + p((*h, "never seen")) - 1) < 1e-9
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    run = "\n".join(f"line {k} of a run that several documents of this table share word for word {k * 7}" for k in range(6))
+    lines = [(1, run), (2, "alpha stays here\n" + run), (2, "beta first line\nbeta SECOND line must stay\nbeta third"), (2, run + "\nomega")]
+    got = collections.Counter(r.text for r in line_dedup.dedup_lines(spark.createDataFrame(lines, "doc_id long, text string").repartition(3)).collect())
+    assert got == {run: 1, "alpha stays here": 1, lines[2][1]: 1, "omega": 1}
+
+    tail = " ".join(f"t{k}" for k in range(40))
+    x, y, z = f"x {tail}", f"y {tail}", " ".join(f"other{k}" for k in range(40))
+    near = [(5, x), (5, f"{y} more"), (9, f"{y} more."), (5, z), (9, z), (7, "a b"), (7, "a b"), (8, "A  b"), (None, x), (5, None)]
+    found = minhash.near_duplicates(spark.createDataFrame(near, "doc_id long, text string").repartition(3)).collect()
+    want = [(5, 5), (5, 5), (9, 5), (5, 5), (9, 5), (7, 7), (7, 7), (8, 7), (None, None), (5, 5)]
+    assert collections.Counter((r.id, r.component_id) for r in found) == collections.Counter(want)
+    apart = [(5, z), (9, x), (5, y + " more"), (9, z)]
+    found = minhash.near_duplicates(spark.createDataFrame(apart, "doc_id long, text string")).collect()
+    assert collections.Counter((r.id, r.component_id, r.kept) for r in found) == collections.Counter([(5, 5, True), (9, 5, False), (5, 5, True), (9, 5, False)])
+    kept = [r.text for r in minhash.drop_near_duplicates(spark.createDataFrame([*near, (9, "quite alone")], "doc_id long, text string")).collect()]
+    assert sum(t in (x, near[1][1], near[2][1]) for t in kept[:]) == 2 and kept.count(z) == 1 and kept.count("a b") == 2 and "A  b" not in kept and "quite alone" in kept and None in kept
+
+    good = " ".join(f"word{k % 37} and the other thing of it" for k in range(12))
+    docs = spark.createDataFrame([(1, good, "en"), (1, "too short", "en"), (None, "bad", "en"), (None, good, "en")], "doc_id long, text string, lang string")
+    judged = quality.quality(docs).collect()
+    assert sorted(r.text for r in quality.keep_good(docs).collect()) == [good] * sum(r.kept for r in judged)
+
+
+def test_random_ids_against_brute_force(spark):
+    rng = random.Random(12)
+    base = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 30)) for _ in range(40)) for _ in range(6)]
+    rows = []
+    for _ in range(120):
+        w = rng.choice(base).split()
+        for _ in range(rng.choice((0, 0, 1, 2))):
+            w[rng.randrange(len(w))] = "z"
+        rows.append((rng.randint(0, 25), " ".join(w)))
+    got = collections.Counter((r.id, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    sets = [{tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    least = {}
+    for x, (i, _) in zip(label, rows, strict=True):
+        least[x] = min(i, least.get(x, i))
+    assert got == collections.Counter((i, least[x]) for x, (i, _) in zip(label, rows, strict=True))
+
+
 def test_lm_is_no_worse_than_its_base(spark, sf):
     for d in (sf, "/root/testdata/sf0.01"):
         r = lm.score(spark.read.parquet(f"{d}/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens) as s", "sum(base_score) / sum(n_tokens) as b").first()
