@@ -5,7 +5,7 @@ whose pair is in no frequent place cannot begin or continue a frequent phrase. T
 little. What is left is projected: for each occurrence of a frequent prefix of two words, the words that can follow it,
 which stand for the occurrence's pointer; equal projections are one row with a count. A prefix's rows go to one task in order, and
 there patterns are extended to the right, depth first: a pattern's projection is a run of rows, its extensions are runs
-within. A prefix of very many rows is dealt by its third word, and its parts are added up. Counts of
+within. A prefix that is a large part of the corpus is dealt by its third word, and its parts are added up. Counts of
 phrases come from words themselves, not from hashes.
 
 Scores take the counts of both parts of each cut by joins on equal keys.
@@ -17,7 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +33,14 @@ COVER = 80
 SCALE = 2_000_000
 #: Bits of each filter.
 FILTER_BITS = 1 << 25
-#: Rows of a prefix from which on it is dealt by its third word.
-SPLIT = 200_000
+#: Bits of a pair's key, and the words to which a bucket of keys comes. Keys serve the filter alone.
+PAIR_BITS = 40
+BUCKET_WORDS = 1 << 21
+#: Pairs that make up so large a part of all words are dealt by their third word too; there are SPLIT of them at most.
+SPLIT = 1 << 16
 #: Bytes of text that are counted at once; pairs that a task holds before it sends their counts.
-SLICE_BYTES = 16 << 20
-HELD_PAIRS = 1 << 22
+SLICE_BYTES = 6 << 20
+HELD_PAIRS = 1 << 20
 NO_LANG = "und"
 
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces.
@@ -65,8 +70,8 @@ class Tokens:
         at = np.flatnonzero(begins)
         gap = kind == 2
         gap[first] = True
-        piece = np.cumsum(gap)[at]
-        length = np.cumsum(inside)
+        piece = np.cumsum(gap, dtype=np.int32)[at]
+        length = np.cumsum(inside, dtype=np.int32)
         offsets = np.append(length[at] - 1, length[-1] if len(length) else 0).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]).dictionary_encode()
         self.codes = words.indices.to_numpy().astype(np.int64)
@@ -87,9 +92,9 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    """Of each word with the next one; the last word has none."""
-    return scrambled(h[:-1] * _MIX[0] + h[1:] * _MIX[1])
+def pair_keys(h: np.ndarray) -> np.ndarray:
+    """Of each word with the next one, PAIR_BITS bits; the last word has none."""
+    return scrambled(h[:-1] * _MIX[0] + h[1:] * _MIX[1]) >> np.uint64(64 - PAIR_BITS)
 
 
 def among(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -108,93 +113,165 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, f and key (its hash) of all words."""
-    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("key", pa.int64()), ("f", pa.int64())])
+    """lang, word and f of all words."""
+    schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches, limit=SLICE_BYTES):
             t = Tokens(part)
             size = max(1, len(t.words))
-            both, at, f = np.unique(t.lang * size + t.codes, return_index=True, return_counts=True)
+            both, f = np.unique(t.lang * size + t.codes, return_counts=True)
             lang, code = np.divmod(both, size)
-            yield pa.RecordBatch.from_arrays([t.lang_names.take(pa.array(lang)).cast(pa.string()), t.words.take(pa.array(code)).cast(pa.string()), pa.array(t.hashes()[at].view(np.int64)), pa.array(f)], schema=schema)
+            yield pa.RecordBatch.from_arrays([t.lang_names.take(pa.array(lang)).cast(pa.string()), t.words.take(pa.array(code)).cast(pa.string()), pa.array(f)], schema=schema)
 
-    return docs.mapInArrow(run, "lang string, word string, key long, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"), F.min("key").alias("key"))
+    return docs.mapInArrow(run, "lang string, word string, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
-def pair_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """key and f of hashed pairs of frequent words."""
-    schema = pa.schema([("key", pa.int64()), ("f", pa.int64())])
+def word_keys(words: DataFrame) -> DataFrame:
+    """Of (lang, word): key, the hash of each."""
+    schema = pa.schema([("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            own, lang = (np.fromiter((xxhash.xxh3_64_intdigest(x) for x in part.column(k).to_pylist()), np.uint64, part.num_rows) for k in (1, 0))
+            yield pa.RecordBatch.from_arrays([pa.array(scrambled(own + lang * _MIX[1]).view(np.int64))], schema=schema)
+
+    return words.mapInArrow(run, "key long")
+
+
+def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as gaps, and counts, by byte planes: what is alike lies together."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    planes = [x.view(np.uint8).reshape(len(keys), 8).T.tobytes() for x in (gaps.astype("<u8"), counts.astype("<u8"))]
+    return zstandard.compress(b"".join(planes), 1)
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(2, 8, -1)
+    gaps, counts = (np.ascontiguousarray(x.T).view("<u8").ravel() for x in planes)
+    return np.cumsum(gaps, dtype=np.uint64), counts
+
+
+def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.uint64)
+
+
+def frequent_pairs(docs: DataFrame, words: np.ndarray, n_words: int, least: int) -> DataFrame:
+    """key and f of those pairs of frequent words that occur often enough, pairs with one key taken together.
+
+    Keys are dealt by their first bits, in packed runs; a bucket has BUCKET_WORDS occurrences or so, and fewer keys.
+    """
+    bits = min(PAIR_BITS - 1, (n_words // BUCKET_WORDS).bit_length())
+    sent_schema, schema = pa.schema([("bucket", pa.int64()), ("run", pa.binary())]), pa.schema([("key", pa.int64()), ("f", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def sent() -> pa.RecordBatch:
             keys, f = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(f)], schema=schema)
+            of = (keys >> np.uint64(PAIR_BITS - bits)).astype(np.int64)
+            ends = np.flatnonzero(np.append(of[1:] != of[:-1], True)[: len(of)]) + 1
+            runs = [(int(of[b - 1]), packed(keys[a:b], f[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(keys) else []
+            return common.rows(sent_schema, [x[0] for x in runs], [x[1] for x in runs])
 
         for part in common.slices(batches, limit=SLICE_BYTES):
             t = Tokens(part)
             h = t.hashes()
             known = among(words, h)
-            held.append(pair_hashes(h)[(known[:-1] & known[1:] & t.follows[:-1])])
+            held.append(pair_keys(h)[known[:-1] & known[1:] & t.follows[:-1]])
             if sum(map(len, held)) >= HELD_PAIRS:
                 yield sent()
         if held:
             yield sent()
 
-    return docs.mapInArrow(run, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, runs = None, []
 
+        def done() -> pa.RecordBatch:
+            keys, f = summed(*zip(*runs)) if runs else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+            often = f >= least
+            return pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(f[often].astype(np.int64))], schema=schema)
 
-def projections(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """lang, w1 to w4 and c: how often those words begin at a place whose first pair passes the filter; w3 and w4 are null where the filter ends the phrase."""
-    names = ["w1", "w2", "w3", "w4"]
-    schema = pa.schema([("lang", pa.string()), *[(w, pa.string()) for w in names], ("c", pa.int64())])
+        for batch in batches:
+            for own, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if own != bucket:
+                    yield done()
+                    bucket, runs = own, []
+                runs.append(unpacked(raw))
+                if len(runs) > 64:
+                    runs = [summed(*zip(*runs))]
+        yield done()
+
+    sent = docs.mapInArrow(count, "bucket long, run binary").repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(merge, "key long, f long")
+
+
+def projections(docs: DataFrame, pairs: np.ndarray, hot: np.ndarray) -> DataFrame:
+    """lang, phrase (two to four words, joined) and c: how often just these words can begin a frequent phrase; deal, by which a prefix's rows
+    find together, and split, whether the third word has a part in it."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("deal", pa.int64()), ("split", pa.bool_()), ("c", pa.int64())])
+
+    def projected(part: pa.RecordBatch) -> pa.RecordBatch:
+        t = Tokens(part)
+        good = np.zeros(len(t.codes) + 3, bool)
+        h = t.hashes()
+        keys = pair_keys(h)
+        good[: len(keys)] = among(pairs, keys) & t.follows[:-1]
+        at = np.flatnonzero(good)
+        codes = np.append(t.codes, [0, 0, 0])
+        third, fourth = good[at + 1], good[at + 1] & good[at + 2]
+        columns = [t.lang[at], codes[at], codes[at + 1], np.where(third, codes[at + 2], -1), np.where(fourth, codes[at + 3], -1)]
+        own, size = np.zeros(len(at), np.int64), len(t.words) + 1
+        for x in columns:
+            own = np.unique(own * size + x + 1, return_inverse=True)[1]
+        _, first, c = np.unique(own, return_index=True, return_counts=True)
+        words = [t.words.take(pa.array(x[first], mask=x[first] < 0)) for x in columns[1:]]
+        phrase = pc.binary_join_element_wise(*words, pa.scalar(" ", pa.large_string()), null_handling="skip")
+        deal = keys[at[first]] if len(at) else np.empty(0, np.uint64)
+        split = np.isin(deal, hot)
+        after = np.append(h, [0, 0]).astype(np.uint64)[at[first] + 2] * third[first]
+        deal = np.where(split, scrambled(deal + after), deal).view(np.int64)
+        return pa.RecordBatch.from_arrays([t.lang_names.take(pa.array(columns[0][first])).cast(pa.string()), phrase.cast(pa.string()), pa.array(deal), pa.array(split), pa.array(c)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def sent() -> list[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).group_by(schema.names[:-1], use_threads=False).aggregate([("c", "sum")])
+            held.clear()
+            return pa.table([whole[c] for c in [*schema.names[:-1], "c_sum"]], schema=schema).to_batches()
+
         for part in common.slices(batches, limit=SLICE_BYTES):
-            t = Tokens(part)
-            good = np.zeros(len(t.codes) + 3, bool)
-            good[: max(0, len(t.codes) - 1)] = among(pairs, pair_hashes(t.hashes())) & t.follows[:-1]
-            at = np.flatnonzero(good)
-            codes = np.append(t.codes, [0, 0, 0])
-            third, fourth = good[at + 1], good[at + 1] & good[at + 2]
-            columns = [t.lang[at], codes[at], codes[at + 1], np.where(third, codes[at + 2], -1), np.where(fourth, codes[at + 3], -1)]
-            own, size = np.zeros(len(at), np.int64), len(t.words) + 1
-            for x in columns:
-                own = np.unique(own * size + x + 1, return_inverse=True)[1]
-            _, first, c = np.unique(own, return_index=True, return_counts=True)
-            word = lambda x: t.words.take(pa.array(x[first], mask=x[first] < 0)).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([t.lang_names.take(pa.array(columns[0][first])).cast(pa.string()), *map(word, columns[1:]), pa.array(c)], schema=schema)
-
-    return docs.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, w4 string, c long").groupBy("lang", *names).agg(F.sum("c").alias("c"))
-
-
-def grown(projected: DataFrame, least: int, split: int = SPLIT) -> DataFrame:
+            held.append(projected(part))
+            if sum(x.num_rows for x in held) >= HELD_PAIRS:
+                yield from sent()
+        if held:
+            yield from sent()
+
+    return docs.mapInArrow(run, "lang string, phrase string, deal long, split boolean, c long")
+
+
+def grown(projected: DataFrame, least: int) -> DataFrame:
     """lang, phrase (its words) and a, of phrases of two words and more with `least` occurrences."""
-    prefix = ["lang", "w1", "w2"]
-    large = projected.groupBy(*prefix).agg(F.count("*").alias("n")).where(F.col("n") > split).select(*prefix, F.lit(True).alias("large"))
-    rows = projected.join(large, prefix, "left").withColumn("large", F.coalesce("large", F.lit(False)))
-    rows = rows.withColumn("share", F.when(F.col("large"), F.xxhash64("w3")).otherwise(F.lit(0).cast("long")))
     schema = pa.schema([("lang", pa.string()), ("phrase", pa.list_(pa.string())), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path: list[str] = []
         counts: list[int] = []
-        lang, part_of_large, out = None, False, []
+        lang, in_part, out = None, False, []
 
         def back_to(depth: int) -> None:
-            """Leaves the patterns below this depth, each of which has its whole count now."""
+            """Leaves the patterns below this depth, each of which has its whole count now, unless others have parts of its prefix."""
             while len(path) > depth:
-                if len(path) > 1 and (counts[-1] >= least or part_of_large and len(path) == 2):
+                if len(path) > 1 and (counts[-1] >= least or in_part and len(path) == 2):
                     out.append((lang, list(path), counts[-1]))
                 path.pop()
                 counts.pop()
 
         for batch in batches:
-            for *words, c, own, large in zip(*(batch.column(k).to_pylist() for k in ("w1", "w2", "w3", "w4", "c", "lang", "large")), strict=True):
-                words = [w for w in words if w is not None]
+            for own, words, c, split in zip(*(batch.column(k).to_pylist() for k in ("lang", "words", "c", "split")), strict=True):
                 if own != lang:
                     back_to(0)
                     lang = own
@@ -202,7 +279,7 @@ def grown(projected: DataFrame, least: int, split: int = SPLIT) -> DataFrame:
                 while same < len(path) and same < len(words) and path[same] == words[same]:
                     same += 1
                 back_to(same)
-                part_of_large = large
+                in_part = split
                 path += words[same:]
                 counts += [0] * (len(words) - same)
                 for k in range(len(counts)):
@@ -214,7 +291,8 @@ def grown(projected: DataFrame, least: int, split: int = SPLIT) -> DataFrame:
         if out:
             yield common.rows(schema, *zip(*out))
 
-    dealt = rows.repartition(*prefix, "share").sortWithinPartitions("lang", "w1", "w2", "share", "w3", "w4")
+    merged = projected.repartition("deal").groupBy("lang", "phrase", "deal", "split").agg(F.sum("c").alias("c"))
+    dealt = merged.select("lang", F.split("phrase", " ").alias("words"), "c", "split").sortWithinPartitions("lang", "words")
     found = dealt.mapInArrow(run, "lang string, phrase array<string>, a long")
     return found.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
@@ -235,10 +313,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col:
     common.ship(docs.sparkSession)
     own = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit(NO_LANG)).alias("lang"), docs[text_col].cast("string").alias("text")).where("text is not null")
     counted, _ = common.written(word_counts(own), "words")
+    n_words = counted.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     frequent = counted.where(F.col("f") >= least)
-    pairs = bitmap(pair_counts(own, bitmap(frequent)).where(F.col("f") >= least))
-    projected, _ = common.written(projections(own, pairs), "projections")
-    phrases, _ = common.written(grown(projected, least), "phrases")
+    pairs, _ = common.written(frequent_pairs(own, bitmap(word_keys(frequent.select("lang", "word"))), n_words, least), "pairs")
+    hot = np.sort(pairs.where(F.col("f") * SPLIT > n_words).select("key").toArrow()["key"].to_numpy().astype(np.uint64))
+    phrases, _ = common.written(grown(projections(own, bitmap(pairs), hot), least), "phrases")
 
     text = F.array_join("phrase", " ")
     known = phrases.select("lang", text.alias("part"), F.col("a").alias("f")).unionByName(frequent.select("lang", F.col("word").alias("part"), "f"))
