@@ -7,9 +7,13 @@ the running quantities of both sides, in order, without a range join.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators import prefix
 from marketloom.operators.folds import in_order
 
 KEY2 = ["account_id", "strategy_id", "symbol"]
@@ -34,26 +38,44 @@ def dedupe_fills(fills: DataFrame) -> DataFrame:
     return fills.withColumn("_fill", fill_id).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_fill")
 
 
-def running(key: list[str], qty: str) -> Column:
-    """Running quantity of each row's own side. One window over the key serves both sides, so rows stay where the key's other windows put them."""
-    w = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    own = lambda side: F.sum(F.when(F.col("side") == side, exact(qty)).otherwise(exact(F.lit(0)))).over(w)
-    return F.when(F.col("side") == "BUY", own("BUY")).otherwise(own("SELL"))
+def own_side(fills: DataFrame, key: list[str], qty: str) -> DataFrame:
+    """fills with hi, the running quantity of each row's own side, and bought and sold, the key's whole quantities."""
+    of = lambda side: F.when(F.col("side") == side, exact(qty)).otherwise(exact(F.lit(0)))
+    d = prefix.running(fills, key, prefix.by_seq(), ["seq"], {"_buy": of("BUY"), "_sell": of("SELL")}, {"_buy": "bought", "_sell": "sold"})
+    return d.withColumn("hi", F.when(F.col("side") == "BUY", F.col("_buy")).otherwise(F.col("_sell"))).drop("_buy", "_sell")
 
 
 def _sweep(fills: DataFrame, key: list[str], carry: list[str]) -> DataFrame:
-    """Of fills with side, q (quantity above 0) and seq: one row for each overlap, with buy, sell and qty."""
-    cum = fills.withColumn("cum", running(key, "q"))
-    row = F.struct("seq", *carry)
-    down = Window.partitionBy(*key).orderBy(F.desc("cum")).rangeBetween(Window.unboundedPreceding, 0)
-    each = cum.select(
-        *key, "cum",
-        F.last(F.when(F.col("side") == "BUY", row), ignorenulls=True).over(down).alias("buy"),
-        F.last(F.when(F.col("side") == "SELL", row), ignorenulls=True).over(down).alias("sell"),
-        F.lead("cum").over(Window.partitionBy(*key).orderBy(F.desc("cum"))).alias("below"),
-    )
-    part = (F.col("cum") - F.coalesce("below", exact(F.lit(0)))).cast("double")
-    return each.withColumn("qty", part).where(f"qty > {EPS} and buy is not null and sell is not null")
+    """Of fills with side, q (quantity above 0) and seq: one row for each overlap, with buy, sell and qty.
+
+    The axis of running quantities is cut wherever a chunk of either side begins, so a cell has one chunk's rows of each side at
+    most. An overlap ends at each row's running quantity; the other side's row is the first at or above it, in the cell or, carried
+    down, in one above.
+    """
+    inside = Window.partitionBy(*key, "_chunk", "side").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    d = fills.withColumn("_chunk", prefix.by_seq()).withColumn("_within", F.sum(exact("q")).over(inside))
+    up = Window.partitionBy(*key).orderBy("lo")
+    earlier = Window.partitionBy(*key, "side").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = d.groupBy(*key, "side", "_chunk").agg(F.sum(exact("q")).alias("_sum"))
+    starts = starts.withColumn("lo", F.coalesce(F.sum("_sum").over(earlier), exact(F.lit(0))))
+    at = lambda side: F.max(F.when(F.col("side") == side, F.struct("_chunk", F.col("lo").alias("start"))))
+    now = lambda c: F.last(c, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    cells = starts.groupBy(*key, "lo").agg(at("BUY").alias("BUY"), at("SELL").alias("SELL"))
+    cells = cells.select(*key, F.row_number().over(up).alias("_cell"), "lo", F.lead("lo").over(up).alias("top"), now("BUY").alias("BUY"), now("SELL").alias("SELL"))
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("from")) for side in ("BUY", "SELL")])).alias("x")
+    cells = cells.select(*key, "_cell", "lo", "top", sides).select(*key, "x.side", "x.from._chunk", "x.from.start", "_cell", "lo", "top").where("_chunk is not null")
+    rows = prefix.attached(d, cells, [*key, "side", "_chunk"]).withColumn("cum", F.col("start") + F.col("_within")).where("cum > lo and (top is null or cum <= top)")
+    rows = rows.select(*key, "_cell", "side", "cum", F.struct("seq", *carry).alias("row"))
+
+    own = lambda side, x: F.when(F.col("side") == side, x)
+    each = rows.groupBy(*key, "_cell").agg(F.max("cum").alias("most"), *[F.min_by(own(side, F.col("row")), own(side, F.col("cum"))).alias(side) for side in ("BUY", "SELL")])
+    above = Window.partitionBy(*key).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select(*key, "_cell", *[F.last(side, ignorenulls=True).over(above).alias(f"{side}_above") for side in ("BUY", "SELL")], F.lag("most").over(Window.partitionBy(*key).orderBy("_cell")).alias("most_below"))
+    inside = Window.partitionBy(*key, "_cell").orderBy(F.desc("cum"))
+    down = inside.rangeBetween(Window.unboundedPreceding, 0)
+    owner = lambda side: F.coalesce(F.last(own(side, F.col("row")), ignorenulls=True).over(down), F.col(f"{side}_above"))
+    found = prefix.attached(rows, each, [*key, "_cell"]).select(*key, "cum", owner("BUY").alias("buy"), owner("SELL").alias("sell"), F.coalesce(F.lead("cum").over(inside), F.col("most_below"), exact(F.lit(0))).alias("below"))
+    return found.withColumn("qty", (F.col("cum") - F.col("below")).cast("double")).where(f"qty > {EPS} and buy is not null and sell is not null")
 
 
 def fifo_two_sided(fills: DataFrame) -> DataFrame:
@@ -76,10 +98,8 @@ def fifo_long_only(fills: DataFrame, status: str | None = "FILLED") -> DataFrame
     """
     d = fills if status is None else fills.where(F.col("status") == status)
     d = d.where("fill_qty != 0")
-    run = Window.partitionBy(*KEY1).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("net", F.sum(exact("fill_qty")).over(run)).withColumn("low", F.least(exact(F.lit(0)), F.min("net").over(run)))
-    before = F.coalesce(F.lag("low").over(Window.partitionBy(*KEY1).orderBy("seq")), exact(F.lit(0)))
-    d = d.withColumn("dropped", (before - F.col("low")).cast("double"))
+    d = prefix.reflected(d, KEY1, prefix.by_seq(), ["seq"], exact("fill_qty"), exact(F.lit(0)))
+    d = d.withColumn("dropped", (F.col("before") - F.col("low")).cast("double"))
     d = d.select(*KEY1, "order_id", F.col("fill_price").alias("price"), "ts", "seq", F.when(F.col("fill_qty") > 0, "BUY").otherwise("SELL").alias("side"), F.when(F.col("fill_qty") > 0, F.col("fill_qty")).otherwise(-F.col("fill_qty") - F.col("dropped")).alias("q")).where(f"q > {EPS}")
     m = _sweep(d, KEY1, ["order_id", "price", "ts"])
     return m.select(
@@ -90,9 +110,7 @@ def fifo_long_only(fills: DataFrame, status: str | None = "FILLED") -> DataFrame
 
 def lots_latest(fills: DataFrame) -> DataFrame:
     """Open lots of deduped fills. As many units match on either side as the smaller side has, the oldest ones; what lies beyond is open."""
-    key = Window.partitionBy(*KEY2)
-    total = lambda side: F.sum(F.when(F.col("side") == side, exact("qty")).otherwise(exact(F.lit(0)))).over(key)
-    d = sided(fills).withColumn("hi", running(KEY2, "qty")).withColumn("matched", F.least(total("BUY"), total("SELL")))
+    d = own_side(sided(fills), KEY2, "qty").withColumn("matched", F.least("bought", "sold"))
     d = d.withColumn("qty_rem", (F.col("hi") - F.greatest(F.col("hi") - exact("qty"), F.col("matched"))).cast("double")).where(f"qty_rem > {EPS}")
     return d.select(*KEY2, F.concat_ws("#", "order_id", "fill_id").alias("lot_id"), F.when(F.col("side") == "BUY", "LONG").otherwise("SHORT").alias("side"), F.col("qty").alias("qty_open"), "qty_rem", F.col("price").alias("avg_price"), F.col("ts").alias("ts_open"), F.col("seq").alias("lot_seq"))
 
@@ -121,23 +139,22 @@ def rollup_latest(lots: DataFrame) -> DataFrame:
 
 def rollup_changelog(fills: DataFrame) -> DataFrame:
     """op, keys, net_qty (null for DELETE), ts and seq after each deduped fill."""
-    w = Window.partitionBy(*KEY2).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     signed = F.when(F.col("side") == "BUY", exact("qty")).otherwise(-exact("qty"))
-    d = sided(fills).withColumn("net", F.sum(signed).over(w).cast("double"))
+    d = prefix.running(sided(fills), KEY2, prefix.by_seq(), ["seq"], {"net": signed}).withColumn("net", F.col("net").cast("double"))
     return d.select(F.when(F.abs("net") <= EPS, "DELETE").otherwise("UPSERT").alias("op"), *KEY2, F.when(F.abs("net") > EPS, F.col("net")).alias("net_qty"), "ts", "seq")
 
 
 def realized_cumulative(matches: DataFrame, key: list[str]) -> DataFrame:
     """Running realized profit of each key, in match order."""
-    w = Window.partitionBy(*key).orderBy("match_seq", *[c for c in ("buy_seq", "sell_seq") if c in matches.columns]).rowsBetween(Window.unboundedPreceding, 0)
-    return matches.withColumn("cumulative_pnl", F.sum("realized_pnl").over(w))
+    order = ["match_seq", *[c for c in ("buy_seq", "sell_seq") if c in matches.columns]]
+    return prefix.running(matches, key, prefix.by_seq("match_seq"), order, {"cumulative_pnl": F.col("realized_pnl")}).drop("_chunk")
 
 
 def realized_updates(matches: DataFrame, key: list[str]) -> DataFrame:
     """One row for each fill whose matches changed the key's realized profit: match_seq, ts and the running cumulative_pnl."""
     d = matches.groupBy(*key, "match_seq").agg(F.sum("realized_pnl").alias("delta"), F.max("match_ts").alias("ts")).where(f"abs(delta) > {EPS}")
-    w = Window.partitionBy(*key).orderBy("match_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select(*key, "match_seq", "ts", F.sum("delta").over(w).alias("cumulative_pnl"))
+    d = prefix.running(d, key, prefix.by_seq("match_seq"), ["match_seq"], {"cumulative_pnl": F.col("delta")})
+    return d.select(*key, "match_seq", "ts", "cumulative_pnl")
 
 
 def realized_latest(matches: DataFrame, key: list[str]) -> DataFrame:
@@ -151,14 +168,28 @@ def avg_cost_latest(fills: DataFrame) -> DataFrame:
 
 
 def avg_cost_updates(fills: DataFrame) -> DataFrame:
-    """The position after every FILLED fill, the zero row on flattening included. A key's fills are taken in order of seq, with the position as state; seq is distinct within a key."""
+    """The position after every FILLED fill, the zero row on flattening included; seq is distinct within a key. Quantities add up exactly.
+
+    With the running quantity known, the average price is an affine step of the one before: a mean weighted by quantities where a
+    fill adds, the same where it takes away, the fill's price where it opens or turns a position. So chunks of a key are walked by tasks of
+    their own. A stream's keys are taken in order, with the position as state.
+    """
     schema = "account_id string, symbol string, seq long, ts long, net_qty double, avg_price double"
+    filled = fills.where("status = 'FILLED' and fill_qty != 0").select(*KEY1, "seq", "ts", "fill_qty", "fill_price")
+    if not fills.isStreaming:
+        d = prefix.running(filled, KEY1, prefix.by_seq(), ["seq"], {"_net": exact("fill_qty")}).drop("_chunk")
+        d = d.withColumn("_before", (F.col("_net") - exact("fill_qty")).cast("double")).withColumn("net_qty", F.col("_net").cast("double"))
+        adds, same = F.signum("_before") == F.signum("fill_qty"), (F.col("net_qty") == 0) | (F.signum("_before") == F.signum("net_qty"))
+        opens = (F.col("_before") == 0) | ~(adds | same)
+        a = F.when(opens, 0.0).when(adds, F.col("_before") / F.col("net_qty")).otherwise(1.0)
+        b = F.when(opens, F.col("fill_price")).when(adds, F.col("fill_qty") * F.col("fill_price") / F.col("net_qty")).otherwise(0.0)
+        return prefix.affine(d, KEY1, prefix.by_seq(), ["seq"], {"avg_price": (a, b)}).select(*KEY1, "seq", "ts", "net_qty", "avg_price")
 
     def step(state, pdf):
         net, avg = state or (0.0, 0.0)
         out = []
         for q, p in zip(pdf["fill_qty"].tolist(), pdf["fill_price"].tolist(), strict=True):
-            after = net + q
+            after = round(net + q, 12)
             if net == 0:
                 avg = p
             elif (net > 0) == (q > 0):
@@ -170,14 +201,13 @@ def avg_cost_updates(fills: DataFrame) -> DataFrame:
         pdf = pdf.assign(net_qty=[x[0] for x in out], avg_price=[x[1] for x in out])
         return (net, avg), pdf[["account_id", "symbol", "seq", "ts", "net_qty", "avg_price"]]
 
-    filled = fills.where("status = 'FILLED' and fill_qty != 0").select(*KEY1, "seq", "ts", "fill_qty", "fill_price")
     return in_order(filled, KEY1, ["seq"], step, schema)
 
 
 def close_events(fills: DataFrame) -> DataFrame:
     """A row whenever a FILLED fill flattens its (account, symbol)."""
-    w = Window.partitionBy(*KEY1).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    d = fills.where("status = 'FILLED' and fill_qty != 0").withColumn("net", F.sum("fill_qty").over(w)).where("net = 0")
+    filled = fills.where("status = 'FILLED' and fill_qty != 0")
+    d = prefix.running(filled, KEY1, prefix.by_seq(), ["seq"], {"net": exact("fill_qty")}).where("net = 0")
     return d.select(*KEY1, F.lit(0.0).alias("total_qty"), F.lit(0).cast("long").alias("open_ts"), F.col("ts").alias("close_ts"), "seq")
 
 
@@ -200,6 +230,86 @@ def unrealized_updates(positions: DataFrame, prices: DataFrame) -> DataFrame:
     return d.select(*KEY1, "seq", "side", F.col("t.price").alias("current_price"), "p.net_qty", "p.avg_price", pnl.alias("unrealized_pnl"), F.greatest("p.ts", "t.ts").alias("ts"))
 
 
+def positions_changelog(fills: DataFrame, matches: DataFrame) -> DataFrame:
+    """op, keys, net_qty and avg_price (of the open lots; null for DELETE), ts and seq after each deduped fill.
+
+    The open lots' cost is what was paid for all fills so far plus what their matches realized.
+    """
+    gains = matches.groupBy(*KEY2, F.col("match_seq").alias("seq")).agg(F.sum("realized_pnl").alias("_gain"))
+    d = prefix.attached(sided(fills), gains, [*KEY2, "seq"], "left")
+    signed = F.when(F.col("side") == "BUY", exact("qty")).otherwise(-exact("qty"))
+    cost = exact(signed.cast("double") * F.col("price") + F.coalesce("_gain", F.lit(0.0)))
+    d = prefix.running(d, KEY2, prefix.by_seq(), ["seq"], {"net": signed, "cost": cost}).withColumns({c: F.col(c).cast("double") for c in ("net", "cost")})
+    is_open = F.abs("net") > EPS
+    return d.select(F.when(is_open, "UPSERT").otherwise("DELETE").alias("op"), *KEY2, F.when(is_open, F.col("net")).alias("net_qty"), F.when(is_open, F.abs(F.col("cost") / F.col("net"))).alias("avg_price"), "ts", "seq")
+
+
+#: Times of one chunk of prices, and prices of one step of a fan-out.
+CHUNK_MS = 3_600_000
+STEP = 10_000
+
+
+def unrealized_changelog(changes: DataFrame, prices: DataFrame, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """op, keys, cause (position or price), seq (of its cause), current_price, net_qty, avg_price, unrealized_pnl and ts.
+
+    changes: op, keys, net_qty, avg_price, ts, seq; prices: symbol, price, ts, seq. Order is ts, then changes before prices, then seq. A
+    change to an open position gives UPSERT once its symbol has a price, and one that closes it gives DELETE always, also without
+    a price; a price gives UPSERT for every open position of its symbol.
+
+    A symbol's prices are numbered, and each change is told how many came before it. A position thus holds a range of
+    numbers, from its change to the next, and meets prices by equal symbol and number: no task gets a symbol, however many
+    prices or holders it has, and nothing is made that is not a result.
+    """
+    closed = (F.col("op") == "DELETE") | (F.abs(F.coalesce("net_qty", F.lit(0.0))) <= EPS)
+    p = changes.select("symbol", "ts", F.lit(0).alias("kind"), "seq", "account_id", "strategy_id", "net_qty", "avg_price", F.coalesce(closed, F.lit(False)).alias("closed"))
+    t = prices.select("symbol", "ts", F.lit(1).alias("kind"), "seq", "price")
+    both = p.unionByName(t, allowMissingColumns=True)
+    both = prefix.running(both, ["symbol"], F.floor(F.col("ts") / chunk_ms), ["ts", "kind", "seq"], {"n": F.col("kind").cast("long")}, {"n": "n_all"}).drop("_chunk")
+    numbered = both.where("kind = 1").select("symbol", "n", "price", F.col("ts").alias("price_ts"), F.col("seq").alias("price_seq"))
+    held = prefix.following(both.where("kind = 0").drop("price").withColumn("_chunk", prefix.by_seq()), KEY2, ["seq"], "n", "then").withColumn("then", F.coalesce("then", "n_all"))
+    steps = F.explode(F.sequence(F.floor(F.col("n") / STEP), F.floor(F.col("then") / STEP)))
+    some = held.where("not closed and then > 0").withColumn("_step", steps).withColumn("_n", F.explode(F.sequence(F.greatest("n", F.col("_step") * STEP), F.least("then", F.col("_step") * STEP + STEP - 1)))).where("_n > 0").drop("_step")
+    by_position = F.col("_n") == F.col("n")
+    made = some.join(numbered.withColumnRenamed("n", "_n"), ["symbol", "_n"]).select(
+        F.lit("UPSERT").alias("op"), *KEY2, F.when(by_position, "position").otherwise("price").alias("cause"), F.when(by_position, F.col("seq")).otherwise(F.col("price_seq")).alias("seq"), F.col("price").alias("current_price"),
+        "net_qty", "avg_price", ((F.col("price") - F.col("avg_price")) * F.col("net_qty")).alias("unrealized_pnl"), F.greatest("ts", "price_ts").alias("ts"),
+    )
+    gone = changes.where(F.coalesce(closed, F.lit(False))).select(F.lit("DELETE").alias("op"), *KEY2, F.lit("position").alias("cause"), "seq", "ts")
+    return made.unionByName(gone, allowMissingColumns=True)
+
+
+CHANGE = "op string, account_id string, strategy_id string, symbol string, cause string, seq long, current_price double, net_qty double, avg_price double, unrealized_pnl double, ts long"
+
+
+def unrealized_stream(changes: DataFrame, prices: DataFrame, shares: int = 8) -> DataFrame:
+    """unrealized_changelog of two streams. A symbol's holders are dealt to shares, each of which keeps its holders and the last price and gets
+    every price of the symbol, so a hot symbol is worked on by so many tasks. Order within a trigger is that of unrealized_changelog."""
+    share = F.pmod(F.xxhash64("account_id", "strategy_id"), F.lit(shares)).cast("int").alias("share")
+    p = changes.select(share, F.lit(0).alias("kind"), "op", *KEY2, "net_qty", "avg_price", "ts", "seq")
+    t = prices.select(F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(1).alias("kind"), "symbol", "price", "ts", "seq")
+
+    def step(state, pdf):
+        last, held = state or (None, {})
+        out = []
+        for kind, op, account, strategy, symbol, net, avg, price, ts, seq in zip(*(pdf[c].tolist() for c in ("kind", "op", *KEY2, "net_qty", "avg_price", "price", "ts", "seq")), strict=True):
+            if kind == 1:
+                last = [price, ts]
+                out += [("UPSERT", *x[:2], symbol, "price", seq, price, *x[2:4], (price - x[3]) * x[2], max(ts, x[4])) for x in held.values()]
+                continue
+            key = json.dumps([account, strategy])
+            if op == "DELETE" or net != net or net is None or abs(net) <= EPS:
+                held.pop(key, None)
+                out.append(("DELETE", account, strategy, symbol, "position", seq, None, None, None, None, ts))
+                continue
+            held[key] = [account, strategy, net, avg, ts]
+            if last:
+                out.append(("UPSERT", account, strategy, symbol, "position", seq, last[0], net, avg, (last[0] - avg) * net, max(ts, last[1])))
+        columns = list(zip(*out, strict=True)) or [()] * 11
+        return (last, held), pd.DataFrame({c.split()[0]: pd.Series(list(v), dtype=object) for c, v in zip(CHANGE.split(", "), columns, strict=True)})
+
+    return in_order(p.unionByName(t, allowMissingColumns=True), ["symbol", "share"], ["ts", "kind", "seq"], step, CHANGE)
+
+
 def portfolio(positions: DataFrame, policies: DataFrame) -> DataFrame:
     """By account: exposure at average cost, cash of its latest policy, equity, and margin (always 0)."""
     g = positions.groupBy("account_id").agg(F.sum(F.abs(F.col("net_qty") * F.col("avg_price"))).alias("exposure"))

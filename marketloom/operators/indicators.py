@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marketloom.operators import prefix
 from marketloom.operators.folds import in_order
 from marketloom.session import extended
 
@@ -40,11 +41,22 @@ def with_rsi(df: DataFrame, p: int = 14) -> DataFrame:
     return with_change(df).withColumn(f"rsi{p}", rsi(p)).drop("_change")
 
 
-def with_ema(df: DataFrame, *periods: int) -> DataFrame:
-    """Exponential means e += (c - e) * 2 / (p + 1) from the first close on; one that is exactly 0 starts anew.
+#: The time that a chunk of a symbol's candles covers.
+CHUNK_MS = 30 * 86_400_000
 
-    A recurrence over rows: each symbol's series is taken in order of time, with the last means as state.
+
+def with_ema(df: DataFrame, *periods: int, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Exponential means e += (c - e) * 2 / (p + 1) from the first close other than 0 on.
+
+    A mean is an affine step of the mean before, so chunks of a symbol's candles are walked by tasks of their own. A stream takes each
+    symbol's series in order of time, with the last means as state; there a mean of exactly 0 starts anew.
     """
+    if not df.isStreaming:
+        d = prefix.running(df, ["symbol"], F.floor(F.col("ts") / chunk_ms), ["ts"], {"_begun": F.when(F.col("close") == 0, 0).otherwise(1).cast("long")}).drop("_chunk")
+        first = F.col("_begun") - F.when(F.col("close") == 0, 0).otherwise(1) == 0
+        rate = lambda p: (F.when(first, 0.0).otherwise(1 - 2 / (p + 1)), F.when(first, F.col("close")).otherwise(F.col("close") * (2 / (p + 1))))
+        d = prefix.affine(d, ["symbol"], F.floor(F.col("ts") / chunk_ms), ["ts"], {f"ema{p}": rate(p) for p in periods})
+        return d.select(*df.columns, *[f"ema{p}" for p in periods])
     schema = extended(df.schema, ", ".join(f"ema{p} double" for p in periods))
 
     def step(state, pdf):

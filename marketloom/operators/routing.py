@@ -242,7 +242,7 @@ def admission(orders: DataFrame, policies: DataFrame | None = None, positions: D
             else:
                 ok = abs(qty * price) <= MAX_NOTIONAL and (symbol in net or qty == 0 or len(net) < limit)
                 if ok:
-                    after = net.pop(symbol, 0.0) + qty
+                    after = round(net.pop(symbol, 0.0) + qty, 12)
                     if after:
                         net[symbol] = after
             keep.append(ok)

@@ -141,7 +141,15 @@ ORACLES: dict[str, str] = {
     "jn_equi_self": sql("smas", select="SELECT symbol, ts, round(sma5, 8) AS value, round(sma20, 8) AS slow FROM smas"),
     "jn_temporal": sql("orders", "policies", select="SELECT account_id, status, count(*) AS n, sum(qty) AS qty FROM orders JOIN policies USING (account_id) GROUP BY ALL"),
     "jn_asof_latest": sql("fills1", select="SELECT f.account_id, f.symbol, f.ts, f.seq, p.fill_price AS price FROM fills1 f ASOF LEFT JOIN fills1 p ON f.account_id = p.account_id AND f.symbol = p.symbol AND f.seq >= p.seq"),
-    "jn_asof_symbol": sql("rollup", "uniq", select=f"SELECT {KEY}, price AS current_price, round((price - avg_price) * net_qty, 2) AS unrealized_pnl FROM rollup JOIN (SELECT symbol, arg_max(price, (ts, account_id, strategy_id, seq)) AS price FROM uniq GROUP BY symbol) USING (symbol)"),
+    "jn_asof_symbol": sql("uniq", "matches", select="").removesuffix(" ") + (
+        ", gain AS (SELECT account_id, strategy_id, symbol, match_seq AS seq, sum(realized_pnl) AS gain FROM matches GROUP BY ALL), "
+        "run AS (SELECT account_id, strategy_id, symbol, ts, seq, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) OVER k AS net, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END * price + coalesce(gain, 0)) OVER k AS cost FROM uniq LEFT JOIN gain USING (account_id, strategy_id, symbol, seq) WINDOW k AS (PARTITION BY account_id, strategy_id, symbol ORDER BY seq)), "
+        "pos AS (SELECT *, abs(cost / net) AS avg, lead(ts) OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq) AS until FROM run), "
+        "px AS (SELECT symbol, ts AS pts, arg_max(price, (account_id, strategy_id, seq)) AS price FROM uniq GROUP BY ALL) "
+        "SELECT 'UPSERT' AS op, account_id, strategy_id, pos.symbol, 'price' AS cause, 0::BIGINT AS seq, price AS current_price, net AS net_qty, round(avg + 1e-6, 2) AS avg_price, round((price - avg) * net, 2) AS unrealized_pnl, pts AS ts FROM pos JOIN px ON pos.symbol = px.symbol AND pts >= ts AND (until IS NULL OR pts < until) WHERE abs(net) > 1e-12 "
+        "UNION ALL SELECT 'UPSERT', account_id, strategy_id, pos.symbol, 'position', seq, price, net, round(avg + 1e-6, 2), round((price - avg) * net, 2), ts FROM pos ASOF JOIN px ON pos.symbol = px.symbol AND pos.ts > px.pts WHERE abs(net) > 1e-12 "
+        "UNION ALL SELECT 'DELETE', account_id, strategy_id, symbol, 'position', seq, NULL, NULL, NULL, NULL, ts FROM pos WHERE abs(net) <= 1e-12"
+    ),
     "upnl_v2": sql("rollup", "uniq", select="SELECT account_id, strategy_id, round(sum((price - avg_price) * net_qty), 2) AS unrealized_pnl FROM rollup JOIN (SELECT symbol, arg_max(price, (ts, account_id, strategy_id, seq)) AS price FROM uniq GROUP BY symbol) USING (symbol) GROUP BY ALL"),
     "jn_connect_policy": sql("orders", "policies", select=f"SELECT o.account_id, v.version, count(*) AS n, sum(o.qty) AS qty FROM orders o ASOF LEFT JOIN (SELECT account_id, unnest([22, 24, 26]) AS version, unnest([22, 24, 26])::BIGINT * {365 * DAY} AS vts FROM policies) v ON o.account_id = v.account_id AND o.ts >= v.vts GROUP BY ALL"),
     "jn_cogroup_window": sql("bars", "swing", select=f"SELECT b.symbol, b.s AS window_start_ts, b.n AS n_bars, coalesce(w.n, 0) AS n_swings FROM (SELECT symbol, s, count(*) AS n FROM (SELECT symbol, unnest([(ts // {6 * BAR_MS} - k) * {6 * BAR_MS} FOR k IN [0, 1, 2, 3]]) AS s FROM bars) GROUP BY ALL) b LEFT JOIN (SELECT symbol, s, count(*) AS n FROM (SELECT symbol, unnest([(ts // {6 * BAR_MS} - k) * {6 * BAR_MS} FOR k IN [0, 1, 2, 3]]) AS s FROM swing) GROUP BY ALL) w USING (symbol, s)"),

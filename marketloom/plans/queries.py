@@ -511,11 +511,17 @@ def jn_asof_latest_whole(s, d):
     return rounded(acc.unrealized_updates(acc.avg_cost_updates(f), jobs.price_ticks(f)), "avg_price", "unrealized_pnl")
 
 
+def daily_prices(fills: DataFrame) -> DataFrame:
+    """Each symbol's last price of a day, at the day's time."""
+    return fills.groupBy("symbol", "ts").agg(F.max_by("price", F.struct("account_id", "strategy_id", "seq")).alias("price")).withColumn("seq", F.lit(0).cast("long"))
+
+
 @query
 def jn_asof_symbol(s, d):
-    rollup = jobs.trading_engine(ad.fills(s, d))["rollup"]
-    prices = unique_fills(s, d).groupBy("symbol").agg(F.max_by("price", F.struct("ts", "account_id", "strategy_id", "seq")).alias("price"), F.max("ts").alias("price_ts"))
-    return rounded(acc.unrealized(rollup, prices, ["symbol"]).select(*acc.KEY2, "current_price", "unrealized_pnl"), "unrealized_pnl", digits=2)
+    """Every change of an unrealized profit: of each position as it changes, and of all a symbol's holders at each of its prices."""
+    unique = unique_fills(s, d)
+    found = acc.unrealized_changelog(acc.positions_changelog(unique, acc.fifo_two_sided(unique)), daily_prices(unique), DAY)
+    return rounded(found.withColumn("avg_price", F.col("avg_price") + 1e-6), "avg_price", "unrealized_pnl", digits=2)
 
 
 @query

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.operators import prefix
+
 BAR_MS = 6 * 3600 * 1000
 #: A total order of fills; the key columns alone are not unique.
 FILL_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -54,8 +56,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag",
         *FILL_ORDER,
     )
-    key = Window.partitionBy("account_id", "strategy_id", "symbol").orderBy(*FILL_ORDER)
-    return keyed.withColumn("seq", F.row_number().over(key).cast("long")).drop(*FILL_ORDER, "l_returnflag")
+    return numbered(keyed, ["account_id", "strategy_id", "symbol"]).drop(*FILL_ORDER, "l_returnflag")
 
 
 def fills_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +73,13 @@ def fills_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
         epoch_ms(F.col("l_shipdate")).alias("ts"),
         *FILL_ORDER,
     )
-    key = Window.partitionBy("account_id", "symbol").orderBy(*FILL_ORDER)
-    return keyed.withColumn("seq", F.row_number().over(key).cast("long")).drop(*FILL_ORDER)
+    return numbered(keyed, ["account_id", "symbol"]).drop(*FILL_ORDER)
+
+
+def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows with seq, their number within the key in FILL_ORDER: days are counted first, so a task numbers a key's rows of one day."""
+    day = F.datediff(F.col(FILL_ORDER[0]), F.lit("1970-01-01"))
+    return prefix.running(rows, key, day, FILL_ORDER, {"seq": F.lit(1).cast("long")}).drop("_chunk")
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
