@@ -139,8 +139,16 @@ ORACLES: dict[str, str] = {
     "jn_interval": sql("ticks", select="SELECT l.symbol, l.ts, l.seq, r.ts AS right_ts, r.seq AS right_seq, r.price FROM ticks l JOIN ticks r ON l.symbol = r.symbol AND abs(l.ts - r.ts) <= 600000"),
     "jn_interval_whole": sql("ticks", select="SELECT l.symbol, l.ts, l.seq, r.ts AS right_ts, r.seq AS right_seq, r.price FROM ticks l JOIN ticks r ON l.symbol = r.symbol AND abs(l.ts - r.ts) <= 600000"),
     "jn_equi_self": sql("smas", select="SELECT symbol, ts, round(sma5, 8) AS value, round(sma20, 8) AS slow FROM smas"),
-    "jn_temporal": sql("orders", "policies", select="SELECT account_id, status, count(*) AS n, sum(qty) AS qty FROM orders JOIN policies USING (account_id) GROUP BY ALL"),
-    "jn_asof_latest": sql("fills1", select="SELECT f.account_id, f.symbol, f.ts, f.seq, p.fill_price AS price FROM fills1 f ASOF LEFT JOIN fills1 p ON f.account_id = p.account_id AND f.symbol = p.symbol AND f.seq >= p.seq"),
+    "jn_temporal": sql("orders", "policies", select=f"SELECT o.account_id, symbol, version::INTEGER AS version, v.status, count(*) AS n, sum(qty) AS qty FROM orders o ASOF LEFT JOIN (SELECT account_id, version, CASE version WHEN 1 THEN 'SUSPENDED_' || status ELSE status END AS status, [9500, 10200, 11000][version + 1]::BIGINT * {DAY} AS vts FROM policies, range(3) t(version)) v ON o.account_id = v.account_id AND o.ts >= v.vts GROUP BY ALL"),
+    "jn_asof_latest": sql("fills1", select="SELECT f.account_id, f.symbol, f.ts, f.seq, p.price FROM fills1 f ASOF LEFT JOIN (SELECT symbol, ts AS pts, arg_max(fill_price, (account_id, seq)) AS price FROM fills1 GROUP BY ALL) p ON f.symbol = p.symbol AND f.ts > p.pts"),
+    "jn_asof_latest_whole": sql("steps", "fills1", select="SELECT account_id, symbol, seq, side, current_price, net_qty, round(avg + 1e-7, 4) AS avg_price, round((current_price - avg) * net_qty + 1e-7, 4) AS unrealized_pnl, ts FROM ("
+        "SELECT p.account_id, p.symbol, p.seq, 'position' AS side, t.fill_price AS current_price, p.net AS net_qty, p.avg, greatest(p.ts, t.ts) AS ts FROM steps p ASOF JOIN fills1 t ON p.account_id = t.account_id AND p.symbol = t.symbol AND p.seq > t.seq "
+        "UNION ALL SELECT t.account_id, t.symbol, t.seq, 'price', t.fill_price, p.net, p.avg, greatest(p.ts, t.ts) FROM fills1 t ASOF JOIN steps p ON p.account_id = t.account_id AND p.symbol = t.symbol AND t.seq >= p.seq)"),
+    "src_changes": sql("changes", select="").removesuffix(" ") + (
+        ", a AS (SELECT * FROM (SELECT * FROM changes WHERE seq % 2 <> 0 QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq DESC) = 1) WHERE op <> 'DELETE'), "
+        "b AS (SELECT * FROM (SELECT * FROM changes WHERE seq % 2 <> 0 OR symbol <> 'P3' QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq DESC) = 1) WHERE op <> 'DELETE') "
+        "SELECT CASE WHEN a.seq IS NULL THEN '+I' WHEN b.seq IS NULL THEN '-D' ELSE '+U' END AS row_kind, 'UPSERT' AS op, account_id, strategy_id, symbol, coalesce(b.net_qty, a.net_qty) AS net_qty, coalesce(b.seq, a.seq) AS seq FROM a FULL JOIN b USING (account_id, strategy_id, symbol) WHERE a.seq IS DISTINCT FROM b.seq"
+    ),
     "jn_asof_symbol": sql("uniq", "matches", select="").removesuffix(" ") + (
         ", gain AS (SELECT account_id, strategy_id, symbol, match_seq AS seq, sum(realized_pnl) AS gain FROM matches GROUP BY ALL), "
         "run AS (SELECT account_id, strategy_id, symbol, ts, seq, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) OVER k AS net, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END * price + coalesce(gain, 0)) OVER k AS cost FROM uniq LEFT JOIN gain USING (account_id, strategy_id, symbol, seq) WINDOW k AS (PARTITION BY account_id, strategy_id, symbol ORDER BY seq)), "
@@ -175,7 +183,7 @@ ORACLES: dict[str, str] = {
     "job_trade_matching": sql("matches1", select="SELECT account_id, symbol, round(sum(realized_pnl), 2) AS realized_pnl, max(match_ts) AS ts FROM matches1 GROUP BY ALL"),
     "job_trading_engine2": sql("matches", "lots", "changes", select="SELECT account_id, count(*) AS n, 'matches' AS output FROM matches GROUP BY 1 UNION ALL SELECT account_id, count(*), 'lots' FROM lots GROUP BY 1 UNION ALL SELECT account_id, count(*), 'rollup_changelog' FROM changes GROUP BY 1"),
     "agg_account_pnl": sql("matches", select="SELECT account_id, round(sum(realized_pnl), 2) AS total_realized_pnl, count(*) AS total_trades, round(avg(realized_pnl), 2) AS avg_pnl_per_trade, round(count(*) FILTER (realized_pnl > 0) * 100.0::DOUBLE / count(*), 2) AS win_rate, round(max(realized_pnl), 2) AS best_trade, round(min(realized_pnl), 2) AS worst_trade FROM matches GROUP BY 1"),
-    "agg_recent_24h": sql("matches", select=f"SELECT account_id, round(sum(realized_pnl), 2) AS recent_realized_pnl, count(*) AS recent_trades, round(count(*) FILTER (realized_pnl > 0) * 100.0::DOUBLE / count(*), 2) AS recent_win_rate FROM matches WHERE match_ts > {(24 * 365 - 30) * DAY} AND match_ts <= {24 * 365 * DAY} GROUP BY 1"),
+    "agg_recent_24h": sql("matches", select=f"SELECT account_id, round(sum(realized_pnl), 2) AS recent_realized_pnl, count(*) AS recent_trades, round(count(*) FILTER (realized_pnl > 0) * 100.0::DOUBLE / count(*), 2) AS recent_win_rate FROM matches WHERE match_ts > {(10957 - 30) * DAY} AND match_ts <= {10957 * DAY} GROUP BY 1"),
     "agg_symbol_pnl": sql("matches", select="SELECT symbol, round(sum(realized_pnl), 2) AS symbol_pnl, count(*) AS trade_count, round(avg(realized_pnl), 2) AS avg_pnl_per_trade, round(stddev_samp(realized_pnl), 2) AS pnl_volatility FROM matches GROUP BY 1"),
     "agg_daily_pnl": sql("matches", select="SELECT trade_date, round(daily, 2) AS daily_pnl, n AS daily_trades, round(sum(daily) OVER (ORDER BY trade_date), 2) AS cumulative_pnl FROM (SELECT epoch_ms(match_ts)::DATE AS trade_date, sum(realized_pnl) AS daily, count(*) AS n FROM matches GROUP BY 1)"),
     "agg_monthly": sql("matches", select="SELECT year(epoch_ms(match_ts))::INTEGER AS year, month(epoch_ms(match_ts))::INTEGER AS month, round(sum(realized_pnl), 2) AS monthly_pnl, count(*) AS monthly_trades, count(DISTINCT symbol) AS symbols_traded FROM matches GROUP BY 1, 2"),

@@ -16,6 +16,7 @@ from marketloom.plans import jobs
 from marketloom.session import ship
 from marketloom.sources import adapters as ad
 from marketloom.sources import catalog, io
+from marketloom.streaming import sinks
 
 DAY = 86_400_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +135,17 @@ def snk_upsert(s, d):
     return s.read.parquet(path).select(*acc.KEY2, "net_qty", "seq")
 
 
+@query
+def src_changes(s, d):
+    """The change feed of a table with a primary key: what the second of two upserts changed."""
+    changes = acc.rollup_changelog(unique_fills(s, d)).select("op", *acc.KEY2, "net_qty", "seq")
+    path = scratch(s, "positions")
+    write = sinks.upsert_sink(path, acc.KEY2, ["seq"], 8)
+    write(changes.where("seq % 2 != 0"), 0)
+    write(changes.where("seq % 2 = 0 and symbol != 'P3'"), 1)
+    return sinks.change_feed(s, path, 0, 1, acc.KEY2, ["seq"], changes.schema)
+
+
 @query
 def snk_row_mappers(s, d):
     f = ad.fills_v1(s, d)
@@ -493,22 +505,29 @@ def jn_equi_self(s, d):
 
 @query
 def jn_temporal(s, d):
-    accounts = ad.policies(s, d)
-    return orders(s, d).join(F.broadcast(accounts.select("account_id", "status")), "account_id").groupBy("account_id", "status").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
+    """Orders with their account's row as of their time: three versions of each account."""
+    own = ad.policies(s, d).select("account_id", "status")
+    versions = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(t * DAY).cast("long").alias("ts")) for v, t in enumerate((9500, 10200, 11000))]))
+    status = F.when(F.col("x.version") == 1, F.concat(F.lit("SUSPENDED_"), "status")).otherwise(F.col("status"))
+    accounts = own.select("account_id", "status", versions.alias("x")).select("account_id", "x.version", status.alias("status"), "x.ts", F.lit(0).cast("long").alias("seq"))
+    found = joins.asof_join(orders(s, d).select("account_id", "symbol", "ts", "seq", "qty"), accounts, ["account_id"], ["version", "status"], chunk=30 * DAY)
+    return found.groupBy("account_id", "symbol", "version", "status").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
 
 
 @query
 def jn_asof_latest(s, d):
+    """Each fill with its symbol's price as of the day before: the last of any account."""
     f = ad.fills_v1(s, d)
-    prices = f.select("account_id", "symbol", "ts", "seq", F.col("fill_price").alias("price"))
-    return joins.asof_join(f.select("account_id", "symbol", "ts", "seq"), prices, ["account_id", "symbol"], ["price"], ["seq"])
+    prices = f.groupBy("symbol", "ts").agg(F.max_by("fill_price", F.struct("account_id", "seq")).alias("price")).select("symbol", (F.col("ts") + 1).alias("ts"), F.lit(0).cast("long").alias("seq"), "price")
+    return joins.asof_join(f.select("account_id", "symbol", "ts", "seq"), prices, ["symbol"], ["price"], chunk=30 * DAY)
 
 
 @query
 def jn_asof_latest_whole(s, d):
     """A row for every position change and for every price; jn_asof_latest has rows for fills alone."""
     f = ad.fills_v1(s, d)
-    return rounded(acc.unrealized_updates(acc.avg_cost_updates(f), jobs.price_ticks(f)), "avg_price", "unrealized_pnl")
+    found = acc.unrealized_updates(acc.avg_cost_updates(f), jobs.price_ticks(f))
+    return rounded(found.withColumns({c: F.col(c) + 1e-7 for c in ("avg_price", "unrealized_pnl")}), "avg_price", "unrealized_pnl")
 
 
 def daily_prices(fills: DataFrame) -> DataFrame:
@@ -728,7 +747,7 @@ def agg_account_pnl(s, d):
 
 @query
 def agg_recent_24h(s, d):
-    return rounded(an.recent(matches(s, d), 24 * 365 * DAY, 30), "recent_realized_pnl", "recent_win_rate", digits=2)
+    return rounded(an.recent(matches(s, d), 10957 * DAY, 30), "recent_realized_pnl", "recent_win_rate", digits=2)
 
 
 @query

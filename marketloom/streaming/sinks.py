@@ -58,6 +58,52 @@ def read_latest(spark: SparkSession, path: str, batch_id: int, key: list[str], o
     return latest(_rows(spark, path, _index(spark, path, batch_id), schema), key, order)
 
 
+def last_version(spark: SparkSession, path: str) -> int:
+    """The last batch whose index is written; -1 if there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return max([int(p.getName()[6:]) for p in names if p.getName().startswith("index=") and done(p)], default=-1)
+
+
+def change_feed(spark: SparkSession, path: str, since: int, until: int, key: list[str], order: list[str], schema) -> DataFrame:
+    """What turns the table as of batch since (-1: empty) into that as of until: row_kind (+I, +U with the new row, -D with the old one) and the row.
+
+    Only buckets that another version holds now are read, so the cost follows the change, not the table. Keys are compared with nulls equal.
+    """
+    old, new = _index(spark, path, since), _index(spark, path, until)
+    changed = [b for b, v in new.items() if old.get(b) != v]
+    before, after = (latest(_rows(spark, path, {b: index[b] for b in changed if b in index}, schema), key, order) for index in (old, new))
+    rest = [c for c in after.columns if c not in key]
+    side = lambda d, name: d.select(*key, F.struct(*rest).alias(name))
+    both = side(before, "old").withColumn("new", F.lit(None).cast(side(after, "new").schema["new"].dataType)).unionByName(side(after, "new"), allowMissingColumns=True)
+    both = both.groupBy(*key).agg(F.max("old").alias("old"), F.max("new").alias("new")).where("not old <=> new")
+    kind = F.when(F.col("old").isNull(), "+I").when(F.col("new").isNull(), "-D").otherwise("+U")
+    return both.select(kind.alias("row_kind"), *key, F.coalesce("new", "old").alias("x")).select("row_kind", *key, "x.*")
+
+
+def lookup(path: str, key: list[str], order: list[str], schema, columns: list[str], write: Callable[[DataFrame, int], None], log: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: each batch with these columns of the table at path, as of the last version when the batch first ran; write gets the result.
+
+    The version is noted in the folder log before it is used, so a batch that runs again meets the rows that it met before, and a change of
+    the table has a part only in batches after it. Rows without a match keep nulls.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        noted = f"{log}/batch={batch_id}"
+        try:
+            version = spark.read.schema("version long").parquet(noted).first()[0]
+        except (AnalysisException, TypeError):
+            version = last_version(spark, path)
+            spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("overwrite").parquet(noted)
+        table = read_latest(spark, path, version, key, order, schema).select(*key, *columns)
+        write(batch.join(table, key, "left"), batch_id)
+
+    return run
+
+
 def vacuum(spark: SparkSession, path: str, batch_id: int) -> int:
     """Deletes buckets that no index from this batch on needs, and the indexes before it; returns how many went. Readers of earlier batches must be done."""
     jvm = spark._jvm

@@ -176,3 +176,44 @@ def test_average_cost_agrees_with_batch(spark, tmp_path):
     stream = parts(fills, tmp_path, "fills", [11, 25, 99])
     run(acc.avg_cost_updates(stream()), str(tmp_path / "o"), str(tmp_path / "c"))
     same(spark.read.parquet(str(tmp_path / "o")), acc.avg_cost_updates(fills))
+
+
+def test_change_feed_rebuilds_the_latest_table(spark, tmp_path):
+    path, schema = str(tmp_path / "u"), "op string, k string, v double, seq long"
+    rows = lambda *x: spark.createDataFrame(list(x), schema)
+    write = sinks.upsert_sink(path, ["k"], ["seq"], buckets=8)
+    assert sinks.last_version(spark, path) == -1
+    write(rows(*[("UPSERT", f"k{i}", 1.0, i) for i in range(40)], ("UPSERT", None, 7.0, 40)), 0)
+    write(rows(("DELETE", "k0", None, 50), ("UPSERT", "k1", 5.0, 51), ("UPSERT", "new", 6.0, 52), ("DELETE", "never", None, 53)), 1)
+    write(rows(("UPSERT", None, 8.0, 60), ("UPSERT", "k0", 9.0, 61), ("DELETE", "new", None, 62)), 2)
+    assert sinks.last_version(spark, path) == 2
+    feed = lambda a, b: sorted(((r.row_kind, r.k, r.v) for r in sinks.change_feed(spark, path, a, b, ["k"], ["seq"], schema).collect()), key=repr)
+    assert feed(0, 1) == [("+I", "new", 6.0), ("+U", "k1", 5.0), ("-D", "k0", 1.0)]
+    assert feed(1, 2) == [("+I", "k0", 9.0), ("+U", None, 8.0), ("-D", "new", 6.0)]
+    assert feed(2, 2) == [] and len(feed(-1, 0)) == 41
+    table = {k: v for _, k, v in feed(-1, 0)}
+    for a, b in ((0, 1), (1, 2)):
+        for kind, k, v in feed(a, b):
+            if kind == "-D":
+                del table[k]
+            else:
+                table[k] = v
+    assert table == {r.k: r.v for r in sinks.read_latest(spark, path, 2, ["k"], ["seq"], schema).collect()}
+
+
+def test_lookup_meets_the_version_of_its_time_also_when_repeated(spark, tmp_path):
+    path, log, out = (str(tmp_path / x) for x in ("t", "log", "out"))
+    schema = "op string, account_id string, status string, seq long"
+    table = sinks.upsert_sink(path, ["account_id"], ["seq"], buckets=4)
+    run = sinks.lookup(path, ["account_id"], ["seq"], schema, ["status"], lambda b, i: b.write.mode("overwrite").parquet(f"{out}/b={i}"), log)
+    orders = lambda *ids: spark.createDataFrame([(i, a) for i, a in enumerate(ids)], "n int, account_id string")
+    seen = lambda i: sorted((r.n, r.account_id, r.status) for r in spark.read.parquet(f"{out}/b={i}").collect())
+    run(orders("A"), 0)
+    table(spark.createDataFrame([("UPSERT", "A", "ACTIVE", 1), ("UPSERT", "B", "ACTIVE", 2)], schema), 0)
+    run(orders("A", "B", "C"), 1)
+    table(spark.createDataFrame([("UPSERT", "A", "BLOCKED", 3), ("DELETE", "B", None, 4)], schema), 1)
+    run(orders("A", "B", "C"), 1)
+    run(orders("A", "B"), 2)
+    assert seen(0) == [(0, "A", None)]
+    assert seen(1) == [(0, "A", "ACTIVE"), (1, "B", "ACTIVE"), (2, "C", None)]
+    assert seen(2) == [(0, "A", "BLOCKED"), (1, "B", None)]
