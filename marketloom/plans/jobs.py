@@ -41,7 +41,11 @@ def portfolio_and_risk(fills_v1: DataFrame, policies: DataFrame) -> dict[str, Da
 def trading_engine(fills: DataFrame) -> dict[str, DataFrame]:
     """Matches, lots, rollups, profits and their changes of fills with side."""
     unique = acc.dedupe_fills(fills)
-    matches = acc.fifo_two_sided(unique)
+    return engine_outputs(unique, acc.fifo_two_sided(unique))
+
+
+def engine_outputs(unique: DataFrame, matches: DataFrame) -> dict[str, DataFrame]:
+    """All outputs of deduped fills and their matches, which may be a table that is written already."""
     lots = acc.lots_latest(unique)
     return {
         "matches": matches,

@@ -96,8 +96,12 @@ ORACLES: dict[str, str] = {
     "snk_pojo_adapter": sql("rollup", select=f"SELECT {KEY}, side, net_qty, round(avg_price, 3) AS avg_price, last_updated FROM rollup"),
     "strat_iface": sql("signals", select=f"SELECT run_id, signal, count(*) AS n FROM signals GROUP BY ALL UNION ALL SELECT 'rsi-threshold', CASE WHEN rsi < 30 THEN 'BUY' ELSE 'SELL' END AS sg, count(*) FROM inds WHERE rsi < 30 OR rsi > 70 GROUP BY sg UNION ALL SELECT 'state-cross', signal, count(*) FROM (SELECT CASE WHEN sma5 > sma21 AND lag(sma5) OVER w <= lag(sma21) OVER w THEN 'BUY' WHEN sma5 < sma21 AND lag(sma5) OVER w >= lag(sma21) OVER w THEN 'SELL' END AS signal FROM inds {W}) WHERE signal IS NOT NULL GROUP BY signal"),
     "snk_noop": sql("ticks", select="SELECT symbol, count(*) AS n FROM ticks GROUP BY 1"),
-    "cat_ddl": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{k}', '{p}', {len(c.split(', '))})" for n, (k, p, c) in TABLES.items()) + ") AS t(table_name, kind, primary_key, n_columns)",
-    "dml_delete_all": "SELECT * FROM (VALUES ('strategy_signals', 0::BIGINT), ('trade_match_history', 0), ('risk_alerts_history', 0)) AS t(table_name, n_rows)",
+    "cat_ddl": sql("bars", "uniq", "changes", select="").removesuffix(" ") + (
+        ", t AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {len(c.split(', '))}, {len([x for x in p.split(', ') if x])})" for n, (_, p, c) in TABLES.items() if n not in ("risk_state_latest", "trendsummary10")) + ") AS t(table_name, n_columns, n_key)), "
+        f"r AS (SELECT 'market_data_history' AS table_name, count(*) AS n FROM bars UNION ALL SELECT 'exec_report_history', count(*) FROM uniq UNION ALL SELECT 'open_positions_rollup', count(*) FROM (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY CASE WHEN seq % 2 = 1 THEN 1 ELSE 0 END DESC, seq DESC) = 1) WHERE op <> 'DELETE') "
+        "SELECT table_name, n_columns::BIGINT AS n_columns, n_key::BIGINT AS n_key, coalesce(n, 0) AS n_rows FROM t LEFT JOIN r USING (table_name)"
+    ),
+    "dml_delete_all": sql("bars", "signals", "matches", select="SELECT 'strategy_signals' AS table_name, 0::BIGINT AS n_rows, count(*) AS n_before FROM signals UNION ALL SELECT 'trade_match_history', count(*) FILTER (NOT realized_pnl < 0), count(*) FROM matches UNION ALL SELECT 'market_data_history', count(*), count(*) FROM bars"),
     "prj_signal_to_trade": sql("trades", select="SELECT * FROM trades"),
     "prj_fill_sim": sql("trades", select="SELECT account_id, symbol, qty AS fill_qty, price AS fill_price, 'FILLED' AS status, ts FROM trades"),
     "prj_price_tick": sql("fills1", select="SELECT account_id, symbol, fill_price AS price, ts FROM fills1"),

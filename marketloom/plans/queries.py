@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -42,12 +47,19 @@ def tall_sma(s: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(s: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    import tempfile
-    import uuid
+    """A new path in the shared folder, deleted when the application ends. Only a local session without such a folder has one of its own."""
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if not root and not s.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    top = f"{(root or tempfile.mkdtemp(prefix='marketloom-')).rstrip('/')}/marketloom-{uuid.uuid4().hex}"
+    atexit.register(_remove, s, top)
+    return f"{top}/{name}"
 
-    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="marketloom-")
-    return f"{root.rstrip('/')}/marketloom-{uuid.uuid4().hex}/{name}"
+
+def _remove(s: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        p = s._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(s._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def unique_fills(s: SparkSession, d: str) -> DataFrame:
@@ -181,15 +193,41 @@ def snk_noop(s, d):
     return t.groupBy("symbol").agg(F.count("*").alias("n"))
 
 
+def new_catalog(s: SparkSession) -> catalog.Catalog:
+    path = scratch(s, "database")
+    return catalog.Catalog(s, path.split("/")[-2].replace("-", "_"), path)
+
+
 @query
 def cat_ddl(s, d):
-    return catalog.described(s)
+    """Creates all tables, fills three, drops two and describes what is left, with the rows of each."""
+    c = new_catalog(s)
+    c.create()
+    c.write("market_data_history", ad.bars(s, d).withColumn("time", F.timestamp_millis("ts")))
+    fills = unique_fills(s, d)
+    c.write("exec_report_history", fills.select(*acc.KEY2, "order_id", "fill_id", "side", F.col("qty").alias("fill_qty"), F.col("price").alias("fill_price"), F.timestamp_millis("ts").alias("ts")))
+    changes = acc.rollup_changelog(fills).withColumn("last_updated", F.col("ts"))
+    for odd in (0, 1):
+        c.write("open_positions_rollup", changes.where(F.col("seq") % 2 == odd), ["seq"])
+    c.drop("risk_state_latest", "trendsummary10")
+    columns = reduce(DataFrame.unionByName, [c.describe(n) for n in c.tables()])
+    tables = columns.groupBy("table_name").agg(F.count("*").alias("n_columns"), F.sum(F.when(F.col("key_place") > 0, 1).otherwise(0)).alias("n_key"))
+    return tables.join(c.counts(), "table_name")
 
 
 @query
 def dml_delete_all(s, d):
-    catalog.create_all(s)
-    return catalog.clear(s, ["strategy_signals", "trade_match_history", "risk_alerts_history"])
+    """Rows before and after: all of one table deleted, of one by a condition, of one none."""
+    c = new_catalog(s)
+    names = ["strategy_signals", "trade_match_history", "market_data_history"]
+    c.create(*names)
+    c.write("strategy_signals", io.signal_rows(st.simple_cross(rows_with_indicators(s, d))))
+    c.write("trade_match_history", io.match_rows(matches(s, d)))
+    c.write("market_data_history", ad.bars(s, d).withColumn("time", F.timestamp_millis("ts")))
+    before = {r.table_name: r.n_rows for r in c.counts(*names).collect()}
+    c.delete("strategy_signals")
+    c.delete("trade_match_history", "realized_pnl < 0")
+    return c.counts(*names).withColumn("n_before", F.create_map(*[F.lit(x) for item in before.items() for x in item])[F.col("table_name")].cast("long"))
 
 
 # ---- projections, filters, scalar expressions

@@ -1,11 +1,15 @@
-"""The tables of the market data and trading catalog, and creating them."""
+"""The tables of the market data and trading catalog, and the statements on them."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marketloom.sources.io import latest
+
 _BAR = "symbol string, time timestamp, open decimal(10,4), high decimal(10,4), low decimal(10,4), close decimal(10,4), volume bigint"
 _KEY = "account_id string, strategy_id string, symbol string"
 #: Name to (H for history or L for latest, primary key, columns).
@@ -34,19 +38,6 @@ TABLES = {
 }
 
 
-def create_all(spark: SparkSession, database: str = "marketloom") -> None:
-    """Creates the catalog's tables, where they do not exist."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    for name, (_, _, columns) in TABLES.items():
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
-
-
-def described(spark: SparkSession) -> DataFrame:
-    """table_name, kind, primary_key and n_columns of the catalog."""
-    rows = [(n, k, p, len(c.split(", "))) for n, (k, p, c) in TABLES.items()]
-    return spark.createDataFrame(rows, "table_name string, kind string, primary_key string, n_columns int")
-
-
 def conform(df: DataFrame, name: str) -> DataFrame:
     """Rows as rows of a catalog table: its columns by name, in its types; those that df lacks are null."""
     have = set(df.columns)
@@ -59,12 +50,75 @@ def append(df: DataFrame, name: str, path: str) -> None:
     conform(df, name).write.mode("append").parquet(path)
 
 
-def clear(spark: SparkSession, tables: list[str], database: str = "marketloom") -> DataFrame:
-    """Empties the tables and returns their row counts: table_name, n_rows."""
-    counts = None
-    for name in tables:
-        full = f"{database}.{name}"
-        spark.sql(f"TRUNCATE TABLE {full}")
-        own = spark.table(full).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows")).select("table_name", "n_rows")
-        counts = own if counts is None else counts.unionByName(own)
-    return counts
+class Catalog:
+    """The tables as a database of the session's catalog: statements, and writes by each table's change semantics.
+
+    A table's properties say how it changes: append (a history) or upsert by its primary key, where the latest row of a key stays.
+    """
+
+    def __init__(self, spark: SparkSession, database: str = "marketloom", location: str | None = None):
+        self.spark, self.database = spark, database
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}" + (f" LOCATION '{location}'" if location else ""))
+
+    def create(self, *names: str) -> None:
+        """CREATE TABLE IF NOT EXISTS, of all tables if none is named."""
+        for name in names or TABLES:
+            kind, key, columns = TABLES[name]
+            mode = "append" if kind == "H" else "upsert"
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({columns}) USING parquet TBLPROPERTIES ('change.mode' = '{mode}', 'primary.key' = '{key}')")
+
+    def tables(self) -> list[str]:
+        """SHOW TABLES."""
+        return sorted(r.tableName for r in self.spark.sql(f"SHOW TABLES IN {self.database}").collect() if not r.isTemporary)
+
+    def properties(self, name: str) -> dict[str, str]:
+        """SHOW TBLPROPERTIES."""
+        return {r.key: r.value for r in self.spark.sql(f"SHOW TBLPROPERTIES {self.database}.{name}").collect()}
+
+    def describe(self, name: str) -> DataFrame:
+        """DESCRIBE TABLE, with the place of each column in the primary key (from 1; 0 outside it)."""
+        key = [c for c in self.properties(name)["primary.key"].split(", ") if c]
+        place = F.coalesce(*[F.when(F.col("col_name") == c, i) for i, c in enumerate(key, 1)], F.lit(0)).cast("int")
+        return self.spark.sql(f"DESCRIBE TABLE {self.database}.{name}").select(F.lit(name).alias("table_name"), F.col("col_name").alias("column_name"), "data_type", place.alias("key_place"))
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.table(f"{self.database}.{name}")
+
+    def write(self, name: str, rows: DataFrame, order: list[str] | None = None) -> None:
+        """Appends rows to a history. Of a table with a primary key the rows of the keys given are replaced by the last of them in this
+        order; rows whose column op is DELETE take their key away."""
+        full, properties = f"{self.database}.{name}", self.properties(name)
+        if properties["change.mode"] == "append":
+            conform(rows, name).write.insertInto(full)
+            return
+        key = properties["primary.key"].split(", ")
+        last = latest(rows, key, order or [c for c in rows.columns if c not in key]).drop("op")
+        kept = self.read(name).join(rows.select(*key).distinct(), key, "left_anti")
+        self._replace(name, kept.unionByName(conform(last, name)))
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        """Rows that rest on the table itself are written aside first, in the folder that all tasks share."""
+        aside = f"{self.database}.{name}__next"
+        self.spark.sql(f"DROP TABLE IF EXISTS {aside}")
+        rows.write.format("parquet").saveAsTable(aside)
+        self.spark.sql(f"INSERT OVERWRITE {self.database}.{name} SELECT * FROM {aside}")
+        self.spark.sql(f"DROP TABLE {aside}")
+
+    def delete(self, name: str, condition: str | None = None) -> None:
+        """DELETE FROM: all rows, or those for which the condition is true."""
+        if condition is None:
+            self.spark.sql(f"TRUNCATE TABLE {self.database}.{name}")
+        else:
+            self._replace(name, self.read(name).where(f"NOT coalesce({condition}, false)"))
+
+    def drop(self, *names: str) -> None:
+        """DROP TABLE, or the database with all its tables if none is named."""
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.database}.{name}")
+        if not names:
+            self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
+
+    def counts(self, *names: str) -> DataFrame:
+        """table_name and n_rows, of all tables if none is named."""
+        each = [self.read(n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n_rows")).select("table_name", "n_rows") for n in names or self.tables()]
+        return reduce(DataFrame.unionByName, each)

@@ -217,3 +217,33 @@ def test_lookup_meets_the_version_of_its_time_also_when_repeated(spark, tmp_path
     assert seen(0) == [(0, "A", None)]
     assert seen(1) == [(0, "A", "ACTIVE"), (1, "B", "ACTIVE"), (2, "C", None)]
     assert seen(2) == [(0, "A", "BLOCKED"), (1, "B", None)]
+
+
+def test_trading_engine_job_writes_each_output_once(spark, sf, tmp_path):
+    from marketloom.streaming import jobs
+
+    fills = ad.fills(spark, sf).where("symbol = 'P2' and account_id in ('A1', 'A2')")
+    source, root, batch_root = (str(tmp_path / x) for x in ("in", "out", "batch"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    for low, high in ((0, 30), (30, 10**9)):
+        fills.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(source)
+        q = jobs.trading_engine(spark.readStream.schema(fills.schema).parquet(source), root, str(tmp_path / "cp"))
+        q.awaitTermination(240)
+        assert q.exception() is None
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    jobs.trading_engine(fills, batch_root, "")
+    got = jobs.read_output(spark, root, "matches", engine.OUTPUT)
+    again = jobs.side_outputs(root)
+    key = lambda d, a, b: sorted((r.account_id, r.strategy_id, r[a], r[b], r.q) for r in d.collect())
+    want = spark.read.parquet(f"{batch_root}/matches").select("account_id", "strategy_id", F.least("buy_seq", "sell_seq").alias("a"), F.greatest("buy_seq", "sell_seq").alias("b"), F.col("matched_qty").alias("q"))
+    assert key(got.select("account_id", "strategy_id", F.col("lot_seq").alias("a"), F.col("other_seq").alias("b"), F.col("qty").alias("q")), "a", "b") == key(want, "a", "b")
+    lots = jobs.read_output(spark, root, "lots_changelog", engine.OUTPUT).where("not (op = 'DELETE' and lot_seq = seq)")
+    want = spark.read.parquet(f"{batch_root}/lots_changelog")
+    assert sorted((r.account_id, r.strategy_id, r.lot_seq, r.seq, r.qty or 0) for r in lots.collect()) == sorted((r.account_id, r.strategy_id, r.lot_seq, r.change_seq, r.qty_rem or 0) for r in want.collect())
+    rollups = jobs.read_output(spark, root, "rollup_changelog", engine.OUTPUT)
+    want = spark.read.parquet(f"{batch_root}/rollup_changelog")
+    assert sorted((r.account_id, r.strategy_id, r.seq, r.op, r.qty or 0) for r in rollups.collect()) == sorted((r.account_id, r.strategy_id, r.seq, r.op, r.net_qty or 0) for r in want.collect())
+    n = rollups.count()
+    first = spark.createDataFrame(spark.read.parquet(f"{root}/batch=1").drop("table").collect(), engine.OUTPUT)
+    again(first, 1)
+    assert jobs.read_output(spark, root, "rollup_changelog", engine.OUTPUT).count() == n
