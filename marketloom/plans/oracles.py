@@ -15,8 +15,8 @@ CTE: dict[str, tuple[list[str], str]] = {
     "tall": (["smas"], "SELECT 'live' AS run_id, symbol, ts, name AS indicator_name, round(value, 8) AS value FROM (SELECT symbol, ts, unnest(['SMA_5', 'SMA_20', 'SMA_40']) AS name, unnest([sma5, sma20, sma40]) AS value FROM smas)"),
     "signals": (["inds"], "SELECT 'simple-cross' AS run_id, symbol, ts, close, sma5, sma21, CASE WHEN sma5 > sma21 THEN 'BUY' ELSE 'SELL' END AS signal, CASE WHEN sma21 <> 0 THEN abs(sma5 - sma21) / abs(sma21) ELSE 0 END AS signal_strength FROM inds WHERE sma5 <> sma21"),
     "trades": (["signals"], "SELECT run_id AS account_id, symbol, CASE signal WHEN 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS qty, close AS price, ts FROM signals"),
-    "li": ([], "SELECT 'A' || (l_suppkey % 5) AS account_id, 'S' || l_linestatus AS strategy_id, 'P' || (l_partkey % 4) AS symbol, l_orderkey::VARCHAR AS order_id, l_linenumber::VARCHAR AS fill_id, CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, l_quantity AS qty, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, epoch_ms(l_shipdate) AS ts, l_returnflag AS flag, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS o FROM lineitem"),
-    "fills": (["li"], "SELECT * EXCLUDE (o, flag), row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY o) AS seq FROM li"),
+    "li": ([], "SELECT 'A' || (l_suppkey % 5) AS account_id, 'S' || l_linestatus AS strategy_id, 'P' || (l_partkey % 4) AS symbol, l_orderkey::VARCHAR AS order_id, l_linenumber::VARCHAR AS fill_id, CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, l_quantity AS qty, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, epoch_ms(l_shipdate) AS ts, epoch_ms(l_shipdate) // 86400000 AS day, l_returnflag AS flag, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS o FROM lineitem"),
+    "fills": (["li"], "SELECT * EXCLUDE (o, flag, day), day * 1000000000 + row_number() OVER (PARTITION BY account_id, strategy_id, symbol, day ORDER BY o) AS seq FROM li"),
     "uniq": (["fills"], "SELECT * FROM fills QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol, order_id, fill_id ORDER BY seq) = 1"),
     "cums": (["uniq"], "SELECT *, sum(qty) OVER (PARTITION BY account_id, strategy_id, symbol, side ORDER BY seq) AS hi FROM uniq"),
     "buys": (["cums"], "SELECT * FROM cums WHERE side = 'BUY'"),
@@ -29,7 +29,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "changes": (["uniq"], "SELECT CASE WHEN abs(net) <= 1e-12 THEN 'DELETE' ELSE 'UPSERT' END AS op, account_id, strategy_id, symbol, CASE WHEN abs(net) > 1e-12 THEN net END AS net_qty, ts, seq FROM (SELECT *, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq) AS net FROM uniq)"),
     "deltas": (["changes"], "SELECT op, account_id, symbol, net_qty, ts, row_number() OVER (PARTITION BY account_id ORDER BY ts, strategy_id, symbol, seq) AS seq FROM changes"),
     "states": (["deltas"], "SELECT account_id, ts, seq, symbol, is_open, CAST(sum(CASE WHEN is_open AND NOT was THEN 1 WHEN NOT is_open AND was THEN -1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY ts, seq) AS BIGINT) AS open_count FROM (SELECT *, coalesce(lag(is_open) OVER (PARTITION BY account_id, symbol ORDER BY ts, seq), false) AS was FROM (SELECT *, op = 'UPSERT' AND abs(coalesce(net_qty, 0)) > 1e-12 AS is_open FROM deltas))"),
-    "fills1": (["li"], "SELECT account_id, symbol, order_id || '-' || fill_id AS order_id, CASE side WHEN 'BUY' THEN qty ELSE -qty END AS fill_qty, price AS fill_price, CASE flag WHEN 'R' THEN 'REJECTED' ELSE 'FILLED' END AS status, ts, row_number() OVER (PARTITION BY account_id, symbol ORDER BY o) AS seq FROM li"),
+    "fills1": (["li"], "SELECT account_id, symbol, order_id || '-' || fill_id AS order_id, CASE side WHEN 'BUY' THEN qty ELSE -qty END AS fill_qty, price AS fill_price, CASE flag WHEN 'R' THEN 'REJECTED' ELSE 'FILLED' END AS status, ts, day * 1000000000 + row_number() OVER (PARTITION BY account_id, symbol, day ORDER BY o) AS seq FROM li"),
     "filled": (["fills1"], "SELECT *, row_number() OVER (PARTITION BY account_id, symbol ORDER BY seq) AS k FROM fills1 WHERE status = 'FILLED' AND fill_qty <> 0"),
     "orders": (["fills1"], "SELECT account_id, symbol, fill_qty AS qty, fill_price AS price, ts, row_number() OVER (PARTITION BY account_id ORDER BY ts, symbol, seq) AS seq FROM fills1"),
     "reflected": (["filled"], "SELECT *, least(0, min(net) OVER (PARTITION BY account_id, symbol ORDER BY seq)) AS low FROM (SELECT *, sum(fill_qty) OVER (PARTITION BY account_id, symbol ORDER BY seq) AS net FROM filled)"),
@@ -71,6 +71,11 @@ def sql(*names: str, select: str) -> str:
     return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTE[n][1]})" for n in order) + " " + select if order else select
 
 
+def summaries_sql(**outputs: tuple[str, str]) -> str:
+    """Of each output by account: its rows and the sum of one of its columns."""
+    return " UNION ALL ".join(f"SELECT account_id, count(*) AS n, round(sum({c})::DOUBLE, 1) AS total, '{k}' AS output FROM {rows} GROUP BY 1" for k, (rows, c) in outputs.items())
+
+
 KEY = "account_id, strategy_id, symbol"
 SIGNAL = "run_id, symbol, ts, close, round(sma5, 4) AS sma5, round(sma21, 4) AS sma21, signal, round(signal_strength, 4) AS signal_strength"
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY ts)"
@@ -183,9 +188,15 @@ ORACLES: dict[str, str] = {
     "rpnl_cumulative": sql("matches", select=f"SELECT {KEY}, match_seq, buy_seq, sell_seq, round(sum(realized_pnl) OVER (PARTITION BY {KEY} ORDER BY match_seq, buy_seq, sell_seq), 2) AS cumulative_pnl FROM matches"),
     "upnl_v1": sql("positions", "fills1", select="SELECT account_id, symbol, price AS current_price, round((price - avg_price) * net_qty, 2) AS unrealized_pnl, greatest(last_updated, pts) AS ts FROM positions JOIN (SELECT account_id, symbol, arg_max(fill_price, seq) AS price, max(ts) AS pts FROM fills1 GROUP BY ALL) USING (account_id, symbol)"),
     "pf_aggregate": sql("portfolios", select="SELECT account_id, round(equity, 2) AS equity, cash_balance, round(exposure, 2) AS exposure, margin_used FROM portfolios"),
-    "job_portfolio_risk": sql("positions", "filled", "matches1", select="SELECT account_id, count(*) AS n, 'positions' AS output FROM positions GROUP BY 1 UNION ALL SELECT account_id, count(*), 'closes' FROM (SELECT *, sum(fill_qty) OVER (PARTITION BY account_id, symbol ORDER BY seq) AS net FROM filled) WHERE net = 0 GROUP BY 1 UNION ALL SELECT account_id, count(*), 'matches' FROM matches1 GROUP BY 1 UNION ALL SELECT account_id, 1, 'portfolio' FROM positions GROUP BY 1"),
+    "job_portfolio_risk": sql("portfolios", "filled", "matches1", select=summaries_sql(
+        positions=("positions", "net_qty"), closes=("(SELECT * FROM (SELECT *, sum(fill_qty) OVER (PARTITION BY account_id, symbol ORDER BY seq) AS net FROM filled) WHERE net = 0)", "seq"),
+        matches=("matches1", "matched_qty"), realized=("(SELECT account_id, symbol, sum(realized_pnl) AS realized_pnl FROM matches1 GROUP BY ALL)", "realized_pnl"), portfolio=("portfolios", "equity"),
+    )),
     "job_trade_matching": sql("matches1", select="SELECT account_id, symbol, round(sum(realized_pnl), 2) AS realized_pnl, max(match_ts) AS ts FROM matches1 GROUP BY ALL"),
-    "job_trading_engine2": sql("matches", "lots", "changes", select="SELECT account_id, count(*) AS n, 'matches' AS output FROM matches GROUP BY 1 UNION ALL SELECT account_id, count(*), 'lots' FROM lots GROUP BY 1 UNION ALL SELECT account_id, count(*), 'rollup_changelog' FROM changes GROUP BY 1"),
+    "job_trading_engine2": sql("rollup", "changes", "matches", select=summaries_sql(
+        matches=("matches", "matched_qty"), lots=("lots", "qty_rem"), rollup=("rollup", "net_qty"), rollup_changelog=("changes", "net_qty"),
+        realized=("(SELECT account_id, strategy_id, symbol, sum(realized_pnl) AS realized_pnl FROM matches GROUP BY ALL)", "realized_pnl"),
+    )),
     "agg_account_pnl": sql("matches", select="SELECT account_id, round(sum(realized_pnl), 2) AS total_realized_pnl, count(*) AS total_trades, round(avg(realized_pnl), 2) AS avg_pnl_per_trade, round(count(*) FILTER (realized_pnl > 0) * 100.0::DOUBLE / count(*), 2) AS win_rate, round(max(realized_pnl), 2) AS best_trade, round(min(realized_pnl), 2) AS worst_trade FROM matches GROUP BY 1"),
     "agg_recent_24h": sql("matches", select=f"SELECT account_id, round(sum(realized_pnl), 2) AS recent_realized_pnl, count(*) AS recent_trades, round(count(*) FILTER (realized_pnl > 0) * 100.0::DOUBLE / count(*), 2) AS recent_win_rate FROM matches WHERE match_ts > {(10957 - 30) * DAY} AND match_ts <= {10957 * DAY} GROUP BY 1"),
     "agg_symbol_pnl": sql("matches", select="SELECT symbol, round(sum(realized_pnl), 2) AS symbol_pnl, count(*) AS trade_count, round(avg(realized_pnl), 2) AS avg_pnl_per_trade, round(stddev_samp(realized_pnl), 2) AS pnl_volatility FROM matches GROUP BY 1"),

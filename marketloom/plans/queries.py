@@ -388,7 +388,7 @@ def ind_line_events(s, d):
 
 @query
 def ind_line_dedup(s, d):
-    return trend.hough_lines(ad.bars(s, d), 24 * ad.BAR_MS, 6 * ad.BAR_MS, top_k=12).groupBy("symbol", "window_end_ts").agg(F.count("*").alias("n_lines"))
+    return rounded(trend.hough_lines(ad.bars(s, d), 24 * ad.BAR_MS, 6 * ad.BAR_MS, top_k=12), "price_range", "slope", "slope_norm", "intercept", "support", "score", "breakout_strength", digits=6)
 
 
 @query
@@ -759,8 +759,13 @@ def pf_aggregate(s, d):
 @query
 def job_portfolio_risk(s, d):
     out = jobs.portfolio_and_risk(ad.fills_v1(s, d), ad.policies(s, d))
-    n = lambda k: out[k].groupBy("account_id").agg(F.count("*").alias("n")).withColumn("output", F.lit(k))
-    return n("positions").unionByName(n("closes")).unionByName(n("matches")).unionByName(n("portfolio"))
+    return summaries(out, positions="net_qty", closes="seq", matches="matched_qty", realized="realized_pnl", portfolio="equity")
+
+
+def summaries(out: dict[str, DataFrame], **measures: str) -> DataFrame:
+    """Of each output by account: its rows and the sum of one of its columns."""
+    each = [out[k].groupBy("account_id").agg(F.count("*").alias("n"), (F.round(F.sum(F.col(c).cast("double")), 1) + 0.0).alias("total")).withColumn("output", F.lit(k)) for k, c in measures.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query
@@ -771,8 +776,7 @@ def job_trade_matching(s, d):
 @query
 def job_trading_engine2(s, d):
     out = jobs.trading_engine(ad.fills(s, d))
-    n = lambda k: out[k].groupBy("account_id").agg(F.count("*").alias("n")).withColumn("output", F.lit(k))
-    return n("matches").unionByName(n("lots")).unionByName(n("rollup_changelog"))
+    return summaries(out, matches="matched_qty", lots="qty_rem", rollup="net_qty", rollup_changelog="net_qty", realized="realized_pnl")
 
 
 # ---- aggregations, windows, sorting, sets
@@ -857,7 +861,7 @@ def sort_view(s, d):
 
 @query
 def topk_nms(s, d):
-    return trend.hough_lines(ad.bars(s, d), 24 * ad.BAR_MS, 6 * ad.BAR_MS, top_k=2).groupBy("symbol").agg(F.count("*").alias("n_lines"))
+    return rounded(trend.hough_lines(ad.bars(s, d), 24 * ad.BAR_MS, 6 * ad.BAR_MS, top_k=2), "price_range", "slope", "slope_norm", "intercept", "support", "score", "breakout_strength", digits=6)
 
 
 @query

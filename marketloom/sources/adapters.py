@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketloom.operators import prefix
-
 BAR_MS = 6 * 3600 * 1000
 #: A total order of fills; the key columns alone are not unique.
 FILL_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -76,10 +74,15 @@ def fills_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(keyed, ["account_id", "symbol"]).drop(*FILL_ORDER)
 
 
+#: Numbers that a day of one key has room for.
+DAY_NUMBERS = 1_000_000_000
+
+
 def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows with seq, their number within the key in FILL_ORDER: days are counted first, so a task numbers a key's rows of one day."""
+    """rows with seq, which grows within the key along FILL_ORDER: the day, then the number within key and day, so no task sorts a whole key."""
     day = F.datediff(F.col(FILL_ORDER[0]), F.lit("1970-01-01"))
-    return prefix.running(rows, key, day, FILL_ORDER, {"seq": F.lit(1).cast("long")}).drop("_chunk")
+    within = F.row_number().over(Window.partitionBy(*key, "_day").orderBy(*FILL_ORDER))
+    return rows.withColumn("_day", day).withColumn("seq", F.col("_day").cast("long") * DAY_NUMBERS + within).drop("_day")
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,13 +33,14 @@ def test_query(spark, sf, db, name):
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     got = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
+    assert got or name in ("risk_alert", "agg_recent_24h")
     if name not in ORACLES:
         return
     r = db.execute(ORACLES[name])
     names = [x[0] for x in r.description]
     assert sorted(names) == columns
     want = [tuple(plain(x[names.index(c)]) for c in columns) for x in r.fetchall()]
-    close = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 0.011 + 1e-9 * abs(a)  # noqa: E731  a tie of rounding
+    close = lambda a, b: a == b or isinstance(a, float) and isinstance(b, float) and abs(a - b) <= 1e-7 * max(abs(a), abs(b))
     assert len(got) == len(want)
     for a, b in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
         assert all(map(close, a, b)), (a, b)

@@ -22,8 +22,8 @@ def run(stream, path, checkpoint, mode="append"):
 def test_engine_agrees_with_batch_over_a_restart(spark, sf, tmp_path):
     fills = ad.fills(spark, sf).where("symbol = 'P1' and account_id = 'A1'")
     source, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
-    rows = fills.orderBy("seq")
-    rows.where("seq <= 40").coalesce(1).write.mode("append").parquet(source)
+    rows, cut = fills.orderBy("seq"), int(fills.approxQuantile("seq", [0.3], 0)[0])
+    rows.where(f"seq <= {cut}").coalesce(1).write.mode("append").parquet(source)
 
     def stream():
         changes = engine.engine(spark.readStream.schema(fills.schema).option("maxFilesPerTrigger", 1).parquet(source))
@@ -33,8 +33,8 @@ def test_engine_agrees_with_batch_over_a_restart(spark, sf, tmp_path):
 
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream()
-    rows.where("seq > 40").coalesce(1).write.mode("append").parquet(source)
-    rows.where("seq <= 3").coalesce(1).write.mode("append").parquet(source)  # again: known fills
+    rows.where(f"seq > {cut}").coalesce(1).write.mode("append").parquet(source)
+    rows.limit(6).coalesce(1).write.mode("append").parquet(source)  # again: known fills
     stream()
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     got = spark.read.parquet(out)
@@ -225,7 +225,8 @@ def test_trading_engine_job_writes_each_output_once(spark, sf, tmp_path):
     fills = ad.fills(spark, sf).where("symbol = 'P2' and account_id in ('A1', 'A2')")
     source, root, batch_root = (str(tmp_path / x) for x in ("in", "out", "batch"))
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    for low, high in ((0, 30), (30, 10**9)):
+    cut = int(fills.approxQuantile("seq", [0.4], 0)[0])
+    for low, high in ((0, cut), (cut, 2**60)):
         fills.where((F.col("seq") > low) & (F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(source)
         q = jobs.trading_engine(spark.readStream.schema(fills.schema).parquet(source), root, str(tmp_path / "cp"))
         q.awaitTermination(240)
