@@ -15,8 +15,8 @@ CTE: dict[str, tuple[list[str], str]] = {
     "tall": (["smas"], "SELECT 'live' AS run_id, symbol, ts, name AS indicator_name, round(value, 8) AS value FROM (SELECT symbol, ts, unnest(['SMA_5', 'SMA_20', 'SMA_40']) AS name, unnest([sma5, sma20, sma40]) AS value FROM smas)"),
     "signals": (["inds"], "SELECT 'simple-cross' AS run_id, symbol, ts, close, sma5, sma21, CASE WHEN sma5 > sma21 THEN 'BUY' ELSE 'SELL' END AS signal, CASE WHEN sma21 <> 0 THEN abs(sma5 - sma21) / abs(sma21) ELSE 0 END AS signal_strength FROM inds WHERE sma5 <> sma21"),
     "trades": (["signals"], "SELECT run_id AS account_id, symbol, CASE signal WHEN 'BUY' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS qty, close AS price, ts FROM signals"),
-    "li": ([], "SELECT 'A' || (l_suppkey % 5) AS account_id, 'S' || l_linestatus AS strategy_id, 'P' || (l_partkey % 4) AS symbol, l_orderkey::VARCHAR AS order_id, l_linenumber::VARCHAR AS fill_id, CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, l_quantity AS qty, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, epoch_ms(l_shipdate) AS ts, epoch_ms(l_shipdate) // 86400000 AS day, l_returnflag AS flag, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS o FROM lineitem"),
-    "fills": (["li"], "SELECT * EXCLUDE (o, flag, day), day * 1000000000 + row_number() OVER (PARTITION BY account_id, strategy_id, symbol, day ORDER BY o) AS seq FROM li"),
+    "li": ([], "SELECT 'A' || (l_suppkey % 5) AS account_id, 'S' || l_linestatus AS strategy_id, 'P' || (l_partkey % 4) AS symbol, l_orderkey::VARCHAR AS order_id, l_linenumber::VARCHAR AS fill_id, CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, l_quantity AS qty, floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS price, epoch_ms(l_shipdate) AS ts, epoch_ms(l_shipdate) // 86400000 // 16 AS run, l_returnflag AS flag, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS o FROM lineitem"),
+    "fills": (["li"], "SELECT * EXCLUDE (o, flag, run), run * 1000000000 + row_number() OVER (PARTITION BY account_id, strategy_id, symbol, run ORDER BY o) AS seq FROM li"),
     "uniq": (["fills"], "SELECT * FROM fills QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol, order_id, fill_id ORDER BY seq) = 1"),
     "cums": (["uniq"], "SELECT *, sum(qty) OVER (PARTITION BY account_id, strategy_id, symbol, side ORDER BY seq) AS hi FROM uniq"),
     "buys": (["cums"], "SELECT * FROM cums WHERE side = 'BUY'"),
@@ -29,7 +29,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     "changes": (["uniq"], "SELECT CASE WHEN abs(net) <= 1e-12 THEN 'DELETE' ELSE 'UPSERT' END AS op, account_id, strategy_id, symbol, CASE WHEN abs(net) > 1e-12 THEN net END AS net_qty, ts, seq FROM (SELECT *, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq) AS net FROM uniq)"),
     "deltas": (["changes"], "SELECT op, account_id, symbol, net_qty, ts, row_number() OVER (PARTITION BY account_id ORDER BY ts, strategy_id, symbol, seq) AS seq FROM changes"),
     "states": (["deltas"], "SELECT account_id, ts, seq, symbol, is_open, CAST(sum(CASE WHEN is_open AND NOT was THEN 1 WHEN NOT is_open AND was THEN -1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY ts, seq) AS BIGINT) AS open_count FROM (SELECT *, coalesce(lag(is_open) OVER (PARTITION BY account_id, symbol ORDER BY ts, seq), false) AS was FROM (SELECT *, op = 'UPSERT' AND abs(coalesce(net_qty, 0)) > 1e-12 AS is_open FROM deltas))"),
-    "fills1": (["li"], "SELECT account_id, symbol, order_id || '-' || fill_id AS order_id, CASE side WHEN 'BUY' THEN qty ELSE -qty END AS fill_qty, price AS fill_price, CASE flag WHEN 'R' THEN 'REJECTED' ELSE 'FILLED' END AS status, ts, day * 1000000000 + row_number() OVER (PARTITION BY account_id, symbol, day ORDER BY o) AS seq FROM li"),
+    "fills1": (["li"], "SELECT account_id, symbol, order_id || '-' || fill_id AS order_id, CASE side WHEN 'BUY' THEN qty ELSE -qty END AS fill_qty, price AS fill_price, CASE flag WHEN 'R' THEN 'REJECTED' ELSE 'FILLED' END AS status, ts, run * 1000000000 + row_number() OVER (PARTITION BY account_id, symbol, run ORDER BY o) AS seq FROM li"),
     "filled": (["fills1"], "SELECT *, row_number() OVER (PARTITION BY account_id, symbol ORDER BY seq) AS k FROM fills1 WHERE status = 'FILLED' AND fill_qty <> 0"),
     "orders": (["fills1"], "SELECT account_id, symbol, fill_qty AS qty, fill_price AS price, ts, row_number() OVER (PARTITION BY account_id ORDER BY ts, symbol, seq) AS seq FROM fills1"),
     "reflected": (["filled"], "SELECT *, least(0, min(net) OVER (PARTITION BY account_id, symbol ORDER BY seq)) AS low FROM (SELECT *, sum(fill_qty) OVER (PARTITION BY account_id, symbol ORDER BY seq) AS net FROM filled)"),
@@ -154,8 +154,8 @@ ORACLES: dict[str, str] = {
         "SELECT p.account_id, p.symbol, p.seq, 'position' AS side, t.fill_price AS current_price, p.net AS net_qty, p.avg, greatest(p.ts, t.ts) AS ts FROM steps p ASOF JOIN fills1 t ON p.account_id = t.account_id AND p.symbol = t.symbol AND p.seq > t.seq "
         "UNION ALL SELECT t.account_id, t.symbol, t.seq, 'price', t.fill_price, p.net, p.avg, greatest(p.ts, t.ts) FROM fills1 t ASOF JOIN steps p ON p.account_id = t.account_id AND p.symbol = t.symbol AND t.seq >= p.seq)"),
     "src_changes": sql("changes", select="").removesuffix(" ") + (
-        ", a AS (SELECT * FROM (SELECT * FROM changes WHERE seq % 2 <> 0 QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq DESC) = 1) WHERE op <> 'DELETE'), "
-        "b AS (SELECT * FROM (SELECT * FROM changes WHERE seq % 2 <> 0 OR symbol <> 'P3' QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq DESC) = 1) WHERE op <> 'DELETE') "
+        ", a AS (SELECT * FROM (SELECT * FROM changes WHERE seq // 1000000000 % 2 = 1 QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq DESC) = 1) WHERE op <> 'DELETE'), "
+        "b AS (SELECT * FROM (SELECT * FROM changes WHERE seq // 1000000000 % 2 = 1 OR symbol <> 'P3' QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq DESC) = 1) WHERE op <> 'DELETE') "
         "SELECT CASE WHEN a.seq IS NULL THEN '+I' WHEN b.seq IS NULL THEN '-D' ELSE '+U' END AS row_kind, 'UPSERT' AS op, account_id, strategy_id, symbol, coalesce(b.net_qty, a.net_qty) AS net_qty, coalesce(b.seq, a.seq) AS seq FROM a FULL JOIN b USING (account_id, strategy_id, symbol) WHERE a.seq IS DISTINCT FROM b.seq"
     ),
     "jn_asof_symbol": sql("uniq", "matches", select="").removesuffix(" ") + (
@@ -186,7 +186,7 @@ ORACLES: dict[str, str] = {
     "rollup_changelog": sql("changes", select="SELECT * FROM changes"),
     "rpnl_updates": sql("matches", select=f"SELECT {KEY}, match_seq, ts, round(sum(delta) OVER (PARTITION BY {KEY} ORDER BY match_seq), 2) AS cumulative_pnl FROM (SELECT {KEY}, match_seq, sum(realized_pnl) AS delta, max(match_ts) AS ts FROM matches GROUP BY ALL) WHERE abs(delta) > 1e-12"),
     "rpnl_cumulative": sql("matches", select=f"SELECT {KEY}, match_seq, buy_seq, sell_seq, round(sum(realized_pnl) OVER (PARTITION BY {KEY} ORDER BY match_seq, buy_seq, sell_seq), 2) AS cumulative_pnl FROM matches"),
-    "upnl_v1": sql("positions", "fills1", select="SELECT account_id, symbol, price AS current_price, round((price - avg_price) * net_qty, 2) AS unrealized_pnl, greatest(last_updated, pts) AS ts FROM positions JOIN (SELECT account_id, symbol, arg_max(fill_price, seq) AS price, max(ts) AS pts FROM fills1 GROUP BY ALL) USING (account_id, symbol)"),
+    "upnl_v1": sql("positions", "fills1", select="SELECT account_id, symbol, price AS current_price, round((price - avg_price) * net_qty + 1e-6, 2) AS unrealized_pnl, greatest(last_updated, pts) AS ts FROM positions JOIN (SELECT account_id, symbol, arg_max(fill_price, seq) AS price, max(ts) AS pts FROM fills1 GROUP BY ALL) USING (account_id, symbol)"),
     "pf_aggregate": sql("portfolios", select="SELECT account_id, round(equity, 2) AS equity, cash_balance, round(exposure, 2) AS exposure, margin_used FROM portfolios"),
     "job_portfolio_risk": sql("portfolios", "filled", "matches1", select=summaries_sql(
         positions=("positions", "net_qty"), closes=("(SELECT * FROM (SELECT *, sum(fill_qty) OVER (PARTITION BY account_id, symbol ORDER BY seq) AS net FROM filled) WHERE net = 0)", "seq"),

@@ -153,8 +153,8 @@ def src_changes(s, d):
     changes = acc.rollup_changelog(unique_fills(s, d)).select("op", *acc.KEY2, "net_qty", "seq")
     path = scratch(s, "positions")
     write = sinks.upsert_sink(path, acc.KEY2, ["seq"], 8)
-    write(changes.where("seq % 2 != 0"), 0)
-    write(changes.where("seq % 2 = 0 and symbol != 'P3'"), 1)
+    write(changes.where("seq div 1000000000 % 2 = 1"), 0)
+    write(changes.where("seq div 1000000000 % 2 = 0 and symbol != 'P3'"), 1)
     return sinks.change_feed(s, path, 0, 1, acc.KEY2, ["seq"], changes.schema)
 
 
@@ -741,7 +741,8 @@ def rpnl_updates(s, d):
 
 @query
 def upnl_v1(s, d):
-    return rounded(jobs.portfolio_and_risk(ad.fills_v1(s, d), ad.policies(s, d))["unrealized"].select("account_id", "symbol", "current_price", "unrealized_pnl", "ts"), "unrealized_pnl", digits=2)
+    found = jobs.portfolio_and_risk(ad.fills_v1(s, d), ad.policies(s, d))["unrealized"]
+    return rounded(found.select("account_id", "symbol", "current_price", (F.col("unrealized_pnl") + 1e-6).alias("unrealized_pnl"), "ts"), "unrealized_pnl", digits=2)
 
 
 @query

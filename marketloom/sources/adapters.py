@@ -74,15 +74,15 @@ def fills_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(keyed, ["account_id", "symbol"]).drop(*FILL_ORDER)
 
 
-#: Numbers that a day of one key has room for.
-DAY_NUMBERS = 1_000_000_000
+#: Days of one run of numbers, and numbers that a run of one key has room for.
+RUN_DAYS, RUN_NUMBERS = 16, 1_000_000_000
 
 
 def numbered(rows: DataFrame, key: list[str]) -> DataFrame:
-    """rows with seq, which grows within the key along FILL_ORDER: the day, then the number within key and day, so no task sorts a whole key."""
-    day = F.datediff(F.col(FILL_ORDER[0]), F.lit("1970-01-01"))
-    within = F.row_number().over(Window.partitionBy(*key, "_day").orderBy(*FILL_ORDER))
-    return rows.withColumn("_day", day).withColumn("seq", F.col("_day").cast("long") * DAY_NUMBERS + within).drop("_day")
+    """rows with seq, which grows within the key along FILL_ORDER: the run of days, then the number within it, so no task sorts a whole key."""
+    run = F.floor(F.datediff(F.col(FILL_ORDER[0]), F.lit("1970-01-01")) / RUN_DAYS)
+    within = F.row_number().over(Window.partitionBy(*key, "_run").orderBy(*FILL_ORDER))
+    return rows.withColumn("_run", run).withColumn("seq", F.col("_run") * RUN_NUMBERS + within).drop("_run")
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
