@@ -128,9 +128,12 @@ def trend_direction(tall_df: DataFrame) -> DataFrame:
 def swings(df: DataFrame, left: int = 2, right: int = 2, min_delta: float = 0.02) -> DataFrame:
     """Swing points: a bar whose high (low) no bar of the left and right ones exceeds (undercuts), with enough amplitude.
 
-    rank: the lesser count of strictly lower highs (higher lows) on either side. Only bars with full sides count.
+    rank: the lesser count of strictly lower highs (higher lows) on either side. Only bars with full sides count. A stream holds a symbol's
+    last left + right bars and sends a swing once its right side is full.
     """
     left, right = max(1, left), max(1, right)
+    if df.isStreaming:
+        return in_order(df.select("symbol", "ts", "high", "low"), ["symbol"], ["ts"], swing_step(left, right, min_delta), SWING)
     before, after, frame = by_time().rowsBetween(-left, -1), by_time().rowsBetween(1, right), by_time().rowsBetween(-left, right)
     d = df.select(
         "symbol", "ts", "high", "low",
@@ -147,6 +150,31 @@ def swings(df: DataFrame, left: int = 2, right: int = 2, min_delta: float = 0.02
     return d.select("symbol", "ts", F.explode(both).alias("x")).select("symbol", "ts", "x.type", "x.price", F.lit(left).alias("left"), F.lit(right).alias("right"), "x.rank")
 
 
+SWING = "symbol string, ts long, type string, price double, left int, right int, rank int"
+
+
+def swing_step(left: int, right: int, min_delta: float):
+    """The swings whose right side a symbol's next bars fill; the state is its last left + right bars."""
+
+    def step(state, pdf):
+        held, out = list(state or []), []
+        for symbol, ts, high, low in zip(pdf["symbol"], pdf["ts"].tolist(), pdf["high"].tolist(), pdf["low"].tolist(), strict=True):
+            held.append([ts, high, low])
+            if len(held) <= left + right:
+                continue
+            highs, lows, (at, h, x) = [b[1] for b in held], [b[2] for b in held], held[left]
+            span = max(1e-9, max(highs) - min(lows))
+            rank = lambda below: min(sum(below[:left]), sum(below[left + 1 :]))
+            if h >= max(highs) and h - min(lows) >= min_delta * span:
+                out.append((symbol, at, "HIGH", h, left, right, rank([y < h for y in highs])))
+            if x <= min(lows) and max(highs) - x >= min_delta * span:
+                out.append((symbol, at, "LOW", x, left, right, rank([y > x for y in lows])))
+            held.pop(0)
+        return held, pd.DataFrame(out, columns=[c.split()[0] for c in SWING.split(", ")])
+
+    return step
+
+
 def regime_features(df: DataFrame, window_ms: int, true_range: str = "reference") -> DataFrame:
     """By tumbling window: rv, the deviation of log returns (two at least), and trend, |sum of DM+ - sum of DM-| / sum of TR.
 

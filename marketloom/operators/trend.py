@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators.folds import Step, in_order
-from marketloom.session import ship
+from marketloom.operators.windows import cogrouped, sliding
 
 LINE = "symbol string, window_start_ts long, window_end_ts long, time_span_ms long, price_range double, slope double, slope_norm double, intercept double, support double, score double, touches int, breakouts int, breakout_strength double, last_breakout_ts long, side string, data_start_ts long, data_end_ts long"
 SUMMARY = "symbol string, ts long, alpha double, confidence double, phase string, direction string, breakout_direction string, last_breakout_ts long, breakout_recency double, breakout_strength double, lines_used int"
@@ -18,13 +18,6 @@ ANGLES = (10.0, 170.0)
 SCORE = {"votes": 0.45, "touches": 0.25, "strength": 0.20, "slope": 0.15, "false": -0.25}
 
 
-def sliding(df: DataFrame, size_ms: int, slide_ms: int) -> DataFrame:
-    """Each row once for each window over it: window_start_ts, window_end_ts. Windows begin at multiples of the slide."""
-    newest = F.floor(F.col("ts") / slide_ms) * slide_ms
-    starts = F.filter(F.transform(F.sequence(F.lit(0), F.lit(-(-size_ms // slide_ms) - 1)), lambda k: (newest - k * slide_ms).cast("long")), lambda s: s + size_ms > F.col("ts"))
-    return df.withColumn("window_start_ts", F.explode(starts)).withColumn("window_end_ts", F.col("window_start_ts") + size_ms)
-
-
 def votes(t: np.ndarray, high: np.ndarray, low: np.ndarray, theta_bins: int, rho_bins: int, peak_weight: float, peaks: tuple | None = None) -> np.ndarray:
     """The (angle, offset) cells' votes. A bar votes by its high and low, a peak with more weight, and a quarter goes to the cells beside."""
     x = (t - t[0]) / max(1.0, float(t[-1] - t[0]))
@@ -149,34 +142,42 @@ def lines_of(pdf: pd.DataFrame, p: dict) -> list[dict]:
 PARAMETERS = {"theta_bins": 180, "rho_bins": 256, "peak_weight": 3.0, "touch_eps": 0.12, "persist_bars": 1, "false_bars": 3, "top_k": 3, "min_score": 0.12, "min_touches": 0, "mode": "corrected"}
 
 
-def _by_window(bars: DataFrame, size_ms: int, slide_ms: int, swings: DataFrame | None) -> DataFrame:
-    ship(bars.sparkSession)
-    if swings is not None:
-        flags = swings.groupBy("symbol", "ts").agg(F.max(F.col("type") == "HIGH").alias("swing_high"), F.max(F.col("type") == "LOW").alias("swing_low"))
-        bars = bars.join(flags, ["symbol", "ts"], "left").fillna(False, ["swing_high", "swing_low"])
-    return sliding(bars, size_ms, slide_ms)
+def _of_windows(bars: DataFrame, size_ms: int, slide_ms: int, swings: DataFrame | None, rows, schema: str, delay_ms: int, lateness: str) -> DataFrame:
+    """The rows that each (symbol, window)'s trend lines give, by key and bars, which carry their swings if there are any."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+    made = lambda key, pdf: pd.DataFrame(rows(key, pdf), columns=columns)
+    used = bars.select("symbol", "ts", "high", "low", "close")
+    def with_swings(key, pdf, points):
+        flags = {f"swing_{kind.lower()}": pdf["ts"].isin(points.loc[points["type"] == kind, "ts"]) for kind in ("HIGH", "LOW")}
+        return made(key, pdf.assign(**flags))
+
+    if swings is None:
+        return cogrouped(used, None, size_ms, slide_ms, lambda key, pdf, _: made(key, pdf), schema, delay_ms, lateness)
+    return cogrouped(used, swings.select("symbol", "ts", "type"), size_ms, slide_ms, with_swings, schema, delay_ms, lateness)
 
 
-def hough_lines(bars: DataFrame, size_ms: int, slide_ms: int, swings: DataFrame | None = None, **changes) -> DataFrame:
-    """Trend lines of each (symbol, window) with ten bars or more; swings replace the bars' own peaks."""
+def hough_lines(bars: DataFrame, size_ms: int, slide_ms: int, swings: DataFrame | None = None, delay_ms: int = 0, lateness: str = "1 minute", **changes) -> DataFrame:
+    """Trend lines of each (symbol, window) with ten bars or more; swings replace the bars' own peaks.
+
+    Streams send a window's lines once the watermark passes its end by delay_ms, which must cover what swings need to be known. A window's cells
+    depend on its own range of times and prices, so its bars are held and vote when it closes; votes are not taken over from the window before.
+    """
     p = PARAMETERS | changes
 
-    def run(key, pdf):
-        out = [(key[0], key[1], key[2], x["length"], x["span"], x["slope"], min(1.0, abs(x["slope"]) * x["length"] / x["span"]), x["intercept"], x["support"], x["score"], x["touches"], x["breakouts"], x["strength"], x["last_ts"], x["side"], x["t0"], x["t1"]) for x in lines_of(pdf, p)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LINE.split(", ")])
+    def rows(key, pdf):
+        return [(key[0], key[1], key[2], x["length"], x["span"], x["slope"], min(1.0, abs(x["slope"]) * x["length"] / x["span"]), x["intercept"], x["support"], x["score"], x["touches"], x["breakouts"], x["strength"], x["last_ts"], x["side"], x["t0"], x["t1"]) for x in lines_of(pdf, p)]
 
-    return _by_window(bars, size_ms, slide_ms, swings).groupBy("symbol", "window_start_ts", "window_end_ts").applyInPandas(run, LINE)
+    return _of_windows(bars, size_ms, slide_ms, swings, rows, LINE, delay_ms, lateness)
 
 
-def line_events(bars: DataFrame, size_ms: int, slide_ms: int, swings: DataFrame | None = None, **changes) -> DataFrame:
-    """TOUCH, BREAKOUT, FALSE_BREAK and THROWBACK events along the lines of each window."""
+def line_events(bars: DataFrame, size_ms: int, slide_ms: int, swings: DataFrame | None = None, delay_ms: int = 0, lateness: str = "1 minute", **changes) -> DataFrame:
+    """TOUCH, BREAKOUT, FALSE_BREAK and THROWBACK events along the lines of each window; streams as in hough_lines."""
     p = PARAMETERS | changes
 
-    def run(key, pdf):
-        out = [(key[0], key[2], x["slope"], x["intercept"], *e) for x in lines_of(pdf, p) for e in x["events"]]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
+    def rows(key, pdf):
+        return [(key[0], key[2], x["slope"], x["intercept"], *e) for x in lines_of(pdf, p) for e in x["events"]]
 
-    return _by_window(bars, size_ms, slide_ms, swings).groupBy("symbol", "window_start_ts", "window_end_ts").applyInPandas(run, EVENT)
+    return _of_windows(bars, size_ms, slide_ms, swings, rows, EVENT, delay_ms, lateness)
 
 
 def fused(lines: DataFrame, tau_ms: float, softness: float, now_offset_ms: int = 0) -> DataFrame:

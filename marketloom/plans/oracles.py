@@ -169,7 +169,7 @@ ORACLES: dict[str, str] = {
     ),
     "upnl_v2": sql("rollup", "uniq", select="SELECT account_id, strategy_id, round(sum((price - avg_price) * net_qty), 2) AS unrealized_pnl FROM rollup JOIN (SELECT symbol, arg_max(price, (ts, account_id, strategy_id, seq)) AS price FROM uniq GROUP BY symbol) USING (symbol) GROUP BY ALL"),
     "jn_connect_policy": sql("orders", "policies", select=f"SELECT o.account_id, v.version, count(*) AS n, sum(o.qty) AS qty FROM orders o ASOF LEFT JOIN (SELECT account_id, unnest([22, 24, 26]) AS version, unnest([22, 24, 26])::BIGINT * {365 * DAY} AS vts FROM policies) v ON o.account_id = v.account_id AND o.ts >= v.vts GROUP BY ALL"),
-    "jn_cogroup_window": sql("bars", "swing", select=f"SELECT b.symbol, b.s AS window_start_ts, b.n AS n_bars, coalesce(w.n, 0) AS n_swings FROM (SELECT symbol, s, count(*) AS n FROM (SELECT symbol, unnest([(ts // {6 * BAR_MS} - k) * {6 * BAR_MS} FOR k IN [0, 1, 2, 3]]) AS s FROM bars) GROUP BY ALL) b LEFT JOIN (SELECT symbol, s, count(*) AS n FROM (SELECT symbol, unnest([(ts // {6 * BAR_MS} - k) * {6 * BAR_MS} FOR k IN [0, 1, 2, 3]]) AS s FROM swing) GROUP BY ALL) w USING (symbol, s)"),
+    "jn_cogroup_window": sql("bars", "swing", select=f"SELECT b.symbol, b.s AS window_start_ts, b.n AS n_bars, coalesce(w.n, 0) AS n_swings, coalesce(w.highs, 0) AS n_highs, w.top AS top_swing FROM (SELECT symbol, s, count(*) AS n FROM (SELECT symbol, unnest([(ts // {6 * BAR_MS} - k) * {6 * BAR_MS} FOR k IN [0, 1, 2, 3]]) AS s FROM bars) GROUP BY ALL) b LEFT JOIN (SELECT symbol, s, count(*) AS n, count(*) FILTER (type = 'HIGH') AS highs, max(price) AS top FROM (SELECT symbol, type, price, unnest([(ts // {6 * BAR_MS} - k) * {6 * BAR_MS} FOR k IN [0, 1, 2, 3]]) AS s FROM swing) GROUP BY symbol, s) w USING (symbol, s)"),
     "jn_unnest": sql("bars", select="SELECT symbol, count(*) AS n, max(price) AS top FROM (SELECT symbol, unnest([open, high, low, close]) AS price FROM bars) GROUP BY 1"),
     "jn_union_tag": sql("orders", "policies", select="SELECT account_id, 'policy' AS kind, count(*) AS n, max(initial_capital) AS capital, NULL::DOUBLE AS qty FROM policies GROUP BY 1 UNION ALL SELECT account_id, 'order', count(*), NULL, sum(qty) FROM orders GROUP BY 1"),
     "rt_account_state": sql("states", select="SELECT account_id, ts, seq, symbol, is_open, open_count FROM states"),

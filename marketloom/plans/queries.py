@@ -9,13 +9,14 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.operators import accounting as acc
 from marketloom.operators import analytics as an
 from marketloom.operators import indicators as ind
-from marketloom.operators import joins, routing, trend
+from marketloom.operators import joins, routing, trend, windows
 from marketloom.operators import strategies as st
 from marketloom.plans import jobs
 from marketloom.session import ship
@@ -597,9 +598,13 @@ def jn_broadcast_control(s, d):
 @query
 def jn_cogroup_window(s, d):
     b = ad.bars(s, d)
-    w = trend.sliding(b, 24 * ad.BAR_MS, 6 * ad.BAR_MS).groupBy("symbol", "window_start_ts").agg(F.count("*").alias("n_bars"))
-    sw = trend.sliding(ind.swings(b), 24 * ad.BAR_MS, 6 * ad.BAR_MS).groupBy("symbol", "window_start_ts").agg(F.count("*").alias("n_swings"))
-    return w.join(sw, ["symbol", "window_start_ts"], "left").withColumn("n_swings", F.coalesce("n_swings", F.lit(0).cast("long")))
+    schema = "symbol string, window_start_ts long, n_bars long, n_swings long, n_highs long, top_swing double"
+
+    def of_window(key, bars, swings):
+        high = swings["type"] == "HIGH"
+        return pd.DataFrame([(key[0], key[1], len(bars), len(swings), int(high.sum()), swings["price"].max() if len(swings) else None)], columns=[c.split()[0] for c in schema.split(", ")])
+
+    return windows.cogrouped(b, ind.swings(b), 24 * ad.BAR_MS, 6 * ad.BAR_MS, of_window, schema)
 
 
 @query
@@ -847,7 +852,7 @@ def tw_tumbling(s, d):
 
 @query
 def tw_sliding(s, d):
-    return trend.sliding(ad.ticks(s, d), DAY, DAY // 4).groupBy("symbol", "window_start_ts").agg(F.count("*").alias("n"), F.max("price").alias("top"))
+    return windows.sliding(ad.ticks(s, d), DAY, DAY // 4).groupBy("symbol", "window_start_ts").agg(F.count("*").alias("n"), F.max("price").alias("top"))
 
 
 @query

@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def never_idle(source: DataFrame, idle: str = "5 seconds", lateness: str = "0 seconds", time: str = "time") -> DataFrame:
+    """A live source with a watermark on its time that goes on without it: it is never more than idle behind the clock.
+
+    A query's watermark is that of its slowest source, so one that falls silent holds the windows of all others. Heartbeats of a second each,
+    dated idle before now, move this source's watermark on; they are taken out again behind it, and no row is added or lost but
+    those that come later than idle and lateness allow. For times near the clock's: a replay of old rows would be late.
+    """
+    beats = source.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    at = F.col("timestamp") - F.expr(f"INTERVAL {idle}")
+    beats = beats.select(*[(at if c == time else F.lit(None)).cast(source.schema[c].dataType).alias(c) for c in source.columns], at.alias("_beat"))
+    # The condition names the time, so it stays behind the watermark.
+    marked = source.withColumn("_beat", F.lit(None).cast("timestamp")).unionByName(beats).withWatermark(time, lateness)
+    return marked.where(F.col("_beat").isNull() | (F.col("_beat") != F.col(time))).drop("_beat")
+
+
 def candles(ticks: DataFrame, bar: str = "6 hours", lateness: str = "1 minute") -> DataFrame:
     """Candles of ticks (symbol, time, seq, price), each sent once its window has closed. Late ticks are dropped."""
     at = F.struct("time", "seq")

@@ -248,3 +248,53 @@ def test_trading_engine_job_writes_each_output_once(spark, sf, tmp_path):
     first = spark.createDataFrame(spark.read.parquet(f"{root}/batch=1").drop("table").collect(), engine.OUTPUT)
     again(first, 1)
     assert jobs.read_output(spark, root, "rollup_changelog", engine.OUTPUT).count() == n
+
+
+def test_trend_lines_and_swings_agree_with_batch_over_a_restart(spark, sf, tmp_path):
+    bar, size, slide = ad.BAR_MS, 24 * ad.BAR_MS, 6 * ad.BAR_MS
+    bars = ad.bars(spark, sf).select("symbol", "ts", "high", "low", "close")
+    cut = [int(x) for x in bars.approxQuantile("ts", [0.4, 0.7], 0)]
+    again = parts(bars, tmp_path, "bars", [*cut, 2**60])
+    run(ind.swings(again()), str(tmp_path / "s"), str(tmp_path / "sc"))
+    swings = ind.swings(bars)
+    same(spark.read.parquet(str(tmp_path / "s")), swings)
+    last = bars.agg(F.max("ts")).first()[0] - 60_000
+    for name, delay, batch_swings in (("plain", 0, None), ("swings", 2 * bar, swings)):
+        out, cp, source = (str(tmp_path / f"{name}-{x}") for x in ("o", "c", "in"))
+        for low, high in ((-1, cut[0]), (cut[0], 2**60)):  # a restart between the two
+            stream = []
+            for k, d in enumerate(x for x in (bars, batch_swings) if x is not None):
+                d.where((F.col("ts") > low) & (F.col("ts") <= high)).coalesce(1).write.mode("append").parquet(f"{source}{k}")
+                if low > 0:
+                    d.where(F.col("ts") == bars.agg(F.min("ts")).first()[0]).coalesce(1).write.mode("append").parquet(f"{source}{k}")  # long closed
+                stream.append(spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}{k}"))
+            run(trend.hough_lines(stream[0], size, slide, *stream[1:], delay_ms=delay), out, cp)
+        want = trend.hough_lines(bars, size, slide, batch_swings)
+        slowest = last if batch_swings is None else min(last, swings.agg(F.max("ts")).first()[0] - 60_000)
+        same(spark.read.parquet(out), want.where(F.col("window_end_ts") + delay <= slowest))
+
+
+def test_a_silent_source_does_not_hold_the_windows_of_others(spark, tmp_path):
+    schema = "name string, time timestamp, x double"
+    for k in range(2):
+        (tmp_path / f"in{k}").mkdir()
+    begun = dt.datetime.now(dt.UTC).replace(tzinfo=None)
+    spark.createDataFrame([("a", begun, 1.0), ("a", begun, 2.0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in0"))
+
+    def counts(idle: bool):
+        sources = [spark.readStream.schema(schema).parquet(str(tmp_path / f"in{k}")) for k in range(2)]
+        live = [joins.never_idle(d, "3 seconds") if idle else d.withWatermark("time", "0 seconds") for d in sources]
+        made = live[0].unionByName(live[1]).groupBy(F.window("time", "1 second"), "name").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+        out = str(tmp_path / f"out{idle}")
+        q = made.select("name", "x", "n").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"cp{idle}")).trigger(processingTime="1 second").start()
+        try:
+            for _ in range(60 if idle else 12):
+                q.awaitTermination(1)
+                if any((tmp_path / f"out{idle}").glob("part-*")) and (found := spark.read.schema("name string, x double, n long").parquet(out).collect()):
+                    return [tuple(r) for r in found]
+        finally:
+            q.stop()
+        return []
+
+    assert counts(True) == [("a", 3.0, 2)]
+    assert counts(False) == []
