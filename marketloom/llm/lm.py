@@ -38,6 +38,8 @@ STRETCH = 256
 CLASSES = 48
 #: Bits of an n-gram's hash, the last two of which are its order.
 HASH_BITS = 52
+#: Further bits that tell words apart: 62 in all, as n_known and the base model count each word for itself.
+WORD_BITS = 12
 END, START = b"\n", b"\r"
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -54,10 +56,15 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _whole(hashes: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Hashes with the further bits behind them."""
+    return hashes.astype(np.uint64) << np.uint64(WORD_BITS) | low
+
+
 def _zip(x: np.ndarray, dtype: str) -> bytes:
     """Numbers as compressed byte planes, behind their count."""
     x = np.ascontiguousarray(x.astype(dtype))
-    planes = x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    planes = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
     return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
@@ -130,13 +137,15 @@ class Grams:
         self.words = words
 
     def hash(self) -> None:
-        """All hashes, words, the start (of order 0), pairs and triples in turn, and the order that sorts them."""
+        """All hashes, words, the start (of order 0), pairs and triples in turn, the words' further bits, and the order that sorts them."""
         own = np.fromiter(map(xxhash.xxh3_64_intdigest, (*self.words, START)), np.uint64, self.width)
         two = _scramble(own[self.pairs // self.width] * _MIX[0] + own[self.pairs % self.width] * _MIX[1])
         three = _scramble(two[self.triples // self.width] * _MIX[0] + own[self.triples % self.width] * _MIX[1])
         cut = lambda h, order: (_scramble(h) >> np.uint64(66 - HASH_BITS) << np.uint64(2) | np.uint64(order)).view(np.int64)
         self.hashes = np.concatenate([cut(own[:-1], 1), cut(own[-1:], 0), cut(two, 2), cut(three, 3)])
-        self.order = np.argsort(self.hashes, kind="stable")
+        self.low = np.zeros(len(self.hashes), np.uint16)
+        self.low[: self.width - 1] = _scramble(own[:-1]) >> np.uint64(66 - HASH_BITS - WORD_BITS) & np.uint64((1 << WORD_BITS) - 1)
+        self.order = np.argsort(_whole(self.hashes, self.low), kind="stable")
 
     def counts(self) -> np.ndarray:
         """In the training texts of the block. A text's start counts once for each text."""
@@ -157,11 +166,11 @@ class Grams:
         return list(zip(group[cuts].tolist(), cuts.tolist(), np.r_[cuts[1:], len(group)].tolist(), strict=True))
 
 
-SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+SENT = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("low", pa.binary()), ("n", pa.binary())])
 
 
 def sent(stored: DataFrame, bits: int) -> DataFrame:
-    """Each block's n-grams by group: sorted hashes, as differences, and counts."""
+    """Each block's n-grams by group: sorted hashes, as differences, the words' further bits, and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,12 +178,12 @@ def sent(stored: DataFrame, bits: int) -> DataFrame:
                 row = batch.slice(r, 1).to_pylist()[0]
                 g = Grams(row)
                 g.hash()
-                keys, n = g.hashes[g.order], g.counts()[g.order]
-                out = [(b, row["block"], _zip(np.diff(keys[i:j], prepend=b << HASH_BITS - bits), "<u8"), _zip(n[i:j], "<u4")) for b, i, j in g.sorted_by_group(bits)]
+                keys, low, n = g.hashes[g.order], g.low[g.order], g.counts()[g.order]
+                out = [(b, row["block"], _zip(np.diff(keys[i:j], prepend=b << HASH_BITS - bits), "<u8"), _zip(low[i:j][keys[i:j] & 3 == 1], "<u2"), _zip(n[i:j], "<u4")) for b, i, j in g.sorted_by_group(bits)]
                 for at in range(0, len(out), 1_000):
                     yield common.rows(SENT, *zip(*out[at : at + 1_000], strict=True))
 
-    return stored.mapInArrow(run, "bucket long, block long, keys binary, n binary")
+    return stored.mapInArrow(run, "bucket long, block long, keys binary, low binary, n binary")
 
 
 COUNTED = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("c", pa.binary()), ("first", pa.binary()), ("stats", pa.list_(pa.int64()))])
@@ -191,14 +200,17 @@ def counted(rows: DataFrame, bits: int) -> DataFrame:
         group = table.column("bucket")[0].as_py()
         keys = [np.cumsum(_unzip(x, "<u8").astype(np.int64)) + (group << HASH_BITS - bits) for x in table.column("keys").to_pylist()]
         ends = np.cumsum([len(k) for k in keys])
-        own, one, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        every = np.concatenate(keys)
+        low = np.zeros(len(every), np.uint16)
+        low[every & 3 == 1] = np.concatenate([_unzip(x, "<u2") for x in table.column("low").to_pylist()])
+        own, one, at = np.unique(_whole(every, low), return_index=True, return_inverse=True)
         n = np.concatenate([_unzip(x, "<u4") for x in table.column("n").to_pylist()])
         c = np.bincount(at, n, len(own)).astype(np.int64)
         first = np.zeros(len(at), np.uint8)
         first[one] = c > 0
         stats = []
         for order in range(1, ORDER + 1):
-            x = c[(own & 3) == order]
+            x = c[(own >> np.uint64(WORD_BITS) & np.uint64(3)) == order]
             stats += [int((x > 0).sum()), int(x.sum()), int((x == 1).sum()), int((x == 2).sum())]
         m = len(keys)
         cuts = ends[:-1]
@@ -360,7 +372,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     A null or empty text has the end token alone. A row without id is for training. Repeated rows count as
     often as they occur; other columns are not read. An empty table gives an empty result, and with no training
-    text every word is unknown. n-grams are told apart by hashes of 50 bits.
+    text every word is unknown. Words are told apart by hashes of 62 bits, longer n-grams by 50.
     """
     spark = common.ship(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))

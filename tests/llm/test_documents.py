@@ -356,3 +356,16 @@ def test_pipeline(spark):
     n, least = check_packing([(i, x) for i, x in cut.items() if kept[i][2]], got)
     assert n <= least + 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_near_dedup", "best_fit_packing"]
+
+
+def test_words_whose_hashes_share_their_first_bits_are_counted_apart(spark):
+    import numpy as np
+
+    from marketloom.llm import lm
+
+    word, pair = 5 << 2 | 1, 9 << 2 | 2
+    rows = [(0, block, lm._zip(np.diff([word, pair], prepend=0), "<u8"), lm._zip(np.array([low]), "<u2"), lm._zip(np.array([n, n]), "<u4")) for block, low, n in ((1, 7, 2), (2, 8, 3), (3, 7, 5))]
+    got = lm.counted(spark.createDataFrame(rows, "bucket long, block long, keys binary, low binary, n binary"), 4).collect()
+    assert {r.block: lm._unzip(r.c, "<u8").tolist() for r in got} == {1: [7, 10], 2: [3, 10], 3: [7, 10]}
+    assert sum(lm._unzip(r.first, "<u1").astype(int) for r in got).tolist() == [2, 1]
+    assert [r.stats[:2] for r in got if r.stats] == [[2, 10]]
