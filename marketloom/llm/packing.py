@@ -6,7 +6,8 @@ sequences and no more. A group leaves about one unfilled sequence, which its siz
 
 A group starts with its pieces in the order they come, each in the fullest bin that takes it, without sorting. What is saved from
 there on is the search's work: the least filled bin gives its pieces away, by moves, one-for-one and two-for-one swaps that each
-fill another bin up and so raise the sum of squared fills, until it is empty.
+fill another bin up and so raise the sum of squared fills, until it is empty. Where bins are left over the least that the total
+allows, a second search starts from the pieces by falling length, and the better result is taken.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ from marketloom.llm import common
 
 #: Words a worker keeps with their ids, and as many older ones.
 MEMO = 800_000
-#: Rounds of the search in a row that empty no bin.
-IDLE = 3
 #: Sequences' worth of tokens in a group on average.
 GROUP = 1_024
 
@@ -160,7 +159,8 @@ class Search:
 
     A step is a move of one item, or one item for a smaller one, or two for one, always the one that fills its taker best. Fills of
     giver and taker part with each step, so the sum of squared fills grows and the search ends. A giver that no step
-    can help is left as it is; a round without a step is the last, and so is the last of IDLE rounds that empty no bin.
+    can help is left as it is; a round without a step is the last. Steps look at the distinct lengths of a bin, of which each bin keeps
+    a list, so a bin of many short items costs no more than one of few.
     """
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
@@ -169,15 +169,17 @@ class Search:
         self.bin_of = np.zeros(len(lengths), np.int64)
         for k, b in enumerate(self.bins):
             self.bin_of[b] = k
-        self.room = capacity - np.array([int(self.lengths[b].sum()) for b in self.bins], np.int64)
+        self.room = np.array([*(capacity - int(self.lengths[b].sum()) for b in self.bins), 0], np.int64)
         self.emptied = self.steps = 0
+        self.kinds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self._list()
 
     def run(self) -> list[list[int]]:
         least = -(-int(self.lengths.sum()) // self.capacity)
         alive = len(self.bins)
-        gained, idle = True, 0
-        while alive > least and gained and idle < IDLE:
-            before, emptied = self.steps, self.emptied
+        gained = True
+        while alive > least and gained:
+            before = self.steps
             self.rooms = sorted((int(r), k) for k, r in enumerate(self.room.tolist()) if r > 0 and self.bins[k])
             for giver in [k for _, k in reversed(self.rooms)]:
                 if alive <= least:
@@ -185,7 +187,7 @@ class Search:
                 if self.room[giver] > 0 and self._empty(giver):
                     alive -= 1
                     self.emptied += 1
-            gained, idle = self.steps > before, 0 if self.emptied > emptied else idle + 1
+            gained = self.steps > before
         return [b for b in self.bins if b]
 
     def _empty(self, giver: int) -> bool:
@@ -206,16 +208,52 @@ class Search:
         self.bins[giver] += take
         self.bins[taker] += give
         self.bin_of[give], self.bin_of[take] = taker, giver
+        for b in (giver, taker):
+            self._relist(b)
         self.room[giver] += n
         self.room[taker] -= n
         del self.rooms[bisect_left(self.rooms, (before, taker))]
         if before > n:
             insort(self.rooms, (before - n, taker))
 
+    def _lengths(self, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct lengths in a bin, an item of each, and another one of each (-1 where there is none)."""
+        if b not in self.kinds:
+            items = np.array(self.bins[b], np.int64)
+            items = items[np.argsort(self.lengths[items], kind="stable")]
+            sizes, at, n = np.unique(self.lengths[items], return_index=True, return_counts=True)
+            self.kinds[b] = sizes, items[at], np.where(n > 1, items[np.minimum(at + 1, len(items) - 1)], -1)
+        return self.kinds[b]
+
+    def _list(self) -> None:
+        """All bins' distinct lengths side by side: length, item and bin, with as much room behind them; span is where a bin's stand."""
+        each = [self._lengths(b) for b in range(len(self.bins))]
+        ends = np.cumsum([0, *(len(x[0]) for x in each)])
+        self.end = int(ends[-1])
+        self.size, self.item, self.at = np.zeros((3, 2 * self.end + 1_000), np.int64)
+        if each:
+            self.size[: self.end], self.item[: self.end] = np.concatenate([x[0] for x in each]), np.concatenate([x[1] for x in each])
+            self.at[: self.end] = np.repeat(np.arange(len(each)), np.diff(ends))
+        self.span = list(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
+    def _relist(self, b: int) -> None:
+        """A bin has changed: its old lengths go to the last bin, which has no room, and its new ones behind all others."""
+        del self.kinds[b]
+        begin, end = self.span[b]
+        self.at[begin:end] = len(self.bins)
+        sizes, items, _ = self._lengths(b)
+        begin, end = self.end, self.end + len(sizes)
+        if end > len(self.at):
+            self._list()
+            return
+        self.size[begin:end], self.item[begin:end], self.at[begin:end] = sizes, items, b
+        self.span[b], self.end = (begin, end), end
+
     def _move(self, giver: int) -> bool:
         """The largest item that fits elsewhere goes to the fullest bin that takes it."""
-        for i in sorted(self.bins[giver], key=lambda i: -self.lengths[i]):
-            at = bisect_left(self.rooms, (int(self.lengths[i]), -1))
+        sizes, items, _ = self._lengths(giver)
+        for n, i in zip(sizes[::-1].tolist(), items[::-1].tolist(), strict=True):
+            at = bisect_left(self.rooms, (n, -1))
             if at < len(self.rooms) and self.rooms[at][0] <= self.room[giver]:
                 self._change(giver, self.rooms[at][1], [i], [])
                 return True
@@ -223,33 +261,42 @@ class Search:
 
     def _swap(self, giver: int) -> bool:
         """The best one-for-one swap, or, where there is none, the best two-for-one."""
-        mine = sorted(self.bins[giver], key=lambda i: self.lengths[i])
-        room = self.room[self.bin_of]
-        other = np.flatnonzero((room > 0) & (room <= self.room[giver]) & (self.bin_of != giver))
-        if not len(other):
+        room = self.room[self.at[: self.end]]
+        theirs = np.flatnonzero((room > 0) & (room <= self.room[giver]) & (self.at[: self.end] != giver))
+        if not len(theirs):
             return False
-        size, room = self.lengths[other], room[other]
-        ones = [(i,) for i in mine]
-        for offers in (ones, None):
-            if offers is None:
-                offers = [(i, j) for k, i in enumerate(mine) for j in mine[k + 1 :]]
-            if not offers:
+        size = self.size[theirs]
+        limit = size + room[theirs]
+        sizes, items, others = self._lengths(giver)
+        for two in (False, True):
+            if two:
+                i, j = np.triu_indices(len(items), 1)
+                twice = np.flatnonzero(others >= 0)
+                offers = np.concatenate([np.stack([items[i], items[j]], 1), np.stack([items[twice], others[twice]], 1)])
+            else:
+                offers = items[:, None]
+            if not len(offers):
                 return False
-            sums = np.array([int(self.lengths[list(o)].sum()) for o in offers], np.int64)
+            sums = self.lengths[offers].sum(axis=1)
             by = np.argsort(sums, kind="stable")
-            at = np.searchsorted(sums[by], size + room, "right") - 1
+            at = np.searchsorted(sums[by], limit, "right") - 1
             gain = np.where(at >= 0, sums[by][np.maximum(at, 0)] - size, 0)
             best = int(np.argmax(gain))
             if gain[best] > 0:
-                taken = int(other[best])
-                self._change(giver, int(self.bin_of[taken]), list(offers[by[at[best]]]), [taken])
+                taken = int(self.item[theirs[best]])
+                self._change(giver, int(self.bin_of[taken]), offers[by[at[best]]].tolist(), [taken])
                 return True
         return False
 
 
 def packed(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of items, as lists of item numbers."""
-    return Search(in_order(lengths, capacity), lengths, capacity).run()
+    """Bins of items, as lists of item numbers: never more than best-fit decreasing makes."""
+    bins = Search(in_order(lengths, capacity), lengths, capacity).run()
+    if len(bins) > -(-sum(lengths) // capacity):
+        falling = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+        start = [[falling[i] for i in b] for b in in_order([lengths[i] for i in falling], capacity)]
+        bins = min(bins, Search(start, lengths, capacity).run(), key=len)
+    return bins
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:

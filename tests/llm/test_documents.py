@@ -369,3 +369,16 @@ def test_words_whose_hashes_share_their_first_bits_are_counted_apart(spark):
     assert {r.block: lm._unzip(r.c, "<u8").tolist() for r in got} == {1: [7, 10], 2: [3, 10], 3: [7, 10]}
     assert sum(lm._unzip(r.first, "<u1").astype(int) for r in got).tolist() == [2, 1]
     assert [r.stats[:2] for r in got if r.stats] == [[2, 10]]
+
+
+def test_packing_never_makes_more_bins_than_best_fit_decreasing():
+    rng = random.Random(5)
+    mixes = [[rng.randint(1, 4096) for _ in range(600)], [rng.randint(1200, 2400) for _ in range(600)], [rng.randint(3, 60) for _ in range(9_000)] + [rng.randint(1500, 4000) for _ in range(300)], [7] * 20_000, []]
+    for lengths in mixes:
+        falling = packing.in_order(sorted(lengths, reverse=True), 4096)
+        made = packing.packed(lengths, 4096)
+        assert sorted(i for b in made for i in b) == list(range(len(lengths)))
+        assert all(0 < sum(lengths[i] for i in b) <= 4096 for b in made)
+        assert -(-sum(lengths) // 4096) <= len(made) <= len(falling)
+    middle = [rng.randint(1200, 2400) for _ in range(600)]
+    assert len(packing.packed(middle, 4096)) < len(packing.in_order(sorted(middle, reverse=True), 4096))
