@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from marketloom.llm import common
 
 #: Words a worker keeps with their ids, and as many older ones.
-MEMO = 800_000
+MEMO = 300_000
+#: Bytes of text that are split into words at once.
+SLICE_BYTES = 1 << 20
 #: Sequences' worth of tokens in a group on average.
 GROUP = 1_024
 
@@ -122,7 +124,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, row = _words(file.value), TaskContext.get().partitionId() << 40
-        for part in common.slices(batches):
+        for part in common.slices(batches, limit=SLICE_BYTES):
             out = []
             split = [(raw if b"<|" in raw else raw.lower()).split() for raw in common.texts(part.column(1))]
             words.learn(set().union(*split))

@@ -382,3 +382,9 @@ def test_packing_never_makes_more_bins_than_best_fit_decreasing():
         assert -(-sum(lengths) // 4096) <= len(made) <= len(falling)
     middle = [rng.randint(1200, 2400) for _ in range(600)]
     assert len(packing.packed(middle, 4096)) < len(packing.in_order(sorted(middle, reverse=True), 4096))
+
+def test_packing_workers_keep_a_bounded_number_of_words():
+    words = packing._Words(Tokenizer.from_file(WORDS))
+    for k in range(16):
+        words.learn({f"{'abcdefghijklmnop'[k]}x{i}".encode() for i in range(50_000)})
+    assert len(words) + len(words.older) <= 700_000
