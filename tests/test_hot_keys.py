@@ -153,3 +153,9 @@ def test_unrealized_stream_agrees_with_batch_over_a_restart(spark, tmp_path):
         q.awaitTermination(180)
         assert q.exception() is None
     assert rows_of(spark.read.parquet(out), 6) == model(changes, prices)
+
+
+def test_running_values_deal_rows_once_and_join_nothing(spark):
+    d = prefix.running(fills(spark), acc.KEY2, prefix.by_seq(), ["seq"], {"net": F.col("qty")}, {"net": "all"})
+    assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in acc.fifo_two_sided(fills(spark))._jdf.queryExecution().optimizedPlan().toString()
