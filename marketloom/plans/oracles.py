@@ -27,6 +27,9 @@ CTE: dict[str, tuple[list[str], str]] = {
     "lots": (["uniq", "used"], "SELECT account_id, strategy_id, symbol, order_id || '#' || fill_id AS lot_id, CASE side WHEN 'BUY' THEN 'LONG' ELSE 'SHORT' END AS side, qty AS qty_open, qty - coalesce(used, 0) AS qty_rem, price AS avg_price, ts AS ts_open FROM uniq LEFT JOIN used USING (account_id, strategy_id, symbol, seq) WHERE qty - coalesce(used, 0) > 1e-12"),
     "rollup": (["lots"], "SELECT account_id, strategy_id, symbol, CASE WHEN net > 0 THEN 'LONG' ELSE 'SHORT' END AS side, net AS net_qty, abs(v / net) AS avg_price, ts AS last_updated FROM (SELECT account_id, strategy_id, symbol, sum(CASE side WHEN 'LONG' THEN qty_rem ELSE -qty_rem END) AS net, sum(avg_price * CASE side WHEN 'LONG' THEN qty_rem ELSE -qty_rem END) AS v, max(ts_open) AS ts FROM lots GROUP BY ALL) WHERE abs(net) > 1e-12"),
     "changes": (["uniq"], "SELECT CASE WHEN abs(net) <= 1e-12 THEN 'DELETE' ELSE 'UPSERT' END AS op, account_id, strategy_id, symbol, CASE WHEN abs(net) > 1e-12 THEN net END AS net_qty, ts, seq FROM (SELECT *, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq) AS net FROM uniq)"),
+    "fills_whole": (["li"], "SELECT * EXCLUDE (o, flag, run), row_number() OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY o) AS seq FROM li"),
+    "uniq_whole": (["fills_whole"], "SELECT * FROM fills_whole QUALIFY row_number() OVER (PARTITION BY account_id, strategy_id, symbol, order_id, fill_id ORDER BY seq) = 1"),
+    "changes_whole": (["uniq_whole"], "SELECT CASE WHEN abs(net) <= 1e-12 THEN 'DELETE' ELSE 'UPSERT' END AS op, account_id, strategy_id, symbol, CASE WHEN abs(net) > 1e-12 THEN net END AS net_qty, ts, seq FROM (SELECT *, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) OVER (PARTITION BY account_id, strategy_id, symbol ORDER BY seq) AS net FROM uniq_whole)"),
     "deltas": (["changes"], "SELECT op, account_id, symbol, net_qty, ts, row_number() OVER (PARTITION BY account_id ORDER BY ts, strategy_id, symbol, seq) AS seq FROM changes"),
     "states": (["deltas"], "SELECT account_id, ts, seq, symbol, is_open, CAST(sum(CASE WHEN is_open AND NOT was THEN 1 WHEN NOT is_open AND was THEN -1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY ts, seq) AS BIGINT) AS open_count FROM (SELECT *, coalesce(lag(is_open) OVER (PARTITION BY account_id, symbol ORDER BY ts, seq), false) AS was FROM (SELECT *, op = 'UPSERT' AND abs(coalesce(net_qty, 0)) > 1e-12 AS is_open FROM deltas))"),
     "fills1": (["li"], "SELECT account_id, symbol, order_id || '-' || fill_id AS order_id, CASE side WHEN 'BUY' THEN qty ELSE -qty END AS fill_qty, price AS fill_price, CASE flag WHEN 'R' THEN 'REJECTED' ELSE 'FILLED' END AS status, ts, run * 1000000000 + row_number() OVER (PARTITION BY account_id, symbol, run ORDER BY o) AS seq FROM li"),
@@ -96,7 +99,7 @@ ORACLES: dict[str, str] = {
     "snk_upsert": sql("changes", select=f"SELECT {KEY}, net_qty, seq FROM (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY seq DESC) = 1) WHERE op <> 'DELETE'"),
     "snk_row_mappers": sql("fills1", select="SELECT account_id, order_id, symbol, fill_qty, fill_price::DECIMAL(18,4) AS fill_price, status, (epoch_ms(ts))::DATE AS ts_day FROM fills1"),
     "snk_signal_row": sql("signals", select="SELECT 'live' AS run_id, symbol, epoch_ms(ts) AS time, round(close, 4)::DECIMAL(10,4) AS close, round(sma5, 8)::DECIMAL(18,8) AS sma5, round(sma21, 8)::DECIMAL(18,8) AS sma21, signal, round(round(signal_strength, 8), 2)::DECIMAL(5,2) AS signal_strength FROM signals"),
-    "snk_changelog_bridge": sql("changes", select=f"SELECT CASE op WHEN 'DELETE' THEN 'DELETE' ELSE 'UPDATE_AFTER' END AS row_kind, {KEY}, seq, net_qty FROM changes"),
+    "snk_changelog_bridge": sql("changes_whole", select=f"SELECT CASE op WHEN 'DELETE' THEN 'DELETE' ELSE 'UPDATE_AFTER' END AS row_kind, {KEY}, seq, net_qty FROM changes_whole"),
     "snk_match_bridge": sql("matches", select=f"SELECT {KEY}, buy_order_id, sell_order_id, buy_ts, sell_ts, buy_price, sell_price, round(matched_qty, 4) AS matched_qty, round(realized_pnl, 4) AS realized_pnl, match_ts FROM matches"),
     "snk_pojo_adapter": sql("rollup", select=f"SELECT {KEY}, side, net_qty, round(avg_price, 3) AS avg_price, last_updated FROM rollup"),
     "strat_iface": sql("signals", select=f"SELECT run_id, signal, count(*) AS n FROM signals GROUP BY ALL UNION ALL SELECT 'rsi-threshold', CASE WHEN rsi < 30 THEN 'BUY' ELSE 'SELL' END AS sg, count(*) FROM inds WHERE rsi < 30 OR rsi > 70 GROUP BY sg UNION ALL SELECT 'state-cross', signal, count(*) FROM (SELECT CASE WHEN sma5 > sma21 AND lag(sma5) OVER w <= lag(sma21) OVER w THEN 'BUY' WHEN sma5 < sma21 AND lag(sma5) OVER w >= lag(sma21) OVER w THEN 'SELL' END AS signal FROM inds {W}) WHERE signal IS NOT NULL GROUP BY signal"),
@@ -179,7 +182,7 @@ ORACLES: dict[str, str] = {
     "fifo_long_only": sql("matches1", select="SELECT account_id, symbol, buy_order_id, sell_order_id, buy_price, sell_price, matched_qty, round(realized_pnl, 4) AS realized_pnl, match_ts FROM matches1"),
     "fifo_two_sided": sql("matches", select=f"SELECT {KEY}, buy_order_id, buy_fill_id, sell_order_id, sell_fill_id, buy_price, sell_price, matched_qty, round(realized_pnl, 4) AS realized_pnl, match_ts, match_seq FROM matches"),
     "realized_pnl_by_symbol": sql("matches", select="SELECT account_id, symbol, round(sum(realized_pnl), 2) AS realized_pnl FROM matches GROUP BY ALL"),
-    "fill_dedupe": sql("uniq", select=f"SELECT {KEY}, order_id, fill_id, side, qty, price, seq FROM uniq"),
+    "fill_dedupe": sql("uniq_whole", select=f"SELECT {KEY}, order_id, fill_id, side, qty, price, seq FROM uniq_whole"),
     "lots_latest": sql("lots", select="SELECT * FROM lots"),
     "lots_changelog": sql("uniq", "matches", select=f"SELECT CASE WHEN rem <= 1e-12 THEN 'DELETE' ELSE 'UPSERT' END AS op, {KEY}, seq AS lot_seq, change_seq, CASE WHEN rem > 1e-12 THEN rem END AS qty_rem FROM (SELECT *, -sum(used) OVER (PARTITION BY {KEY}, seq ORDER BY change_seq) AS rem FROM (SELECT {KEY}, seq, change_seq, sum(used) AS used FROM (SELECT {KEY}, seq, seq AS change_seq, -qty AS used FROM uniq UNION ALL SELECT {KEY}, buy_seq, greatest(buy_seq, sell_seq), matched_qty FROM matches UNION ALL SELECT {KEY}, sell_seq, greatest(buy_seq, sell_seq), matched_qty FROM matches) GROUP BY ALL)) WHERE NOT (change_seq = seq AND rem <= 1e-12)"),
     "rollup_latest": sql("rollup", select=f"SELECT {KEY}, side, net_qty, round(avg_price, 3) AS avg_price, last_updated FROM rollup"),

@@ -375,3 +375,11 @@ def test_admission_of_many_rows_of_an_account(spark):
         assert sorted(r.seq for r in got.collect()) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_fills_are_numbered_over_their_whole_key(spark, sf):
+    from marketloom.plans import queries
+
+    for name in ("fill_dedupe", "snk_changelog_bridge"):
+        last = queries.QUERIES[name](spark, sf).groupBy("account_id", "strategy_id", "symbol").agg(F.max("seq").alias("last"), F.count("*").alias("n")).collect()
+        assert last and all(r.n <= r.last <= 2 * r.n for r in last)
