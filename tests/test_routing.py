@@ -105,3 +105,15 @@ def test_router_as_a_stream_over_a_restart(spark, tmp_path):
         q.awaitTermination(180)
         assert q.exception() is None
     assert picked(spark.read.parquet(out)) == model(*t, True)
+
+
+def test_account_states_in_chunks_of_time(spark):
+    rng, open_, want, rows = random.Random(5), set(), [], []
+    for k in range(120):
+        account, symbol, is_open = rng.choice("AB"), rng.choice("XYZ"), rng.random() < 0.6
+        rows.append(("UPSERT" if is_open else "DELETE", account, symbol, 1.0 if is_open else None, k // 2, k))
+        (open_.add if is_open else open_.discard)((account, symbol))
+        want.append((account, k // 2, k, symbol, is_open, sum(a == account for a, _ in open_)))
+    d = spark.createDataFrame(rows, "op string, account_id string, symbol string, net_qty double, ts long, seq long")
+    for ms in (1, 7, 86_400_000):
+        assert sorted(map(tuple, routing.account_states(d, chunk_ms=ms).collect())) == sorted(want)
