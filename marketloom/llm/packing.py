@@ -12,6 +12,7 @@ allows, a second search starts from the pieces by falling length, and the better
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ from marketloom.llm import common
 
 #: Words a worker keeps with their ids, and as many older ones.
 MEMO = 300_000
+#: Runs of marks that a worker keeps with their ids.
+TAILS = 10_000
 #: Bytes of text that are split into words at once.
 SLICE_BYTES = 1 << 20
 #: Sequences' worth of tokens in a group on average.
@@ -34,61 +37,59 @@ GROUP = 1_024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: How the tokenizer's model spells bytes: printable ones as themselves, others from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Words(dict):
     """Lower-cased word (between ASCII white space) to its packed ids.
 
-    The tokenizer lower-cases, drops white space and never joins across it, so words are encoded apart. A word
-    of letters alone is one piece, which ends with the piece's only word-end token; many such words go to the
-    tokenizer as one text and are told apart by these. A final comma or stop is a piece of its own.
+    The tokenizer lower-cases, drops white space and never joins across it, so words are encoded apart. Letters in a row are one piece,
+    and so are ASCII marks behind them, so a word of letters with marks or none behind goes to the tokenizer's model as it is, without the
+    tokenizer's steps before it, which leave it alone. This holds for Latin letters (below U+0300: composed, each
+    with one lower-case form); other words go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
         self.older: dict = {}
-        self.word_end = np.zeros(tokenizer.get_vocab_size(), bool)
-        for token, i in tokenizer.get_vocab().items():
-            self.word_end[i] = token.endswith("</w>")
-        self.tails = {t: self._one(t) for t in (",", ".")}
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _plain(self, words: list[str]) -> None:
-        for at in range(0, len(words), 400):
-            some = words[at : at + 400]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) != len(some):
-                for w in some:
-                    self[w.encode()] = self._one(w)
-                continue
-            packed, ends = ids.tobytes(), (4 * ends).tolist()
-            for w, a, b in zip(some, [0, *ends], ends, strict=False):
-                self[w.encode()] = packed[a:b]
+        self.tails = {"": b""}
+
+    def _one(self, piece: str) -> bytes:
+        """Ids of one piece, lower-cased, by the model alone."""
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SPELLED)
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _tail(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > TAILS:
+                self.tails = {"": b""}
+            self.tails[marks] = self._one(marks)
+        return self.tails[marks]
 
     def learn(self, words: set[bytes]) -> None:
         if len(self) > MEMO:
             self.older = dict(self)
             self.clear()
-        plain, tailed, other = set(), [], []
+        other = []
         for w in words:
             if w in self:
                 continue
             if w in self.older:
                 self[w] = self.older[w]
                 continue
-            s = w.decode()
-            if s.isascii() and s.isalpha() or s.lower().isalpha():
-                plain.add(s)
-            elif s[-1] in self.tails and s[:-1].lower().isalpha():
-                tailed.append((w, w[:-1], s[-1]))
-                if w[:-1] not in self:
-                    plain.add(s[:-1])
-            else:
+            s = w.decode().lower()
+            stem = s.rstrip(MARKS)
+            if not stem.isalpha() or not stem.isascii() and max(stem) >= "\u0300":
                 other.append(w)
-        self._plain(list(plain))
-        for w, stem, tail in tailed:
-            self[w] = self[stem] + self.tails[tail]
+                continue
+            key = stem.encode()
+            ids = self.get(key) or self.older.get(key) or self._one(stem)
+            self[key] = ids
+            self[w] = ids + self._tail(s[len(stem) :])
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False), strict=True):
             self[w] = np.array(e.ids, "<u4").tobytes()
 

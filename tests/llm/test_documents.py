@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import struct
 import time
 import zlib
 
@@ -388,3 +389,21 @@ def test_packing_workers_keep_a_bounded_number_of_words():
     for k in range(16):
         words.learn({f"{'abcdefghijklmnop'[k]}x{i}".encode() for i in range(50_000)})
     assert len(words) + len(words.older) <= 700_000
+
+
+def test_packing_takes_words_of_letters_past_the_tokenizer_with_the_same_ids():
+    full = Tokenizer.from_file(WORDS)
+    words = packing._Words(full)
+    rng = random.Random(3)
+    odd = {"".join(rng.choice("abXYéÈßÄİıŉǅʰªº²½µΣσςЖ한ÅΩ'#$.,<|>_-01̸́­") for _ in range(rng.randint(1, 6))) for _ in range(3000)} | {"x<|endoftext|>"}
+    words.learn({w.encode() for w in odd})
+    assert all(words[w.encode()] == struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(odd, full.encode_batch(list(odd), add_special_tokens=False), strict=True))
+
+    class Model:
+        model = full.model
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            assert not texts
+            return []
+
+    packing._Words(Model()).learn({"naïve***".encode(), b"plain", b"marks.,", "Été".encode()})
