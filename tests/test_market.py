@@ -383,3 +383,20 @@ def test_fills_are_numbered_over_their_whole_key(spark, sf):
     for name in ("fill_dedupe", "snk_changelog_bridge"):
         last = queries.QUERIES[name](spark, sf).groupBy("account_id", "strategy_id", "symbol").agg(F.max("seq").alias("last"), F.count("*").alias("n")).collect()
         assert last and all(r.n <= r.last <= 2 * r.n for r in last)
+
+
+def test_interval_join_unfolds_blocks_where_pairs_are_made(spark, monkeypatch):
+    import random
+
+    from marketloom.operators import joins
+
+    rng = random.Random(5)
+    left = [(rng.choice(["X", "Y", None]), rng.choice([None, rng.randrange(-2000, 2000)]), k) for k in range(150)] + [("X", 700, k) for k in range(150, 190)]
+    right = [(rng.choice(["X", "Y", None]), rng.choice([None, rng.randrange(-2000, 2000)]), k) for k in range(150)] + [("X", 700, k) for k in range(150, 190)]
+    want = sorted((s, a, k, b, j) for s, a, k in left for t, b, j in right if s is not None and s == t and a is not None and b is not None and abs(a - b) <= 100)
+    frames = spark.createDataFrame(left, "symbol string, ts long, l long"), spark.createDataFrame(right, "symbol string, ts long, r long")
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(joins, "BLOCK", size)
+        found = joins.interval_join(*frames, 100)
+        assert sorted((x.symbol, x.ts, x.l, x.right_ts, x.r) for x in found.collect()) == want
+    assert "Generate explode(_rows" in found._jdf.queryExecution().optimizedPlan().toString()
