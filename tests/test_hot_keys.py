@@ -159,3 +159,15 @@ def test_running_values_deal_rows_once_and_join_nothing(spark):
     d = prefix.running(fills(spark), acc.KEY2, prefix.by_seq(), ["seq"], {"net": F.col("qty")}, {"net": "all"})
     assert "Join" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in acc.fifo_two_sided(fills(spark))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dedupe_sorts_fills_once_and_after_their_shuffle(spark):
+    twice = fills(spark).unionByName(fills(spark).withColumn("seq", F.col("seq") + 1000))
+    assert rows_of(acc.dedupe_fills(twice)) == rows_of(fills(spark))
+    assert "WindowGroupLimit" not in acc.dedupe_fills(twice)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sweeps_aggregate_only_the_ends_of_cells(spark):
+    """What goes to other cells comes of rows next to a carried one (lag and lead), and a chunk's start needs no sort of its own."""
+    plan = acc.fifo_two_sided(fills(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lag(_own" in plan and "lead(_own" in plan and "max(start" not in plan
