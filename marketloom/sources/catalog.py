@@ -63,9 +63,12 @@ class Catalog:
     def create(self, *names: str) -> None:
         """CREATE TABLE IF NOT EXISTS, of all tables if none is named."""
         for name in names or TABLES:
-            kind, key, columns = TABLES[name]
-            mode = "append" if kind == "H" else "upsert"
-            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({columns}) USING parquet TBLPROPERTIES ('change.mode' = '{mode}', 'primary.key' = '{key}')")
+            self._create(name, name)
+
+    def _create(self, name: str, like: str) -> None:
+        kind, key, columns = TABLES[like]
+        mode = "append" if kind == "H" else "upsert"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self.database}.{name} ({columns}) USING parquet TBLPROPERTIES ('change.mode' = '{mode}', 'primary.key' = '{key}')")
 
     def tables(self) -> list[str]:
         """SHOW TABLES."""
@@ -97,12 +100,13 @@ class Catalog:
         self._replace(name, kept.unionByName(conform(last, name)))
 
     def _replace(self, name: str, rows: DataFrame) -> None:
-        """Rows that rest on the table itself are written aside first, in the folder that all tasks share."""
-        aside = f"{self.database}.{name}__next"
-        self.spark.sql(f"DROP TABLE IF EXISTS {aside}")
-        rows.write.format("parquet").saveAsTable(aside)
-        self.spark.sql(f"INSERT OVERWRITE {self.database}.{name} SELECT * FROM {aside}")
-        self.spark.sql(f"DROP TABLE {aside}")
+        """Rows that rest on the table itself are written once, as a table beside it that then takes its name."""
+        aside = f"{name}__next"
+        self.drop(aside)
+        self._create(aside, name)
+        rows.write.insertInto(f"{self.database}.{aside}")
+        self.drop(name)
+        self.spark.sql(f"ALTER TABLE {self.database}.{aside} RENAME TO {self.database}.{name}")
 
     def delete(self, name: str, condition: str | None = None) -> None:
         """DELETE FROM: all rows, or those for which the condition is true."""
