@@ -171,3 +171,23 @@ def test_sweeps_aggregate_only_the_ends_of_cells(spark):
     """What goes to other cells comes of rows next to a carried one (lag and lead), and a chunk's start needs no sort of its own."""
     plan = acc.fifo_two_sided(fills(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert "lag(_own" in plan and "lead(_own" in plan and "max(start" not in plan
+
+
+def test_unrealized_updates_in_chunks(spark, monkeypatch):
+    d = v1(fills(spark).where("account_id is not null")).withColumn("seq", F.col("seq") * 3)
+    d = d.dropDuplicates(["account_id", "symbol", "seq"])
+    prices = d.select("account_id", "symbol", F.col("fill_price").alias("price"), "ts", (F.col("seq") + F.col("seq") % 2).alias("seq"))
+    positions = acc.avg_cost_updates(d).where("seq % 4 = 0")
+    state, want = collections.defaultdict(lambda: [None, None]), []
+    events = [(r.account_id, r.symbol, r.seq, "position", (r.net_qty, r.avg_price, r.ts)) for r in positions.collect()] + [(r.account_id, r.symbol, r.seq, "price", (r.price, r.ts)) for r in prices.collect()]
+    for account, symbol, seq, side, x in sorted(events):
+        now = state[account, symbol]
+        now[side == "price"] = x
+        if None not in now:
+            (net, avg, at), (price, told) = now
+            want.append((account, symbol, seq, side, price, net, round(avg, 6), round((price - avg) * net, 6) + 0.0, max(at, told)))
+    found = lambda: rows_of(acc.unrealized_updates(positions, prices), 6)
+    for size in (10_000, 4):
+        monkeypatch.setattr(prefix, "CHUNK", size)
+        assert [tuple(map(str, r)) for r in found()] == [tuple(map(str, r)) for r in sorted(want, key=repr)]
+    assert "_chunk" in acc.unrealized_updates(positions, prices)._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
