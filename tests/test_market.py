@@ -400,3 +400,18 @@ def test_interval_join_unfolds_blocks_where_pairs_are_made(spark, monkeypatch):
         found = joins.interval_join(*frames, 100)
         assert sorted((x.symbol, x.ts, x.l, x.right_ts, x.r) for x in found.collect()) == want
     assert "Generate explode(_rows" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_interval_join_gives_a_right_row_whole_blocks_and_copies_few_left_rows(spark):
+    import itertools
+
+    from marketloom.operators import joins
+
+    left = spark.createDataFrame([("X", 10 * k, k) for k in range(400)], "symbol string, ts long, l long")
+    right = spark.createDataFrame([("X", 10 * k + 5, k) for k in range(400)], "symbol string, ts long, r long")
+    found = joins.interval_join(left, right, 1000)
+    rows = [(x.ts, x.right_ts, x.r) for x in found.collect()]
+    assert sorted(rows) == sorted((10 * a, 10 * b + 5, b) for a in range(400) for b in range(400) if abs(10 * a - 10 * b - 5) <= 1000)
+    assert len(list(itertools.groupby(rows, lambda x: x[2]))) <= 2 * 400
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(_left" in plan and "explode(sequence(" in plan and "explode(array(" not in plan
