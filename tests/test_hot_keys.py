@@ -191,3 +191,23 @@ def test_unrealized_updates_in_chunks(spark, monkeypatch):
         monkeypatch.setattr(prefix, "CHUNK", size)
         assert [tuple(map(str, r)) for r in found()] == [tuple(map(str, r)) for r in sorted(want, key=repr)]
     assert "_chunk" in acc.unrealized_updates(positions, prices)._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+
+
+def test_positions_come_of_running_quantities_alone(spark, chunk):
+    """Costs without matches are those with them, also over chunks that lack a side, and with fills of no quantity."""
+    d = fills(spark)
+    more = [("LONE", "s", "X", f"p{k}", "f", "SELL" if k in (14, 15, 40) else "BUY", (0.0, 3.0, 40.0)[k % 3], 90.0 + k, k, k + 1) for k in range(41)]
+    d = d.unionByName(spark.createDataFrame(more, FILLS))
+    found = acc.positions_changelog(d)
+    assert rows_of(found, 6) == rows_of(acc.positions_changelog(d, acc.fifo_two_sided(d.where("qty > 0"))), 6)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_changes_of_unrealized_profits_are_not_sorted_by_symbol(spark):
+    """Prices are looked up once for each time of a symbol, which may be stored; windows over changes themselves are gone."""
+    changes, prices = changes_and_prices(spark)
+    kept = []
+    found = acc.unrealized_changelog(changes, prices, keep=lambda df, name: kept.append(name) or spark.createDataFrame(df.collect(), df.schema))
+    assert rows_of(found, 6) == model(changes, prices) and kept == ["times"]
+    plan = found.where("cause = 'position'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
